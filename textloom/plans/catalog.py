@@ -1,10 +1,481 @@
-"""The queries of the engine over the driver's tables, and their SQL."""
+"""The queries of the engine over the driver's tables, and the SQL that they must agree with."""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
+from ..functions import text as T
+from ..functions import vectors
+from ..operators import chunking, evaluation, retrieval
+from ..streaming import stream
+
 FLAGSHIP = "chunk_statistics"
 QUERIES: dict = {}
+_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            _SQL[f.__name__] = sql
+        return f
+
+    return add
 
 
 def oracles() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
+
+
+def read(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf}/{name}.parquet")
+
+
+def docs(spark, sf) -> DataFrame:
+    return read(spark, sf, "documents").select("doc_id", "text")
+
+
+# --- SQL parts ---------------------------------------------------------------------------------
+LEX = r"regexp_extract_all(lower(text), '[\p{L}\p{N}_]+')"
+TERMS = r"regexp_extract_all(lower(text), '[\p{L}\p{N}_]{2,}')"
+BUCKET = "(('0x' || substr(md5(t), 1, 15))::bigint % {dim})"
+
+
+def fixed_sql(size: int, overlap: int = 0, method: str = "fixed") -> str:
+    """CTE body: chunks of fixed windows."""
+    return rf"""SELECT doc_id, (s // {size - overlap})::int AS chunk_order, doc_id || ':{method}:' || (s // {size - overlap}) AS chunk_id,
+      regexp_replace(array_to_string(p[s + 1:s + {size}], ''), '^\s+', '') AS text, least({size}, len(p) - s)::int AS token_count
+      FROM (SELECT doc_id, regexp_extract_all(text, '\s*\S+') AS p FROM documents) d, unnest(generate_series(0, greatest(len(p) - {overlap} - 1, 0), {size - overlap})) AS u(s) WHERE len(p) > 0"""
+
+
+SEGMENTS = r"""sent AS (SELECT doc_id, list_filter(list_transform(string_split(regexp_replace(text, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> '') AS ss FROM documents),
+    seg AS (SELECT doc_id, (i - 1)::int AS pos, ss[i] AS text, len(regexp_extract_all(ss[i], '\S+'))::int AS token_count FROM sent, unnest(generate_series(1, len(ss))) AS u(i))"""
+MERGED = "cutted AS (SELECT *, coalesce(sum(cut::int) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::int AS g FROM marked) SELECT doc_id, g AS chunk_order, doc_id || ':{m}:' || g AS chunk_id, string_agg(text, ' ' ORDER BY pos) AS text, sum(token_count)::int AS token_count FROM cutted GROUP BY doc_id, g"
+
+
+def _short(df: DataFrame) -> DataFrame:
+    """Chunk rows with the md5 of the text in its place."""
+    return df.select("doc_id", "chunk_order", "chunk_id", "token_count", F.md5("text").alias("text_md5"))
+
+
+def _short_sql(cte: str) -> str:
+    return f"WITH c AS ({cte}) SELECT doc_id, chunk_order, chunk_id, token_count, md5(text) AS text_md5 FROM c"
+
+
+# --- chunks and their statistics ---------------------------------------------------------------
+@query(_short_sql(fixed_sql(256)))
+def fixed_chunks_256(spark, sf):
+    return _short(chunking.fixed(docs(spark, sf), 256))
+
+
+@query(_short_sql(fixed_sql(512, 64)))
+def fixed_chunks_512_overlap(spark, sf):
+    return _short(chunking.fixed(docs(spark, sf), 512, 64))
+
+
+@query(f"WITH {SEGMENTS} SELECT doc_id, pos, token_count, md5(text) AS text_md5 FROM seg")
+def sentence_segments(spark, sf):
+    return chunking.segments(docs(spark, sf)).select("doc_id", "pos", "token_count", F.md5("text").alias("text_md5"))
+
+
+@query(rf"""WITH RECURSIVE {SEGMENTS},
+    units AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY pos, j) AS n, least(256, token_count - j * 256)::int AS c FROM seg, unnest(generate_series(0, (token_count - 1) // 256)) AS u(j)),
+    walk AS (SELECT doc_id, n, c, c AS run, 0 AS g FROM units WHERE n = 1
+      UNION ALL SELECT u.doc_id, u.n, u.c, CASE WHEN w.run + u.c > 256 THEN u.c ELSE w.run + u.c END, CASE WHEN w.run + u.c > 256 THEN w.g + 1 ELSE w.g END FROM walk w JOIN units u ON u.doc_id = w.doc_id AND u.n = w.n + 1)
+    SELECT doc_id, g::int AS chunk_order, sum(c)::int AS token_count FROM walk GROUP BY doc_id, g""")
+def sentence_fixed_256(spark, sf):
+    return chunking.sentence_fixed(docs(spark, sf), 256).select("doc_id", "chunk_order", "token_count")
+
+
+def _stat_sql(scope: str) -> str:
+    key = ("doc_id, " if scope == "within_document" else "") + r"trim(regexp_replace(lower(text), '\s+', ' ', 'g'))"
+    return f"""WITH c AS ({fixed_sql(256)}), d AS (SELECT count(*) AS n FROM c GROUP BY doc_id), g AS (SELECT count(*) AS n FROM c GROUP BY {key})
+    SELECT s.*, p.*, (SELECT sum(n - 1) FROM g)::bigint AS duplicate_chunk_count FROM
+    (SELECT count(*)::bigint AS total_chunks, round(avg(token_count), 6) AS tokens_mean, round(quantile_cont(token_count, 0.5), 6)::double AS tokens_median, min(token_count)::double AS tokens_min, max(token_count)::double AS tokens_max,
+      round(quantile_cont(token_count, 0.9), 6)::double AS tokens_p90, round(quantile_cont(token_count, 0.95), 6)::double AS tokens_p95, round(avg(CASE WHEN token_count > 256 THEN 100.0 ELSE 0 END), 6) AS pct_over_256,
+      round(avg(CASE WHEN token_count > 512 THEN 100.0 ELSE 0 END), 6) AS pct_over_512, round(avg(CASE WHEN token_count > 1024 THEN 100.0 ELSE 0 END), 6) AS pct_over_1024, 0.0::double AS pct_non_contiguous, (count(*) FILTER (trim(text) = ''))::bigint AS empty_chunk_count FROM c) s,
+    (SELECT round(avg(n), 6) AS chunks_per_doc_mean, round(quantile_cont(n, 0.5), 6)::double AS chunks_per_doc_median, round(quantile_cont(n, 0.95), 6)::double AS chunks_per_doc_p95 FROM d) p"""
+
+
+@query(_stat_sql("within_document"))
+def chunk_statistics(spark, sf):
+    return evaluation.statistics(chunking.fixed(docs(spark, sf), 256).withColumn("is_contiguous", F.lit(True)))
+
+
+@query(_stat_sql("corpus"))
+def chunk_statistics_corpus(spark, sf):
+    return evaluation.statistics(chunking.fixed(docs(spark, sf), 256).withColumn("is_contiguous", F.lit(True)), "corpus")
+
+
+@query(r"SELECT md5(trim(regexp_replace(lower(text), '\s+', ' ', 'g'))) AS text_md5, count(*)::bigint AS n, min(doc_id) AS first_doc FROM documents GROUP BY 1 HAVING count(*) > 1")
+def duplicate_documents(spark, sf):
+    return docs(spark, sf).groupBy(F.md5(T.squeeze(F.col("text"))).alias("text_md5")).agg(F.count("*").alias("n"), F.min("doc_id").alias("first_doc")).where("n > 1")
+
+
+@query(rf"SELECT doc_id, len(regexp_extract_all(text, '\S+'))::int AS tokens, len({LEX})::int AS lexical, len({TERMS})::int AS terms, length(text)::int AS chars, strlen(text)::int AS bytes FROM documents")
+def token_counts(spark, sf):
+    t = F.col("text")
+    return docs(spark, sf).select("doc_id", T.token_count(t).alias("tokens"), F.size(T.lexical_tokens(t)).alias("lexical"), F.size(T.terms(t)).alias("terms"), F.length(t).alias("chars"), F.octet_length(t).alias("bytes"))
+
+
+@query(f"WITH t AS (SELECT doc_id, unnest({TERMS}) AS term FROM documents) SELECT term, count(DISTINCT doc_id)::bigint AS df, count(*)::bigint AS cf, round(ln(1 + ((SELECT count(*) FROM documents) - count(DISTINCT doc_id) + 0.5) / (count(DISTINCT doc_id) + 0.5)), 6) AS idf FROM t GROUP BY term")
+def vocabulary_df(spark, sf):
+    d = docs(spark, sf)
+    n = d.agg(F.count("*").alias("n"))
+    per_doc = d.select("doc_id", F.explode(T.terms(F.col("text"))).alias("term")).groupBy("doc_id", "term").agg(F.count("*").alias("tf"))
+    v = per_doc.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
+    return v.crossJoin(F.broadcast(n)).select("term", "df", "cf", F.round(F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)), 6).alias("idf"))  # n: one row
+
+
+# --- evidence, BM25, metrics -------------------------------------------------------------------
+PAIRS = "pairs AS (SELECT item_id, doc_id, (strpos(d.text, b.text) - 1)::int AS start FROM documents d, benchmark b WHERE contains(d.text, b.text))"
+
+
+@query(f"WITH {PAIRS} SELECT * FROM pairs")
+def evidence_pairs(spark, sf):
+    return evaluation.containing(read(spark, sf, "benchmark"), docs(spark, sf))
+
+
+def _evidence(spark, sf) -> DataFrame:
+    """An evidence row for each benchmark item and document that holds it."""
+    b = read(spark, sf, "benchmark")
+    p = evaluation.containing(b, docs(spark, sf))
+    return p.join(b, "item_id").select(F.col("item_id").cast("string").alias("query_id"), F.concat_ws(":", F.col("item_id").cast("string"), F.col("doc_id").cast("string")).alias("evidence_id"), "doc_id", "text", T.token_count(F.col("text")).alias("ev_count"))
+
+
+EVIDENCE = rf"{PAIRS}, ev AS (SELECT item_id::varchar AS query_id, item_id || ':' || doc_id AS evidence_id, doc_id, b.text AS text, len(regexp_extract_all(b.text, '\S+'))::int AS ev_count FROM pairs JOIN benchmark b USING (item_id))"
+COVER = rf"chunk AS ({fixed_sql(256)}), ct AS (SELECT doc_id, chunk_id, list_distinct({LEX}) AS ct FROM chunk), cov AS (SELECT query_id, evidence_id, chunk_id, ev_count, list_filter(generate_series(0, len(et) - 1), lambda i: list_contains(ct, et[i + 1])) AS covered FROM (SELECT query_id, evidence_id, doc_id, ev_count, {LEX} AS et FROM ev) JOIN ct USING (doc_id))"
+
+
+@query(f"WITH {EVIDENCE}, {COVER} SELECT query_id, evidence_id, chunk_id, ev_count, array_to_string(covered, ',') AS covered FROM cov")
+def evidence_coverage(spark, sf):
+    c = evaluation.coverage(_evidence(spark, sf), chunking.fixed(docs(spark, sf), 256))
+    return c.withColumn("covered", F.array_join(F.transform("covered", lambda x: x.cast("string")), ","))
+
+
+def bm25_sql(items: str, k: int, name: str, within: str | None = None) -> str:
+    """CTEs: ``name`` with query_id, item_id, score, rank."""
+    carry = ", document_id" if within else ""
+    join = f"JOIN {within} USING (query_id, document_id)" if within else ""
+    pool = f"(SELECT query_id, item_id FROM {within} JOIN {name}_t USING (document_id))" if within else f"(SELECT query_id, item_id FROM (SELECT item_id::varchar AS query_id FROM benchmark), {name}_t)"
+    return rf"""{name}_t AS (SELECT item_id{carry}, {TERMS} AS ts FROM ({items})),
+    {name}_s AS (SELECT count(*) AS n, avg(len(ts)) AS avgdl FROM {name}_t),
+    {name}_p AS (SELECT item_id{carry}, dl, t, count(*) AS tf FROM (SELECT item_id{carry}, len(ts) AS dl, unnest(ts) AS t FROM {name}_t) GROUP BY ALL),
+    {name}_f AS (SELECT t, count(*) AS df FROM {name}_p GROUP BY t),
+    {name}_q AS (SELECT query_id, t, count(*) AS qtf FROM (SELECT item_id::varchar AS query_id, unnest({TERMS}) AS t FROM benchmark) GROUP BY ALL),
+    {name}_h AS (SELECT query_id, item_id, round(sum(qtf * ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))), 9) AS score
+      FROM {name}_p JOIN {name}_f USING (t) JOIN {name}_q USING (t) {join}, {name}_s GROUP BY query_id, item_id),
+    {name} AS (SELECT query_id, item_id, score, rank FROM (SELECT query_id, item_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, item_id)::int AS rank
+      FROM (SELECT query_id, item_id, coalesce(score, 0) AS score FROM {pool} LEFT JOIN {name}_h USING (query_id, item_id))) WHERE rank <= {k})"""
+
+
+def _queries(spark, sf) -> DataFrame:
+    return read(spark, sf, "benchmark").select(F.col("item_id").cast("string").alias("query_id"), "text")
+
+
+def _doc_items(spark, sf) -> DataFrame:
+    return docs(spark, sf).select(F.col("doc_id").cast("string").alias("item_id"), "text")
+
+
+def _passages(spark, sf) -> DataFrame:
+    return chunking.fixed(docs(spark, sf), 256).select(F.col("chunk_id").alias("item_id"), F.col("doc_id").cast("string").alias("document_id"), "text")
+
+
+DOC_ITEMS = "SELECT doc_id::varchar AS item_id, text FROM documents"
+PASSAGES = f"SELECT chunk_id AS item_id, doc_id::varchar AS document_id, text FROM ({fixed_sql(256)})"
+
+
+@query(f"WITH {bm25_sql(DOC_ITEMS, 10, 'h')} SELECT query_id, item_id, round(score, 6) AS score, rank FROM h")
+def bm25_documents_top10(spark, sf):
+    return retrieval.bm25(_queries(spark, sf), _doc_items(spark, sf), 10).withColumn("score", F.round("score", 6))
+
+
+TWO = f"{bm25_sql(DOC_ITEMS, 5, 'd')}, w AS (SELECT query_id, item_id AS document_id FROM d), {bm25_sql(PASSAGES, 10, 'h', 'w')}"
+
+
+@query(f"WITH {TWO} SELECT query_id, item_id, round(score, 6) AS score, rank FROM h")
+def bm25_passages_restricted(spark, sf):
+    within = retrieval.bm25(_queries(spark, sf), _doc_items(spark, sf), 5).select("query_id", F.col("item_id").alias("document_id"))
+    return retrieval.bm25(_queries(spark, sf), _passages(spark, sf), 10, within=within).withColumn("score", F.round("score", 6))
+
+
+@query(f"""WITH {TWO}, j AS (SELECT h.query_id, h.item_id, h.score AS ps, d.score AS ds FROM h JOIN ({PASSAGES}) p USING (item_id) JOIN d ON d.query_id = h.query_id AND d.item_id = p.document_id),
+    n AS (SELECT *, min(ps) OVER w AS pl, max(ps) OVER w AS ph, min(ds) OVER w AS dl, max(ds) OVER w AS dh FROM j WINDOW w AS (PARTITION BY query_id)),
+    f AS (SELECT query_id, item_id, round(0.7 * CASE WHEN pl = ph THEN 1.0 ELSE (ps - pl) / (ph - pl) END + 0.3 * CASE WHEN dl = dh THEN 1.0 ELSE (ds - dl) / (dh - dl) END, 9) AS score FROM n),
+    r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, item_id)::int AS rank FROM f) SELECT query_id, item_id, round(score, 6) AS score, rank FROM r WHERE rank <= 5""")
+def weighted_two_stage(spark, sf):
+    out = retrieval.two_stage(_queries(spark, sf), _doc_items(spark, sf), _passages(spark, sf), 5, 10, 5, 0.3)
+    return out.select("query_id", "item_id", F.round("score", 6).alias("score"), "rank")
+
+
+def _hits(spark, sf, k: int = 10) -> DataFrame:
+    chunks = chunking.fixed(docs(spark, sf), 256)
+    h = retrieval.bm25(_queries(spark, sf), chunks.select(F.col("chunk_id").alias("item_id"), "text"), k)
+    c = chunks.select("chunk_id", "doc_id", "token_count", F.array_distinct(T.lexical_tokens(F.col("text"))).alias("tokens"))
+    return h.withColumnRenamed("item_id", "chunk_id").join(c, "chunk_id")
+
+
+HITS = f"{bm25_sql('SELECT chunk_id AS item_id, text FROM (' + fixed_sql(256) + ')', 10, 'b')}, hits AS (SELECT query_id, chunk_id, rank, doc_id, token_count, list_distinct({LEX}) AS tokens FROM b JOIN ({fixed_sql(256)}) c ON b.item_id = c.chunk_id)"
+
+
+@query(f"WITH {HITS}, u AS (SELECT query_id, chunk_id, rank, token_count, sum(token_count) OVER (PARTITION BY query_id ORDER BY rank) AS used FROM hits) SELECT query_id, chunk_id, rank, used::bigint AS used FROM u WHERE used <= 1024")
+def token_budget_strict(spark, sf):
+    return evaluation.within_budget(_hits(spark, sf), 1024, True).select("query_id", "chunk_id", "rank", "used")
+
+
+@query(f"WITH {HITS}, u AS (SELECT query_id, chunk_id, rank, token_count, sum(token_count) OVER (PARTITION BY query_id ORDER BY rank) AS used FROM hits) SELECT query_id, chunk_id, rank, used::bigint AS used FROM u WHERE used - token_count < 1024")
+def token_budget_relaxed(spark, sf):
+    return evaluation.within_budget(_hits(spark, sf), 1024, False).select("query_id", "chunk_id", "rank", "used")
+
+
+def _red_sql(k: int) -> str:
+    return f"(SELECT round(coalesce(avg(coalesce(j, 0)), 0), 6) FROM (SELECT DISTINCT query_id FROM hits WHERE rank <= {k}) LEFT JOIN (SELECT a.query_id, avg(CASE WHEN len(list_distinct(list_concat(a.tokens, b.tokens))) = 0 THEN 0.0 ELSE len(list_intersect(a.tokens, b.tokens)) / len(list_distinct(list_concat(a.tokens, b.tokens))) END) AS j FROM hits a JOIN hits b ON a.query_id = b.query_id AND a.rank < b.rank AND b.rank <= {k} GROUP BY 1) USING (query_id))"
+
+
+@query(f"WITH {HITS} SELECT 3 AS k, {_red_sql(3)} AS redundancy UNION ALL SELECT 5, {_red_sql(5)} UNION ALL SELECT 10, {_red_sql(10)}")
+def redundancy_at_k(spark, sf):
+    h = _hits(spark, sf)
+    parts = [evaluation.redundancy(h.where(F.col("rank") <= k)).select(F.lit(k).alias("k"), F.round("redundancy", 6).alias("redundancy")) for k in (3, 5, 10)]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+def _metrics_sql() -> str:
+    cols = []
+    for k in (3, 5, 10):
+        cols += [f"round(avg((coalesce(full{k}, 0) > 0)::int), 6) AS hit_{k}", f"round(avg(CASE WHEN first <= {k} THEN 1.0 / first ELSE 0 END), 6) AS mrr_{k}", f"round(avg(coalesce(full{k} / n_ev, 0)), 6) AS evidence_recall_macro_{k}", f"round(coalesce(sum(full{k}) / sum(n_ev), 0), 6) AS evidence_recall_micro_{k}", f"round(avg(coalesce(d{k} / n_rel, 0)), 6) AS document_recall_{k}", f"round(avg(coalesce(cov{k} / tokens, 0)), 6) AS evidence_coverage_{k}", f"{_red_sql(k)} AS redundancy_{k}"]
+    cols += ["round(avg(coalesce(fullb / n_ev, 0)), 6) AS evidence_recall_macro_budget", "round(avg(coalesce(covb / tokens, 0)), 6) AS evidence_coverage_budget"]
+    tests = {"3": "r <= 3", "5": "r <= 5", "10": "r <= 10", "b": "fits"}
+    return f"""WITH {EVIDENCE}, {COVER}, {HITS},
+    fit AS (SELECT query_id, chunk_id, sum(token_count) OVER (PARTITION BY query_id ORDER BY rank) <= 2048 AS fits FROM hits),
+    found AS (SELECT hits.query_id, evidence_id, ev_count, rank, fits, covered FROM hits JOIN cov USING (query_id, chunk_id) JOIN fit USING (query_id, chunk_id)),
+    tok AS (SELECT query_id, evidence_id, t, min(rank) AS r, bool_or(fits) AS fits FROM (SELECT query_id, evidence_id, rank, fits, unnest(covered) AS t FROM found) GROUP BY ALL),
+    pe AS (SELECT query_id, evidence_id, {', '.join(f'count(*) FILTER ({x}) AS c{k}' for k, x in tests.items())} FROM tok GROUP BY ALL),
+    pq AS (SELECT query_id, count(*) AS n_ev, sum(ev_count) AS tokens, {', '.join(f'count(*) FILTER (coalesce(c{k}, 0) >= ev_count) AS full{k}, sum(coalesce(c{k}, 0)) AS cov{k}' for k in tests)} FROM ev LEFT JOIN pe USING (query_id, evidence_id) GROUP BY query_id),
+    one AS (SELECT query_id, min(rank) AS first FROM found WHERE len(covered) >= ev_count GROUP BY query_id),
+    dr AS (SELECT query_id, count(*) AS n_rel, {', '.join(f'count(*) FILTER (r <= {k}) AS d{k}' for k in (3, 5, 10))} FROM (SELECT DISTINCT query_id, doc_id FROM ev) LEFT JOIN (SELECT query_id, doc_id, min(rank) AS r FROM hits GROUP BY ALL) USING (query_id, doc_id) GROUP BY query_id)
+    SELECT {', '.join(cols)} FROM (SELECT item_id::varchar AS query_id FROM benchmark) LEFT JOIN pq USING (query_id) LEFT JOIN one USING (query_id) LEFT JOIN dr USING (query_id)"""
+
+
+@query(_metrics_sql())
+def metrics_23(spark, sf):
+    ev = _evidence(spark, sf)
+    cover = evaluation.coverage(ev, chunking.fixed(docs(spark, sf), 256))
+    return evaluation.metrics(_queries(spark, sf).select("query_id"), ev, ev.select("query_id", "doc_id"), _hits(spark, sf), cover)
+
+
+# --- vectors, fusion, graded metrics -----------------------------------------------------------
+def _vectors(spark, sf) -> DataFrame:
+    return read(spark, sf, "embeddings").select(F.col("vec_id").cast("string").alias("item_id"), F.col("embedding").alias("vector"), "label")
+
+
+EMB = """q AS (SELECT vec_id::varchar AS query_id, embedding AS v, label FROM embeddings WHERE vec_id % 20 = 0), i AS (SELECT vec_id::varchar AS item_id, embedding AS v, label FROM embeddings),
+    s AS (SELECT query_id, item_id, round(list_cosine_similarity(q.v::double[], i.v::double[]), 9) AS score FROM q, i WHERE query_id <> item_id),
+    cosine AS (SELECT query_id, item_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, item_id)::int AS rank FROM s QUALIFY rank <= 10)"""
+
+
+def _cosine(spark, sf) -> DataFrame:
+    v = _vectors(spark, sf)
+    return retrieval.cosine_top_k(v.where(F.col("item_id").cast("long") % 20 == 0).select(F.col("item_id").alias("query_id"), "vector"), v, 10, True)
+
+
+@query(f"WITH {EMB} SELECT query_id, item_id, round(score, 6) AS score, rank FROM cosine")
+def cosine_embeddings_top10(spark, sf):
+    return _cosine(spark, sf).withColumn("score", F.round("score", 6))
+
+
+@query(f"""WITH {EMB}, qr AS (SELECT query_id, item_id FROM q JOIN i ON q.label = i.label AND query_id <> item_id), n AS (SELECT query_id, count(*) AS n FROM qr GROUP BY 1),
+    g AS (SELECT query_id, sum(1 / log2(rank + 1)) AS dcg, count(*) AS got FROM cosine JOIN qr USING (query_id, item_id) GROUP BY 1)
+    SELECT query_id, round(coalesce(dcg, 0) / (SELECT sum(1 / log2(x + 1)) FROM unnest(generate_series(1, least(10, n))) AS u(x)), 6) AS ndcg, round(coalesce(got, 0) / n, 6) AS recall FROM n LEFT JOIN g USING (query_id)""")
+def label_ndcg_recall(spark, sf):
+    v = _vectors(spark, sf)
+    q = retrieval.small(v.where(F.col("item_id").cast("long") % 20 == 0).select(F.col("item_id").alias("query_id"), "label"))
+    qrels = v.select("item_id", "label").join(q, "label").where("query_id <> item_id").select("query_id", "item_id", F.lit(1.0).alias("relevance"))
+    return evaluation.graded(qrels, _cosine(spark, sf), 10)
+
+
+FUSE = f"""WITH {bm25_sql(DOC_ITEMS, 10, 'sp')},
+    bt AS (SELECT item_id::varchar AS query_id, list_distinct({TERMS}) AS ts FROM benchmark), dd AS (SELECT doc_id::varchar AS item_id, list_distinct({TERMS}) AS ts FROM documents),
+    cc AS (SELECT query_id, item_id, qn, dn, count(*) AS c FROM (SELECT query_id, len(ts) AS qn, unnest(ts) AS t FROM bt) JOIN (SELECT item_id, len(ts) AS dn, unnest(ts) AS t FROM dd) USING (t) GROUP BY ALL),
+    de AS (SELECT query_id, item_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, item_id)::int AS rank FROM (SELECT query_id, item_id, round(c / sqrt(greatest(qn, 1) * greatest(dn, 1)), 9) AS score FROM cc) QUALIFY rank <= 10)"""
+
+
+def _dense(spark, sf, k: int = 10) -> DataFrame:
+    """Cosine of binary term vectors, by a join on shared terms: a dense stand-in that SQL can follow."""
+    q = _queries(spark, sf).select("query_id", F.array_distinct(T.terms(F.col("text"))).alias("ts"))
+    d = _doc_items(spark, sf).select("item_id", F.array_distinct(T.terms(F.col("text"))).alias("ts"))
+    qt = retrieval.small(q.select("query_id", F.size("ts").alias("qn"), F.explode("ts").alias("t")))
+    dt = d.select("item_id", F.size("ts").alias("dn"), F.explode("ts").alias("t"))
+    s = dt.join(qt, "t").groupBy("query_id", "item_id", "qn", "dn").agg(F.count("*").alias("c"))
+    return retrieval.ranked(s.select("query_id", "item_id", F.round(F.col("c") / F.sqrt(F.greatest(F.col("qn"), F.lit(1)) * F.greatest(F.col("dn"), F.lit(1))), 9).alias("score")), k)
+
+
+@query(FUSE + """, f AS (SELECT query_id, item_id, sp.rank AS sparse_rank, de.rank AS dense_rank, round(coalesce(1 / (60 + sp.rank), 0) + coalesce(1 / (60 + de.rank), 0), 9) AS score FROM sp FULL JOIN de USING (query_id, item_id))
+    SELECT query_id, item_id, sparse_rank, dense_rank, round(score, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, item_id)::int AS rank FROM f QUALIFY rank <= 10""")
+def rrf_fusion(spark, sf):
+    out = retrieval.reciprocal_rank(retrieval.bm25(_queries(spark, sf), _doc_items(spark, sf), 10), _dense(spark, sf), 10)
+    return out.select("query_id", "item_id", "sparse_rank", "dense_rank", F.round("score", 6).alias("score"), "rank")
+
+
+@query(FUSE + """, u AS (SELECT query_id, item_id, 0 AS s, rank AS r, score FROM sp WHERE rank <= 4 UNION ALL SELECT query_id, item_id, 1, rank, score FROM de WHERE rank <= 3),
+    f AS (SELECT query_id, item_id, max(CASE WHEN s = 0 THEN r END) AS sparse_rank, max(CASE WHEN s = 1 THEN r END) AS dense_rank, arg_min(score, s) AS score, min(s * 1000 + r) AS o FROM u GROUP BY ALL)
+    SELECT query_id, item_id, sparse_rank, dense_rank, round(score, 6) AS score, CASE WHEN sparse_rank IS NOT NULL AND dense_rank IS NOT NULL THEN 'sparse+dense' WHEN sparse_rank IS NOT NULL THEN 'sparse' ELSE 'dense' END AS source_method, row_number() OVER (PARTITION BY query_id ORDER BY o)::int AS rank FROM f""")
+def interleave_fusion(spark, sf):
+    out = retrieval.interleave(retrieval.bm25(_queries(spark, sf), _doc_items(spark, sf), 10), _dense(spark, sf), 7)
+    return out.withColumn("score", F.round("score", 6))
+
+
+@query(f"WITH {EVIDENCE}, ch AS ({fixed_sql(256)}) SELECT DISTINCT query_id, doc_id::varchar AS document_id, 1.0::double AS relevance FROM ev JOIN ch USING (doc_id)")
+def document_qrels(spark, sf):
+    p = _passages(spark, sf)
+    ev = _evidence(spark, sf).select("query_id", F.col("doc_id").cast("string").alias("document_id"))
+    qrels = ev.join(p, "document_id").select("query_id", "item_id", F.lit(1.0).alias("relevance")).distinct()
+    return evaluation.document_qrels(qrels, p)
+
+
+SURVIVE = f"WITH {EVIDENCE}, {bm25_sql(DOC_ITEMS, 3, 'h')}, sv AS (SELECT query_id, round(avg((h.item_id IS NOT NULL)::int), 6) AS candidate_survival_rate FROM (SELECT DISTINCT query_id, doc_id::varchar AS item_id FROM ev) e LEFT JOIN h USING (query_id, item_id) GROUP BY query_id)"
+
+
+def _survival(spark, sf) -> DataFrame:
+    qrels = _evidence(spark, sf).select("query_id", F.col("doc_id").cast("string").alias("document_id"), F.lit(1.0).alias("relevance"))
+    return evaluation.survival(qrels, retrieval.bm25(_queries(spark, sf), _doc_items(spark, sf), 3).select("query_id", F.col("item_id").alias("document_id")))
+
+
+@query(SURVIVE + " SELECT * FROM sv")
+def candidate_survival(spark, sf):
+    return _survival(spark, sf)
+
+
+@query(SURVIVE + """, m AS (SELECT query_id, candidate_survival_rate AS v, unnest(list_distinct(['overall', CASE WHEN query_id::int % 2 = 0 THEN 'CR' ELSE 'MT' END, CASE WHEN query_id::int % 3 = 0 THEN 'MHR' ELSE 'MT' END])) AS category FROM sv)
+    SELECT c.category, count(v)::bigint AS n, round(avg(v), 6) AS mean FROM (SELECT unnest(['overall', 'CR', 'MT', 'MHR', 'AC']) AS category) c LEFT JOIN m ON c.category = m.category GROUP BY c.category""")
+def category_breakdown(spark, sf):
+    q = _queries(spark, sf)
+    n = F.col("query_id").cast("int")
+    meta = q.select("query_id", F.concat(F.when(n % 2 == 0, "cr").otherwise("MT"), F.lit(", "), F.when(n % 3 == 0, "MHR").otherwise("MT")).alias("question_type"))
+    return evaluation.by_category(_survival(spark, sf), meta, "candidate_survival_rate")
+
+
+# --- semantic, perplexity and summary chunks ---------------------------------------------------
+HASHED = f"""{SEGMENTS}, tk AS (SELECT doc_id, pos, unnest({LEX}) AS t FROM seg), vec AS (SELECT doc_id, pos, {BUCKET.format(dim=256)} AS b, count(*) AS c FROM tk GROUP BY ALL), nrm AS (SELECT doc_id, pos, sqrt(sum(c * c)) AS norm FROM vec GROUP BY ALL)"""
+ADJ = HASHED + """, dt AS (SELECT a.doc_id, a.pos, sum(a.c * b.c) AS dot FROM vec a JOIN vec b ON a.doc_id = b.doc_id AND a.pos + 1 = b.pos AND a.b = b.b GROUP BY ALL),
+    adj AS (SELECT s.doc_id, s.pos, round(CASE WHEN n1.norm IS NULL OR n2.norm IS NULL THEN 1.0 ELSE 1 - coalesce(dot, 0) / (n1.norm * n2.norm) END, 9) AS distance FROM seg s JOIN seg s2 ON s.doc_id = s2.doc_id AND s.pos + 1 = s2.pos
+      LEFT JOIN nrm n1 ON n1.doc_id = s.doc_id AND n1.pos = s.pos LEFT JOIN nrm n2 ON n2.doc_id = s.doc_id AND n2.pos = s.pos + 1 LEFT JOIN dt ON dt.doc_id = s.doc_id AND dt.pos = s.pos),
+    th AS (SELECT doc_id, round(quantile_cont(distance, 0.9), 9) AS threshold FROM adj GROUP BY 1)"""
+
+
+@query(f"WITH {ADJ} SELECT doc_id, pos, round(distance, 6) AS distance FROM adj")
+def adjacent_distances(spark, sf):
+    return chunking.adjacent_distances(docs(spark, sf)).withColumn("distance", F.round("distance", 6))
+
+
+@query(f"WITH {ADJ}, marked AS (SELECT seg.*, coalesce(distance > threshold, false) AS cut FROM seg LEFT JOIN adj USING (doc_id, pos) LEFT JOIN th USING (doc_id)), " + MERGED.format(m="semantic").replace("string_agg(text, ' ' ORDER BY pos) AS text", "md5(string_agg(text, ' ' ORDER BY pos)) AS text_md5"))
+def semantic_breakpoint(spark, sf):
+    return _short(chunking.semantic_breakpoint(docs(spark, sf)))
+
+
+NOVEL = f"""{SEGMENTS}, wd AS (SELECT DISTINCT doc_id, pos, t FROM (SELECT doc_id, pos, unnest({LEX}) AS t FROM seg)), fs AS (SELECT doc_id, pos, min(pos) OVER (PARTITION BY doc_id, t) AS f FROM wd),
+    sc AS (SELECT doc_id, pos, round(CASE WHEN pos = 0 THEN 0.0 ELSE coalesce(v, 0) END, 9) AS score, text, token_count FROM seg LEFT JOIN (SELECT doc_id, pos, avg((f = pos)::int) AS v FROM fs GROUP BY ALL) USING (doc_id, pos)),
+    lm AS (SELECT *, lag(score) OVER w AS a, lead(score) OVER w AS c FROM sc WINDOW w AS (PARTITION BY doc_id ORDER BY pos)),
+    marked AS (SELECT doc_id, pos, text, token_count, score, coalesce(score < a AND score <= c AND greatest(a - score, c - score) >= 0.1 - 1e-12, false) AS cut FROM lm)"""
+
+
+@query(f"WITH {NOVEL} SELECT doc_id, pos, round(score, 6) AS score, cut FROM marked")
+def local_minima(spark, sf):
+    return chunking.local_minima(chunking.novelty(docs(spark, sf)), 0.1).select("doc_id", "pos", F.round("score", 6).alias("score"), "cut")
+
+
+@query(f"WITH {NOVEL}, " + MERGED.format(m="ppl").replace("string_agg(text, ' ' ORDER BY pos) AS text", "md5(string_agg(text, ' ' ORDER BY pos)) AS text_md5"))
+def perplexity_chunks(spark, sf):
+    return _short(chunking.perplexity_chunks(docs(spark, sf)))
+
+
+@query(rf"""WITH {SEGMENTS}, hd AS (SELECT doc_id, list_distinct(regexp_extract_all(lower(array_to_string(regexp_extract_all(text, '\s*\S+')[1:48], '')), '[\p{{L}}\p{{N}}_]+')) AS h FROM documents),
+    sm AS (SELECT doc_id, pos, text, token_count, round(CASE WHEN len(o) = 0 OR len(h) = 0 THEN 0.0 ELSE len(list_intersect(o, h)) / sqrt(len(o) * len(h)) END, 9) AS similarity FROM (SELECT *, list_distinct({LEX}) AS o FROM seg) JOIN hd USING (doc_id)),
+    ab AS (SELECT *, similarity >= round(avg(similarity) OVER (PARTITION BY doc_id), 9) AS above FROM sm),
+    marked AS (SELECT *, coalesce(above <> lead(above) OVER (PARTITION BY doc_id ORDER BY pos), false) AS cut FROM ab), """ + MERGED.format(m="pic").replace("string_agg(text, ' ' ORDER BY pos) AS text", "md5(string_agg(text, ' ' ORDER BY pos)) AS text_md5"))
+def pic_islands(spark, sf):
+    return _short(chunking.pic_chunks(docs(spark, sf)))
+
+
+@query()
+def pairwise_distance(spark, sf):
+    return chunking.pairwise_distance(docs(spark, sf))
+
+
+@query()
+def single_linkage(spark, sf):
+    return chunking.single_linkage(docs(spark, sf))
+
+
+@query()
+def hash_embed_blake2b(spark, sf):
+    return vectors.hashing(docs(spark, sf).select(F.col("doc_id").cast("string").alias("item_id"), "text"), 256)
+
+
+@query()
+def late_pooling_blake2b(spark, sf):
+    return vectors.late_pooling(docs(spark, sf), 256, 256)
+
+
+# --- diagnostics, matrix, relational -----------------------------------------------------------
+@query(f"""WITH {EVIDENCE} SELECT (SELECT count(*) FROM documents)::bigint AS documents, (SELECT count(*) FROM benchmark)::bigint AS queries, (SELECT count(*) FROM ev)::bigint AS evidence, (SELECT count(*) FROM benchmark WHERE item_id::varchar NOT IN (SELECT query_id FROM ev))::bigint AS unmapped_queries,
+    (SELECT round(count(DISTINCT query_id) / (SELECT count(*) FROM benchmark), 6) FROM ev) AS mapping_rate, (SELECT count(*) - count(DISTINCT doc_id) FROM documents)::bigint AS duplicate_document_ids, (SELECT count(*) FROM documents WHERE trim(text) = '' OR text IS NULL)::bigint AS blank_documents""")
+def dataset_diagnostics(spark, sf):
+    ev, d, q = _evidence(spark, sf), docs(spark, sf), _queries(spark, sf)
+    a = d.agg(F.count("*").alias("documents"), (F.count("*") - F.count_distinct("doc_id")).alias("duplicate_document_ids"), F.count_if(F.trim(T.text_of()) == "").alias("blank_documents"))
+    b = q.agg(F.count("*").alias("queries"))
+    c = ev.agg(F.count("*").alias("evidence"), F.count_distinct("query_id").alias("mapped"))
+    return a.crossJoin(b).crossJoin(c).select("documents", "queries", "evidence", (F.col("queries") - F.col("mapped")).alias("unmapped_queries"), F.round(F.when(F.col("queries") > 0, F.col("mapped") / F.col("queries")).otherwise(1.0), 6).alias("mapping_rate"), "duplicate_document_ids", "blank_documents")  # one row each
+
+
+@query(f"WITH c AS ({fixed_sql(256)}) SELECT (SELECT count(*) FROM documents)::bigint AS documents, (SELECT count(*) FROM c)::bigint AS passages, (SELECT count(*) FROM benchmark)::bigint AS queries, (SELECT array_to_string(list_sort(list(DISTINCT lang)), ',') FROM documents) AS splits, (SELECT round(count(*) FILTER (source IS NULL OR trim(source) = '' OR length(source) > 300) / count(*), 6) FROM documents) AS noisy_title_rate, (SELECT round(count(*) / count(DISTINCT doc_id), 6) FROM c) AS passages_per_document")
+def dataset_audit(spark, sf):
+    full = read(spark, sf, "documents")
+    title = F.col("source")
+    a = full.agg(F.count("*").alias("documents"), F.array_join(F.sort_array(F.collect_set("lang")), ",").alias("splits"), F.round(F.avg((title.isNull() | (F.trim(title) == "") | (F.length(title) > 300)).cast("double")), 6).alias("noisy_title_rate"))
+    c = chunking.fixed(docs(spark, sf), 256).agg(F.count("*").alias("passages"), F.round(F.count("*") / F.count_distinct("doc_id"), 6).alias("passages_per_document"))
+    q = read(spark, sf, "benchmark").agg(F.count("*").alias("queries"))
+    return a.crossJoin(c).crossJoin(q)  # one row each
+
+
+RUNS = "runs AS (SELECT lang AS dataset, 'method' || (doc_id % 4) AS method, CASE WHEN count(*) % 2 = 0 THEN 'completed' ELSE 'failed' END AS status, round(avg(n_chars), 6) AS score FROM documents WHERE doc_id % 7 <> 0 AND NOT (lang = 'fr' AND doc_id % 4 = 1) GROUP BY ALL)"
+
+
+def _runs(spark, sf) -> DataFrame:
+    """A results table in small: dataset, method, status, score."""
+    d = read(spark, sf, "documents").where("doc_id % 7 <> 0 AND NOT (lang = 'fr' AND doc_id % 4 = 1)")
+    return d.groupBy(F.col("lang").alias("dataset"), F.concat(F.lit("method"), (F.col("doc_id") % 4).cast("string")).alias("method")).agg(F.when(F.count("*") % 2 == 0, "completed").otherwise("failed").alias("status"), F.round(F.avg("n_chars"), 6).alias("score"))
+
+
+@query(f"WITH {RUNS}, m AS (SELECT DISTINCT method FROM runs), d AS (SELECT DISTINCT dataset FROM runs) SELECT dataset, method, coalesce(status, 'not_run') AS status FROM d CROSS JOIN m LEFT JOIN runs USING (dataset, method)")
+def matrix_not_run(spark, sf):
+    r = _runs(spark, sf)
+    expected = r.select("dataset").distinct().crossJoin(F.broadcast(r.select("method").distinct()))  # configured names only
+    missing = expected.join(r, ["dataset", "method"], "left_anti").withColumn("status", F.lit("not_run"))
+    return r.select("dataset", "method", "status").unionByName(missing)
+
+
+@query(f"WITH {RUNS} SELECT dataset, {', '.join(f'''max(status) FILTER (method = 'method{i}') AS method{i}''' for i in range(4))} FROM runs GROUP BY dataset")
+def pivot_status(spark, sf):
+    return _runs(spark, sf).groupBy("dataset").pivot("method", [f"method{i}" for i in range(4)]).agg(F.first("status"))
+
+
+@query(f"WITH {RUNS} SELECT method, count(DISTINCT dataset)::bigint AS datasets, round(avg(score), 6) AS mean_score, row_number() OVER (ORDER BY avg(score) DESC, method)::int AS place FROM runs GROUP BY method HAVING count(DISTINCT dataset) = (SELECT count(DISTINCT dataset) FROM runs)")
+def method_ranking(spark, sf):
+    r = _runs(spark, sf)
+    all_sets = r.agg(F.count_distinct("dataset").alias("all_sets"))
+    m = r.groupBy("method").agg(F.count_distinct("dataset").alias("datasets"), F.round(F.avg("score"), 6).alias("mean_score")).crossJoin(F.broadcast(all_sets)).where("datasets = all_sets")
+    return m.withColumn("place", F.row_number().over(W.orderBy(F.desc("mean_score"), "method"))).drop("all_sets")  # one row per method
+
+
+@query("SELECT l_returnflag, l_linestatus, round(sum(l_quantity), 2) AS sum_qty, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue, count(*)::bigint AS n FROM lineitem WHERE l_shipdate <= TIMESTAMP '1998-09-02' GROUP BY ALL")
+def pricing_summary(spark, sf):
+    li = read(spark, sf, "lineitem").where(F.col("l_shipdate") <= F.lit("1998-09-02").cast("timestamp"))
+    return li.groupBy("l_returnflag", "l_linestatus").agg(F.round(F.sum("l_quantity"), 2).alias("sum_qty"), F.round(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))), 2).alias("revenue"), F.count("*").alias("n"))
+
+
+@query("SELECT time_bucket(INTERVAL 1 hour, ts) AS window_start, event_type, count(*)::bigint AS n FROM events GROUP BY ALL")
+def streamed_event_counts(spark, sf):
+    return stream.windowed_counts(spark, sf)
