@@ -9,11 +9,11 @@ position in that order.
   common line) needs 7 or more equal neighbours in the order, not one shingle. Sizes fall in
   groups of ratio 10/9; a set enters the lists of its own and of the next smaller group. A block
   empty in both sets counts as equal too; sets with two or more empty blocks list those.
-* Answers from similar sets: equal sets share one answer (a class). In each list the first set,
-  the smallest, is the hub. A set is verified exactly against the hub it shares most lists with;
-  if they link, it takes over the hub's component, and pairs with sets of that component are
-  skipped. Only pairs from lists that still hold several components are verified on their own, but
-  those that the triangle inequality over a common hub's exact distances rules out.
+* Answers from similar sets: equal sets share one answer (a class). In each list the set with the
+  most list neighbours overall is the hub. A set is verified exactly against the hub it shares most
+  lists with; if they link, it takes over the hub's component, and pairs with sets of that component
+  are skipped. Only pairs from lists that still hold several components are verified on their own, but
+  those that the parity sketches of the two sets rule out.
 
 The result is the components of all links; every link either lies within one or is verified.
 Sets are named by 64-bit sums of their shingles' names, and verified on 48 bits of each name.
@@ -185,24 +185,46 @@ def _unpacked(data: bytes) -> np.ndarray:
     return out.view(">u8").astype(np.uint64).ravel()
 
 
-def wanted_sets(n: int) -> Callable:
-    """Rows of (doc_id, text, sig): the set of each text whose name is the wanted sig."""
+#: Bits of the table of wanted documents that every task gets: a fixed size, whatever the input.
+TABLE_BITS = 1 << 25
+
+
+def wanted_table(want: DataFrame) -> np.ndarray:
+    """A bit table of the hashes of wanted doc_ids; it also holds some others, the join behind it drops them."""
+    bit = F.pmod(F.xxhash64("rep"), F.lit(TABLE_BITS))
+    rows = want.select(F.shiftright(bit, 6).alias("word"), F.expr(f"shiftleft(1L, cast(pmod(xxhash64(rep), {TABLE_BITS}) % 64 as int))").alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits")).toPandas()  # at most TABLE_BITS / 64 rows
+    table = np.zeros(TABLE_BITS // 64, np.uint64)
+    table[rows["word"].to_numpy(np.int64)] = rows["bits"].to_numpy(np.int64).view(np.uint64)
+    return table
+
+
+def wanted_sets(n: int, sent) -> Callable:
+    """Rows of (doc_id, text, slot) to the sets of the texts whose slot is in the table."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = sent.value
         for batch in batches:
-            want, done = batch.column(2).to_numpy(), 0
-            for ids, buf, offs in chunks(batch):
+            slot = batch.column(2).to_numpy()
+            hit = (table[slot >> 6] >> (slot & 63).astype(np.uint64)) & U(1)
+            for ids, buf, offs in chunks(batch.filter(pa.array(hit.astype(bool)))):
                 name, _, at = shingles(buf, offs, n)
-                sig = _sigs(name, at)
-                rows = np.flatnonzero(sig == want[done : done + len(ids)])
-                done += len(ids)
-                yield pa.RecordBatch.from_arrays([pa.array(sig[rows]), pa.array([_packed(name[at[i] : at[i + 1]]) for i in rows], pa.binary())], names=["sig", "items"])
+                items = pa.array([_packed(name[at[i] : at[i + 1]]) for i in range(len(ids))], pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(_sigs(name, at)), items], names=["doc", "sig", "items"])
 
     return read
 
 
+SKETCH_BITS = 1024
+
+
+def sketch(name: np.ndarray) -> bytes:
+    """Parities of a set's shingles over ``SKETCH_BITS`` places: two sets' sketches differ in at most as many places as the sets in shingles."""
+    odd = np.bincount((mix(name) >> U(54)).astype(np.int64), minlength=SKETCH_BITS) & 1
+    return np.packbits(odd.astype(np.uint8)).tobytes()
+
+
 def intersect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by a, salt, own first: (a, b, items); the common shingles of a and each b."""
+    """Rows sorted by a, salt, own first: (a, salt, b, items); the common shingles of a and each b, and of a and itself."""
     at, mine = None, None
     for batch in batches:
         out = []
@@ -210,13 +232,15 @@ def intersect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             theirs = _unpacked(items.as_buffer())
             if b is None:
                 at, mine = (a, salt), theirs
+                if salt == 0:
+                    out.append((a, a, len(mine), len(mine), len(mine), sketch(mine)))
             elif at == (a, salt):
                 both = np.concatenate([mine, theirs])
                 both.sort(kind="stable")
                 common = int(np.count_nonzero(both[1:] == both[:-1]))
-                out.append((a, b, common, len(mine), len(theirs)))
-        cols = list(zip(*out, strict=True)) or [()] * 5
-        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["a", "b", "common", "a_size", "b_size"])
+                out.append((a, b, common, len(mine), len(theirs), sketch(theirs)))
+        cols = list(zip(*out, strict=True)) or [()] * 6
+        yield pa.RecordBatch.from_arrays([*[pa.array(c, pa.int64()) for c in cols[:5]], pa.array(cols[5], pa.binary())], names=["a", "b", "common", "a_size", "b_size", "sketch"])
 
 
 SALT_ROWS = 2000
@@ -227,35 +251,48 @@ def verify(base: DataFrame, classes: DataFrame, pairs: DataFrame, n: int) -> Dat
     degree = pairs.groupBy("a").agg(F.count("*").alias("degree"))
     salts = degree.select("a", F.ceil(F.col("degree") / SALT_ROWS).cast("int").alias("salts"))
     want = settle(pairs.select(F.col("a").alias("sig")).unionByName(pairs.select(F.col("b").alias("sig"))).distinct().join(classes, "sig").select("sig", F.col("doc").alias("rep")))
-    texts = base.join(want, F.coalesce("doc_id", F.lit(NULL_ID)) == F.col("rep")).select("doc_id", "text", "sig")
+    sent = pairs.sparkSession.sparkContext.broadcast(wanted_table(want))
+    slot = F.pmod(F.xxhash64(F.coalesce("doc_id", F.lit(NULL_ID))), F.lit(TABLE_BITS))
+    found = base.select("doc_id", "text", slot.alias("slot")).mapInArrow(wanted_sets(n, sent), "doc long, sig long, items binary")
     # rows that share a doc_id and text give their set once
-    sets = settle(texts.mapInArrow(wanted_sets(n), "sig long, items binary")).dropDuplicates(["sig"])
+    sets = settle(found.join(want.withColumnRenamed("sig", "w_sig"), (F.col("sig") == F.col("w_sig")) & (F.col("doc") == F.col("rep")), "left_semi").select("sig", "items")).dropDuplicates(["sig"])
     partners = pairs.join(salts, "a").join(sets, pairs.b == sets.sig).select("a", F.pmod(F.xxhash64("b"), F.col("salts")).cast("int").alias("salt"), "b", "items")
     own = salts.join(sets, salts.a == sets.sig).select("a", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(None).cast("long").alias("b"), "items")
     dealt = partners.unionByName(own).repartition(n_partitions(pairs.sparkSession), "a", "salt").sortWithinPartitions("a", "salt", F.col("b").asc_nulls_first())
-    return dealt.mapInArrow(intersect, "a long, b long, common long, a_size long, b_size long")
+    return dealt.mapInArrow(intersect, "a long, b long, common long, a_size long, b_size long, sketch binary")
 
 
 LINKED = "100 * common >= 90 * (a_size + b_size - common)"
 
 
 def cross_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of entries sorted by list, size: (list, size, sig, comp, hub, dist): pairs across components that may link.
+    """Of entries sorted by list, size: (list, size, sig, comp, sketch): pairs across components that may link.
 
-    A list is walked once; a set meets only sets before it whose size is near enough."""
-    key, kept = None, []
+    A list is walked once; a set meets the sets before it whose size is near enough and whose sketch
+    differs in no more places than linked sets may differ in shingles. Sets without a sketch meet all."""
+    key, sizes, sigs, comps, bits, bare = None, [], [], [], [], []
     for batch in batches:
-        cols = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(6)]
         out_a, out_b = [], []
-        for k, size, sig, comp, hub, dist in zip(*[c.tolist() for c in cols], strict=True):
+        cols = [batch.column(i).to_pylist() for i in range(5)]
+        for k, size, sig, comp, data in zip(*cols, strict=True):
             if k != key:
-                key, kept = k, []
-            kept = [x for x in kept if 10 * x[0] >= 9 * size] if kept and 10 * kept[0][0] < 9 * size else kept
-            for _, sig2, comp2, hub2, dist2 in kept:
-                if comp2 != comp and not (hub == hub2 and abs(dist - dist2) > 0.1 + 1e-9):
-                    out_a.append(min(sig, sig2))
-                    out_b.append(max(sig, sig2))
-            kept.append((size, sig, comp, hub, dist))
+                key, sizes, sigs, comps, bits, bare = k, [], [], [], [], []
+            mine = np.frombuffer(data or bytes(SKETCH_BITS // 8), np.uint64)
+            if sizes:
+                n = np.array(sizes)
+                ok = (10 * n >= 9 * size) & (np.array(comps) != comp)
+                at = np.flatnonzero(ok)
+                if len(at):
+                    apart = np.bitwise_count(np.stack([bits[i] for i in at]) ^ mine).sum(1)
+                    near = (apart <= (n[at] + size) // 19) | np.array([bare[i] for i in at]) | (data is None)
+                    for i in at[near].tolist():
+                        out_a.append(min(sig, sigs[i]))
+                        out_b.append(max(sig, sigs[i]))
+            sizes.append(size)
+            sigs.append(sig)
+            comps.append(comp)
+            bits.append(mine)
+            bare.append(data is None)
         yield pa.RecordBatch.from_arrays([pa.array(out_a, pa.int64()), pa.array(out_b, pa.int64())], names=["a", "b"])
 
 
@@ -268,20 +305,23 @@ def join(docs: DataFrame, n: int = N) -> DataFrame:
     classes = sets.where("n > 0").groupBy("sig").agg(F.min("doc").alias("doc"))
     lists = base.mapInArrow(listed(n), "list long, size long, sig long").repartition(parts, "list").sortWithinPartitions("list", "size", "sig")
     starred = settle(lists.mapInArrow(hubs, "list long, size long, sig long, hub long, hub_size long"))
-    # the hub that a set shares most lists with
-    near = starred.where("10 * hub_size >= 9 * size").groupBy("sig", "hub").agg(F.count("*").alias("shared"))
-    best = near.groupBy("sig").agg(F.max_by("hub", F.struct("shared", "hub")).alias("hub"))
-    tried = settle(verify(base, classes, best.select(F.col("hub").alias("a"), F.col("sig").alias("b")), n))
+    # entries of lists with several sets; a list's hub is its set with most list neighbours overall
+    entries = settle(starred.select("list", "size", "sig").unionByName(starred.select("list", F.col("hub_size").alias("size"), F.col("hub").alias("sig")).distinct()))
+    width = entries.groupBy("list").agg(F.count("*").alias("width"))
+    central = entries.join(width, "list").groupBy("sig").agg(F.sum("width").alias("central"))
+    middle = entries.join(central, "sig").groupBy("list").agg(F.max(F.struct("central", "sig", "size")).alias("m")).select("list", F.col("m.sig").alias("hub"), F.col("m.size").alias("hub_size"))
+    near = entries.join(middle, "list").where("sig <> hub AND 10 * hub_size >= 9 * size AND 10 * size >= 9 * hub_size")
+    # of those the one that a set shares most lists with
+    best = near.groupBy("sig", "hub").agg(F.count("*").alias("shared")).groupBy("sig").agg(F.max_by("hub", F.struct("shared", "hub")).alias("hub"))
+    pairs = best.select(F.least("hub", "sig").alias("lo"), F.greatest("hub", "sig").alias("hi"), F.col("hub").alias("a"), F.col("sig").alias("b")).dropDuplicates(["lo", "hi"]).select("a", "b")
+    tried = settle(verify(base, classes, pairs, n))
     links = tried.where(LINKED).select("a", "b")
     comps = connect(links)
     # lists that still hold several components
-    entries = starred.select("list", "size", "sig").unionByName(starred.select("list", F.col("hub_size").alias("size"), F.col("hub").alias("sig")).distinct())
-    dist = tried.select(F.col("b").alias("t_sig"), F.col("a").alias("hub"), (1 - F.col("common") / (F.col("a_size") + F.col("b_size") - F.col("common"))).alias("dist"))
+    sketches = tried.groupBy(F.col("b").alias("t_sig")).agg(F.first("sketch").alias("sketch"))
     placed = entries.join(comps, entries.sig == comps.node, "left").select("list", "size", "sig", F.coalesce("comp", "sig").alias("comp"))
     mixed_lists = placed.groupBy("list").agg((F.min("comp") < F.max("comp")).alias("several")).where("several").select("list")
-    open_rows = placed.join(mixed_lists, "list").join(dist, F.col("sig") == F.col("t_sig"), "left")
-    hub = F.coalesce("hub", "sig")
-    open_rows = open_rows.select("list", "size", "sig", "comp", hub.alias("hub"), F.coalesce("dist", F.lit(0.0)).alias("dist"))
+    open_rows = placed.join(mixed_lists, "list").join(sketches, F.col("sig") == F.col("t_sig"), "left").select("list", "size", "sig", "comp", "sketch")
     crossed = open_rows.repartition(parts, "list").sortWithinPartitions("list", "size", "sig").mapInArrow(cross_pairs, "a long, b long").distinct()
     done = tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     crossed = settle(crossed.join(done, ["a", "b"], "left_anti"))
