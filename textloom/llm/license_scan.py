@@ -51,7 +51,7 @@ TEMPLATES = [
     ("unlicense", "this is free and unencumbered software released into the public domain"),
     ("proprietary", "all rights reserved unauthorized copying of this file via any medium is strictly prohibited"),
 ]
-THRESHOLD = 0.9
+THRESHOLD = 0.95
 
 
 def _needs() -> list[tuple[int, str, list[str], int]]:

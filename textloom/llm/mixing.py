@@ -60,7 +60,8 @@ def fit(lengths: list[int], counts: list[int], budget: int) -> list[int]:
         return list(counts)
     if budget <= 0 or not total:
         return [0] * len(lengths)
-    taken = [c * budget // total for c in counts]
+    share = max(0, budget - 4 * max(lengths))  # room for the programme to fit the rest
+    taken = [c * share // total for c in counts]
     left = budget - sum(n * t for n, t in zip(lengths, taken, strict=True))
     order = sorted(range(len(lengths)), key=lambda i: -lengths[i])
     for i in order:

@@ -270,29 +270,24 @@ def cross_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     A list is walked once; a set meets the sets before it whose size is near enough and whose sketch
     differs in no more places than linked sets may differ in shingles. Sets without a sketch meet all."""
-    key, sizes, sigs, comps, bits, bare = None, [], [], [], [], []
+    key, held, m, bits = None, np.zeros((64, 4), np.int64), 0, np.zeros((64, SKETCH_BITS // 64), np.uint64)
     for batch in batches:
         out_a, out_b = [], []
         cols = [batch.column(i).to_pylist() for i in range(5)]
         for k, size, sig, comp, data in zip(*cols, strict=True):
             if k != key:
-                key, sizes, sigs, comps, bits, bare = k, [], [], [], [], []
+                key, m = k, 0
             mine = np.frombuffer(data or bytes(SKETCH_BITS // 8), np.uint64)
-            if sizes:
-                n = np.array(sizes)
-                ok = (10 * n >= 9 * size) & (np.array(comps) != comp)
-                at = np.flatnonzero(ok)
-                if len(at):
-                    apart = np.bitwise_count(np.stack([bits[i] for i in at]) ^ mine).sum(1)
-                    near = (apart <= (n[at] + size) // 19) | np.array([bare[i] for i in at]) | (data is None)
-                    for i in at[near].tolist():
-                        out_a.append(min(sig, sigs[i]))
-                        out_b.append(max(sig, sigs[i]))
-            sizes.append(size)
-            sigs.append(sig)
-            comps.append(comp)
-            bits.append(mine)
-            bare.append(data is None)
+            n, c = held[:m, 0], held[:m, 2]
+            at = np.flatnonzero((10 * n >= 9 * size) & (c != comp))
+            if len(at):
+                apart = np.bitwise_count(bits[at] ^ mine).sum(1)
+                near = at[(apart <= (n[at] + size) // 19) | (held[at, 3] == 1) | (data is None)]
+                out_a += np.minimum(held[near, 1], sig).tolist()
+                out_b += np.maximum(held[near, 1], sig).tolist()
+            if m == len(held):
+                held, bits = np.concatenate([held, np.zeros_like(held)]), np.concatenate([bits, np.zeros_like(bits)])
+            held[m], bits[m], m = (size, sig, comp, data is None), mine, m + 1
         yield pa.RecordBatch.from_arrays([pa.array(out_a, pa.int64()), pa.array(out_b, pa.int64())], names=["a", "b"])
 
 
