@@ -51,3 +51,10 @@ def late_pooling(docs: DataFrame, size: int, dim: int = 256) -> DataFrame:
     doc_bucket = whole.join(token_hashes(whole), "t").select("doc_id", F.pmod("low", F.lit(dim)).cast("int").alias("bucket"))
     ctx = chunks.select("doc_id", "chunk_order").join(doc_bucket, "doc_id").select("doc_id", "chunk_order", "bucket", F.lit(1.0).alias("w"))
     return own.unionByName(ctx).groupBy("doc_id", "chunk_order", "bucket").agg(F.round(F.sum("w"), 9).alias("weight"))
+
+
+def dense(items: DataFrame, dim: int = 256) -> DataFrame:
+    """Rows of ``hashing`` as one vector per item (item_id, vector); items without tokens have zeros."""
+    held = hashing(items, dim).groupBy("item_id").agg(F.map_from_entries(F.collect_list(F.struct("bucket", F.col("count").cast("double")))).alias("m"))
+    at = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0.0)))
+    return items.select("item_id").join(held, "item_id", "left").select("item_id", at.alias("vector"))

@@ -249,7 +249,7 @@ def single_linkage(docs: DataFrame, weight: float = 0.5, segments_per_cluster: i
         return pd.DataFrame({"doc_id": pdf["doc_id"].iloc[0], "chunk_order": range(len(groups)), "positions": groups, "text": ["\n".join(pdf["text"][i] for i in g) for g in groups], "token_count": [int(pdf["token_count"].iloc[g].sum()) for g in groups]})
 
     s = segments(docs).select("doc_id", "pos", "text", "token_count", F.transform(T.lexical_tokens(F.col("text")), lambda t: T.bucket(t, dim)).alias("buckets"))
-    return s.groupBy("doc_id").applyInPandas(cluster, "doc_id long, chunk_order int, positions array<int>, text string, token_count int")
+    return s.groupBy("doc_id").applyInPandas(cluster, f"doc_id {s.schema['doc_id'].dataType.simpleString()}, chunk_order int, positions array<int>, text string, token_count int")
 
 
 def late(docs: DataFrame, size: int, overlap: int = 0) -> DataFrame:
