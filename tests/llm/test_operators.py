@@ -6,6 +6,7 @@ import re
 
 import pytest
 
+import corpus_pipeline
 from textloom.llm import decontaminate, license_scan, mixing, ngram_join, quality_rules, secret_scan, substring_dedup, suffix_dedup, toxicity, quality_model
 
 VOCAB = [f"w{i}" for i in range(60)]
@@ -100,6 +101,33 @@ def got_ids(got):
     return [(int(i), n, c) for i, n, c in got if i != "None" and i == c]
 
 
+def test_ngram_join_thresholds(spark):
+    """Pairs about the threshold against brute force, and one that links at 5 words and 0.8 but not at 3 and 0.9."""
+    rng = random.Random(5)
+    texts = []
+    for k in (4, 5, 6, 9, 14, 20, 33, 60, 120, 250, 600):
+        for edits in range(6):
+            w = [f"v{rng.randrange(10**6)}" for _ in range(k)]
+            texts.append(w)
+            w = w.copy()
+            for x in rng.sample(range(k), min(k, round(edits * k * 0.008 + edits / 3))):
+                w[x] = f"e{rng.randrange(10**6)}"
+            texts.append(w)
+    w = [f"u{i}" for i in range(200)]
+    texts.append(w)
+    texts.append([f"x{i}" if i in (30, 70, 110, 150) else x for i, x in enumerate(w)])
+    rows = [(i, " ".join(w)) for i, w in enumerate(texts)]
+    for n, percent in ((5, 80), (3, 90), (4, 65)):
+        sets = [frozenset(tuple(w[i : i + n]) for i in range(max(1, len(w) - n + 1))) for w in texts]
+        want = {i: i for i in range(len(texts))}
+        for i in range(1, len(texts), 2):  # pairs share no word with other pairs
+            if 100 * len(sets[i] & sets[i - 1]) >= percent * len(sets[i] | sets[i - 1]):
+                want[i] = i - 1
+        assert {r["doc_id"]: r["component_id"] for r in ngram_join.join(frame(spark, rows), n, percent).collect()} == want
+    kept = {r["doc_id"] for r in corpus_pipeline.drop_near_copies(spark, frame(spark, rows[-2:]), "").collect()}
+    assert kept == {rows[-2][0]}
+
+
 def test_mixing(spark, docs):
     rows = mixing.mix(docs).collect()
     assert len(rows) == docs.count()

@@ -3,12 +3,14 @@
 Sets are kept sorted by the global order of their shingles' 64-bit names, and cut into blocks by
 position in that order.
 
-* Block skipping: two sets of sizes a and b that link differ in at most (a+b)/19 shingles, so of
-  one block more than that, one must be equal in both. Index lists are kept per block and content
+* Block skipping: two sets of sizes a and b that link at t per cent differ in at most
+  (a+b)(100-t)/(100+t) shingles, a 19th of a+b at 90 and a 9th at 80, so of one block more than
+  that, one must be equal in both. Index lists are kept per block and content
   of the block: all lists of a block but one are skipped at once, and a list shared by chance (a
-  common line) needs 7 or more equal neighbours in the order, not one shingle. Sizes fall in
-  groups of ratio 10/9; a set enters the lists of its own and of the next smaller group. A block
-  empty in both sets counts as equal too; sets with two or more empty blocks list those.
+  common line) needs several equal neighbours in the order (7 or more at 90, 3 or more at 80), not
+  one shingle. Sizes fall in groups of ratio 100/t; a set enters the lists of its own and of the next smaller group. Of a
+  set with more filled blocks than may differ a filled one must be equal; a block empty in both sets
+  counts as equal too, and other sets list their empty blocks.
 * Answers from similar sets: equal sets share one answer (a class). In each list the set with the
   most list neighbours overall is the hub. A set is verified exactly against the hub it shares most
   lists with; if they link, it takes over the hub's component, and pairs with sets of that component
@@ -18,14 +20,16 @@ position in that order.
 The result is the components of all links; every link either lies within one or is verified.
 Sets are named by 64-bit sums of their shingles' names, and verified on 48 bits of each name.
 
-Edge cases: null or empty texts have no shingles and link with nothing; texts of 1 or 2 words are
-one shingle; repeated rows are equal sets; null doc_ids come last, their component is null if no
+Edge cases: null or empty texts have no shingles and link with nothing; texts of fewer than n words
+are one shingle; repeated rows are equal sets; null doc_ids come last, their component is null if no
 other document is in it; other columns are ignored; empty tables give no rows.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -36,20 +40,24 @@ from .bytehash import U, chunks, mix, mixed, signed, words
 from .common import NULL_ID, documents, n_partitions, settle, text_of
 from .components import connect
 
-N = 3
+#: Fixed values of the op10 contract: words of a shingle, least Jaccard in per cent.
+N, PERCENT = 3, 90
 _A, _B, _C = (U(mixed(x) | 1) for x in (11, 12, 13))
 _EMPTY = U(mixed(14))
 
 
-def _bounds(most: int) -> np.ndarray:
+@cache
+def _bounds(percent: int, most: int = 1 << 40) -> np.ndarray:
     """Least sizes of the size groups: two linked sets are in one group or in neighbours."""
     out = [1]
     while out[-1] <= most:
-        out.append(out[-1] * 10 // 9 + 1)
-    return np.array([*out, out[-1] * 10 // 9 + 1], np.int64)
+        out.append(out[-1] * 100 // percent + 1)
+    return np.array([*out, out[-1] * 100 // percent + 1], np.int64)
 
 
-BOUNDS = _bounds(1 << 40)
+def _apart(total, percent: int):
+    """Most shingles in which linked sets of ``total`` shingles together may differ."""
+    return total * (100 - percent) // (100 + percent)
 
 
 def shingles(buf: np.ndarray, offs: np.ndarray, n: int = N) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -101,17 +109,19 @@ def named_sets(n: int) -> Callable:
     return read
 
 
-def _listed(name: np.ndarray, row: np.ndarray, at: np.ndarray, sig: np.ndarray):
+def _listed(name: np.ndarray, row: np.ndarray, at: np.ndarray, sig: np.ndarray, percent: int):
     """Index entries of a chunk's sets: list, size, sig."""
-    size = np.diff(at)
-    group = np.searchsorted(BOUNDS, size, "right") - 1
+    size, bounds = np.diff(at), _bounds(percent)
+    # more blocks where they are so small that many are empty: a set with more filled blocks than may differ lists no empty ones
+    spare = 2.5 * math.exp(-(100 + percent) / (2 * (100 - percent)) * (percent / 100) ** 2)
+    group = np.searchsorted(bounds, size, "right") - 1
     total = np.zeros(len(name) + 1, np.uint64)
     np.cumsum(mix(name + _B), out=total[1:])
     for back in (0, 1):
         k = group - back  # the list family of groups k and k + 1
-        most = 2 * (BOUNDS[np.maximum(k, 0) + 2] - 1) // 19  # shingles in which linked sets of it may differ
+        most = _apart(2 * (bounds[np.maximum(k, 0) + 2] - 1), percent)  # shingles in which linked sets of it may differ
         use = (k >= 0) & (most > 0) & (size > 0)
-        p = np.where(use, most + 2, 0)
+        p = np.where(use, most + 2 + (most * spare).astype(np.int64), 0)
         block = ((name >> U(32)) * p[row].astype(np.uint64)) >> U(32)
         new = np.ones(len(name), bool)
         new[1:] = (row[1:] != row[:-1]) | (block[1:] != block[:-1])
@@ -122,14 +132,14 @@ def _listed(name: np.ndarray, row: np.ndarray, at: np.ndarray, sig: np.ndarray):
         which = mix((k[r].astype(np.uint64) << U(32)) + block[first])
         yield signed(mix(total[ends] - total[first] + which)), size[r], sig[r]
         filled = np.bincount(r, minlength=len(size))
-        for i in np.flatnonzero(use & (p - filled >= 2)):
+        for i in np.flatnonzero(use & (filled <= most)):
             has = np.zeros(p[i], bool)
             has[block[at[i] : at[i + 1]].astype(np.int64)] = True
             none = np.flatnonzero(~has).astype(np.uint64)
             yield signed(mix(_EMPTY + mix((np.uint64(k[i]) << U(32)) + none))), np.full(len(none), size[i]), np.full(len(none), sig[i])
 
 
-def listed(n: int) -> Callable:
+def listed(n: int, percent: int) -> Callable:
     """Index entries of all sets; sets equal to one before them in the batch add none."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -145,7 +155,7 @@ def listed(n: int) -> Callable:
                 keep = fresh[row]
                 name, row = name[keep], row[keep]
                 at = np.searchsorted(row, np.arange(len(ids) + 1))
-                parts = list(_listed(name, row, at, sig))
+                parts = list(_listed(name, row, at, sig, percent))
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*parts, strict=True)], names=["list", "size", "sig"])
 
     return read
@@ -262,66 +272,71 @@ def verify(base: DataFrame, classes: DataFrame, pairs: DataFrame, n: int) -> Dat
     return dealt.mapInArrow(intersect, "a long, b long, common long, a_size long, b_size long, sketch binary")
 
 
-LINKED = "100 * common >= 90 * (a_size + b_size - common)"
+def linked(percent: int) -> str:
+    return f"100 * common >= {percent} * (a_size + b_size - common)"
 
 
-def cross_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def cross_pairs(percent: int) -> Callable:
     """Of entries sorted by list, size: (list, size, sig, comp, sketch): pairs across components that may link.
 
     A list is walked once; a set meets the sets before it whose size is near enough and whose sketch
     differs in no more places than linked sets may differ in shingles. Sets without a sketch meet all."""
-    key, held, m, bits = None, np.zeros((64, 4), np.int64), 0, np.zeros((64, SKETCH_BITS // 64), np.uint64)
-    for batch in batches:
-        out_a, out_b = [], []
-        cols = [batch.column(i).to_pylist() for i in range(5)]
-        for k, size, sig, comp, data in zip(*cols, strict=True):
-            if k != key:
-                key, m = k, 0
-            mine = np.frombuffer(data or bytes(SKETCH_BITS // 8), np.uint64)
-            n, c = held[:m, 0], held[:m, 2]
-            at = np.flatnonzero((10 * n >= 9 * size) & (c != comp))
-            if len(at):
-                apart = np.bitwise_count(bits[at] ^ mine).sum(1)
-                near = at[(apart <= (n[at] + size) // 19) | (held[at, 3] == 1) | (data is None)]
-                out_a += np.minimum(held[near, 1], sig).tolist()
-                out_b += np.maximum(held[near, 1], sig).tolist()
-            if m == len(held):
-                held, bits = np.concatenate([held, np.zeros_like(held)]), np.concatenate([bits, np.zeros_like(bits)])
-            held[m], bits[m], m = (size, sig, comp, data is None), mine, m + 1
-        yield pa.RecordBatch.from_arrays([pa.array(out_a, pa.int64()), pa.array(out_b, pa.int64())], names=["a", "b"])
-
-
-def join(docs: DataFrame, n: int = N) -> DataFrame:
-    """doc_id, n_shingles, sig, component_id of every row of ``docs``."""
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, held, m, bits = None, np.zeros((64, 4), np.int64), 0, np.zeros((64, SKETCH_BITS // 64), np.uint64)
+        for batch in batches:
+            out_a, out_b = [], []
+            cols = [batch.column(i).to_pylist() for i in range(5)]
+            for k, size, sig, comp, data in zip(*cols, strict=True):
+                if k != key:
+                    key, m = k, 0
+                mine = np.frombuffer(data or bytes(SKETCH_BITS // 8), np.uint64)
+                n, c = held[:m, 0], held[:m, 2]
+                at = np.flatnonzero((100 * n >= percent * size) & (c != comp))
+                if len(at):
+                    apart = np.bitwise_count(bits[at] ^ mine).sum(1)
+                    near = at[(apart <= _apart(n[at] + size, percent)) | (held[at, 3] == 1) | (data is None)]
+                    out_a += np.minimum(held[near, 1], sig).tolist()
+                    out_b += np.maximum(held[near, 1], sig).tolist()
+                if m == len(held):
+                    held, bits = np.concatenate([held, np.zeros_like(held)]), np.concatenate([bits, np.zeros_like(bits)])
+                held[m], bits[m], m = (size, sig, comp, data is None), mine, m + 1
+            yield pa.RecordBatch.from_arrays([pa.array(out_a, pa.int64()), pa.array(out_b, pa.int64())], names=["a", "b"])
+
+    return read
+
+
+def join(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame:
+    """doc_id, n_shingles, sig, component_id of every row of ``docs``; sets of ``n`` words link from a Jaccard of ``percent``/100 on."""
     spark = docs.sparkSession
     parts = n_partitions(spark)
     base = docs.select("doc_id", text_of().alias("text"))
     sets = settle(base.mapInArrow(named_sets(n), "doc long, n long, sig long"))
     classes = sets.where("n > 0").groupBy("sig").agg(F.min("doc").alias("doc"))
-    lists = base.mapInArrow(listed(n), "list long, size long, sig long").repartition(parts, "list").sortWithinPartitions("list", "size", "sig")
+    lists = base.mapInArrow(listed(n, percent), "list long, size long, sig long").repartition(parts, "list").sortWithinPartitions("list", "size", "sig")
     starred = settle(lists.mapInArrow(hubs, "list long, size long, sig long, hub long, hub_size long"))
     # entries of lists with several sets; a list's hub is its set with most list neighbours overall
     entries = settle(starred.select("list", "size", "sig").unionByName(starred.select("list", F.col("hub_size").alias("size"), F.col("hub").alias("sig")).distinct()))
     width = entries.groupBy("list").agg(F.count("*").alias("width"))
     central = entries.join(width, "list").groupBy("sig").agg(F.sum("width").alias("central"))
     middle = entries.join(central, "sig").groupBy("list").agg(F.max(F.struct("central", "sig", "size")).alias("m")).select("list", F.col("m.sig").alias("hub"), F.col("m.size").alias("hub_size"))
-    near = entries.join(middle, "list").where("sig <> hub AND 10 * hub_size >= 9 * size AND 10 * size >= 9 * hub_size")
+    near = entries.join(middle, "list").where(f"sig <> hub AND 100 * hub_size >= {percent} * size AND 100 * size >= {percent} * hub_size")
     # of those the one that a set shares most lists with
     best = near.groupBy("sig", "hub").agg(F.count("*").alias("shared")).groupBy("sig").agg(F.max_by("hub", F.struct("shared", "hub")).alias("hub"))
     pairs = best.select(F.least("hub", "sig").alias("lo"), F.greatest("hub", "sig").alias("hi"), F.col("hub").alias("a"), F.col("sig").alias("b")).dropDuplicates(["lo", "hi"]).select("a", "b")
     tried = settle(verify(base, classes, pairs, n))
-    links = tried.where(LINKED).select("a", "b")
+    links = tried.where(linked(percent)).select("a", "b")
     comps = connect(links)
     # lists that still hold several components
     sketches = tried.groupBy(F.col("b").alias("t_sig")).agg(F.first("sketch").alias("sketch"))
     placed = entries.join(comps, entries.sig == comps.node, "left").select("list", "size", "sig", F.coalesce("comp", "sig").alias("comp"))
     mixed_lists = placed.groupBy("list").agg((F.min("comp") < F.max("comp")).alias("several")).where("several").select("list")
     open_rows = placed.join(mixed_lists, "list").join(sketches, F.col("sig") == F.col("t_sig"), "left").select("list", "size", "sig", "comp", "sketch")
-    crossed = open_rows.repartition(parts, "list").sortWithinPartitions("list", "size", "sig").mapInArrow(cross_pairs, "a long, b long").distinct()
+    crossed = open_rows.repartition(parts, "list").sortWithinPartitions("list", "size", "sig").mapInArrow(cross_pairs(percent), "a long, b long").distinct()
     done = tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     crossed = settle(crossed.join(done, ["a", "b"], "left_anti"))
     if not crossed.isEmpty():
-        more = verify(base, classes, crossed, n).where(LINKED).select("a", "b")
+        more = verify(base, classes, crossed, n).where(linked(percent)).select("a", "b")
         comps = connect(settle(links.unionByName(more)))
     labelled = classes.join(comps, classes.sig == comps.node, "left").select("sig", "doc", F.coalesce("comp", "sig").alias("comp"))
     least = labelled.groupBy("comp").agg(F.min("doc").alias("component"))
@@ -331,9 +346,9 @@ def join(docs: DataFrame, n: int = N) -> DataFrame:
     return sets.where("n > 0").join(by_sig, "sig").select("doc", "n", "sig", "component").unionByName(alone).select(null_id("doc").alias("doc_id"), F.col("n").alias("n_shingles"), "sig", null_id("component").alias("component_id"))
 
 
-def keep_one(docs: DataFrame, n: int = N) -> DataFrame:
+def keep_one(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame:
     """``docs`` without all but the first document of each component; documents without shingles stay."""
-    joined = join(docs, n).select(F.col("doc_id").alias("_doc"), F.col("component_id").alias("_component"))
+    joined = join(docs, n, percent).select(F.col("doc_id").alias("_doc"), F.col("component_id").alias("_component"))
     first = joined.where(F.col("_doc") == F.col("_component")).select("_doc").unionByName(joined.where("_doc IS NULL").select("_doc")).distinct()
     return docs.join(first, F.col("doc_id").eqNullSafe(F.col("_doc")), "left_semi")
 
