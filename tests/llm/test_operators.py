@@ -192,6 +192,24 @@ def test_decontaminate(spark):
     assert {r["doc_id"] for r in decontaminate.drop_contaminated(frame(spark, rows), bench).collect()} == {3, 4}
 
 
+def test_decontaminate_at_text_ends(spark):
+    """Copies with words deleted that are the whole text, or stand at its start or end; items of one word."""
+    rng = random.Random(4)
+    rows, want = [], {}
+    items = [[f"q{rng.randrange(10**6)}" for _ in range(n)] for n in (5, 12, 30, 45, 60)]
+    for i, item in enumerate(items):
+        for k in (1, len(item) // 5):
+            for words in (item[:-k], item[k:], ["lead"] * 70 + item[:-k], item[k:] + ["tail"] * 70):
+                want[len(rows), i] = k
+                rows.append((len(rows), " ".join(words)))
+    rows.append((len(rows), "so it is: ALONE."))
+    want[len(rows) - 1, 99] = 0
+    bench = spark.createDataFrame([*[(i, " ".join(w)) for i, w in enumerate(items)], (99, "alone")], "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]): (r["distance"], r["first_word"]) for r in decontaminate.contaminated(frame(spark, rows), bench).collect()}
+    assert {k: d for k, (d, _) in got.items()} == want
+    assert all(first >= 0 for _, first in got.values())
+
+
 def test_toxicity(spark):
     rng = random.Random(2)
     rows, labels = [], []

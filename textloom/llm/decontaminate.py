@@ -5,7 +5,9 @@ Texts and items become words (ASCII letters lower-cased, cut at everything else
 Hamming distance: at step j the walk writes its word and moves on or stays by a bit that hangs on
 (j, word). Of the first n steps ``BITS`` written words are sampled as an LSH key. Every window of
 every text that is as long as an item (item lengths are grouped by their own exact value) is keyed
-alike, and a shared key makes a candidate. Candidates are verified exactly: the item's edit distance in words
+alike, and a shared key makes a candidate. Texts are padded on both sides, so that a stretch that is
+shorter than its item and stands at a text's start or end, or is the whole text, has an aligned
+window too. Candidates are verified exactly: the item's edit distance in words
 to the best stretch there must be at most ``DISTANCE`` of its length.
 
 A window within that distance holds at least (1 - DISTANCE) of its words from the item, hence from
@@ -37,13 +39,20 @@ REPEATS, BITS = 10, 2
 LEAST = 5
 BLOCK = 20_000
 SEED = 8
+#: Words before and behind a text: a walk moves on over the first, and stays on the last as past the end.
+START, END = U(mixed(15)), U(0)
 OUT = "doc_id long, item_id long, first_word long, distance long, n_words long"
 
 
+def most_of(n: int) -> int:
+    """Most edits of an item of ``n`` words."""
+    return int(DISTANCE * n) if n >= LEAST else 0
+
+
 def _walks(steps: int) -> list[tuple[int, np.ndarray]]:
     """Per repeat: the seed of its walk and the steps whose words are sampled."""
     rng = np.random.default_rng(SEED)
-    return [(mixed(1000 + r), np.sort(rng.choice(steps, BITS, replace=False))) for r in range(REPEATS)]
+    return [(mixed(1000 + r), np.sort(rng.choice(steps, min(BITS, steps), replace=False))) for r in range(REPEATS)]
 
 
 def keys(stack: np.ndarray, walk: tuple[int, np.ndarray]) -> np.ndarray:
@@ -101,28 +110,34 @@ class Items:
     def windows(self, h: np.ndarray, at: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
         """(length, first words, texts, which of the different windows, those) of a chunk's windows with enough words of items.
 
+        A window may begin before its text or end behind it, by as many words as the item may be edited.
         Words are looked up in bit tables, which hold some others too: they let more windows pass, never fewer."""
         if not len(h):
             return
+        h, row, lo, hi = padded(h, at, max(map(most_of, self.own), default=0))
         known = self.bits[(h >> U(44)).astype(np.int64)]
+        known[(h == START) | (h == END)] = False
         total = np.zeros(len(h) + 1, np.int32)
         np.cumsum(known, out=total[1:])
-        row = np.repeat(np.arange(len(at) - 1), np.diff(at))
         p = None
         for n, own in self.own.items():
             if n > len(h):
                 break
-            s = np.flatnonzero(total[n:] - total[:-n] >= n - int(DISTANCE * n))
-            s = s[s + n <= at[row[s] + 1]]
+            most = most_of(n)
+            s = np.flatnonzero(total[n:] - total[:-n] >= n - most)
+            r = row[s]
+            fits = (s >= lo[r] - most) & (s + n <= hi[r] + most)
+            s, r = s[fits], r[fits]
             if not len(s):
                 continue
             p = prefix_of(h) if p is None else p
             _, first, which = np.unique(names(p, s, s + n), return_index=True, return_inverse=True)
             stack = h[s[first][:, None] + np.arange(n)]
-            good = own[(stack >> U(48)).astype(np.int64)].sum(1) >= n - int(DISTANCE * n)
+            good = own[(stack >> U(48)).astype(np.int64)].sum(1) >= n - most
             if good.any():
                 keep = good[which]
-                yield n, s[keep], row[s[keep]], (np.cumsum(good) - 1)[which[keep]], stack[good]
+                s, r = s[keep], r[keep]
+                yield n, s - lo[r] + at[r], r, (np.cumsum(good) - 1)[which[keep]], stack[good]
 
     def candidates(self, n: int, stack: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """(window, item) pairs that share an LSH key under some walk."""
@@ -145,7 +160,7 @@ class Items:
             chunk, start, row, which = (np.concatenate(x) for x in zip(*[f[0] for f in found], strict=True))
             stack = np.concatenate([f[1] for f in found])
             pairs = np.unique(np.concatenate([np.stack(x) for x in self.candidates(n, stack)], axis=1), axis=1)
-            most = int(DISTANCE * n) if n >= LEAST else 0
+            most = most_of(n)
             by_window = np.argsort(which, kind="stable")
             lo = np.searchsorted(which[by_window], np.arange(len(stack) + 1))
             best: dict[tuple, tuple[int, int]] = {}
@@ -167,7 +182,18 @@ class Items:
                             best[c, r, i] = (d, s)
             for (c, r, i), (d, s) in best.items():
                 ids, _, at = parts[c]
-                yield int(ids[r]), self.ids[i], int(s - at[r]), d, n
+                yield int(ids[r]), self.ids[i], max(int(s - at[r]), 0), d, n
+
+
+def padded(h: np.ndarray, at: np.ndarray, pad: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Words with ``pad`` sentinels before and behind every text, the text of each, and per text where it starts and ends."""
+    size = np.diff(at)
+    lo = at[:-1] + pad * (2 * np.arange(len(size)) + 1)
+    row = np.repeat(np.arange(len(size)), size + 2 * pad)
+    place = np.arange(len(row))
+    out = np.where(place < lo[row], START, END)
+    out[(place >= lo[row]) & (place < lo[row] + size[row])] = h
+    return out, row, lo, lo + size
 
 
 def _bits(h: np.ndarray, width: int) -> np.ndarray:
