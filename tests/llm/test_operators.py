@@ -210,6 +210,33 @@ def test_decontaminate_at_text_ends(spark):
     assert all(first >= 0 for _, first in got.values())
 
 
+@pytest.mark.parametrize("n", [12, 30, 60, 100, 150, 256])
+def test_decontaminate_recall_at_the_threshold(n):
+    walks = decontaminate.repeats(n)
+    for kind in decontaminate.KINDS:
+        found = (decontaminate.first_hits(n, kind, walks, 300, seed=1) <= walks).mean()
+        assert found >= decontaminate.TARGET - 0.02, kind
+
+
+def test_decontaminate_finds_long_edited_items(spark):
+    """Items of 100 to 150 words with all the edits allowed, within other words."""
+    rng = random.Random(6)
+    items, rows = [], []
+    for i in range(90):
+        item = [f"q{rng.randrange(10**6)}" for _ in range((100, 120, 150)[i % 3])]
+        items.append(item)
+        copy = item.copy()
+        for x in sorted(rng.sample(range(len(item)), len(item) // 5), reverse=True):
+            copy[x : x + 1] = ([f"e{rng.randrange(10**6)}"], [], [item[x], f"e{rng.randrange(10**6)}"])[i // 3 % 3]
+        rows.append((i, " ".join(["lead"] * 40 + copy + ["tail"] * 40)))
+    rows += [(100 + i, " ".join(["lead"] * i + item + ["tail"])) for i, item in enumerate(items)]
+    bench = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(items)], "item_id long, text string")
+    rows = decontaminate.contaminated(frame(spark, rows), bench).collect()
+    got = {(r["doc_id"], r["item_id"]) for r in rows if r["doc_id"] < 100}
+    assert got <= {(i, i) for i in range(90)} and len(got) >= 87
+    assert sorted((r["doc_id"] - 100, r["item_id"], r["first_word"], r["distance"]) for r in rows if r["doc_id"] >= 100) == [(i, i, i, 0) for i in range(90)]
+
+
 def test_toxicity(spark):
     rng = random.Random(2)
     rows, labels = [], []

@@ -1,7 +1,7 @@
 """Benchmark decontamination by CGK embedding and bit-sampling LSH over item-sized windows.
 
 Texts and items become words (ASCII letters lower-cased, cut at everything else in ASCII). Each of
-``REPEATS`` random walks maps a sequence of words so that a small edit distance becomes a small
+a number of random walks maps a sequence of words so that a small edit distance becomes a small
 Hamming distance: at step j the walk writes its word and moves on or stays by a bit that hangs on
 (j, word). Of the first n steps ``BITS`` written words are sampled as an LSH key. Every window of
 every text that is as long as an item (item lengths are grouped by their own exact value) is keyed
@@ -10,6 +10,11 @@ shorter than its item and stands at a text's start or end, or is the whole text,
 window too. Candidates are verified exactly: the item's edit distance in words
 to the best stretch there must be at most ``DISTANCE`` of its length.
 
+The walks of an item are as many as its length needs: ``first_hits`` measures how often a copy edited as
+much as ``DISTANCE`` allows shares a key, and ``repeats`` takes the walks that reach ``TARGET`` for the
+worst of scattered and adjoining substitutions, deletions and insertions. Copies edited less are found
+more often, and verbatim ones always.
+
 A window within that distance holds at least (1 - DISTANCE) of its words from the item, hence from
 the benchmark's vocabulary; windows that do not are skipped before they are embedded, which loses
 nothing. Items come in blocks of at most ``BLOCK``, so what each task gets is bounded; each block
@@ -25,6 +30,7 @@ item_ids are skipped; other columns are ignored; empty tables give no rows.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -35,7 +41,11 @@ from .bytehash import U, chunks, mix, mixed, names, prefix_of, words
 from .common import NULL_ID, documents, table, text_of
 
 DISTANCE = 0.2
-REPEATS, BITS = 10, 2
+BITS = 2
+#: Least share of copies at the full distance to be found, for every kind of edit.
+TARGET = 0.99
+#: Walks by item length up to the key: above what ``measured`` gives at the key (8, 22, 26, 24, 45, 107).
+REPEATS = {8: 10, 16: 25, 32: 30, 64: 40, 128: 60, 256: 130}
 LEAST = 5
 BLOCK = 20_000
 SEED = 8
@@ -49,10 +59,71 @@ def most_of(n: int) -> int:
     return int(DISTANCE * n) if n >= LEAST else 0
 
 
-def _walks(steps: int) -> list[tuple[int, np.ndarray]]:
+def edited(item: np.ndarray, k: int, kind: str, rng: np.random.Generator) -> np.ndarray:
+    """A copy of ``item`` with ``k`` edits of a kind of ``KINDS``, new words being of no other text."""
+    n, new = len(item), rng.integers(1, 2**64, k, dtype=np.uint64)
+    what, where = kind.split()
+    at = np.sort(rng.choice(n, k, replace=False)) if where == "scattered" else rng.integers(0, n - k + 1) + np.arange(k)
+    if what == "deleted":
+        return np.delete(item, at)
+    if what == "inserted":
+        return np.insert(item, at if where == "scattered" else np.full(k, rng.integers(0, n + 1)), new)
+    out = item.copy()
+    out[at] = new
+    return out
+
+
+KINDS = [f"{what} {where}" for what in ("replaced", "deleted", "inserted") for where in ("scattered", "adjoining")]
+
+
+def first_hits(n: int, kind: str, walks: int, trials: int, seed: int = 0) -> np.ndarray:
+    """Per random item of ``n`` words the number of its first walk that finds a copy with all edits allowed; walks + 1 for none."""
+    rng = np.random.default_rng([seed, n, KINDS.index(kind)])
+    k = most_of(n)
+    items = rng.integers(1, 2**64, (trials, n), dtype=np.uint64)
+    # where windows start that hold the copy, or as much of it as a window can
+    starts = {"replaced": range(1), "deleted": range(-k, 1), "inserted": range(k + 1)}[kind.split()[0]]
+    stack = []
+    for item in items:
+        text = np.concatenate([rng.integers(1, 2**64, k, dtype=np.uint64), edited(item, k, kind, rng), rng.integers(1, 2**64, k, dtype=np.uint64)])
+        stack.append([text[k + s : k + s + n] for s in starts])
+    stack = np.array(stack)
+    out, left = np.full(trials, walks + 1), np.arange(trials)
+    for i, walk in enumerate(_walks(n, walks), 1):
+        theirs = keys(stack[left].reshape(-1, n), walk).reshape(len(left), -1)
+        hit = (theirs == keys(items[left], walk)[:, None]).any(1)
+        out[left[hit]] = i
+        left = left[~hit]
+        if not len(left):
+            break
+    return out
+
+
+def measured(n: int, trials: int) -> int:
+    """Walks that reach ``TARGET`` on random items of ``n`` words for the worst kind of edit."""
+    walks = 64
+    while True:
+        need = max(int(np.quantile(first_hits(n, kind, walks, trials), TARGET, method="higher")) for kind in KINDS)
+        if need <= walks:
+            return need
+        walks *= 4
+
+
+@cache
+def repeats(n: int) -> int:
+    """Walks for items of ``n`` words; lengths beyond the table are measured, on the next power of two."""
+    if most_of(n) == 0:
+        return 1
+    for top, walks in REPEATS.items():
+        if n <= top:
+            return walks
+    return measured(1 << (n - 1).bit_length(), 200)
+
+
+def _walks(steps: int, walks: int) -> list[tuple[int, np.ndarray]]:
     """Per repeat: the seed of its walk and the steps whose words are sampled."""
     rng = np.random.default_rng(SEED)
-    return [(mixed(1000 + r), np.sort(rng.choice(steps, min(BITS, steps), replace=False))) for r in range(REPEATS)]
+    return [(mixed(1000 + r), np.sort(rng.choice(steps, min(BITS, steps), replace=False))) for r in range(walks)]
 
 
 def keys(stack: np.ndarray, walk: tuple[int, np.ndarray]) -> np.ndarray:
@@ -102,7 +173,7 @@ class Items:
             stack = np.stack([self.words[i] for i in rows])
             self.own[n] = _bits(stack.ravel(), 16)
             self.tables[n] = []
-            for walk in _walks(n):
+            for walk in _walks(n, repeats(n)):
                 key = keys(stack, walk)
                 order = np.argsort(key, kind="stable")
                 self.tables[n].append((walk, key[order], rows[order]))
@@ -171,6 +242,8 @@ class Items:
                 spot.sort(axis=1)
                 different = (spot[:, 1:] != spot[:, :-1]).sum(1) + (spot[:, 0] >= 0)
                 ws = ws[different >= len(own) - most]
+                # windows most like the item come first, a verbatim one before all: of equal distances the first counts
+                ws = ws[np.argsort(-(stack[ws] == self.words[i]).sum(1), kind="stable")]
                 for w in ws.tolist():
                     for x in by_window[lo[w] : lo[w + 1]].tolist():
                         c, s, r = int(chunk[x]), int(start[x]), int(row[x])
@@ -178,7 +251,7 @@ class Items:
                             continue
                         _, h, at = parts[c]
                         d = distance(self.words[i], h[max(s - most, at[r]) : min(s + n + most, at[r + 1])], most)
-                        if d <= most and (d, s) < best.get((c, r, i), (most + 1, 0)):
+                        if d < best.get((c, r, i), (most + 1, 0))[0]:
                             best[c, r, i] = (d, s)
             for (c, r, i), (d, s) in best.items():
                 ids, _, at = parts[c]
