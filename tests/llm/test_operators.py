@@ -172,6 +172,17 @@ def test_licenses(spark):
     assert (got[None]["n_base"], got[None]["first_word"], got[None]["last_word"]) == (2, 0, 4)
 
 
+def test_licenses_wrapped_over_lines(spark):
+    """Common layouts of notices; words of a template that stand too far apart are none."""
+    mit = '# Permission is hereby granted, free of charge, to any person obtaining a copy\n# of this software and associated documentation files (the "Software"), to deal'
+    bsd = "/* Redistribution and use in source and binary forms, with or without\n * modification, are permitted provided that the following conditions\n * are met:"
+    mpl = "x\n\nThis Source Code Form is subject to the terms of the Mozilla Public\r\nLicense, v. 2.0. If"
+    rows = [(1, mit), (2, bsd), (3, mpl), (3, mpl), (4, mpl.replace("Mozilla", "Mozilla then some")), (5, "a\n" * 500 + mit + "\n" + bsd), (6, "licensed\nunder the gnu\n\ngeneral public license\nversion 3"), (None, mit), (7, None)]
+    got = sorted((str(r["doc_id"]), r["labels"], r["score"], r["base_labels"]) for r in license_scan.scan_licenses(frame(spark, rows)).collect())
+    mpl_row = ("3", "mpl-2", 1.0, "")
+    assert got == [("1", "mit", 1.0, ""), ("2", "bsd", 1.0, ""), mpl_row, mpl_row, ("4", "", 0.0, ""), ("5", "bsd,mit", 1.0, ""), ("6", "gpl-3", 1.0, ""), ("7", "", 0.0, ""), ("None", "mit", 1.0, "")]
+
+
 def test_quality_rules(spark):
     eight = "one two three four five six seven eight"
     got = {r["doc_id"]: r for r in quality_rules.judge(frame(spark, [(1, f"{eight} x {eight}"), (2, None), (3, "the cat and the dog " + " ".join(VOCAB[:30]))])).collect()}

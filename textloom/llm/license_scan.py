@@ -11,6 +11,11 @@ Base labels come from phrases whose words stand consecutively. The join then fin
 4. the positional filter adds up what can still match behind the joined positions;
 5. what is left is verified exactly.
 
+Notices wrapped over lines are found in windows over the whole text: for each template every stretch
+of as many consecutive words as it has, across line ends, is a block too, with the same threshold. A
+text is looked at only if all its words together hold enough of some template; windows start at words
+of the template, since any other start holds no more of it.
+
 Only DataFrame functions are used. The templates' vocabulary is a fixed list of this module, so
 the index is broadcast with a known bound; nothing else is.
 
@@ -21,6 +26,8 @@ rows that repeat a doc_id and text get equal rows; other columns are ignored, wh
 from __future__ import annotations
 
 import math
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -71,12 +78,14 @@ def _blocks(docs: DataFrame) -> DataFrame:
     any_has = has[0] | has[1] | has[2]
     cut = F.when(any_has, F.split("norm", f" (?:{alternatives})(?= )", -1))
     found = F.when(any_has, F.regexp_extract_all("norm", F.lit(f" (?:{alternatives})(?= )"), F.lit(0)))
-    held = F.filter(
-        F.transform(F.split("low", "\n", -1), lambda line: F.array_intersect(F.split(line, NOT_WORD, -1), vocabulary)),
-        lambda h: F.size(h) >= least,
-    )
+    held_all = F.transform(F.split("low", "\n", -1), lambda line: F.array_intersect(F.split(line, NOT_WORD, -1), vocabulary))
+    spaced = spaced.withColumn("held", held_all).withColumn("whole", F.array_distinct(F.flatten("held")))
+    held = F.filter("held", lambda h: F.size(h) >= least)
+    wrapped = F.col("low").contains("\n") & (F.size("whole") >= least) & reduce(or_, [F.size(F.array_intersect("whole", F.array(*map(F.lit, words)))) >= need for *_, words, need in templates])
+    placed = F.transform(F.split(F.trim("norm"), " ", -1), lambda w, i: F.struct(i.alias("at"), w.alias("word")))
+    places = F.when(wrapped, F.filter(placed, lambda x: F.array_contains(vocabulary, x["word"])))
     # the hash tells apart rows that share a doc_id
-    out = spaced.select("doc_id", F.xxhash64("low").alias("row_hash"), F.when(F.length("norm") > 2, spaces(F.col("norm")) - 1).otherwise(0).cast("long").alias("n_words"), cut.alias("cut"), found.alias("found"), *[h.alias(f"has_{i}") for i, h in enumerate(has)], held.alias("blocks"))
+    out = spaced.select("doc_id", F.xxhash64("low").alias("row_hash"), F.when(F.length("norm") > 2, spaces(F.col("norm")) - 1).otherwise(0).cast("long").alias("n_words"), cut.alias("cut"), found.alias("found"), *[h.alias(f"has_{i}") for i, h in enumerate(has)], held.alias("blocks"), places.alias("places"))
     last = F.element_at("cut", -1)
     phrase_words = F.size(F.split(F.trim(F.element_at("found", -1)), " "))
     return out.select(
@@ -88,9 +97,23 @@ def _blocks(docs: DataFrame) -> DataFrame:
         F.when(F.col("found").isNotNull(), F.col("n_words") - (spaces(last) - 1) - phrase_words).cast("long").alias("last_word"),
         F.array_compact(F.array(*[F.when(F.col(f"has_{i}"), F.lit(label)) for i, label in enumerate(PHRASES.values())])).alias("base"),
         "blocks",
+        "places",
     )
 
 
+def _wrapped(rows: DataFrame) -> DataFrame:
+    """doc_id, row_hash, labels, score of the templates found in windows of their length over whole texts."""
+    index = [(label, words, need, len(TEMPLATES[i][1].split())) for i, label, words, need in _needs()]
+    templates = rows.sparkSession.createDataFrame(index, "label string, words array<string>, need int, n int")  # the fixed templates
+    hits = F.filter("places", lambda x: F.array_contains(F.col("words"), x["word"]))
+    near = rows.where("places IS NOT NULL").select("doc_id", "row_hash", "places").crossJoin(F.broadcast(templates)).select("doc_id", "row_hash", "label", "words", "need", "n", hits.alias("hits")).where(F.size("hits") >= F.col("need"))
+    # of the n words from a hit on at most n are hits
+    window = lambda x, i: F.filter(F.slice("hits", i + 1, F.col("n")), lambda y: y["at"] < x["at"] + F.col("n"))
+    common = F.array_max(F.transform("hits", lambda x, i: F.size(F.array_distinct(F.transform(window(x, i), lambda y: y["word"])))))
+    found = near.select("doc_id", "row_hash", "label", "need", F.size("words").alias("t_size"), common.alias("common")).where("common >= need")
+    return found.select("doc_id", "row_hash", F.array("label").alias("labels"), (F.col("common") / F.col("t_size")).alias("score"))
+
+
 def scan_licenses(docs: DataFrame) -> DataFrame:
     """A row for each row of ``docs`` (doc_id, text): counts, places, labels and the best score."""
     rows = settle(_blocks(docs))
@@ -120,11 +143,13 @@ def scan_licenses(docs: DataFrame) -> DataFrame:
         rows.where(F.size("blocks") > 0)
         .select("doc_id", "row_hash", F.explode("blocks").alias("held"))
         .join(labelled, "held")
+        .select("doc_id", "row_hash", "labels", "score")
+        .unionByName(_wrapped(rows))
         .groupBy("doc_id", "row_hash")
         .agg(F.array_distinct(F.flatten(F.collect_set("labels"))).alias("labels"), F.max("score").alias("score"))
         .withColumnsRenamed({"doc_id": "l_doc", "row_hash": "l_hash"})
     )
-    joined = rows.drop("blocks").join(by_row, F.col("doc_id").eqNullSafe(F.col("l_doc")) & (F.col("row_hash") == F.col("l_hash")), "left")
+    joined = rows.drop("blocks", "places").join(by_row, F.col("doc_id").eqNullSafe(F.col("l_doc")) & (F.col("row_hash") == F.col("l_hash")), "left")
     joined_labels = lambda c: F.array_join(F.array_sort(F.array_distinct(c)), ",")
     return joined.select(
         "doc_id",
