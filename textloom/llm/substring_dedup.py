@@ -97,9 +97,8 @@ def anchors(h: np.ndarray, row: np.ndarray, width: int) -> tuple[np.ndarray, np.
 
 
 def sampler(width: int):
-    def sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         for batch in batches:
-            parts = []
             for ids, buf, offs in chunks(batch):
                 _, _, h, at = words(buf, offs)
                 n_words = np.diff(at)
@@ -119,11 +118,9 @@ def sampler(width: int):
                 key = np.where(lone[first], mix(h[pos] ^ U(0x5851F42D4C957F2D)), symbols[pos])
                 left = np.where(pos - lo >= LEFT, names(p, np.maximum(pos - LEFT, 0), pos + 1) | U(1), U(0))
                 right = np.where(pos - hi < LEFT, names(p, pos, np.minimum(pos + width - LEFT + 1, len(h))) | U(1), U(0))
-                parts.append((signed(key), signed(names(p, lo, hi + width)), ids[r], (lo - at[r]) << 16 | (hi - lo + 1), repeats.pair32(left, right)))
-            if parts:
-                yield from repeats.folded(*(np.concatenate(x) for x in zip(*parts, strict=True)), True)
+                yield signed(key), signed(names(p, lo, hi + width)), ids[r], (lo - at[r]) << 16 | (hi - lo + 1), repeats.pair32(left, right)
 
-    return sampled
+    return lambda batches: repeats.in_pieces(runs(batches), True)
 
 
 def window_names(width: int):

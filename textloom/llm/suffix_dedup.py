@@ -37,10 +37,10 @@ WIDTH = 100
 GRAM = 32
 STRETCH = 66
 
-def sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Runs of windows by the suffix that they sample."""
+
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    """Per chunk the runs of windows by the suffix that they sample: key, run, doc, place, side."""
     for batch in batches:
-        parts = []
         for ids, buf, offs in chunks(batch):
             lens = np.diff(offs)
             n_win = np.maximum(lens - WIDTH + 1, 0)
@@ -59,9 +59,11 @@ def sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             # the longer stretches on either side, where a window of the run holds them
             left = np.where(pos - lo >= STRETCH - GRAM, names(p, np.maximum(pos - (STRETCH - GRAM), 0), pos + GRAM) | U(1), U(0))
             right = np.where(pos - hi < STRETCH - GRAM, names(p, pos, np.minimum(pos + STRETCH, len(buf))) | U(1), U(0))
-            parts.append((signed(gram[pos]), signed(extent), ids[r], (lo - offs[r]) << 16 | (hi - lo + 1), repeats.pair32(left, right)))
-        if parts:
-            yield from repeats.folded(*(np.concatenate(x) for x in zip(*parts, strict=True)), False)
+            yield signed(gram[pos]), signed(extent), ids[r], (lo - offs[r]) << 16 | (hi - lo + 1), repeats.pair32(left, right)
+
+
+def sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    return repeats.in_pieces(_runs(batches), False)
 
 
 def _window_names(buf: np.ndarray, offs: np.ndarray):
