@@ -2,16 +2,16 @@
 
 1. size of every document; per (source, size) the number of documents: the histogram;
 2. targets by weight, excess over twice a source's size reshared until none is above;
-3. per source, whole passes over all documents take the target's full multiples; the rest of the
-   budget first takes an equal share of every length count, then a bounded-knapsack dynamic
-   programme over length counts (a bit set of reachable sums) fits what remains;
+3. per source, whole passes over all documents take the target's full multiples; of the rest of
+   the budget all but ``ROOM`` mean documents' words go out in equal shares over the lengths, then a
+   bounded-knapsack dynamic programme over all length counts (a bit set of reachable sums) fits what
+   remains;
 4. per (source, size) the chosen number of documents is picked by seeded hash: ranges of the hash
    are counted first, and rows are ranked only in the range where the count runs out, so a
    length that a third of all rows share is never sorted in one task.
 
-What remains for step 3's programme is at most the sum of the source's distinct lengths; the
-longest lengths are taken greedily until less than ``DP_WORDS`` words remain, a fixed bound on its
-memory. Only source sizes (one row per source) come to the driver.
+Step 3's programme has as many states as ``ROOM`` mean documents of the source have words, whatever
+the number of documents. Only source sizes (one row per source) come to the driver.
 
 Edge cases: null text has size 0; null source is a source of its own, last in order; sources
 without words take nothing; repeated rows are documents of their own and count as such; ties of
@@ -21,6 +21,7 @@ rows; other columns are ignored, whatever their names.
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -31,8 +32,9 @@ from .common import SPACE_WORD, documents, settle, text_of
 WEIGHTS = (5, 2, 1)
 SHARE, CAP = 1.5, 2.0
 SEED = 17
-RANGES = 64
-DP_WORDS = 200_000
+#: Documents of one length that share a range of the hash, about; only one range a length is ranked.
+RANGE_ROWS = 10_000
+ROOM = 64
 
 
 def targets(sizes: dict[str | None, int], weights=WEIGHTS, share: float = SHARE, cap: float = CAP) -> dict[str | None, float]:
@@ -54,47 +56,60 @@ def targets(sizes: dict[str | None, int], weights=WEIGHTS, share: float = SHARE,
 
 
 def fit(lengths: list[int], counts: list[int], budget: int) -> list[int]:
-    """How many documents of each length to take (at most its count) so that the words come nearest below ``budget``."""
+    """How many documents of each length to take (at most its count) so that the words come nearest below ``budget``.
+
+    All but ``ROOM`` mean documents' words of the budget go out in equal shares over the documents in
+    order of length; the programme then fits the rest over everything that is left. It keeps, for each
+    sum of words, the item that first reached it: memory is one number a word of the rest."""
     total = sum(n * c for n, c in zip(lengths, counts, strict=True))
     if budget >= total:
         return list(counts)
     if budget <= 0 or not total:
         return [0] * len(lengths)
-    share = max(0, budget - 4 * max(lengths))  # room for the programme to fit the rest
-    taken = [c * share // total for c in counts]
+    order = sorted((i for i in range(len(lengths)) if lengths[i]), key=lambda i: lengths[i])
+    share = max(0, budget - -(-ROOM * total // sum(counts[i] for i in order)))
+    taken, before = [0] * len(lengths), 0
+    for i in order:  # of the first k documents in order k * share / total are taken
+        taken[i] = (before + counts[i]) * share // total - before * share // total
+        before += counts[i]
     left = budget - sum(n * t for n, t in zip(lengths, taken, strict=True))
-    order = sorted(range(len(lengths)), key=lambda i: -lengths[i])
-    for i in order:
-        if left < DP_WORDS:
-            break
-        if lengths[i]:
-            more = min(counts[i] - taken[i], max(0, left - DP_WORDS // 2) // lengths[i])
-            taken[i] += more
-            left -= more * lengths[i]
-    # bounded knapsack: bit b of `reach` is set if b words can be taken; counts split in powers of two
-    items, room = [], min(left, DP_WORDS)
-    for i in order:
-        if 0 < lengths[i] <= room:
-            spare, k = min(counts[i] - taken[i], room // lengths[i]), 1
-            while spare > 0:
-                items.append((i, min(k, spare)))
-                spare, k = spare - k, 2 * k
-    mask, reach, states, used = (1 << (room + 1)) - 1, 1, [1], []
-    for i, k in items:
-        if reach >> room & 1 or len(used) >= 400:  # the budget is met, or more states than memory should hold
+    for i in order:  # rounding by length can take too many words: the shortest give them back
+        if left < 0 and taken[i]:
+            back = min(taken[i], -(left // lengths[i]))
+            taken[i] -= back
+            left += back * lengths[i]
+    # counts split in powers of two; bit b of `reach` is set if b words can be taken
+    items = []
+    for i in reversed(order):
+        spare, k = min(counts[i] - taken[i], left // lengths[i]), 1
+        while spare > 0:
+            items.append((i, min(k, spare)))
+            spare, k = spare - k, 2 * k
+    mask, reach = (1 << (left + 1)) - 1, 1
+    first = np.full(left + 1, -1, np.int32)
+    for at, (i, k) in enumerate(items):
+        if reach >> left & 1:  # the budget is met
             break
-        reach |= (reach << (lengths[i] * k)) & mask
-        states.append(reach)
-        used.append((i, k))
+        fresh = (reach << (lengths[i] * k)) & mask & ~reach
+        if fresh:
+            first[_ones(fresh)] = at
+            reach |= fresh
     at = reach.bit_length() - 1
-    for step in range(len(used), 0, -1):
-        if not states[step - 1] >> at & 1:
-            i, k = used[step - 1]
-            taken[i] += k
-            at -= lengths[i] * k
+    while at:
+        i, k = items[first[at]]
+        taken[i] += k
+        at -= lengths[i] * k  # a sum that earlier items alone reach
     return taken
 
 
+def _ones(x: int) -> np.ndarray:
+    """The places of the bits that are set."""
+    data = np.frombuffer(x.to_bytes(x.bit_length() // 8 + 1, "little"), np.uint8)
+    some = np.flatnonzero(data)
+    row, bit = np.nonzero(np.unpackbits(data[some, None], axis=1, bitorder="little"))
+    return some[row] * 8 + bit
+
+
 def _sizes(docs: DataFrame) -> DataFrame:
     text = text_of()
     return docs.select("doc_id", "source", F.size(F.regexp_extract_all(text, F.lit(SPACE_WORD), F.lit(0))).cast("long").alias("size"), F.xxhash64(F.lit(SEED), "doc_id").alias("draw"), F.xxhash64(text).alias("tie"))
@@ -103,7 +118,9 @@ def _sizes(docs: DataFrame) -> DataFrame:
 def mix(docs: DataFrame) -> DataFrame:
     """A row per document row: doc_id, source, size, source_size, target, taken."""
     spark = docs.sparkSession
-    sized = settle(_sizes(docs).withColumn("range", F.pmod("draw", F.lit(RANGES)).cast("int")))
+    sized = settle(_sizes(docs))
+    most = sized.groupBy("source", "size").count().agg(F.max("count")).head()[0] or 0
+    sized = sized.withColumn("range", F.pmod("draw", F.lit(most // RANGE_ROWS + 1)).cast("long"))
     ranged = settle(sized.groupBy("source", "size", "range").agg(F.count("*").alias("n")))
     histogram = ranged.groupBy("source", "size").agg(F.sum("n").alias("n"))
     sizes = {r["source"]: int(r["words"]) for r in histogram.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("words")).collect()}  # a row per source
