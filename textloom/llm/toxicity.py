@@ -37,7 +37,7 @@ SUBSTITUTES = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8":
 #: Phrases whose words do not count.
 EXCEPTIONS = ["trash can", "trash bin", "trash bag", "clown fish", "class clown"]
 #: A word joins the lexicon with at least so many toxic sample documents and so high a lower bound of its log-odds.
-LEAST_DOCS, LEAST_ODDS, MOST_WORDS = 5, 1.5, 2000
+LEAST_DOCS, LEAST_ODDS = 5, 1.5
 STEMS = range(4, 9)
 
 _FOLD = {ord(k): v for k, v in (HOMOGLYPHS | SUBSTITUTES).items()}
@@ -62,14 +62,14 @@ def _words_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def learn_lexicon(rows: DataFrame) -> dict[str, float]:
-    """Weights of words that mark toxic texts; at most ``MOST_WORDS``."""
+    """Weights of all words that mark toxic texts; their number is bounded by the sample's."""
     totals = rows.agg(F.count("*").alias("n"), F.coalesce(F.sum("y"), F.lit(0)).alias("t")).first()
     n_toxic, n_clean = int(totals["t"]), int(totals["n"] - totals["t"])
     counts = rows.select("text", "y").mapInArrow(_words_of, "word string, y int").groupBy("word").agg(F.sum("y").alias("t"), F.sum(1 - F.col("y")).alias("c"))
     odds = F.log((F.col("t") + 0.5) / (n_toxic - F.col("t") + 0.5)) - F.log((F.col("c") + 0.5) / (n_clean - F.col("c") + 0.5))
     spread = F.sqrt(1 / (F.col("t") + 0.5) + 1 / (F.col("c") + 0.5))
     sure = counts.where(F.col("t") >= LEAST_DOCS).select("word", odds.alias("odds"), (odds - 2 * spread).alias("low")).where(F.col("low") >= LEAST_ODDS)
-    return {r["word"]: float(r["odds"]) for r in sure.orderBy(F.desc("low"), "word").limit(MOST_WORDS).collect()}
+    return {r["word"]: float(r["odds"]) for r in sure.collect()}
 
 
 def automaton(lexicon: dict[str, float]):
@@ -99,7 +99,13 @@ def weigh(found, text: str) -> float:
             continue
         weight = max(whole if whole is not None and ends else 0.0, stem if stem is not None and not ends else 0.0)
         hits[first] = max(hits.get(first, 0.0), weight)
-    total = sum(w for at, w in hits.items() if not any(a <= at <= b for a, b in spared))
+    total, spans = 0.0, iter(sorted(spared))
+    span = next(spans, None)
+    for at in sorted(hits):
+        while span is not None and span[1] < at:
+            span = next(spans, None)
+        if span is None or at < span[0]:
+            total += hits[at]
     return total / math.log(len(low) + 20.0)
 
 
