@@ -37,8 +37,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bytehash import U, chunks, mix, mixed, signed, words
-from .common import NULL_ID, documents, n_partitions, settle, text_of
+from .common import NULL_ID, documents, n_partitions, settle, text_of, unused
 from .components import connect
+from .repeats import SAMPLE_DOCS, hot_keys
 
 #: Fixed values of the op10 contract: words of a shingle, least Jaccard in per cent.
 N, PERCENT = 3, 90
@@ -162,12 +163,15 @@ def listed(n: int, percent: int) -> Callable:
 
 
 def hubs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of entries sorted by list, size, sig: each set but a list's first, with that first (the hub)."""
+    """Of entries sorted by list, size, sig: each set but a list's first, with that first (the hub).
+
+    Of hot lists, which stand in several tasks, the first of each task is kept too."""
     last = None
     for batch in batches:
         if not batch.num_rows:
             continue
         key, size, sig = (batch.column(i).to_numpy() for i in range(3))
+        hot = batch.column(3).to_numpy(zero_copy_only=False)
         new = np.ones(len(key), bool)
         new[1:] = key[1:] != key[:-1]
         new[0] = last is None or key[0] != last[0]
@@ -175,7 +179,7 @@ def hubs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hub, hub_size = sig[np.maximum(lead, 0)], size[np.maximum(lead, 0)]
         if last is not None:
             hub, hub_size = np.where(lead < 0, last[1], hub), np.where(lead < 0, last[2], hub_size)
-        keep = ~new & (sig != hub)
+        keep = hot | (~new & (sig != hub))
         same = np.zeros(len(key), bool)
         same[1:] = (key[1:] == key[:-1]) & (sig[1:] == sig[:-1])
         keep &= ~same
@@ -254,6 +258,8 @@ def intersect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 SALT_ROWS = 2000
+#: Sets of a list that meet in one task, about: lists are cut into blocks of so many.
+BLOCK_ROWS = 1000
 
 
 def verify(base: DataFrame, classes: DataFrame, pairs: DataFrame, n: int) -> DataFrame:
@@ -277,22 +283,23 @@ def linked(percent: int) -> str:
 
 
 def cross_pairs(percent: int) -> Callable:
-    """Of entries sorted by list, size: (list, size, sig, comp, sketch): pairs across components that may link.
+    """Of entries sorted by list, lo, hi, size: (list, lo, hi, block, size, sig, comp, sketch): pairs across components that may link.
 
-    A list is walked once; a set meets the sets before it whose size is near enough and whose sketch
-    differs in no more places than linked sets may differ in shingles. Sets without a sketch meet all."""
+    A list stands in blocks, two of them (lo, hi) at a time; a set meets the sets before it in the other
+    block (in its own, if both are one) whose size is near enough and whose sketch differs in no more places
+    than linked sets may differ in shingles. Sets without a sketch meet all."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, held, m, bits = None, np.zeros((64, 4), np.int64), 0, np.zeros((64, SKETCH_BITS // 64), np.uint64)
+        key, held, m, bits = None, np.zeros((64, 5), np.int64), 0, np.zeros((64, SKETCH_BITS // 64), np.uint64)
         for batch in batches:
             out_a, out_b = [], []
-            cols = [batch.column(i).to_pylist() for i in range(5)]
-            for k, size, sig, comp, data in zip(*cols, strict=True):
-                if k != key:
-                    key, m = k, 0
+            cols = [batch.column(i).to_pylist() for i in range(8)]
+            for k, lo, hi, block, size, sig, comp, data in zip(*cols, strict=True):
+                if (k, lo, hi) != key:
+                    key, m = (k, lo, hi), 0
                 mine = np.frombuffer(data or bytes(SKETCH_BITS // 8), np.uint64)
                 n, c = held[:m, 0], held[:m, 2]
-                at = np.flatnonzero((100 * n >= percent * size) & (c != comp))
+                at = np.flatnonzero((100 * n >= percent * size) & (c != comp) & ((held[:m, 4] != block) | (lo == hi)))
                 if len(at):
                     apart = np.bitwise_count(bits[at] ^ mine).sum(1)
                     near = at[(apart <= _apart(n[at] + size, percent)) | (held[at, 3] == 1) | (data is None)]
@@ -300,7 +307,7 @@ def cross_pairs(percent: int) -> Callable:
                     out_b += np.maximum(held[near, 1], sig).tolist()
                 if m == len(held):
                     held, bits = np.concatenate([held, np.zeros_like(held)]), np.concatenate([bits, np.zeros_like(bits)])
-                held[m], bits[m], m = (size, sig, comp, data is None), mine, m + 1
+                held[m], bits[m], m = (size, sig, comp, data is None, block), mine, m + 1
             yield pa.RecordBatch.from_arrays([pa.array(out_a, pa.int64()), pa.array(out_b, pa.int64())], names=["a", "b"])
 
     return read
@@ -313,8 +320,13 @@ def join(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame:
     base = docs.select("doc_id", text_of().alias("text"))
     sets = settle(base.mapInArrow(named_sets(n), "doc long, n long, sig long"))
     classes = sets.where("n > 0").groupBy("sig").agg(F.min("doc").alias("doc"))
-    lists = base.mapInArrow(listed(n, percent), "list long, size long, sig long").repartition(parts, "list").sortWithinPartitions("list", "size", "sig")
-    starred = settle(lists.mapInArrow(hubs, "list long, size long, sig long, hub long, hub_size long"))
+    lists = base.mapInArrow(listed(n, percent), "list long, size long, sig long")
+    rows = sets.count()
+    few = base.sample(SAMPLE_DOCS / rows, seed=1) if rows > SAMPLE_DOCS else base
+    hot = hot_keys(few.mapInArrow(listed(n, percent), "list long, size long, sig long").withColumnRenamed("list", "key"), min(rows, SAMPLE_DOCS))
+    lists = lists.join(F.broadcast(hot), F.col("list") == F.col("hot_key"), "left").select("list", "size", "sig", F.col("hot_key").isNotNull().alias("hot"))
+    dealt = lists.repartition(parts, "list", F.when(F.col("hot"), F.col("sig"))).sortWithinPartitions("list", "size", "sig")
+    starred = settle(dealt.mapInArrow(hubs, "list long, size long, sig long, hub long, hub_size long"))
     # entries of lists with several sets; a list's hub is its set with most list neighbours overall
     entries = settle(starred.select("list", "size", "sig").unionByName(starred.select("list", F.col("hub_size").alias("size"), F.col("hub").alias("sig")).distinct()))
     width = entries.groupBy("list").agg(F.count("*").alias("width"))
@@ -331,8 +343,10 @@ def join(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame:
     sketches = tried.groupBy(F.col("b").alias("t_sig")).agg(F.first("sketch").alias("sketch"))
     placed = entries.join(comps, entries.sig == comps.node, "left").select("list", "size", "sig", F.coalesce("comp", "sig").alias("comp"))
     mixed_lists = placed.groupBy("list").agg((F.min("comp") < F.max("comp")).alias("several")).where("several").select("list")
-    open_rows = placed.join(mixed_lists, "list").join(sketches, F.col("sig") == F.col("t_sig"), "left").select("list", "size", "sig", "comp", "sketch")
-    crossed = open_rows.repartition(parts, "list").sortWithinPartitions("list", "size", "sig").mapInArrow(cross_pairs(percent), "a long, b long").distinct()
+    blocks = width.select("list", F.ceil(F.col("width") / BLOCK_ROWS).cast("int").alias("blocks"))
+    open_rows = placed.join(mixed_lists.join(blocks, "list"), "list").join(sketches, F.col("sig") == F.col("t_sig"), "left").withColumn("block", F.pmod(F.xxhash64("sig"), F.col("blocks")).cast("int"))
+    met = open_rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("list", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "size", "sig", "comp", "sketch")
+    crossed = met.repartition(parts, "list", "lo", "hi").sortWithinPartitions("list", "lo", "hi", "size", "sig").mapInArrow(cross_pairs(percent), "a long, b long").distinct()
     done = tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     crossed = settle(crossed.join(done, ["a", "b"], "left_anti"))
     if not crossed.isEmpty():
@@ -347,10 +361,13 @@ def join(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame:
-    """``docs`` without all but the first document of each component; documents without shingles stay."""
-    joined = join(docs, n, percent).select(F.col("doc_id").alias("_doc"), F.col("component_id").alias("_component"))
-    first = joined.where(F.col("_doc") == F.col("_component")).select("_doc").unionByName(joined.where("_doc IS NULL").select("_doc")).distinct()
-    return docs.join(first, F.col("doc_id").eqNullSafe(F.col("_doc")), "left_semi")
+    """``docs`` without all but the first document of each component; documents without shingles stay.
+
+    A document is a doc_id: rows that share one stay or go together, and rows without one all stay."""
+    doc, comp = unused(docs, "doc"), unused(docs, "component")
+    joined = join(docs, n, percent).select(F.col("doc_id").alias(doc), F.col("component_id").alias(comp))
+    first = joined.where(F.col(doc) == F.col(comp)).select(doc).unionByName(joined.where(F.col(doc).isNull()).select(doc)).distinct()
+    return docs.join(first, F.col("doc_id").eqNullSafe(F.col(doc)), "left_semi")
 
 
 def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
