@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bytehash import U, chunks, mix, mixed, names, prefix_of, words
-from .common import NULL_ID, documents, table, text_of
+from .common import NULL_ID, documents, table, text_of, unused
 
 DISTANCE = 0.2
 BITS = 2
@@ -318,8 +318,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``docs`` without the documents that hold an item."""
-    found = contaminated(docs, benchmark).select(F.col("doc_id").alias("_doc")).distinct()
-    return docs.join(found, F.col("doc_id").eqNullSafe(F.col("_doc")), "left_anti")
+    doc = unused(docs, "found_doc")
+    found = contaminated(docs, benchmark).select(F.col("doc_id").alias(doc)).distinct()
+    return docs.join(found, F.col("doc_id").eqNullSafe(F.col(doc)), "left_anti")
 
 
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
