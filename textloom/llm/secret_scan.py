@@ -21,7 +21,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, shared_dir, text_of
+from .common import documents, settle, shared_dir, text_of, unused
 
 #: kind, pattern, group whose length counts, least length. The first three are fixed by the contract.
 ASSIGN = r"((?i:password|passwd|secret|token|api_?key))[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)"
@@ -72,15 +72,20 @@ def scan(docs: DataFrame, ledger: str | None = None) -> DataFrame:
     ledger = ledger or f"{shared_dir(spark)}/ledger-{uuid.uuid4().hex}"
     versions = docs.select("doc_id", text_of().alias("text"))
     paths = versions.select("doc_id", F.sha2("text", 256).alias("blob"))
-    blobs = versions.groupBy(F.sha2("text", 256).alias("blob")).agg(F.first("text").alias("text"))
-    path = spark._jvm.org.apache.hadoop.fs.Path(ledger)
+    path, fresh = spark._jvm.org.apache.hadoop.fs.Path(ledger), versions.withColumn("blob", F.sha2("text", 256))
+    looked = True
     if path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
         known = spark.read.parquet(ledger).where(F.col("rule_version") == RULE_VERSION)
-        blobs = blobs.join(known.select("blob"), "blob", "left_anti")
-    blobs.select("blob", F.lit(RULE_VERSION).alias("rule_version"), find(F.col("text")).alias("spans")).write.mode("append").parquet(ledger)
+        unseen = settle(paths.select("blob").distinct().join(known.select("blob"), "blob", "left_anti"))  # hashes only
+        looked = not unseen.isEmpty()
+        fresh = fresh.join(unseen, "blob", "left_semi")
+    if looked:
+        blobs = fresh.groupBy("blob").agg(F.first("text").alias("text"))
+        blobs.select("blob", F.lit(RULE_VERSION).alias("rule_version"), find(F.col("text")).alias("spans")).write.mode("append").parquet(ledger)
     entries = spark.read.schema(f"blob string, rule_version string, spans {SPANS}").parquet(ledger).where(F.col("rule_version") == RULE_VERSION)
-    # blobs without findings need no join partner
-    return paths.join(entries.where(F.size("spans") > 0).select("blob", "spans"), "blob", "left").select("doc_id", "blob", F.coalesce("spans", F.array().cast(SPANS)).alias("spans"))
+    # blobs without findings need no join partner; an entry that was written twice counts once
+    once = entries.where(F.size("spans") > 0).groupBy("blob").agg(F.first("spans").alias("spans"))
+    return paths.join(once, "blob", "left").select("doc_id", "blob", F.coalesce("spans", F.array().cast(SPANS)).alias("spans"))
 
 
 def _said(spans):
@@ -101,9 +106,9 @@ def digest(found: DataFrame) -> DataFrame:
 def redact(docs: DataFrame, mask: str = "[secret]") -> DataFrame:
     """``docs`` with every found span replaced; rows and other columns stay."""
     columns = docs.columns
-    ledger = f"{shared_dir(docs.sparkSession)}/ledger-{uuid.uuid4().hex}"
-    found = scan(docs, ledger)
-    spans = found.where(F.size("spans") > 0).groupBy("blob").agg(F.first("spans").alias("_spans")).withColumnRenamed("blob", "_blob")
+    own, blob, held = (unused(docs, name) for name in ("own_blob", "found_blob", "found_spans"))
+    found = scan(docs)
+    spans = found.where(F.size("spans") > 0).groupBy(F.col("blob").alias(blob)).agg(F.first("spans").alias(held))
     text = F.col("text")
 
     def step(acc, s):  # overlapping spans are masked once
@@ -111,8 +116,8 @@ def redact(docs: DataFrame, mask: str = "[secret]") -> DataFrame:
         out = F.when(fresh, F.concat(acc["out"], text.substr(acc["pos"] + 1, s["start"] - acc["pos"]), F.lit(mask))).otherwise(acc["out"])
         return F.struct(F.greatest(acc["pos"], s["end"]).alias("pos"), out.alias("out"))
 
-    masked = F.aggregate("_spans", F.struct(F.lit(0).alias("pos"), F.lit("").alias("out")), step, lambda acc: F.concat(acc["out"], text.substr(acc["pos"] + 1, F.length(text))))
-    return docs.withColumn("_own", F.sha2(text_of(), 256)).join(spans, F.col("_own") == F.col("_blob"), "left").withColumn("text", F.when(F.col("_spans").isNull(), text).otherwise(masked)).select(*columns)
+    masked = F.aggregate(held, F.struct(F.lit(0).alias("pos"), F.lit("").alias("out")), step, lambda acc: F.concat(acc["out"], text.substr(acc["pos"] + 1, F.length(text))))
+    return docs.withColumn(own, F.sha2(text_of(), 256)).join(spans, F.col(own) == F.col(blob), "left").withColumn("text", F.when(F.col(held).isNull(), text).otherwise(masked)).select(*columns)
 
 
 def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
