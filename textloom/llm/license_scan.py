@@ -168,13 +168,13 @@ def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def oracle() -> str:
-    """Brute force: every line against every template."""
-    templates = ", ".join(f"({i}, '{label}', {words!r}::varchar[], {need})" for i, label, words, need in _needs())
+    """Brute force: every line, and every window as long as a template, against every template."""
+    templates = ", ".join(f"({i}, '{label}', {words!r}::varchar[], {need}, {len(TEMPLATES[i][1].split())})" for i, label, words, need in _needs())
     pattern = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
     low = "translate(coalesce(text,''),'ABCDEFGHIJKLMNOPQRSTUVWXYZ','abcdefghijklmnopqrstuvwxyz')"
     phrases = ", ".join(f"({p.split()!r}::varchar[], '{label}')" for p, label in PHRASES.items())
     return f"""
-    WITH t(t, label, ws, need) AS (VALUES {templates}),
+    WITH t(t, label, ws, need, n) AS (VALUES {templates}),
     ph(ws, label) AS (VALUES {phrases}),
     d AS (SELECT row_number() OVER () AS rid, doc_id, {low} AS low FROM documents),
     w AS (SELECT rid, doc_id, regexp_extract_all(low, '{pattern}') AS ws FROM d),
@@ -184,7 +184,11 @@ def oracle() -> str:
     base AS (SELECT rid, count(*) AS n_base, min(i) - 1 AS first_word, max(i) - 1 AS last_word, list(DISTINCT label) AS labels FROM starts GROUP BY rid),
     lines AS (SELECT rid, list_distinct(regexp_extract_all(line, '{pattern}')) AS ws FROM (SELECT rid, unnest(string_split(low, chr(10))) AS line FROM d)),
     hits AS (SELECT rid, label, len(list_intersect(lines.ws, t.ws)) / len(t.ws) AS score FROM lines, t WHERE len(list_intersect(lines.ws, t.ws)) >= need),
-    found AS (SELECT rid, list(DISTINCT label) AS labels, max(score) AS score FROM hits GROUP BY rid)
+    pos AS (SELECT rid, unnest(generate_series(1, len(ws))) AS i, unnest(ws) AS word FROM w),
+    held AS (SELECT rid, t.t, i, word FROM pos JOIN (SELECT t, unnest(ws) AS word FROM t) x USING (word) JOIN t ON t.t = x.t),
+    wins AS (SELECT a.rid, a.t, a.i, count(DISTINCT b.word) AS common FROM held a JOIN t ON t.t = a.t JOIN held b ON b.rid = a.rid AND b.t = a.t AND b.i >= a.i AND b.i < a.i + t.n GROUP BY a.rid, a.t, a.i),
+    both_hits AS (SELECT * FROM hits UNION ALL SELECT rid, label, common / len(t.ws) FROM wins JOIN t USING (t) WHERE common >= need),
+    found AS (SELECT rid, list(DISTINCT label) AS labels, max(score) AS score FROM both_hits GROUP BY rid)
     SELECT w.doc_id, len(w.ws)::bigint AS n_words, coalesce(n_base, 0)::bigint AS n_base, first_word::bigint AS first_word, last_word::bigint AS last_word,
       array_to_string(list_sort(coalesce(base.labels, [])), ',') AS base_labels,
       array_to_string(list_sort(list_distinct(list_concat(coalesce(base.labels, []), coalesce(found.labels, [])))), ',') AS labels,
