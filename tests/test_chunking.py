@@ -1,4 +1,5 @@
 import numpy as np
+import pytest
 
 from pyspark.sql import functions as F
 
@@ -32,12 +33,42 @@ def test_sentence_pack(spark):
 
 
 def test_local_minima(spark):
-    s = spark.createDataFrame([(0, i, t, 1, v) for i, (t, v) in enumerate([("A.", 1.0), ("B.", 0.1), ("C.", 1.0)])], "doc_id long, pos int, text string, token_count int, score double")
-    assert texts(chunking.by_boundaries(chunking.local_minima(s, 0.5), "ppl")) == ["A. B.", "C."]
+    d = docs(spark, "A.  B. C.")
+    fixed = lambda d, context: chunking.segmented(d).withColumn("scores", F.array(F.lit(1.0), F.lit(0.1), F.lit(1.0)))
+    assert texts(chunking.perplexity_chunks(d, 0.5, scorer=fixed)) == ["A.  B.", "C."]
+
+
+def test_chunks_are_slices(spark):
+    body = "One a.\n\nTwo b.  Three\u00a0c. "
+    assert texts(chunking.perplexity_chunks(docs(spark, body), context="none")) == [body.strip()]
+    rows = chunking.segments(docs(spark, body)).orderBy("pos").collect()
+    assert all(body[r["start"] : r["end"]] == r["text"] for r in rows) and [r["token_count"] for r in rows] == [2, 2, 2]
+    assert texts(chunking.fixed(docs(spark, "a\u00a0b c"), 2)) == ["a\u00a0b", "c"]
+
+
+def test_scores_by_context(spark):
+    none = lambda s: F.transform(s, lambda x: F.lit(0.0))
+    d = docs(spark, "a b. c d. a b. d e.")
+    got = {c: chunking.scored_segments(d, c, none).first()["scores"] for c in chunking.POLICIES}
+    assert got == {"all_previous_segments": [1.0, 1.0, 0.0, 1.0], "previous_segment": [1.0] * 4, "none": [1.0] * 4}
+    with pytest.raises(ValueError, match="context policy"):
+        chunking.scored_segments(d, "all")
+
+
+def test_thresholds(spark):
+    row = spark.createDataFrame([([1.0, 2.0, 3.0, 10.0],)], "d array<double>")
+    say = lambda *how: row.select(chunking.threshold(F.col("d"), *how)).first()[0]
+    assert say("percentile", 95.0) == pytest.approx(8.95) and say("absolute", 0.4) == 0.4
+    assert say("mean_std", 1.0) == pytest.approx(4 + np.std([1, 2, 3, 10])) and say("mean_iqr", 2.0) == pytest.approx(4 + 2 * 3.0)
+    assert say(lambda d: F.array_max(d), 0.0) == 10.0
+    with pytest.raises(ValueError, match="policy"):
+        say("median", 1.0)
 
 
 def marked(spark, sizes, cuts):
-    return spark.createDataFrame([(0, i, f"s{i}", n, c) for i, (n, c) in enumerate(zip(sizes, cuts, strict=True))], "doc_id long, pos int, text string, token_count int, cut boolean")
+    sents = [f"s{i}" for i in range(len(sizes))]
+    row = (0, sents, [3 * i for i in range(len(sizes))], sizes, [f" {x}" for x in sents], cuts)
+    return spark.createDataFrame([row], "doc_id long, sents array<string>, starts array<int>, n array<int>, pieces array<string>, cuts array<boolean>")
 
 
 def test_merge_keeps_a_small_document(spark):

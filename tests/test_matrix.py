@@ -41,3 +41,26 @@ def test_run_isolates_and_resumes(spark, tmp_path):
     assert again["completed"][0]["run_id"] == first["run_id"]
     changed = experiment(tmp_path, execution={"resume": True}, methods=[{"name": "fixed_256", "chunk_size": 7}])
     assert matrix.finished(spark, f"{tmp_path}/r/synthetic/fixed_256", matrix.expand(changed)[0]["run_id"]) is None
+
+
+def test_late_vectors_know_their_document(spark):
+    e = matrix.Experiment("r", [{"name": "synthetic"}], [{"name": "late_fixed_256"}], "o")
+    bundle = matrix.raw.synthetic(spark)
+    got = {}
+    for name in ("fixed_256", "late_fixed_256"):
+        m = {"name": name, "chunk_size": 6}
+        chunks = matrix.chunk(bundle, m)
+        got[name] = {r["item_id"].split(":")[-1] + r["item_id"][:6]: r["vector"] for r in matrix.represent(e, bundle, chunks, m).collect()}
+    assert got["fixed_256"].keys() == got["late_fixed_256"].keys() and all(got["fixed_256"][k] != got["late_fixed_256"][k] for k in got["fixed_256"])
+    assert all(abs(sum(x * x for x in v) - 1) < 1e-9 for v in got["late_fixed_256"].values())
+
+
+def test_late_limits(spark):
+    e = matrix.Experiment("r", [{"name": "synthetic"}], [{"name": "late_fixed_256"}], "o")
+    bundle = matrix.raw.synthetic(spark)
+    for policy, said in (("error", "over 5 tokens"), ("truncate", "no token inside")):
+        m = {"name": "late_fixed_256", "chunk_size": 6, "max_document_tokens": 5, "long_document_policy": policy}
+        with pytest.raises(Exception, match=said):
+            matrix.represent(e, bundle, matrix.chunk(bundle, m), m).collect()
+    m["long_document_policy"] = "window"
+    assert matrix.represent(e, bundle, matrix.chunk(bundle, m), m).count() == matrix.chunk(bundle, m).count()

@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+#: White space by Unicode, as a character class body that Java, RE2 and Python read alike.
+SPACE = "\\x09-\\x0D\\x1C-\\x20\u0085\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+#: Tokens, terms and sentences.
 LEXICAL = r"[\p{L}\p{N}_]+"
 TERM = r"[\p{L}\p{N}_]{2,}"
-PIECE = r"\s*\S+"
-SENTENCE = r"(?sd)\S.*?(?:[.!?](?=\s|$)|$)"
+TOKEN = f"[^{SPACE}]+"
+PIECE = f"[{SPACE}]*[^{SPACE}]+"
+SENTENCE = f"(?sd)[^{SPACE}].*?(?:[.!?](?=[{SPACE}]|$)|$)"
 
 
 def text_of(name: str = "text") -> Column:
@@ -30,30 +34,31 @@ def pieces(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(PIECE), F.lit(0))
 
 
+def tokens(text: Column) -> Column:
+    """White-space tokens."""
+    return F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0))
+
+
 def token_count(text: Column) -> Column:
-    return F.size(F.regexp_extract_all(text, F.lit(r"\S+"), F.lit(0)))
+    return F.size(tokens(text))
 
 
 def lstrip(text: Column) -> Column:
-    return F.regexp_replace(text, r"^\s+", "")
+    return F.regexp_replace(text, f"^[{SPACE}]+", "")
 
 
 def sentences(text: Column) -> Column:
     """Sentences end at . ! or ? before white space, or at the end of the text."""
-    return F.filter(F.regexp_extract_all(text, F.lit(SENTENCE), F.lit(0)), lambda s: F.trim(s) != "")
-
-
-def squeeze(text: Column) -> Column:
-    return F.regexp_replace(F.regexp_replace(F.lower(text), r"\s+", " "), r"^ | $", "")
+    return F.regexp_extract_all(text, F.lit(SENTENCE), F.lit(0))
 
 
-def slug(text: Column) -> Column:
-    return F.regexp_replace(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}_]+", "-"), r"^-+|-+$", "")
+def gaps(text: Column) -> Column:
+    """What stands before each sentence, and behind the last one."""
+    return F.split(text, SENTENCE, -1)
 
 
-def title_key(text: Column) -> Column:
-    """Underscores and runs of white space become one space."""
-    return F.trim(F.regexp_replace(F.translate(text, "_", " "), r"\s+", " "))
+def squeeze(text: Column) -> Column:
+    return F.regexp_replace(F.regexp_replace(F.lower(text), f"[{SPACE}]+", " "), r"^ | $", "")
 
 
 def bucket(token: Column, dim: int) -> Column:
@@ -61,14 +66,19 @@ def bucket(token: Column, dim: int) -> Column:
     return F.pmod(F.conv(F.substring(F.md5(token), 1, 15), 16, 10).cast("bigint"), F.lit(dim)).cast("int")
 
 
-def dot(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
+def bag_dot(a: Column, b: Column) -> Column:
+    """Dot product of the count vectors of two arrays of buckets."""
+    times = lambda bag, x: F.size(F.filter(bag, lambda y: y == x)).cast("long")
+    return F.aggregate(F.array_intersect(a, b), F.lit(0).cast("long"), lambda s, x: s + times(a, x) * times(b, x))
+
+
+def bag_norm(a: Column) -> Column:
+    return F.sqrt(bag_dot(a, a))
 
 
-def cosine_distance(a: Column, b: Column) -> Column:
-    """1 - cosine; 1 for a zero vector."""
-    norms = F.sqrt(dot(a, a)) * F.sqrt(dot(b, b))
-    return F.when(norms == 0, F.lit(1.0)).otherwise(1 - dot(a, b) / norms)
+def bag_cosine(a: Column, b: Column, norm_a: Column, norm_b: Column) -> Column:
+    """Cosine of two bags of those norms; 0 if one is empty."""
+    return F.when((norm_a == 0) | (norm_b == 0), F.lit(0.0)).otherwise(bag_dot(a, b) / (norm_a * norm_b))
 
 
 def representation(title: Column, text: Column, strategy: str, lead: int) -> Column:

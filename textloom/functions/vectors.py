@@ -5,9 +5,14 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType
 
 from . import text as T
 
@@ -30,31 +35,81 @@ def hashing(items: DataFrame, dim: int = 256) -> DataFrame:
     return toks.join(token_hashes(toks), "t").groupBy("item_id", F.pmod("low", F.lit(dim)).cast("int").alias("bucket")).agg(F.sum("c").alias("count"))
 
 
-def signed_hashing(items: DataFrame, dim: int = 512) -> DataFrame:
-    """Terms with a sign from bit 8 of the hash, unit length: item_id, bucket, weight. Zero vectors have no rows."""
+def native_hashes(tokens: DataFrame) -> DataFrame:
+    """(t, low, negative) of each different token by the engine's own md5: the twin that SQL can follow."""
+    return tokens.select("t").distinct().select("t", F.conv(F.substring(F.md5("t"), 1, 15), 16, 10).cast("bigint").alias("low"), (F.substring(F.md5("t"), 16, 1) >= "8").alias("negative"))
+
+
+def signed_hashing(items: DataFrame, dim: int = 512, native: bool = False) -> DataFrame:
+    """Terms with a sign from the hash, unit length: item_id, bucket, weight. Zero vectors have no rows."""
     toks = items.select("item_id", F.explode(T.terms(T.text_of())).alias("t")).groupBy("item_id", "t").agg(F.count("*").alias("c"))
-    sign = F.when(F.shiftright("low", 8).bitwiseAND(F.lit(1)) == 1, 1).otherwise(-1)
-    v = toks.join(token_hashes(toks), "t").groupBy("item_id", F.pmod("low", F.lit(dim)).cast("int").alias("bucket")).agg(F.sum(F.col("c") * sign).alias("w")).where("w <> 0")
+    hashes = native_hashes(toks) if native else token_hashes(toks).withColumn("negative", F.shiftright("low", 8).bitwiseAND(F.lit(1)) == 0)
+    sign = F.when(F.col("negative"), -1).otherwise(1)
+    v = toks.join(hashes, "t").groupBy("item_id", F.pmod("low", F.lit(dim)).cast("int").alias("bucket")).agg(F.sum(F.col("c") * sign).alias("w")).where("w <> 0")
     norm = v.groupBy("item_id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
     return v.join(norm, "item_id").select("item_id", "bucket", (F.col("w") / F.col("norm")).alias("weight"))
 
 
-def late_pooling(docs: DataFrame, size: int, dim: int = 256) -> DataFrame:
-    """Chunk vectors pooled from token vectors that know their document: the mean over a chunk's
-    tokens of onehot(token) + onehot(document): doc_id, chunk_order, bucket, weight."""
-    from ..operators.chunking import late
+def filled(items: DataFrame, sparse: DataFrame, dim: int, weight: str = "weight") -> DataFrame:
+    """Sparse rows (item_id, bucket, weight) as one vector per row of ``items`` (item_id); items without rows have zeros."""
+    held = sparse.groupBy("item_id").agg(F.collect_list(F.struct("bucket", F.col(weight).cast("double").alias("w"))).alias("m"))  # at most dim buckets
+    rows = items.select("item_id").join(held, "item_id", "left")
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column(1)
+            out = np.zeros((batch.num_rows, dim))
+            flat = lists.flatten()
+            row = np.repeat(np.arange(batch.num_rows), pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False))
+            out[row, flat.field(0).to_numpy()] = flat.field(1).to_numpy()
+            offsets = pa.array(np.arange(0, out.size + 1, dim, dtype=np.int32))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(offsets, pa.array(out.ravel()))], names=["item_id", "vector"])
+
+    return rows.mapInArrow(spread, "item_id string, vector array<double>")
+
+
+def late_pooling(docs: DataFrame, chunks: DataFrame, dim: int = 256, limit: int = 8192, policy: str = "error", native: bool = False) -> DataFrame:
+    """Chunk vectors pooled from token vectors that know their document: item_id, bucket, weight.
 
-    chunks = late(docs, size)
-    toks = chunks.select("doc_id", "chunk_order", "token_count", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"\S+"), F.lit(0))).alias("t")).groupBy("doc_id", "chunk_order", "token_count", "t").agg(F.count("*").alias("c"))
-    own = toks.join(token_hashes(toks), "t").select("doc_id", "chunk_order", F.pmod("low", F.lit(dim)).cast("int").alias("bucket"), (F.col("c") / F.col("token_count")).alias("w"))
+    The mean over the document's tokens inside a chunk's span (doc_id, chunk_id, start, end) of onehot(token) +
+    onehot(document). Documents over ``limit`` tokens are refused, cut there, or (window) read whole. A chunk without
+    a token inside is refused."""
+    if policy not in ("error", "truncate", "window"):
+        raise ValueError(f"unknown policy for long documents {policy!r}")
+    hashes = native_hashes if native else token_hashes
+    bucket = F.pmod("low", F.lit(dim)).cast("int").alias("bucket")
     whole = docs.select("doc_id", F.lower(T.text_of()).alias("t"))
-    doc_bucket = whole.join(token_hashes(whole), "t").select("doc_id", F.pmod("low", F.lit(dim)).cast("int").alias("bucket"))
-    ctx = chunks.select("doc_id", "chunk_order").join(doc_bucket, "doc_id").select("doc_id", "chunk_order", "bucket", F.lit(1.0).alias("w"))
-    return own.unionByName(ctx).groupBy("doc_id", "chunk_order", "bucket").agg(F.round(F.sum("w"), 9).alias("weight"))
+    pieces = docs.select("doc_id", F.posexplode(T.pieces(T.text_of())).alias("pos", "piece"))
+    upto = F.sum(F.length("piece")).over(W.partitionBy("doc_id").orderBy("pos"))
+    toks = pieces.select("doc_id", "pos", upto.alias("t_end"), F.lower(T.lstrip(F.col("piece"))).alias("t")).withColumn("t_start", F.col("t_end") - F.length("t"))
+    if policy == "error":
+        toks = toks.withColumn("pos", F.when(F.col("pos") < limit, F.col("pos")).otherwise(F.raise_error(F.concat(F.lit(f"over {limit} tokens: document "), F.col("doc_id").cast("string")))))
+    if policy != "window":
+        toks = toks.where(F.col("pos") < limit)
+    inside = toks.join(chunks.select("doc_id", "chunk_id", "start", "end"), "doc_id").where("t_start >= start AND t_end <= end")
+    counts = inside.groupBy("doc_id", "chunk_id", "t").agg(F.count("*").alias("c"))
+    total = counts.groupBy(F.col("chunk_id").alias("item_id")).agg(F.sum("c").alias("n"))
+    all_chunks = chunks.select(F.col("chunk_id").alias("item_id"), "doc_id").join(total, "item_id", "left")
+    all_chunks = all_chunks.select("item_id", "doc_id", F.when(F.col("n").isNull(), F.raise_error(F.concat(F.lit("no token inside chunk "), F.col("item_id"))).cast("long")).otherwise(F.col("n")).alias("n"))
+    own = counts.join(hashes(counts), "t").select(F.col("chunk_id").alias("item_id"), bucket, F.col("c").cast("double").alias("w"))
+    ctx = all_chunks.join(whole.join(hashes(whole), "t").select("doc_id", bucket), "doc_id").select("item_id", "bucket", F.col("n").cast("double").alias("w"))
+    both = own.unionByName(ctx).groupBy("item_id", "bucket").agg(F.sum("w").alias("w")).join(all_chunks.select("item_id", "n"), "item_id")
+    return both.select("item_id", "bucket", F.round(F.col("w") / F.col("n"), 9).alias("weight"))
+
+
+def late_dense(docs: DataFrame, chunks: DataFrame, dim: int = 256, limit: int = 8192, policy: str = "error", normalise: bool = True) -> DataFrame:
+    """Rows of ``late_pooling`` as one vector per chunk, of unit length unless ``normalise`` is off."""
+    v = filled(chunks.select(F.col("chunk_id").alias("item_id")), late_pooling(docs, chunks, dim, limit, policy), dim)
+    norm = F.sqrt(F.aggregate("vector", F.lit(0.0), lambda s, x: s + x * x))
+    return v.select("item_id", F.transform("vector", lambda x: F.when(norm > 0, x / norm).otherwise(x)).alias("vector")) if normalise else v
+
+
+@F.pandas_udf(ArrayType(DoubleType()))
+def blake2b_jitter(sents: pd.Series) -> pd.Series:
+    """Each segment's jitter by a 16-bit blake2b hash, for runs that must match others' scores."""
+    return sents.map(lambda xs: [int.from_bytes(hashlib.blake2b(x.encode(), digest_size=2).digest(), "little") / 65535.0 / 1000.0 for x in xs])
 
 
 def dense(items: DataFrame, dim: int = 256) -> DataFrame:
     """Rows of ``hashing`` as one vector per item (item_id, vector); items without tokens have zeros."""
-    held = hashing(items, dim).groupBy("item_id").agg(F.map_from_entries(F.collect_list(F.struct("bucket", F.col("count").cast("double")))).alias("m"))
-    at = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0.0)))
-    return items.select("item_id").join(held, "item_id", "left").select("item_id", at.alias("vector"))
+    return filled(items, hashing(items, dim), dim, "count")

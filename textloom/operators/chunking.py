@@ -1,7 +1,8 @@
 """Chunking of documents (doc_id, text) as DataFrame plans.
 
-Chunks have doc_id, chunk_order, chunk_id, text, token_count. Texts are sliced from the
-documents' own pieces, so nothing but the slice is carried along.
+Chunks have doc_id, chunk_order, chunk_id, text, token_count. Every method but single linkage
+works within one row per document, on arrays, so that no method shuffles; texts are sliced from
+the documents' own pieces, gaps between segments included.
 """
 
 from __future__ import annotations
@@ -11,7 +12,6 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -19,177 +19,259 @@ from ..functions import text as T
 CHUNK = "doc_id long, chunk_order int, chunk_id string, text string, token_count int"
 
 
-def _finish(df: DataFrame, method: str) -> DataFrame:
-    return df.select("doc_id", "chunk_order", F.concat_ws(":", F.col("doc_id").cast("string"), F.lit(method), F.col("chunk_order").cast("string")).alias("chunk_id"), "text", "token_count")
+def _finish(df: DataFrame, method: str, *more: str) -> DataFrame:
+    return df.select("doc_id", "chunk_order", F.concat_ws(":", F.col("doc_id").cast("string"), F.lit(method), F.col("chunk_order").cast("string")).alias("chunk_id"), "text", "token_count", *more)
 
 
-def fixed(docs: DataFrame, size: int, overlap: int = 0, method: str = "fixed") -> DataFrame:
-    """Windows of ``size`` tokens, each ``size - overlap`` after the last; none lies within the one before."""
+def fixed(docs: DataFrame, size: int, overlap: int = 0, method: str = "fixed", spans: bool = False) -> DataFrame:
+    """Windows of ``size`` tokens, each ``size - overlap`` after the last; none lies within the one before.
+
+    With ``spans`` also where they stand in the text: start, end (code points, end exclusive)."""
     if not 0 <= overlap < size:
         raise ValueError("overlap must be at least 0 and less than the size")
-    p = docs.select("doc_id", T.pieces(T.text_of()).alias("p")).where(F.size("p") > 0)
+    p = kept(docs.select("doc_id", T.pieces(T.text_of()).alias("p"))).where(F.size("p") > 0)
     starts = F.sequence(F.lit(0), F.greatest(F.size("p") - overlap - 1, F.lit(0)), F.lit(size - overlap))
-    windows = p.select("doc_id", F.explode(F.transform(starts, lambda s, i: F.struct(i.alias("i"), T.lstrip(F.array_join(F.slice("p", s + 1, size), "")).alias("text"), F.least(F.lit(size), F.size("p") - s).alias("n")))).alias("w"))
-    return _finish(windows.select("doc_id", F.col("w.i").alias("chunk_order"), F.col("w.text").alias("text"), F.col("w.n").alias("token_count")), method)
+    raw = p.select("doc_id", "p", F.transform(starts, lambda s: F.struct(F.array_join(F.slice("p", s + 1, size), "").alias("raw"), F.least(F.lit(size), F.size("p") - s).alias("n"))).alias("ws"))
+    if not spans:
+        w = kept(raw).select("doc_id", F.posexplode("ws").alias("chunk_order", "w"))
+        return _finish(w.select("doc_id", "chunk_order", T.lstrip(F.col("w.raw")).alias("text"), F.col("w.n").alias("token_count")), method)
+    raw = kept(raw.withColumn("steps", F.transform(starts, lambda s: F.length(F.array_join(F.slice("p", s + 1, size - overlap), "")))))
+    before = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("all"))
+    offs = F.aggregate("steps", before, lambda a, n: F.struct((a["at"] + n).alias("at"), F.concat(a["all"], F.array(a["at"])).alias("all")), lambda a: a["all"])
+    w = kept(raw.withColumn("offs", offs)).select("doc_id", F.posexplode(F.zip_with("ws", "offs", lambda w, o: F.struct(w["raw"].alias("raw"), w["n"].alias("n"), o.alias("o")))).alias("chunk_order", "w"))
+    w = w.withColumn("text", T.lstrip(F.col("w.raw"))).withColumn("end", F.col("w.o") + F.length("w.raw")).withColumn("start", F.col("end") - F.length("text"))
+    return _finish(w.withColumn("token_count", F.col("w.n")), method, "start", "end")
+
+
+def kept(df: DataFrame) -> DataFrame:
+    """``df`` with its columns computed once a row: the optimiser must not copy them into the lambdas that read them."""
+    return df.select(F.explode(F.array(F.struct("*"))).alias("row")).select("row.*")
+
+
+def segmented(docs: DataFrame) -> DataFrame:
+    """A row per document: doc_id, and of its sentences sents, starts (code points), n (tokens), pieces (with the gap before)."""
+    t = T.text_of()
+    cut = kept(docs.select("doc_id", T.gaps(t).alias("gaps"), T.sentences(t).alias("sents"))).where(F.size("sents") > 0)
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("starts"))
+
+    def step(acc, x):
+        first = acc["at"] + F.length(x["gap"])
+        return F.struct((first + F.length(x["sent"])).alias("at"), F.concat(acc["starts"], F.array(first)).alias("starts"))
+
+    pairs = F.zip_with(F.slice("gaps", 1, F.size("sents")), "sents", lambda g, x: F.struct(g.alias("gap"), x.alias("sent")))
+    out = cut.select(
+        "doc_id",
+        "sents",
+        F.aggregate(pairs, start, step, lambda acc: acc["starts"]).alias("starts"),
+        F.transform("sents", T.token_count).alias("n"),
+        F.transform(pairs, lambda x: F.concat(x["gap"], x["sent"])).alias("pieces"),
+    )
+    return kept(out)
 
 
 def segments(docs: DataFrame) -> DataFrame:
-    """Sentences in order: doc_id, pos, text, token_count."""
-    s = docs.select("doc_id", F.posexplode(T.sentences(T.text_of())).alias("pos", "text"))
-    return s.select("doc_id", "pos", "text", T.token_count(F.col("text")).alias("token_count"))
+    """Sentences in order: doc_id, pos, text, token_count, start, end."""
+    one = segmented(docs)
+    rows = F.zip_with("sents", "starts", lambda t, b: F.struct(t.alias("text"), b.alias("start")))
+    s = one.select("doc_id", F.posexplode(F.zip_with(rows, "n", lambda r, n: F.struct(r["text"].alias("text"), r["start"].alias("start"), n.alias("n")))).alias("pos", "x"))
+    return s.select("doc_id", "pos", "x.text", F.col("x.n").alias("token_count"), "x.start", (F.col("x.start") + F.length("x.text")).alias("end"))
 
 
-def _pack(sizes, most: int):
-    """Group number of each size when groups are filled greedily up to ``most``: a fold over the sizes."""
-    start = F.struct(F.array().cast("array<int>").alias("groups"), F.lit(-1).alias("group"), F.lit(0).alias("run"))
+def _packed(sizes, most: int):
+    """Groups (first, n) of units filled greedily up to ``most``: one fold over the sizes."""
+    start = F.struct(F.array().cast("array<struct<first:int,n:int>>").alias("done"), F.lit(0).alias("first"), F.lit(0).alias("run"))
+    group = lambda acc: F.array(F.struct(acc["first"].alias("first"), acc["run"].alias("n")))
 
     def step(acc, n):
-        fresh = (acc["group"] < 0) | (acc["run"] + n > most)
-        group = F.when(fresh, acc["group"] + 1).otherwise(acc["group"])
-        return F.struct(F.concat(acc["groups"], F.array(group)).alias("groups"), group.alias("group"), F.when(fresh, n).otherwise(acc["run"] + n).alias("run"))
+        full = (acc["run"] > 0) & (acc["run"] + n > most)
+        return F.struct(F.when(full, F.concat(acc["done"], group(acc))).otherwise(acc["done"]).alias("done"), F.when(full, acc["first"] + acc["run"]).otherwise(acc["first"]).alias("first"), F.when(full, n).otherwise(acc["run"] + n).alias("run"))
 
-    return F.aggregate(sizes, start, step, lambda acc: acc["groups"])
+    return F.aggregate(sizes, start, step, lambda acc: F.when(acc["run"] > 0, F.concat(acc["done"], group(acc))).otherwise(acc["done"]))
 
 
 def sentence_fixed(docs: DataFrame, size: int) -> DataFrame:
     """Sentences packed greedily into chunks of up to ``size`` tokens; longer sentences are cut first."""
     t = T.text_of()
-    base = docs.select("doc_id", T.pieces(t).alias("p"), F.transform(T.sentences(t), lambda s: T.token_count(s)).alias("n")).where(F.size("p") > 0)
+    base = kept(docs.select("doc_id", T.pieces(t).alias("p"), F.transform(T.sentences(t), T.token_count).alias("n"))).where(F.size("p") > 0)
     cut = F.flatten(F.transform("n", lambda n: F.transform(F.sequence(F.lit(0), F.floor((n - 1) / size).cast("int")), lambda i: F.least(F.lit(size), n - i * size))))
-    grouped = base.select("doc_id", "p", cut.alias("u")).withColumn("g", _pack(F.col("u"), size))
-    count = F.transform(F.sequence(F.lit(0), F.array_max("g")), lambda k: F.aggregate(F.zip_with("u", "g", lambda u, g: F.when(g == k, u).otherwise(0)), F.lit(0), lambda a, x: a + x))
-    placed = grouped.select("doc_id", "p", count.alias("c"))
-    first = lambda i: F.aggregate(F.slice("c", 1, i), F.lit(0), lambda a, x: a + x)
-    w = placed.select("doc_id", F.explode(F.transform("c", lambda n, i: F.struct(i.alias("i"), n.alias("n"), T.lstrip(F.array_join(F.slice("p", first(i) + 1, n), "")).alias("text")))).alias("w"))
+    placed = kept(base.select("doc_id", "p", _packed(cut, size).alias("groups")))
+    text = lambda g: T.lstrip(F.array_join(F.slice("p", g["first"] + 1, g["n"]), ""))
+    w = placed.select("doc_id", F.explode(F.transform("groups", lambda g, i: F.struct(i.alias("i"), g["n"].alias("n"), text(g).alias("text")))).alias("w"))
     return _finish(w.select("doc_id", F.col("w.i").alias("chunk_order"), F.col("w.text").alias("text"), F.col("w.n").alias("token_count")), "sentence")
 
 
 def by_boundaries(marked: DataFrame, method: str) -> DataFrame:
-    """Segments (doc_id, pos, text, token_count, cut: boundary after this one) to contiguous chunks."""
-    w = W.partitionBy("doc_id").orderBy("pos")
-    group = F.coalesce(F.sum(F.col("cut").cast("int")).over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).cast("int")
-    g = marked.withColumn("chunk_order", group).groupBy("doc_id", "chunk_order")
-    out = g.agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", "text"))), lambda s: s["text"]), " ").alias("text"), F.sum("token_count").cast("int").alias("token_count"))  # a chunk's own sentences
-    return _finish(out, method)
-
-
-def hashed_segments(docs: DataFrame, dim: int) -> DataFrame:
-    """Segments with their sparse count vector over native hash buckets: a row per (doc, pos, bucket)."""
-    s = segments(docs)
-    return s.select("doc_id", "pos", F.explode(T.lexical_tokens(F.col("text"))).alias("t")).groupBy("doc_id", "pos", T.bucket(F.col("t"), dim).alias("b")).agg(F.count("*").alias("c"))
-
-
-def adjacent_distances(docs: DataFrame, dim: int = 256) -> DataFrame:
-    """Cosine distance of each segment to the next: doc_id, pos (of the left one), distance (rounded to 9 places)."""
-    v = hashed_segments(docs, dim)
-    norm = v.groupBy("doc_id", "pos").agg(F.sqrt(F.sum(F.col("c") * F.col("c"))).alias("norm"))
-    right = v.select("doc_id", (F.col("pos") - 1).alias("pos"), "b", F.col("c").alias("c2"))
-    dots = v.join(right, ["doc_id", "pos", "b"]).groupBy("doc_id", "pos").agg(F.sum(F.col("c") * F.col("c2")).alias("dot"))
-    right_norm = norm.select("doc_id", (F.col("pos") - 1).alias("pos"), F.col("norm").alias("norm2"))
-    s = segments(docs).select("doc_id", "pos")
-    pairs = s.join(s.select("doc_id", (F.col("pos") - 1).alias("pos")), ["doc_id", "pos"], "left_semi")
-    j = pairs.join(norm, ["doc_id", "pos"], "left").join(right_norm, ["doc_id", "pos"], "left").join(dots, ["doc_id", "pos"], "left")
-    return j.select("doc_id", "pos", F.round(F.when(F.col("norm").isNull() | F.col("norm2").isNull(), F.lit(1.0)).otherwise(1 - F.coalesce(F.col("dot"), F.lit(0)) / (F.col("norm") * F.col("norm2"))), 9).alias("distance"))
-
-
-def threshold(policy: str, value: float, score: str = "distance"):
-    """The cut-off of a document's scores as an aggregate; an empty list cuts nowhere."""
-    c = F.col(score)
+    """Rows of ``segmented`` with cuts (array: boundary after this segment) to contiguous chunks, slices of the documents."""
+    last = F.size("sents") - 1
+    at = F.sequence(F.lit(0), last)
+    spans = kept(marked).withColumn("firsts", F.filter(at, lambda i: (i == 0) | F.get("cuts", i - 1))).withColumn("lasts", F.filter(at, lambda i: (i == last) | F.get("cuts", i)))
+    one = lambda f, z: F.struct(f.alias("f"), (z - f + 1).alias("k"))
+    w = kept(spans).select("doc_id", "pieces", "n", F.posexplode(F.zip_with("firsts", "lasts", one)).alias("chunk_order", "g"))
+    count = F.aggregate(F.slice("n", F.col("g.f") + 1, F.col("g.k")), F.lit(0), lambda a, x: a + x)
+    return _finish(w.select("doc_id", "chunk_order", T.lstrip(F.array_join(F.slice("pieces", F.col("g.f") + 1, F.col("g.k")), "")).alias("text"), count.alias("token_count")), method)
+
+
+def native_bag(dim: int = 256):
+    """The stock embedder of a text Column: a bag of native hash buckets of its lexical tokens."""
+    return lambda text: F.transform(T.lexical_tokens(text), lambda t: T.bucket(t, dim))
+
+
+def distances(docs: DataFrame, embed=None) -> DataFrame:
+    """Rows of ``segmented`` with d: the cosine distance of each segment to the next, rounded to 9 places. ``embed`` maps a text Column to a bag."""
+    embed = embed or native_bag()
+    s = kept(segmented(docs).withColumn("bags", F.transform("sents", embed)))
+    s = kept(s.withColumn("norms", F.transform("bags", T.bag_norm)))
+    near = lambda i: F.round(1 - T.bag_cosine(F.get("bags", i), F.get("bags", i + 1), F.get("norms", i), F.get("norms", i + 1)), 9)
+    pairs = F.when(F.size("sents") > 1, F.sequence(F.lit(0), F.size("sents") - 2)).otherwise(F.array().cast("array<int>"))
+    return kept(s.withColumn("d", F.transform(pairs, near)).drop("bags", "norms"))
+
+
+def adjacent_distances(docs: DataFrame, embed=None) -> DataFrame:
+    """doc_id, pos (of the left segment), distance."""
+    return distances(docs, embed).select("doc_id", F.posexplode("d").alias("pos", "distance"))
+
+
+def quantile(values, share: float):
+    """Linear interpolation between the sorted values of an array; null if it is empty."""
+    v = F.array_sort(values)
+    h = (F.size(v) - 1) * F.lit(float(share))
+    low = F.floor(h).cast("int")
+    a, b = F.get(v, low), F.get(v, F.least(low + 1, F.size(v) - 1))
+    return F.when(F.size(v) > 0, a + (h - low) * (b - a))
+
+
+def threshold(scores, policy, value: float):
+    """The cut-off of an array of scores; null (it cuts nowhere) if that is empty. A policy may be a callable of the array."""
+    if callable(policy):
+        return policy(scores)
+    n = F.size(scores)
+    mean = F.when(n > 0, F.aggregate(scores, F.lit(0.0), lambda s, x: s + x) / n)
     if policy == "percentile":
-        return F.percentile(c, value / 100)
+        return quantile(scores, value / 100)
     if policy == "absolute":
-        return F.lit(float(value))
+        return F.when(n > 0, F.lit(float(value)))
     if policy == "mean_std":
-        return F.avg(c) + value * F.stddev_pop(c)
+        return mean + value * F.sqrt(F.aggregate(scores, F.lit(0.0), lambda s, x: s + (x - mean) * (x - mean)) / n)
     if policy == "mean_iqr":
-        return F.avg(c) + value * (F.percentile(c, 0.75) - F.percentile(c, 0.25))
+        return mean + value * (quantile(scores, 0.75) - quantile(scores, 0.25))
     raise ValueError(f"unknown threshold policy {policy!r}")
 
 
-def semantic_cuts(docs: DataFrame, dim: int = 256, policy: str = "percentile", value: float = 90.0) -> DataFrame:
-    d = adjacent_distances(docs, dim)
-    t = d.groupBy("doc_id").agg(F.round(threshold(policy, value), 9).alias("threshold"))
-    return d.join(t, "doc_id").select("doc_id", "pos", "distance", "threshold", (F.col("distance") > F.col("threshold")).alias("cut"))
-
-
-def semantic_breakpoint(docs: DataFrame, dim: int = 256, policy: str = "percentile", value: float = 90.0, least: int = 0, most: int | None = None) -> DataFrame:
+def semantic_breakpoint(docs: DataFrame, embed=None, policy="percentile", value: float = 90.0, least: int = 0, most: int | None = None) -> DataFrame:
     """Cut where neighbouring segments are farther apart than the document's threshold; small groups merge to the right."""
-    marked = segments(docs).join(semantic_cuts(docs, dim, policy, value).select("doc_id", "pos", "cut"), ["doc_id", "pos"], "left").withColumn("cut", F.coalesce("cut", F.lit(False)))
-    if least > 0 or most:
-        marked = merge_and_cap(marked, least, most)
-    return by_boundaries(marked, "semantic")
+    d = kept(distances(docs, embed).withColumn("limit", F.round(threshold(F.col("d"), policy, value), 9)))
+    cuts = F.transform("sents", lambda x, i: F.coalesce(F.get("d", i) > F.col("limit"), F.lit(False)))
+    return by_boundaries(merge_and_cap(d.withColumn("cuts", cuts), least, most), "semantic")
 
 
 def merge_and_cap(marked: DataFrame, least: int = 0, most: int | None = None) -> DataFrame:
-    """Boundaries after merging groups under ``least`` tokens and splitting those over ``most`` between segments."""
-    rows = marked.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("pos", "token_count", "cut"))).alias("s"))
-    start = F.struct(F.array().cast("array<boolean>").alias("cuts"), F.lit(0).alias("run"))
-
-    def merge(acc, s):
-        run = acc["run"] + s["token_count"]
-        cut = s["cut"] & (run >= least)
-        return F.struct(F.concat(acc["cuts"], F.array(cut)).alias("cuts"), F.when(cut, 0).otherwise(run).alias("run"))
-
-    rows = rows.select("doc_id", "s", F.aggregate("s", start, merge).alias("m"))
-    # a last group that stayed small joins the one before it
-    last = F.expr("array_position(reverse(m.cuts), true)")
-    cuts = F.when((F.col("m.run") > 0) & (F.col("m.run") < least) & (last > 0), F.transform("m.cuts", lambda c, i: c & (i != F.size("m.cuts") - last))).otherwise(F.col("m.cuts"))
-    rows = rows.select("doc_id", "s", cuts.alias("cuts"))
+    """``cuts`` after merging groups under ``least`` tokens and splitting those over ``most`` between segments."""
+    rows = marked
+    if least > 0:
+        start = F.struct(F.array().cast("array<boolean>").alias("cuts"), F.lit(0).alias("run"))
+
+        def merge(acc, s):
+            run = acc["run"] + s["n"]
+            cut = s["cut"] & (run >= least)
+            return F.struct(F.concat(acc["cuts"], F.array(cut)).alias("cuts"), F.when(cut, 0).otherwise(run).alias("run"))
+
+        both = F.zip_with("n", "cuts", lambda n, c: F.struct(n.alias("n"), c.alias("cut")))
+        rows = kept(kept(rows).withColumn("m", F.aggregate(both, start, merge)))
+        # a last group that stayed small joins the one before it
+        last = F.expr("array_position(reverse(m.cuts), true)")
+        joined = F.transform("m.cuts", lambda c, i: c & (i != F.size("m.cuts") - last))
+        rows = rows.withColumn("cuts", F.when((F.col("m.run") > 0) & (F.col("m.run") < least) & (last > 0), joined).otherwise(F.col("m.cuts"))).drop("m")
     if most:
-        sizes = F.transform("s", lambda x: x["token_count"])
+        rows = kept(rows)
 
         def cap(acc, x):
             fresh = x["cut_before"] | (acc["run"] + x["n"] > most)
             first = F.size(acc["new"]) == 0
             return F.struct(F.concat(acc["new"], F.array(fresh & ~first)).alias("new"), F.when(fresh | first, x["n"]).otherwise(acc["run"] + x["n"]).alias("run"))
 
-        pairs = F.zip_with(sizes, F.concat(F.array(F.lit(False)), F.slice("cuts", 1, F.size("cuts") - 1)), lambda n, c: F.struct(n.alias("n"), c.alias("cut_before")))
+        pairs = F.transform("n", lambda n, i: F.struct(n.alias("n"), F.coalesce(F.get("cuts", i - 1), F.lit(False)).alias("cut_before")))
         none = F.struct(F.array().cast("array<boolean>").alias("new"), F.lit(0).alias("run"))
         new = F.aggregate(pairs, none, cap, lambda a: a["new"])
-        rows = rows.select("doc_id", "s", F.concat(F.slice(new, 2, F.size("s")), F.array(F.lit(False))).alias("cuts"))
-    flat = rows.select("doc_id", F.explode(F.zip_with("s", "cuts", lambda s, c: F.struct(s["pos"].alias("pos"), c.alias("cut")))).alias("x")).select("doc_id", "x.pos", "x.cut")
-    return marked.drop("cut").join(flat, ["doc_id", "pos"])
+        rows = rows.withColumn("cuts", F.concat(F.slice(new, 2, F.size("n")), F.array(F.lit(False))))
+    return rows
 
 
-def novelty(docs: DataFrame) -> DataFrame:
-    """Deterministic transition score of each segment: the share of its different words not said before in the document."""
-    s = segments(docs)
-    words = s.select("doc_id", "pos", F.explode(F.array_distinct(T.lexical_tokens(F.col("text")))).alias("w"))
-    seen = words.withColumn("first", F.min("pos").over(W.partitionBy("doc_id", "w")))
-    scored = seen.groupBy("doc_id", "pos").agg((F.sum((F.col("first") == F.col("pos")).cast("int")) / F.count("*")).alias("score"))
-    return s.join(scored, ["doc_id", "pos"], "left").select("doc_id", "pos", "text", "token_count", F.round(F.when(F.col("pos") == 0, 0.0).otherwise(F.coalesce("score", F.lit(0.0))), 9).alias("score"))
+POLICIES = ("all_previous_segments", "previous_segment", "none")
 
 
-def local_minima(scored: DataFrame, prominence: float) -> DataFrame:
-    """Marks interior minima of ``score`` in each document as ``cut``: lower than before, not above what follows."""
-    w = W.partitionBy("doc_id").orderBy("pos")
-    a, b, c = F.lag("score").over(w), F.col("score"), F.lead("score").over(w)
-    return scored.withColumn("cut", F.coalesce((b < a) & (b <= c) & (F.greatest(a - b, c - b) >= prominence - 1e-12), F.lit(False)))
+def native_jitter(sents):
+    """A thousandth at most, by each segment's own hash, so that equal shares differ."""
+    return F.transform(sents, lambda s: T.bucket(s, 65536) / F.lit(65535.0) / 1000)
 
 
-def perplexity_chunks(docs: DataFrame, prominence: float = 0.1, most: int | None = None) -> DataFrame:
-    marked = local_minima(novelty(docs), prominence)
-    return by_boundaries(merge_and_cap(marked, 0, most) if most else marked, "ppl")
+def scored_segments(docs: DataFrame, context: str = "all_previous_segments", jitter=native_jitter) -> DataFrame:
+    """Rows of ``segmented`` with scores: the share of each segment's different words that its context lacks, and a jitter."""
+    if context not in POLICIES:
+        raise ValueError(f"unknown context policy {context!r}; there are {POLICIES}")
+    s = kept(segmented(docs).withColumn("words", F.transform("sents", lambda x: F.array_distinct(T.tokens(F.lower(x))))))
+    size = lambda w: F.size(w)
+    if context == "none":
+        fresh = F.transform("words", size)
+    elif context == "previous_segment":
+        fresh = F.transform("words", lambda w, i: F.when(i == 0, F.size(w)).otherwise(F.size(F.array_except(w, F.get("words", i - 1)))))
+    else:
+        # in order of first use the new words of a segment follow those of all before it
+        s = kept(s.withColumn("known", F.array_distinct(F.flatten("words"))))
+        start = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("fresh"))
 
+        def step(acc, w):
+            new = F.size(F.array_intersect(w, F.slice("known", acc["at"] + 1, F.size(w))))
+            return F.struct((acc["at"] + new).alias("at"), F.concat(acc["fresh"], F.array(new)).alias("fresh"))
 
-def summary_similarity(docs: DataFrame, lead: int = 48) -> DataFrame:
-    """Overlap of each segment's words with the document's first ``lead`` tokens, against the document's mean."""
-    t = T.text_of()
-    heads = docs.select("doc_id", F.array_distinct(T.lexical_tokens(F.array_join(F.slice(T.pieces(t), 1, lead), ""))).alias("head"))
-    s = segments(docs).join(heads, "doc_id")
-    own = F.array_distinct(T.lexical_tokens(F.col("text")))
-    sim = F.when((F.size(own) == 0) | (F.size("head") == 0), F.lit(0.0)).otherwise(F.size(F.array_intersect(own, F.col("head"))) / F.sqrt(F.size(own) * F.size("head")))
-    s = s.select("doc_id", "pos", "text", "token_count", F.round(sim, 9).alias("similarity"))
-    mean = s.groupBy("doc_id").agg(F.round(F.avg("similarity"), 9).alias("mean"))
-    w = W.partitionBy("doc_id").orderBy("pos")
-    above = s.join(mean, "doc_id").withColumn("above", F.col("similarity") >= F.col("mean"))
-    return above.withColumn("cut", F.coalesce(F.col("above") != F.lead("above").over(w), F.lit(False)))
-
-
-def pic_chunks(docs: DataFrame, lead: int = 48, most: int | None = None) -> DataFrame:
+        fresh = F.aggregate("words", start, step, lambda acc: acc["fresh"])
+    s = kept(s.withColumn("fresh", fresh).withColumn("jitter", jitter(F.col("sents"))))
+    share = F.zip_with("fresh", "words", lambda f, w: F.when(F.size(w) > 0, f / F.size(w)))
+    return s.withColumn("scores", F.zip_with(share, "jitter", lambda x, j: F.round(F.coalesce(x + j, F.lit(0.0)), 9))).drop("words", "fresh", "jitter", "known")
+
+
+def minima(scored: DataFrame, prominence: float) -> DataFrame:
+    """``cuts``: interior minima of ``scores``, lower than before and not above what follows, of that prominence."""
+    v = lambda i: F.get("scores", i)
+    inner = lambda i: (i > 0) & (v(i) < v(i - 1)) & (v(i) <= v(i + 1)) & (F.greatest(v(i - 1) - v(i), v(i + 1) - v(i)) >= prominence - 1e-12)
+    return kept(scored).withColumn("cuts", F.transform("scores", lambda _, i: F.coalesce(inner(i), F.lit(False))))
+
+
+def perplexity_chunks(docs: DataFrame, prominence: float = 0.1, most: int | None = None, context: str = "all_previous_segments", scorer=None) -> DataFrame:
+    """Cut after local minima of the transition scores. ``scorer`` maps (docs, context) to rows of ``segmented`` with scores."""
+    return by_boundaries(merge_and_cap(minima((scorer or scored_segments)(docs, context), prominence), 0, most), "ppl")
+
+
+def lead_summary(most: int = 48):
+    """The stock summariser of a text Column: its first ``most`` tokens."""
+    return lambda text: F.array_join(F.slice(T.tokens(text), 1, most), " ")
+
+
+def summary_similarity(docs: DataFrame, embed=None, summarise=None) -> DataFrame:
+    """Rows of ``segmented`` with sims: the cosine of each segment with the document's summary, and mean; cuts where their order changes."""
+    embed, summarise = embed or native_bag(), summarise or lead_summary()
+    heads = docs.select(F.col("doc_id"), "text", embed(summarise(T.text_of())).alias("head"))
+    both = kept(segmented_with(heads, "head").withColumn("bags", F.transform("sents", embed)).withColumn("norm", T.bag_norm(F.col("head"))))
+    s = kept(both.withColumn("sims", F.transform("bags", lambda x: F.round(T.bag_cosine(x, F.col("head"), T.bag_norm(x), F.col("norm")), 9))).drop("bags", "norm"))
+    s = kept(s.withColumn("mean", F.round(F.aggregate("sims", F.lit(0.0), lambda a, x: a + x) / F.size("sims"), 9)))
+    above = lambda i: F.get("sims", i) >= F.col("mean")
+    return s.withColumn("cuts", F.transform("sims", lambda _, i: F.coalesce(above(i) != above(i + 1), F.lit(False)))).drop("head")
+
+
+def segmented_with(docs: DataFrame, *carried: str) -> DataFrame:
+    """``segmented`` that carries other columns of ``docs`` along in the row."""
+    packed = kept(docs).select(F.struct("doc_id", *carried).alias("doc_id"), "text")
+    return segmented(packed).select("doc_id.doc_id", *[F.col(f"doc_id.{c}").alias(c) for c in carried], "sents", "starts", "n", "pieces")
+
+
+def pic_chunks(docs: DataFrame, embed=None, summarise=None, most: int | None = None) -> DataFrame:
     """Chunks where the sign of (similarity - mean) stays the same."""
-    marked = summary_similarity(docs, lead)
-    return by_boundaries(merge_and_cap(marked, 0, most) if most else marked, "pic")
+    return by_boundaries(merge_and_cap(summary_similarity(docs, embed, summarise), 0, most), "pic")
+
+
+def hashed_segments(docs: DataFrame, dim: int) -> DataFrame:
+    """Segments with their sparse count vector over native hash buckets: a row per (doc, pos, bucket)."""
+    s = segments(docs)
+    return s.select("doc_id", "pos", F.explode(T.lexical_tokens(F.col("text"))).alias("t")).groupBy("doc_id", "pos", T.bucket(F.col("t"), dim).alias("b")).agg(F.count("*").alias("c"))
 
 
 def pairwise_distance(docs: DataFrame, weight: float = 0.5, dim: int = 256) -> DataFrame:
@@ -253,8 +335,26 @@ def single_linkage(docs: DataFrame, weight: float = 0.5, segments_per_cluster: i
 
 
 def late(docs: DataFrame, size: int, overlap: int = 0) -> DataFrame:
-    """Boundaries of ``fixed``; their vectors are pooled later from the whole document's tokens."""
-    return fixed(docs, size, overlap, "late")
+    """Boundaries of ``fixed`` with their spans; their vectors are pooled later from the whole document's tokens."""
+    return fixed(docs, size, overlap, "late", True)
+
+
+def advanced_violations(docs: DataFrame, chunks: DataFrame, most: int | None = None) -> DataFrame:
+    """(rule, example) where chunks (doc_id, chunk_order, text, token_count) break what every method owes its document:
+    order without holes, every segment's tokens once, and the cap unless a single segment is over it."""
+    segs = segments(docs).groupBy("doc_id").agg(F.sum("token_count").alias("owed"), F.max("token_count").alias("longest"))
+    got = chunks.groupBy(F.col("doc_id").alias("c_doc")).agg(F.count("*").alias("n"), F.min("chunk_order").alias("lo"), F.max("chunk_order").alias("hi"), F.count_distinct("chunk_order").alias("orders"), F.sum("token_count").alias("held"), F.max("token_count").alias("largest"))
+    both = segs.join(got, F.col("doc_id") == F.col("c_doc"), "full")
+    rules = {
+        "chunks of an unknown document": F.col("doc_id").isNull(),
+        "chunk orders have holes": (F.col("lo") != 0) | (F.col("hi") != F.col("n") - 1) | (F.col("orders") != F.col("n")),
+        "segments lost": F.coalesce("held", F.lit(0)) < F.col("owed"),
+        "segments repeated": F.col("held") > F.col("owed"),
+    }
+    if most:
+        rules["chunks over the cap"] = (F.col("longest") <= most) & (F.col("largest") > most)
+    broken = F.array_compact(F.array(*[F.when(rule, F.lit(name)) for name, rule in rules.items()]))
+    return both.select(F.explode(broken).alias("rule"), F.coalesce("doc_id", "c_doc").cast("string").alias("example"))
 
 
 def user_chunks(docs: DataFrame, chunk) -> DataFrame:

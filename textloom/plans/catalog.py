@@ -46,14 +46,23 @@ BUCKET = "(('0x' || substr(md5(t), 1, 15))::bigint % {dim})"
 
 def fixed_sql(size: int, overlap: int = 0, method: str = "fixed") -> str:
     """CTE body: chunks of fixed windows."""
-    return rf"""SELECT doc_id, (s // {size - overlap})::int AS chunk_order, doc_id || ':{method}:' || (s // {size - overlap}) AS chunk_id,
-      regexp_replace(array_to_string(p[s + 1:s + {size}], ''), '^\s+', '') AS text, least({size}, len(p) - s)::int AS token_count
-      FROM (SELECT doc_id, regexp_extract_all(text, '\s*\S+') AS p FROM documents) d, unnest(generate_series(0, greatest(len(p) - {overlap} - 1, 0), {size - overlap})) AS u(s) WHERE len(p) > 0"""
+    return f"""SELECT doc_id, (s // {size - overlap})::int AS chunk_order, doc_id || ':{method}:' || (s // {size - overlap}) AS chunk_id,
+      regexp_replace(array_to_string(p[s + 1:s + {size}], ''), '^[{T.SPACE}]+', '') AS text, least({size}, len(p) - s)::int AS token_count
+      FROM (SELECT doc_id, regexp_extract_all(text, '{T.PIECE}') AS p FROM documents) d, unnest(generate_series(0, greatest(len(p) - {overlap} - 1, 0), {size - overlap})) AS u(s) WHERE len(p) > 0"""
 
 
-SEGMENTS = r"""sent AS (SELECT doc_id, list_filter(list_transform(string_split(regexp_replace(text, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> '') AS ss FROM documents),
-    seg AS (SELECT doc_id, (i - 1)::int AS pos, ss[i] AS text, len(regexp_extract_all(ss[i], '\S+'))::int AS token_count FROM sent, unnest(generate_series(1, len(ss))) AS u(i))"""
-MERGED = "cutted AS (SELECT *, coalesce(sum(cut::int) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::int AS g FROM marked) SELECT doc_id, g AS chunk_order, doc_id || ':{m}:' || g AS chunk_id, string_agg(text, ' ' ORDER BY pos) AS text, sum(token_count)::int AS token_count FROM cutted GROUP BY doc_id, g"
+TOKENS = f"regexp_extract_all({{}}, '{T.TOKEN}')"
+SEGMENTS = f"""sent AS (SELECT doc_id, string_split(regexp_replace(text, '([.!?])([{T.SPACE}]+)', '\\1' || chr(1) || '\\2', 'g'), chr(1)) AS ss FROM documents),
+    cutting AS (SELECT doc_id, i, ss[i] AS piece, sum(length(ss[i])) OVER (PARTITION BY doc_id ORDER BY i) AS upto FROM sent, unnest(generate_series(1, len(ss))) AS u(i)),
+    trimmed AS (SELECT doc_id, i, upto - length(regexp_replace(piece, '^[{T.SPACE}]+', '')) AS start, regexp_replace(piece, '^[{T.SPACE}]+|[{T.SPACE}]+$', '', 'g') AS text FROM cutting),
+    seg AS (SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1)::int AS pos, text, len({TOKENS.format('text')})::int AS token_count, start::int AS start, (start + length(text))::int AS "end" FROM trimmed WHERE text <> '')"""
+
+
+def merged_sql(method: str) -> str:
+    """CTEs from ``marked`` (segments with cut): chunks are slices of the documents."""
+    return f"""cutted AS (SELECT *, coalesce(sum(cut::int) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::int AS g FROM marked)
+    SELECT doc_id, g AS chunk_order, doc_id || ':{method}:' || g AS chunk_id, n AS token_count, md5(substr(text, s + 1, e - s)) AS text_md5
+    FROM (SELECT doc_id, g, min(start) AS s, max("end") AS e, sum(token_count)::int AS n FROM cutted GROUP BY doc_id, g) JOIN documents USING (doc_id)"""
 
 
 def _short(df: DataFrame) -> DataFrame:
@@ -76,22 +85,24 @@ def fixed_chunks_512_overlap(spark, sf):
     return _short(chunking.fixed(docs(spark, sf), 512, 64))
 
 
-@query(f"WITH {SEGMENTS} SELECT doc_id, pos, token_count, md5(text) AS text_md5 FROM seg")
+@query(f'WITH {SEGMENTS} SELECT doc_id, pos, token_count, start, "end", md5(text) AS text_md5 FROM seg')
 def sentence_segments(spark, sf):
-    return chunking.segments(docs(spark, sf)).select("doc_id", "pos", "token_count", F.md5("text").alias("text_md5"))
+    return chunking.segments(docs(spark, sf)).select("doc_id", "pos", "token_count", "start", "end", F.md5("text").alias("text_md5"))
 
 
-@query(rf"""WITH RECURSIVE {SEGMENTS},
+@query(f"""WITH RECURSIVE {SEGMENTS},
     units AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY pos, j) AS n, least(256, token_count - j * 256)::int AS c FROM seg, unnest(generate_series(0, (token_count - 1) // 256)) AS u(j)),
     walk AS (SELECT doc_id, n, c, c AS run, 0 AS g FROM units WHERE n = 1
-      UNION ALL SELECT u.doc_id, u.n, u.c, CASE WHEN w.run + u.c > 256 THEN u.c ELSE w.run + u.c END, CASE WHEN w.run + u.c > 256 THEN w.g + 1 ELSE w.g END FROM walk w JOIN units u ON u.doc_id = w.doc_id AND u.n = w.n + 1)
-    SELECT doc_id, g::int AS chunk_order, sum(c)::int AS token_count FROM walk GROUP BY doc_id, g""")
+      UNION ALL SELECT u.doc_id, u.n, u.c, CASE WHEN w.run + u.c > 256 THEN u.c ELSE w.run + u.c END, CASE WHEN w.run + u.c > 256 THEN w.g + 1 ELSE w.g END FROM walk w JOIN units u ON u.doc_id = w.doc_id AND u.n = w.n + 1),
+    sized AS (SELECT doc_id, g, sum(c)::int AS c FROM walk GROUP BY doc_id, g), placed AS (SELECT *, (sum(c) OVER (PARTITION BY doc_id ORDER BY g) - c)::int AS b FROM sized),
+    pc AS (SELECT doc_id, regexp_extract_all(text, '{T.PIECE}') AS p FROM documents)
+    SELECT doc_id, g::int AS chunk_order, doc_id || ':sentence:' || g AS chunk_id, c AS token_count, md5(regexp_replace(array_to_string(p[b + 1:b + c], ''), '^[{T.SPACE}]+', '')) AS text_md5 FROM placed JOIN pc USING (doc_id)""")
 def sentence_fixed_256(spark, sf):
-    return chunking.sentence_fixed(docs(spark, sf), 256).select("doc_id", "chunk_order", "token_count")
+    return _short(chunking.sentence_fixed(docs(spark, sf), 256))
 
 
 def _stat_sql(scope: str) -> str:
-    key = ("doc_id, " if scope == "within_document" else "") + r"trim(regexp_replace(lower(text), '\s+', ' ', 'g'))"
+    key = ("doc_id, " if scope == "within_document" else "") + "trim(regexp_replace(lower(text), '[" + T.SPACE + "]+', ' ', 'g'))"
     return f"""WITH c AS ({fixed_sql(256)}), d AS (SELECT count(*) AS n FROM c GROUP BY doc_id), g AS (SELECT count(*) AS n FROM c GROUP BY {key})
     SELECT s.*, p.*, (SELECT sum(n - 1) FROM g)::bigint AS duplicate_chunk_count FROM
     (SELECT count(*)::bigint AS total_chunks, round(avg(token_count), 6) AS tokens_mean, round(quantile_cont(token_count, 0.5), 6)::double AS tokens_median, min(token_count)::double AS tokens_min, max(token_count)::double AS tokens_max,
@@ -110,12 +121,12 @@ def chunk_statistics_corpus(spark, sf):
     return evaluation.statistics(chunking.fixed(docs(spark, sf), 256).withColumn("is_contiguous", F.lit(True)), "corpus")
 
 
-@query(r"SELECT md5(trim(regexp_replace(lower(text), '\s+', ' ', 'g'))) AS text_md5, count(*)::bigint AS n, min(doc_id) AS first_doc FROM documents GROUP BY 1 HAVING count(*) > 1")
+@query(f"SELECT md5(trim(regexp_replace(lower(text), '[{T.SPACE}]+', ' ', 'g'))) AS text_md5, count(*)::bigint AS n, min(doc_id) AS first_doc FROM documents GROUP BY 1 HAVING count(*) > 1")
 def duplicate_documents(spark, sf):
     return docs(spark, sf).groupBy(F.md5(T.squeeze(F.col("text"))).alias("text_md5")).agg(F.count("*").alias("n"), F.min("doc_id").alias("first_doc")).where("n > 1")
 
 
-@query(rf"SELECT doc_id, len(regexp_extract_all(text, '\S+'))::int AS tokens, len({LEX})::int AS lexical, len({TERMS})::int AS terms, length(text)::int AS chars, strlen(text)::int AS bytes FROM documents")
+@query(f"SELECT doc_id, len({TOKENS.format('text')})::int AS tokens, len({LEX})::int AS lexical, len({TERMS})::int AS terms, length(text)::int AS chars, strlen(text)::int AS bytes FROM documents")
 def token_counts(spark, sf):
     t = F.col("text")
     return docs(spark, sf).select("doc_id", T.token_count(t).alias("tokens"), F.size(T.lexical_tokens(t)).alias("lexical"), F.size(T.terms(t)).alias("terms"), F.length(t).alias("chars"), F.octet_length(t).alias("bytes"))
@@ -146,7 +157,7 @@ def _evidence(spark, sf) -> DataFrame:
     return p.join(b, "item_id").select(F.col("item_id").cast("string").alias("query_id"), F.concat_ws(":", F.col("item_id").cast("string"), F.col("doc_id").cast("string")).alias("evidence_id"), "doc_id", "text", T.token_count(F.col("text")).alias("ev_count"))
 
 
-EVIDENCE = rf"{PAIRS}, ev AS (SELECT item_id::varchar AS query_id, item_id || ':' || doc_id AS evidence_id, doc_id, b.text AS text, len(regexp_extract_all(b.text, '\S+'))::int AS ev_count FROM pairs JOIN benchmark b USING (item_id))"
+EVIDENCE = f"{PAIRS}, ev AS (SELECT item_id::varchar AS query_id, item_id || ':' || doc_id AS evidence_id, doc_id, b.text AS text, len({TOKENS.format('b.text')})::int AS ev_count FROM pairs JOIN benchmark b USING (item_id))"
 COVER = rf"chunk AS ({fixed_sql(256)}), ct AS (SELECT doc_id, chunk_id, list_distinct({LEX}) AS ct FROM chunk), cov AS (SELECT query_id, evidence_id, chunk_id, ev_count, list_filter(generate_series(0, len(et) - 1), lambda i: list_contains(ct, et[i + 1])) AS covered FROM (SELECT query_id, evidence_id, doc_id, ev_count, {LEX} AS et FROM ev) JOIN ct USING (doc_id))"
 
 
@@ -370,36 +381,84 @@ def adjacent_distances(spark, sf):
     return chunking.adjacent_distances(docs(spark, sf)).withColumn("distance", F.round("distance", 6))
 
 
-@query(f"WITH {ADJ}, marked AS (SELECT seg.*, coalesce(distance > threshold, false) AS cut FROM seg LEFT JOIN adj USING (doc_id, pos) LEFT JOIN th USING (doc_id)), " + MERGED.format(m="semantic").replace("string_agg(text, ' ' ORDER BY pos) AS text", "md5(string_agg(text, ' ' ORDER BY pos)) AS text_md5"))
+@query(f"WITH {ADJ} SELECT doc_id, round(quantile_cont(distance, 0.75), 6) AS percentile_75, round(avg(distance) + stddev_pop(distance), 6) AS mean_std, round(avg(distance) + 1.5 * (quantile_cont(distance, 0.75) - quantile_cont(distance, 0.25)), 6) AS mean_iqr, 0.5::double AS absolute FROM adj GROUP BY doc_id")
+def threshold_policies(spark, sf):
+    d = chunking.distances(docs(spark, sf)).where(F.size("d") > 0)
+    named = {"percentile_75": ("percentile", 75.0), "mean_std": ("mean_std", 1.0), "mean_iqr": ("mean_iqr", 1.5), "absolute": ("absolute", 0.5)}
+    return d.select("doc_id", *[F.round(chunking.threshold(F.col("d"), *how), 6).alias(n) for n, how in named.items()])
+
+
+@query(f"WITH {ADJ}, marked AS (SELECT seg.*, coalesce(distance > threshold, false) AS cut FROM seg LEFT JOIN adj USING (doc_id, pos) LEFT JOIN th USING (doc_id)), " + merged_sql("semantic"))
 def semantic_breakpoint(spark, sf):
     return _short(chunking.semantic_breakpoint(docs(spark, sf)))
 
 
-NOVEL = f"""{SEGMENTS}, wd AS (SELECT DISTINCT doc_id, pos, t FROM (SELECT doc_id, pos, unnest({LEX}) AS t FROM seg)), fs AS (SELECT doc_id, pos, min(pos) OVER (PARTITION BY doc_id, t) AS f FROM wd),
-    sc AS (SELECT doc_id, pos, round(CASE WHEN pos = 0 THEN 0.0 ELSE coalesce(v, 0) END, 9) AS score, text, token_count FROM seg LEFT JOIN (SELECT doc_id, pos, avg((f = pos)::int) AS v FROM fs GROUP BY ALL) USING (doc_id, pos)),
+def scored_sql(context: str) -> str:
+    """CTEs: segments with the deterministic transition score, and ``marked`` with cuts at its minima."""
+    seen = {"all_previous_segments": "SELECT doc_id, pos, count(*) FILTER (f = pos) AS fresh, count(*) AS n FROM (SELECT *, min(pos) OVER (PARTITION BY doc_id, t) AS f FROM wd) GROUP BY ALL", "previous_segment": "SELECT a.doc_id, a.pos, count(*) FILTER (b.t IS NULL) AS fresh, count(*) AS n FROM wd a LEFT JOIN wd b ON b.doc_id = a.doc_id AND b.pos = a.pos - 1 AND b.t = a.t GROUP BY ALL", "none": "SELECT doc_id, pos, count(*) AS fresh, count(*) AS n FROM wd GROUP BY ALL"}[context]
+    jitter = BUCKET.format(dim=65536).replace("md5(t)", "md5(text)") + " / 65535.0 / 1000"
+    return f"""{SEGMENTS}, wd AS (SELECT DISTINCT doc_id, pos, t FROM (SELECT doc_id, pos, unnest({TOKENS.format('lower(text)')}) AS t FROM seg)), fs AS ({seen}),
+    sc AS (SELECT seg.*, round(fresh / n + {jitter}, 9) AS score FROM seg JOIN fs USING (doc_id, pos)),
     lm AS (SELECT *, lag(score) OVER w AS a, lead(score) OVER w AS c FROM sc WINDOW w AS (PARTITION BY doc_id ORDER BY pos)),
-    marked AS (SELECT doc_id, pos, text, token_count, score, coalesce(score < a AND score <= c AND greatest(a - score, c - score) >= 0.1 - 1e-12, false) AS cut FROM lm)"""
+    marked AS (SELECT *, coalesce(score < a AND score <= c AND greatest(a - score, c - score) >= 0.1 - 1e-12, false) AS cut FROM lm)"""
 
 
-@query(f"WITH {NOVEL} SELECT doc_id, pos, round(score, 6) AS score, cut FROM marked")
+@query(f"WITH {scored_sql('all_previous_segments')} SELECT doc_id, pos, score, cut FROM marked")
 def local_minima(spark, sf):
-    return chunking.local_minima(chunking.novelty(docs(spark, sf)), 0.1).select("doc_id", "pos", F.round("score", 6).alias("score"), "cut")
+    m = chunking.minima(chunking.scored_segments(docs(spark, sf)), 0.1)
+    rows = F.zip_with("scores", "cuts", lambda s, c: F.struct(s.alias("score"), c.alias("cut")))
+    return m.select("doc_id", F.posexplode(rows).alias("pos", "x")).select("doc_id", "pos", "x.score", "x.cut")
 
 
-@query(f"WITH {NOVEL}, " + MERGED.format(m="ppl").replace("string_agg(text, ' ' ORDER BY pos) AS text", "md5(string_agg(text, ' ' ORDER BY pos)) AS text_md5"))
+@query(f"WITH {scored_sql('all_previous_segments')}, " + merged_sql("ppl"))
 def perplexity_chunks(spark, sf):
     return _short(chunking.perplexity_chunks(docs(spark, sf)))
 
 
-@query(rf"""WITH {SEGMENTS}, hd AS (SELECT doc_id, list_distinct(regexp_extract_all(lower(array_to_string(regexp_extract_all(text, '\s*\S+')[1:48], '')), '[\p{{L}}\p{{N}}_]+')) AS h FROM documents),
-    sm AS (SELECT doc_id, pos, text, token_count, round(CASE WHEN len(o) = 0 OR len(h) = 0 THEN 0.0 ELSE len(list_intersect(o, h)) / sqrt(len(o) * len(h)) END, 9) AS similarity FROM (SELECT *, list_distinct({LEX}) AS o FROM seg) JOIN hd USING (doc_id)),
+@query(f"WITH {scored_sql('previous_segment')}, " + merged_sql("ppl"))
+def perplexity_previous_segment(spark, sf):
+    return _short(chunking.perplexity_chunks(docs(spark, sf), context="previous_segment"))
+
+
+@query(f"WITH {scored_sql('none')}, " + merged_sql("ppl"))
+def perplexity_no_context(spark, sf):
+    return _short(chunking.perplexity_chunks(docs(spark, sf), context="none"))
+
+
+def capped_sql(cte: str, method: str, most: int) -> str:
+    """Chunks after groups over ``most`` tokens are split greedily between segments."""
+    return f"""WITH RECURSIVE {cte}, mk AS (SELECT *, coalesce(lag(cut) OVER (PARTITION BY doc_id ORDER BY pos), false) AS before FROM marked),
+    walk AS (SELECT doc_id, pos, token_count AS run, 0 AS g FROM mk WHERE pos = 0
+      UNION ALL SELECT m.doc_id, m.pos, CASE WHEN m.before OR w.run + m.token_count > {most} THEN m.token_count ELSE w.run + m.token_count END, CASE WHEN m.before OR w.run + m.token_count > {most} THEN w.g + 1 ELSE w.g END FROM walk w JOIN mk m ON m.doc_id = w.doc_id AND m.pos = w.pos + 1)
+    SELECT doc_id, g::int AS chunk_order, doc_id || ':{method}:' || g AS chunk_id, n AS token_count, md5(substr(text, s + 1, e - s)) AS text_md5
+    FROM (SELECT doc_id, g, min(start) AS s, max("end") AS e, sum(token_count)::int AS n FROM walk JOIN seg USING (doc_id, pos) GROUP BY doc_id, g) JOIN documents USING (doc_id)"""
+
+
+@query(capped_sql(scored_sql("all_previous_segments"), "ppl", 512))
+def perplexity_dynamic_512(spark, sf):
+    return _short(chunking.perplexity_chunks(docs(spark, sf), most=512))
+
+
+PIC = f"""{HASHED}, hv AS (SELECT doc_id, {BUCKET.format(dim=256)} AS b, count(*) AS c FROM (SELECT doc_id, unnest(regexp_extract_all(lower(array_to_string({TOKENS.format('text')}[1:48], ' ')), '{T.LEXICAL}')) AS t FROM documents) GROUP BY ALL),
+    hn AS (SELECT doc_id, sqrt(sum(c * c)) AS norm FROM hv GROUP BY ALL), ds AS (SELECT v.doc_id, v.pos, sum(v.c * hv.c) AS dot FROM vec v JOIN hv ON v.doc_id = hv.doc_id AND v.b = hv.b GROUP BY ALL),
+    sm AS (SELECT seg.*, round(coalesce(dot / (nrm.norm * hn.norm), 0.0), 9) AS similarity FROM seg LEFT JOIN nrm USING (doc_id, pos) LEFT JOIN hn USING (doc_id) LEFT JOIN ds USING (doc_id, pos)),
     ab AS (SELECT *, similarity >= round(avg(similarity) OVER (PARTITION BY doc_id), 9) AS above FROM sm),
-    marked AS (SELECT *, coalesce(above <> lead(above) OVER (PARTITION BY doc_id ORDER BY pos), false) AS cut FROM ab), """ + MERGED.format(m="pic").replace("string_agg(text, ' ' ORDER BY pos) AS text", "md5(string_agg(text, ' ' ORDER BY pos)) AS text_md5"))
+    marked AS (SELECT *, coalesce(above <> lead(above) OVER (PARTITION BY doc_id ORDER BY pos), false) AS cut FROM ab)"""
+
+
+@query(f"WITH {PIC}, " + merged_sql("pic"))
 def pic_islands(spark, sf):
     return _short(chunking.pic_chunks(docs(spark, sf)))
 
 
-@query()
+@query(capped_sql(PIC, "pic", 512))
+def pic_capped_512(spark, sf):
+    return _short(chunking.pic_chunks(docs(spark, sf), most=512))
+
+
+@query(f"""WITH {HASHED}, nn AS (SELECT doc_id, count(*) AS n FROM seg GROUP BY 1), dt AS (SELECT a.doc_id, a.pos AS i, b.pos AS j, sum(a.c * b.c) AS dot FROM vec a JOIN vec b ON a.doc_id = b.doc_id AND a.b = b.b AND a.pos < b.pos GROUP BY ALL)
+    SELECT a.doc_id, a.pos AS i, b.pos AS j, round(0.5 * (b.pos - a.pos) / n + 0.5 * greatest(0.0, least(1.0, coalesce(1 - coalesce(dot, 0) / (x.norm * y.norm), 1.0))), 6) AS distance
+    FROM seg a JOIN seg b ON a.doc_id = b.doc_id AND a.pos < b.pos JOIN nn ON nn.doc_id = a.doc_id LEFT JOIN dt ON dt.doc_id = a.doc_id AND dt.i = a.pos AND dt.j = b.pos LEFT JOIN nrm x ON x.doc_id = a.doc_id AND x.pos = a.pos LEFT JOIN nrm y ON y.doc_id = a.doc_id AND y.pos = b.pos""")
 def pairwise_distance(spark, sf):
     return chunking.pairwise_distance(docs(spark, sf))
 
@@ -416,7 +475,24 @@ def hash_embed_blake2b(spark, sf):
 
 @query()
 def late_pooling_blake2b(spark, sf):
-    return vectors.late_pooling(docs(spark, sf), 256, 256)
+    d = docs(spark, sf)
+    return vectors.late_pooling(d, chunking.late(d, 256), 256, policy="window")
+
+
+@query(f"""WITH ch AS ({fixed_sql(256, method='late')}), tk AS (SELECT chunk_id, doc_id, token_count AS n, unnest({TOKENS.format('lower(text)')}) AS t FROM ch),
+    own AS (SELECT chunk_id, n, {BUCKET.format(dim=256)} AS b, count(*) AS c FROM tk GROUP BY ALL),
+    ctx AS (SELECT chunk_id, token_count AS n, {BUCKET.format(dim=256)} AS b, token_count AS c FROM ch JOIN (SELECT doc_id, lower(text) AS t FROM documents) USING (doc_id))
+    SELECT chunk_id AS item_id, b::int AS bucket, round(sum(c) / min(n), 6) AS weight FROM (SELECT * FROM own UNION ALL SELECT * FROM ctx) GROUP BY chunk_id, b""")
+def late_pooling(spark, sf):
+    d = docs(spark, sf)
+    return vectors.late_pooling(d, chunking.late(d, 256), 256, policy="window", native=True).withColumn("weight", F.round("weight", 6))
+
+
+@query("SELECT NULL::varchar AS rule, NULL::varchar AS example WHERE false")
+def advanced_chunk_contract(spark, sf):
+    d = docs(spark, sf)
+    made = [chunking.semantic_breakpoint(d), chunking.perplexity_chunks(d, most=512), chunking.pic_chunks(d, most=512)]
+    return made[0].sparkSession.createDataFrame([], "rule string, example string").unionByName(chunking.advanced_violations(d, made[0])).unionByName(chunking.advanced_violations(d, made[1], 512)).unionByName(chunking.advanced_violations(d, made[2], 512))
 
 
 # --- diagnostics, matrix, relational -----------------------------------------------------------

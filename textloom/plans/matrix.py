@@ -54,12 +54,12 @@ for _n in (256, 512):
     METHODS.add(f"fixed_{_n}", lambda docs, c, n=_n: chunking.fixed(docs, c.get("chunk_size", n), c.get("overlap", 0)))
     METHODS.add(f"sentence_fixed_{_n}", lambda docs, c, n=_n: chunking.sentence_fixed(docs, c.get("chunk_size", n)))
     METHODS.add(f"late_fixed_{_n}", lambda docs, c, n=_n: chunking.late(docs, c.get("chunk_size", n), c.get("overlap", 0)))
-METHODS.add("semantic_breakpoint", lambda docs, c: chunking.semantic_breakpoint(docs, c.get("dimension", 256), c.get("threshold_type", "percentile"), c.get("threshold_value", 90.0), c.get("min_chunk_tokens", 0), c.get("max_chunk_tokens")))
+METHODS.add("semantic_breakpoint", lambda docs, c: chunking.semantic_breakpoint(docs, chunking.native_bag(c.get("dimension", 256)), c.get("threshold_type", "percentile"), c.get("threshold_value", 90.0), c.get("min_chunk_tokens", 0), c.get("max_chunk_tokens")))
 METHODS.add("semantic_single_linkage_paper_exact", lambda docs, c: chunking.single_linkage(docs, c.get("lambda_weight", 0.5), c.get("segments_per_cluster", 4)))
-METHODS.add("meta_ppl_raw", lambda docs, c: chunking.perplexity_chunks(docs, c.get("prominence", 0.1)))
-METHODS.add("meta_ppl_dynamic_512", lambda docs, c: chunking.perplexity_chunks(docs, c.get("prominence", 0.1), c.get("max_chunk_tokens", 512)))
-METHODS.add("pic_paper_reimplementation", lambda docs, c: chunking.pic_chunks(docs, c.get("summary_tokens", 48)))
-METHODS.add("pic_reimplementation_capped_512", lambda docs, c: chunking.pic_chunks(docs, c.get("summary_tokens", 48), c.get("max_chunk_tokens", 512)))
+for _name, _cap in (("meta_ppl_raw", None), ("meta_ppl_dynamic_512", 512)):
+    METHODS.add(_name, lambda docs, c, cap=_cap: chunking.perplexity_chunks(docs, c.get("prominence", 0.1), c.get("max_chunk_tokens", cap), c.get("context_policy", "all_previous_segments")))
+for _name, _cap in (("pic_paper_reimplementation", None), ("pic_reimplementation_capped_512", 512)):
+    METHODS.add(_name, lambda docs, c, cap=_cap: chunking.pic_chunks(docs, None, chunking.lead_summary(c.get("summary_tokens", 48)), c.get("max_chunk_tokens", cap)))
 
 EMBEDDERS.add("hashing", lambda items, c: vectors.dense(items, c.get("dimension", 256)))
 for _name in ("cosine", "faiss_cosine"):  # both are the exact plan
@@ -143,7 +143,17 @@ def chunk(bundle: raw.Bundle, method: dict) -> DataFrame:
     elif "is_contiguous" not in got.columns:
         got = got.withColumn("is_contiguous", F.lit(True))
     name = F.concat_ws(":", "doc_id", F.lit(method["name"]), F.col("chunk_order").cast("string"))
-    return got.select("doc_id", "chunk_order", name.alias("chunk_id"), "text", "token_count", "is_contiguous")
+    return got.select("doc_id", "chunk_order", name.alias("chunk_id"), "text", "token_count", "is_contiguous", *[c for c in ("start", "end") if c in got.columns])
+
+
+def represent(e: Experiment, bundle: raw.Bundle, chunks: DataFrame, method: dict) -> DataFrame:
+    """(item_id, vector) of chunks: their own text's, or for late methods pooled from the whole document's tokens."""
+    if not method["name"].startswith("late_"):
+        return EMBEDDERS[e.embedding["name"]](chunks.select(F.col("chunk_id").alias("item_id"), "text"), e.embedding)
+    if e.embedding["name"] != "hashing":
+        raise ValueError(f"late methods pool the vectors of the hashing embedder, not of {e.embedding['name']!r}")
+    docs = bundle.documents.select(F.col("document_id").alias("doc_id"), "text")
+    return vectors.late_dense(docs, chunks, e.embedding.get("dimension", 256), method.get("max_document_tokens", 8192), method.get("long_document_policy", "error"))
 
 
 def run_pair(spark: SparkSession, e: Experiment, bundle: raw.Bundle, method: dict, folder: str) -> dict:
@@ -158,7 +168,7 @@ def run_pair(spark: SparkSession, e: Experiment, bundle: raw.Bundle, method: dic
     validation.check(validation.chunk_violations(chunks))
     embed = lambda df, key: EMBEDDERS[e.embedding["name"]](df.select(F.col(key).alias("item_id"), "text"), e.embedding)
     asked = embed(bundle.queries, "query_id").withColumnRenamed("item_id", "query_id")
-    hits = RETRIEVERS[e.retrieval["name"]](asked, embed(chunks, "chunk_id"), ev.get("retrieval_depth", 100)).withColumnRenamed("item_id", "chunk_id")
+    hits = RETRIEVERS[e.retrieval["name"]](asked, represent(e, bundle, chunks, method), ev.get("retrieval_depth", 100)).withColumnRenamed("item_id", "chunk_id")
     about = chunks.select("chunk_id", "doc_id", "token_count", F.array_distinct(T.lexical_tokens(F.col("text"))).alias("tokens"))
     hits = put(hits.join(about, "chunk_id"), "hits")
     evidence = bundle.evidence.select("query_id", "evidence_id", F.col("document_id").alias("doc_id"), "text", F.col("token_count").alias("ev_count"))
