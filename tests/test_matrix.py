@@ -17,7 +17,7 @@ def test_registries():
         r.add("a", int)
     with pytest.raises(KeyError, match="there are"):
         r["b"]
-    assert len(matrix.METHODS.names()) == 12 and len(matrix.pairs_of_methods()) == 9
+    assert len(matrix.METHODS.names()) == 12
 
 
 def test_configuration(tmp_path):
@@ -37,6 +37,12 @@ def test_run_isolates_and_resumes(spark, tmp_path):
     assert out["completed_count"] == 2 and [f["method"] for f in out["failed"]] == ["nothing"], out["failed"]
     first = out["completed"][0]
     assert first["statistics"]["total_chunks"] == 7 and first["metrics"]["document_recall_3"] > 0
+    root = f"{tmp_path}/r"
+    rows = matrix.tables.read_result(spark, f"{root}/benchmark_metrics.csv").collect()
+    assert sorted((r["method"], r["status"]) for r in rows) == [("fixed_256", "completed"), ("nothing", "failed"), ("semantic_single_linkage_paper_exact", "completed")]
+    assert matrix.tables.read_json(spark, f"{root}/synthetic/fixed_256/runtime.json")["runtime_seconds"] > 0
+    assert matrix.error_cases(root, spark, "synthetic", "fixed_256", 3).count() == 0
+    assert matrix.error_cases(root, spark, "synthetic", "fixed_256", 3, True).select("query_id").distinct().count() < 2
     again = matrix.run(spark, experiment(tmp_path, execution={"resume": True}))
     assert again["completed"][0]["run_id"] == first["run_id"]
     changed = experiment(tmp_path, execution={"resume": True}, methods=[{"name": "fixed_256", "chunk_size": 7}])
@@ -64,3 +70,8 @@ def test_late_limits(spark):
             matrix.represent(e, bundle, matrix.chunk(bundle, m), m).collect()
     m["long_document_policy"] = "window"
     assert matrix.represent(e, bundle, matrix.chunk(bundle, m), m).count() == matrix.chunk(bundle, m).count()
+
+
+def test_full_runs_refuse_stand_ins(tmp_path):
+    with pytest.raises(ValueError, match="stand-ins"):
+        matrix.refuse_mocks(experiment(tmp_path, execution={"mode": "full"}, methods=[{"name": "meta_ppl_raw", "backend_type": "mock"}]))

@@ -128,8 +128,11 @@ def graded(qrels: DataFrame, rankings: DataFrame, k: int) -> DataFrame:
 
 
 def document_qrels(qrels: DataFrame, passages: DataFrame) -> DataFrame:
-    """Largest relevance of a document's passages per query."""
-    return qrels.join(passages.select(F.col("item_id"), "document_id"), "item_id").groupBy("query_id", "document_id").agg(F.max("relevance").alias("relevance"))
+    """Largest relevance of a document's passages per query; a judged passage that is unknown is refused."""
+    known = qrels.join(passages.select("item_id", "document_id"), "item_id", "left")
+    refused = F.raise_error(F.concat(F.lit("judged passage is unknown: "), F.col("item_id"))).cast("string")
+    known = known.withColumn("document_id", F.when(F.col("document_id").isNull(), refused).otherwise(F.col("document_id")))
+    return known.groupBy("query_id", "document_id").agg(F.max("relevance").alias("relevance"))
 
 
 def survival(qrels: DataFrame, selected: DataFrame) -> DataFrame:

@@ -41,13 +41,13 @@ def bm25(queries: DataFrame, items: DataFrame, k: int = 10, k1: float = 1.2, b:
     toks = items.select("item_id", *carry, T.terms(T.text_of()).alias("ts"))
     stats = toks.agg(F.count("*").alias("n"), F.avg(F.size("ts")).alias("avgdl"))
     q = queries.select("query_id", F.explode(T.terms(T.text_of())).alias("t")).groupBy("query_id", "t").agg(F.count("*").alias("qtf"))
-    vocabulary = small(q.select("t").distinct())
+    vocabulary = q.select("t").distinct()
     # only postings of query terms are shuffled
     post = toks.select("item_id", *carry, F.size("ts").alias("dl"), F.explode("ts").alias("t")).join(vocabulary, "t", "left_semi").groupBy("item_id", *carry, "dl", "t").agg(F.count("*").alias("tf"))
     df = post.groupBy("t").agg(F.count("*").alias("df"))
     idf = df.crossJoin(F.broadcast(stats)).select("t", "avgdl", F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))  # stats: one row
     term = F.col("qtf") * F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
-    pairs = post.join(small(q.join(idf, "t")), "t")
+    pairs = post.join(q.join(idf, "t"), "t")
     if within is not None:
         pairs = pairs.join(within.select("query_id", "document_id"), ["query_id", "document_id"], "left_semi")
     hits = ranked(pairs.groupBy("query_id", "item_id").agg(F.round(F.sum(term), 9).alias("score")), k)
@@ -110,6 +110,16 @@ def cosine_top_k(queries: DataFrame, items: DataFrame, k: int = 10, exclude_self
     return ranked(out, k)
 
 
+def dense_within(queries: DataFrame, vectors: DataFrame, items: DataFrame, within: DataFrame, k: int) -> DataFrame:
+    """Top k by dot product of the items (item_id, document_id) of each query's documents ``within`` (query_id, document_id).
+
+    Only the candidates are scored, each by its pair of vectors; nothing outside them is."""
+    pairs = within.select("query_id", "document_id").join(items.select("item_id", "document_id"), "document_id").select("query_id", "item_id")
+    scored = pairs.join(vectors.select("item_id", "vector"), "item_id").join(queries.select("query_id", F.col("vector").alias("asked")), "query_id")
+    dot = F.aggregate(F.zip_with("vector", "asked", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+    return ranked(scored.select("query_id", "item_id", F.round(dot, 9).alias("score")), k)
+
+
 def interleave(sparse: DataFrame, dense: DataFrame, k: int) -> DataFrame:
     """The first ceil(k/2) sparse hits, then the first floor(k/2) dense ones; items in both keep the sparse place."""
     half = -(-k // 2)

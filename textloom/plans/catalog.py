@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..functions import vectors
 from ..operators import chunking, evaluation, retrieval
+from ..sources import tables
 from ..streaming import stream
+from . import hierarchy
 
 FLAGSHIP = "chunk_statistics"
 QUERIES: dict = {}
@@ -338,6 +340,89 @@ def interleave_fusion(spark, sf):
     return out.withColumn("score", F.round("score", 6))
 
 
+# --- dense and combined stages -----------------------------------------------------------------
+def _data(spark, sf) -> tables.Retrieval:
+    """The driver's tables as a normalised data set: documents, their 256-token passages, benchmark items as queries."""
+    d = read(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("document_id"), F.lit(None).cast("string").alias("title"), "text")
+    p = chunking.fixed(docs(spark, sf), 256).select(F.col("chunk_id").alias("passage_id"), F.col("doc_id").cast("string").alias("document_id"), F.col("text").alias("passage_text"), F.col("chunk_order").alias("passage_position"))
+    q = read(spark, sf, "benchmark").select(F.col("item_id").cast("string").alias("query_id"), F.col("text").alias("query_text"), F.lit("documents").alias("dataset"), F.lit("test").alias("split"))
+    ev = _evidence(spark, sf).select("query_id", F.col("doc_id").cast("string").alias("document_id"))
+    r = ev.join(p, "document_id").select("query_id", "passage_id", F.lit(1.0).alias("relevance")).distinct()
+    return tables.Retrieval("documents", d, p, q, r)
+
+
+def _stages(spark, sf, **more) -> hierarchy.Retrievers:
+    return hierarchy.Retrievers(_data(spark, sf), hierarchy.Config(document_k=5, passage_k=10, final_k=10, native_hash=True, dim=512, lead=2000, **more))
+
+
+def dense_sql(items: str, name: str) -> str:
+    """CTE: signed hash vectors of unit length (item_id, b, w)."""
+    return f"""{name}_h AS (SELECT item_id, {BUCKET.format(dim=512)} AS b, sum(CASE WHEN substr(md5(t), 16, 1) >= '8' THEN -1 ELSE 1 END) AS w FROM (SELECT item_id, unnest({TERMS}) AS t FROM ({items})) GROUP BY ALL),
+    {name} AS (SELECT item_id, b, w / sqrt(sum(w * w) OVER (PARTITION BY item_id)) AS w FROM {name}_h)"""
+
+
+ASKED = dense_sql("SELECT item_id::varchar AS item_id, text FROM benchmark", "qv")
+DENSE_DOCS = f"""{ASKED}, {dense_sql('SELECT doc_id::varchar AS item_id, trim(substr(text, 1, 2000)) AS text FROM documents', 'dv')},
+    dd AS (SELECT q.item_id::varchar AS query_id, d.doc_id::varchar AS item_id, coalesce(score, 0.0) AS score FROM benchmark q CROSS JOIN documents d LEFT JOIN (SELECT qv.item_id AS qi, dv.item_id AS di, round(sum(qv.w * dv.w), 9) AS score FROM qv JOIN dv ON qv.b = dv.b GROUP BY ALL) s ON qi = q.item_id::varchar AND di = d.doc_id::varchar),
+    de AS (SELECT query_id, item_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, item_id)::int AS rank FROM dd QUALIFY rank <= {{k}})"""
+
+
+@query(f"WITH {DENSE_DOCS.replace("{k}", "5")} SELECT query_id, item_id AS document_id, round(score, 6) AS document_score, rank AS document_rank FROM de")
+def dense_documents_top5(spark, sf):
+    return _stages(spark, sf).documents_by("dense").select("query_id", "document_id", F.round("document_score", 6).alias("document_score"), "document_rank")
+
+
+DENSE_PASSAGES = f"""{DENSE_DOCS.replace("{k}", "5")}, pp AS ({PASSAGES}), {dense_sql('SELECT item_id, text FROM pp', 'pv')},
+    cd AS (SELECT de.query_id, pp.item_id, pp.document_id, coalesce(s.score, 0.0) AS score FROM de JOIN pp ON pp.document_id = de.item_id LEFT JOIN (SELECT qv.item_id AS qi, pv.item_id AS pi, round(sum(qv.w * pv.w), 9) AS score FROM qv JOIN pv ON qv.b = pv.b GROUP BY ALL) s ON qi = de.query_id AND pi = pp.item_id),
+    dp AS (SELECT query_id, item_id, document_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, item_id)::int AS rank FROM cd QUALIFY rank <= 10)"""
+
+
+@query(f"WITH {DENSE_PASSAGES} SELECT query_id, item_id AS passage_id, document_id, round(score, 6) AS passage_score, rank AS passage_rank FROM dp")
+def dense_passages_restricted(spark, sf):
+    s = _stages(spark, sf)
+    return s.passages_by("dense", s.documents_by("dense")).select("query_id", "passage_id", "document_id", F.round("passage_score", 6).alias("passage_score"), "passage_rank")
+
+
+COMBINED = f"WITH {bm25_sql(DOC_ITEMS, 10, 'sp')}, {DENSE_DOCS.replace("{k}", "10")}"
+
+
+@query(COMBINED + """, u AS (SELECT query_id, item_id, 0 AS s, rank AS r FROM sp WHERE rank <= 3 UNION ALL SELECT query_id, item_id, 1, rank FROM de WHERE rank <= 2),
+    f AS (SELECT query_id, item_id, max(CASE WHEN s = 0 THEN r END) AS sparse_rank, max(CASE WHEN s = 1 THEN r END) AS dense_rank, min(s * 1000 + r) AS o FROM u GROUP BY ALL)
+    SELECT query_id, item_id AS document_id, sparse_rank, dense_rank, row_number() OVER (PARTITION BY query_id ORDER BY o)::int AS document_rank FROM f""")
+def combined_interleave(spark, sf):
+    return _stages(spark, sf).documents_by("combined").select("query_id", "document_id", "sparse_rank", "dense_rank", "document_rank")
+
+
+@query(COMBINED + """, f AS (SELECT query_id, item_id, sp.rank AS sparse_rank, de.rank AS dense_rank, round(coalesce(1 / (60 + sp.rank), 0) + coalesce(1 / (60 + de.rank), 0), 9) AS score FROM sp FULL JOIN de USING (query_id, item_id))
+    SELECT query_id, item_id AS document_id, sparse_rank, dense_rank, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, item_id)::int AS document_rank FROM f QUALIFY document_rank <= 5""")
+def combined_rrf(spark, sf):
+    return _stages(spark, sf, combined="rrf").documents_by("combined").select("query_id", "document_id", "sparse_rank", "dense_rank", "document_rank")
+
+
+GRADES = "qrel AS (SELECT DISTINCT ev.query_id, pp.item_id FROM ev JOIN pp ON pp.document_id = ev.doc_id::varchar), nr AS (SELECT query_id, count(*) AS n FROM qrel GROUP BY 1)"
+
+
+@query(f"""WITH {EVIDENCE}, {DENSE_PASSAGES}, {GRADES}, g AS (SELECT query_id, sum(1 / log2(rank + 1)) AS dcg, count(*) AS got10, count(*) FILTER (rank <= 5) AS got5 FROM dp JOIN qrel USING (query_id, item_id) GROUP BY 1),
+    sv AS (SELECT query_id, avg((de.item_id IS NOT NULL)::int) AS alive FROM (SELECT DISTINCT query_id, doc_id::varchar AS item_id FROM ev) e LEFT JOIN de USING (query_id, item_id) GROUP BY 1),
+    q AS (SELECT query_id, round(coalesce(dcg, 0) / (SELECT sum(1 / log2(x + 1)) FROM unnest(generate_series(1, least(10, n))) AS u(x)), 6) AS ndcg, round(coalesce(got5, 0) / n, 6) AS r5, round(coalesce(got10, 0) / n, 6) AS r20, round(alive, 6) AS alive FROM nr LEFT JOIN g USING (query_id) LEFT JOIN sv USING (query_id))
+    SELECT round(avg(ndcg), 6) AS "passage_ndcg@10", round(avg(r5), 6) AS "passage_recall@5", round(avg(r20), 6) AS "passage_recall@20", round(avg(alive), 6) AS candidate_survival_rate FROM q""")
+def two_stage_dense_metrics(spark, sf):
+    s = _stages(spark, sf)
+    d = s.documents_by("dense")
+    made = hierarchy.averaged(hierarchy.per_query(_data(spark, sf), d, s.passages_by("dense", d)))
+    return made.select("`passage_ndcg@10`", "`passage_recall@5`", "`passage_recall@20`", "candidate_survival_rate")
+
+
+@query(f"SELECT (SELECT sum(strlen(t) + 8) FROM (SELECT DISTINCT doc_id, t FROM (SELECT doc_id, unnest({TERMS}) AS t FROM documents)))::bigint + 8 * (SELECT count(*) FROM documents) AS storage_bytes")
+def sparse_storage_bytes(spark, sf):
+    return hierarchy.storage_bytes(_doc_items(spark, sf))
+
+
+@query("SELECT round(avg(n_chars), 6) AS mean_query_latency_ms, round(quantile_cont(n_chars, 0.5), 6)::double AS p50_query_latency_ms, round(quantile_cont(n_chars, 0.95), 6)::double AS p95_query_latency_ms FROM documents")
+def latency_statistics(spark, sf):
+    return hierarchy.latencies(read(spark, sf, "documents").select(F.col("n_chars").alias("latency_ms")))
+
+
 @query(f"WITH {EVIDENCE}, ch AS ({fixed_sql(256)}) SELECT DISTINCT query_id, doc_id::varchar AS document_id, 1.0::double AS relevance FROM ev JOIN ch USING (doc_id)")
 def document_qrels(spark, sf):
     p = _passages(spark, sf)
@@ -516,13 +601,14 @@ def dataset_audit(spark, sf):
     return a.crossJoin(c).crossJoin(q)  # one row each
 
 
-RUNS = "runs AS (SELECT lang AS dataset, 'method' || (doc_id % 4) AS method, CASE WHEN count(*) % 2 = 0 THEN 'completed' ELSE 'failed' END AS status, round(avg(n_chars), 6) AS score FROM documents WHERE doc_id % 7 <> 0 AND NOT (lang = 'fr' AND doc_id % 4 = 1) GROUP BY ALL)"
+RUNS = "runs AS (SELECT * FROM (SELECT lang AS dataset, 'method' || (doc_id % 4) AS method, CASE WHEN count(*) % 2 = 0 THEN 'completed' ELSE 'failed' END AS status, round(avg(n_chars), 6) AS score FROM documents GROUP BY ALL) WHERE NOT (dataset = 'fr' AND method = 'method1'))"
 
 
 def _runs(spark, sf) -> DataFrame:
     """A results table in small: dataset, method, status, score."""
-    d = read(spark, sf, "documents").where("doc_id % 7 <> 0 AND NOT (lang = 'fr' AND doc_id % 4 = 1)")
-    return d.groupBy(F.col("lang").alias("dataset"), F.concat(F.lit("method"), (F.col("doc_id") % 4).cast("string")).alias("method")).agg(F.when(F.count("*") % 2 == 0, "completed").otherwise("failed").alias("status"), F.round(F.avg("n_chars"), 6).alias("score"))
+    d = read(spark, sf, "documents")
+    runs = d.groupBy(F.col("lang").alias("dataset"), F.concat(F.lit("method"), (F.col("doc_id") % 4).cast("string")).alias("method")).agg(F.when(F.count("*") % 2 == 0, "completed").otherwise("failed").alias("status"), F.round(F.avg("n_chars"), 6).alias("score"))
+    return runs.where("NOT (dataset = 'fr' AND method = 'method1')")  # a pair that did not run
 
 
 @query(f"WITH {RUNS}, m AS (SELECT DISTINCT method FROM runs), d AS (SELECT DISTINCT dataset FROM runs) SELECT dataset, method, coalesce(status, 'not_run') AS status FROM d CROSS JOIN m LEFT JOIN runs USING (dataset, method)")

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import time
 from collections.abc import Callable
 from dataclasses import dataclass, field
 from pathlib import Path
@@ -178,13 +179,58 @@ def run_pair(spark: SparkSession, e: Experiment, bundle: raw.Bundle, method: dic
     return {"metrics": put(made, "metrics").head().asDict(), "statistics": put(evaluation.statistics(chunks, ev.get("duplicate_scope", "within_document")), "statistics").head().asDict()}
 
 
+def error_cases(run: str, spark: SparkSession, dataset: str, method: str, k: int = 10, per_query: bool = False) -> DataFrame:
+    """Hits of a method's run that found nothing: all of them if the run's hit rate at ``k`` is 0, else none;
+    ``per_query``: those of each query without one fully covered evidence by then."""
+    folder = f"{run}/{dataset}/{method}"
+    hits = spark.read.parquet(f"{folder}/hits")
+    if not per_query:
+        rate = spark.read.parquet(f"{folder}/metrics").select(F.col(f"hit_{k}").alias("rate"))
+        return hits.crossJoin(F.broadcast(rate)).where("rate <= 0").drop("rate")  # one row
+    cover = spark.read.parquet(f"{folder}/coverage")
+    toks = hits.where(F.col("rank") <= k).join(cover, ["query_id", "chunk_id"]).select("query_id", "evidence_id", "ev_count", F.explode("covered").alias("tok"))
+    good = toks.groupBy("query_id", "evidence_id", "ev_count").agg(F.count_distinct("tok").alias("n")).where("n >= ev_count").select("query_id")
+    return hits.join(good, "query_id", "left_anti")
+
+
+def refuse_mocks(e: Experiment) -> None:
+    """Full runs take no method whose back end is a stand-in."""
+    mocked = [m["name"] for m in e.methods if m.get("backend_type") == "mock" or m.get("scorer") == "deterministic"]
+    if e.execution.get("mode") == "full" and mocked:
+        raise ValueError(f"a full run with stand-ins: {mocked}")
+
+
+#: Tables of one pair and files of the whole run (fixed names of this engine's artifacts).
+PAIR_TABLES = ("chunks", "hits", "coverage", "metrics", "statistics")
+
+
+def save_pair(spark: SparkSession, folder: str, e: Experiment, pair: dict, got: dict, seconds: float) -> None:
+    """The small files beside a pair's tables: configuration, environment, metrics, statistics, runtime, manifest."""
+    from . import hierarchy
+
+    files = {"config": {"dataset": pair["dataset"], "method": pair["method"], "embedding": e.embedding, "retrieval": e.retrieval, "evaluation": e.evaluation, "seed": e.seed}, "environment": hierarchy.environment(spark), "metrics": got["metrics"], "chunk_statistics": got["statistics"], "runtime": {"runtime_seconds": seconds}, "manifest": got}
+    for name, value in files.items():  # the manifest last: it says that all the rest is there
+        write_json(spark, f"{folder}/{name}.json", value)
+
+
+def save_run(spark: SparkSession, root: str, e: Experiment, done: list[dict], failed: list[dict]) -> None:
+    """Summary tables of a run: metrics and statistics of completed pairs as CSV, the other lists as JSON."""
+    for name, part in (("benchmark_metrics", "metrics"), ("chunk_statistics", "statistics")):
+        columns = sorted({k for r in done for k in r[part]})
+        rows = [(r["dataset"], r["method"], "completed", *[None if r[part].get(c) is None else float(r[part][c]) for c in columns]) for r in done] + [(r["dataset"], r["method"], "failed", *[None] * len(columns)) for r in failed]
+        tables.write_table(spark.createDataFrame(rows, "dataset string, method string, status string" + "".join(f", `{c}` double" for c in columns)).coalesce(1), f"{root}/{name}.csv", "csv")  # a row per pair
+    said = {"completed_runs": done, "failed_runs": failed, "experiment_manifest": {"run_name": e.run_name, "datasets": e.datasets, "methods": e.methods, "seed": e.seed, "completed_count": len(done), "failed_count": len(failed)}}
+    for name, value in said.items():
+        write_json(spark, f"{root}/{name}.json", value)
+
+
 def finished(spark: SparkSession, folder: str, run_id: str) -> dict | None:
     """The manifest of a pair that ended under the same run id and whose tables are there."""
     try:
         said = tables.read_json(spark, f"{folder}/manifest.json")
     except FileNotFoundError:
         return None
-    whole = all(raw._exists(spark, f"{folder}/{t}/_SUCCESS") for t in ("chunks", "hits", "coverage", "metrics", "statistics"))
+    whole = all(raw._exists(spark, f"{folder}/{t}/_SUCCESS") for t in PAIR_TABLES)
     return said if whole and said["run_id"] == run_id else None
 
 
@@ -200,6 +246,7 @@ def write_json(spark: SparkSession, path: str, value) -> None:
 
 def run(spark: SparkSession, e: Experiment) -> dict:
     """Runs the matrix; returns and writes its summary: completed and failed runs, each with metrics and statistics or the error."""
+    refuse_mocks(e)
     root, bundles, done, failed = f"{e.output_dir}/{e.run_name}", {}, [], []
     for pair in expand(e):
         d, m = pair["dataset"], pair["method"]
@@ -213,23 +260,15 @@ def run(spark: SparkSession, e: Experiment) -> dict:
                     rules = e.validation | d.get("validation", {})
                     validation.check(validation.bundle_violations(bundles[key]))
                     validation.check_mapping(bundles[key], rules.get("minimum_mapping_rate", 0.95), rules.get("fail_on_mapping_error", True))
+                began = time.perf_counter()
                 got = row | run_pair(spark, e, bundles[key], m, folder)
-                write_json(spark, f"{folder}/manifest.json", got)
+                save_pair(spark, folder, e, pair, got, time.perf_counter() - began)
             done.append(got)
         except Exception as error:  # one pair's failure leaves the others alone
             if e.execution.get("fail_fast"):
                 raise
             failed.append(row | {"error": f"{type(error).__name__}: {error}"[:500]})
     out = {"run_name": e.run_name, "completed": done, "failed": failed, "completed_count": len(done), "failed_count": len(failed)}
+    save_run(spark, root, e, done, failed)
     write_json(spark, f"{root}/summary.json", out)
     return out
-
-
-#: Retrieval budgets (document, passage, final) of each mode: fixed values.
-BUDGETS = {"smoke": (3, 5, 5), "baseline": (20, 100, 100), "full": (100, 1000, 100)}
-
-
-def pairs_of_methods() -> list[tuple[str, str]]:
-    """Document and passage methods of the nine two-stage experiments."""
-    kinds = ("sparse", "dense", "combined")
-    return [(a, b) for a in kinds for b in kinds]

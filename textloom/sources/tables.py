@@ -43,6 +43,11 @@ def read_table(spark: SparkSession, path: str) -> DataFrame:
     raise ValueError(f"unknown table format: {path}")
 
 
+def read_result(spark: SparkSession, path: str) -> DataFrame:
+    """A result table that was written as CSV, with its types."""
+    return spark.read.option("header", True).option("inferSchema", True).csv(path)
+
+
 def write_table(df: DataFrame, path: str, format: str = "parquet", by: tuple[str, ...] = ()) -> None:
     """Parquet, JSON lines or CSV with header (an empty table still has its header)."""
     out = df.write.mode("overwrite").option("header", True)
