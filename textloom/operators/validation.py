@@ -10,10 +10,26 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 
 
-class ContractError(ValueError):
+class EngineError(Exception):
+    """What this engine raises itself."""
+
+
+class ConfigError(EngineError, ValueError):
+    """A configuration breaks a rule."""
+
+
+class ContractError(EngineError, ValueError):
     """A table breaks a rule; the message names it."""
 
 
+class SourceError(EngineError, ValueError):
+    """A file is not of its format."""
+
+
+class RunError(EngineError):
+    """A run could not end."""
+
+
 def _rows(df: DataFrame, where, rule: str, example) -> DataFrame:
     return df.where(where).select(F.lit(rule).alias("rule"), F.coalesce(F.col(example).cast("string"), F.lit("null")).alias("example"))
 
@@ -28,14 +44,14 @@ def _unknown(df: DataFrame, key: str, known: DataFrame, rule: str, known_key: st
 
 
 def _blank(name: str):
-    return F.coalesce(F.trim(F.regexp_replace(name, r"\s+", " ")), F.lit("")) == ""
+    return F.coalesce(F.regexp_replace(name, f"[{T.SPACE}]+", ""), F.lit("")) == ""
 
 
 def span_problem(start, end, text, body):
     """Null if ``body`` holds ``text`` at start:end (anywhere, if there is no span), else what is wrong."""
     inside = (start >= 0) & (end > start) & (end <= F.length(body))
-    at = F.when(~inside, "char span out of bounds").when(F.substring(body, start + 1, end - start) != text, "char span text mismatch")
-    return F.when(body.isNull(), "unknown document").when(start.isNull(), F.when(~body.contains(text), "text not found in document")).otherwise(at)
+    at = F.when(~inside, "span out of bounds").when(F.substring(body, start + 1, end - start) != text, "another text stands there")
+    return F.when(body.isNull(), "no such document").when(start.isNull(), F.when(~body.contains(text), "text is nowhere in it")).otherwise(at)
 
 
 def mapping(bundle) -> DataFrame:

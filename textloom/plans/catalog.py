@@ -580,27 +580,7 @@ def advanced_chunk_contract(spark, sf):
     return made[0].sparkSession.createDataFrame([], "rule string, example string").unionByName(chunking.advanced_violations(d, made[0])).unionByName(chunking.advanced_violations(d, made[1], 512)).unionByName(chunking.advanced_violations(d, made[2], 512))
 
 
-# --- diagnostics, matrix, relational -----------------------------------------------------------
-@query(f"""WITH {EVIDENCE} SELECT (SELECT count(*) FROM documents)::bigint AS documents, (SELECT count(*) FROM benchmark)::bigint AS queries, (SELECT count(*) FROM ev)::bigint AS evidence, (SELECT count(*) FROM benchmark WHERE item_id::varchar NOT IN (SELECT query_id FROM ev))::bigint AS unmapped_queries,
-    (SELECT round(count(DISTINCT query_id) / (SELECT count(*) FROM benchmark), 6) FROM ev) AS mapping_rate, (SELECT count(*) - count(DISTINCT doc_id) FROM documents)::bigint AS duplicate_document_ids, (SELECT count(*) FROM documents WHERE trim(text) = '' OR text IS NULL)::bigint AS blank_documents""")
-def dataset_diagnostics(spark, sf):
-    ev, d, q = _evidence(spark, sf), docs(spark, sf), _queries(spark, sf)
-    a = d.agg(F.count("*").alias("documents"), (F.count("*") - F.count_distinct("doc_id")).alias("duplicate_document_ids"), F.count_if(F.trim(T.text_of()) == "").alias("blank_documents"))
-    b = q.agg(F.count("*").alias("queries"))
-    c = ev.agg(F.count("*").alias("evidence"), F.count_distinct("query_id").alias("mapped"))
-    return a.crossJoin(b).crossJoin(c).select("documents", "queries", "evidence", (F.col("queries") - F.col("mapped")).alias("unmapped_queries"), F.round(F.when(F.col("queries") > 0, F.col("mapped") / F.col("queries")).otherwise(1.0), 6).alias("mapping_rate"), "duplicate_document_ids", "blank_documents")  # one row each
-
-
-@query(f"WITH c AS ({fixed_sql(256)}) SELECT (SELECT count(*) FROM documents)::bigint AS documents, (SELECT count(*) FROM c)::bigint AS passages, (SELECT count(*) FROM benchmark)::bigint AS queries, (SELECT array_to_string(list_sort(list(DISTINCT lang)), ',') FROM documents) AS splits, (SELECT round(count(*) FILTER (source IS NULL OR trim(source) = '' OR length(source) > 300) / count(*), 6) FROM documents) AS noisy_title_rate, (SELECT round(count(*) / count(DISTINCT doc_id), 6) FROM c) AS passages_per_document")
-def dataset_audit(spark, sf):
-    full = read(spark, sf, "documents")
-    title = F.col("source")
-    a = full.agg(F.count("*").alias("documents"), F.array_join(F.sort_array(F.collect_set("lang")), ",").alias("splits"), F.round(F.avg((title.isNull() | (F.trim(title) == "") | (F.length(title) > 300)).cast("double")), 6).alias("noisy_title_rate"))
-    c = chunking.fixed(docs(spark, sf), 256).agg(F.count("*").alias("passages"), F.round(F.count("*") / F.count_distinct("doc_id"), 6).alias("passages_per_document"))
-    q = read(spark, sf, "benchmark").agg(F.count("*").alias("queries"))
-    return a.crossJoin(c).crossJoin(q)  # one row each
-
-
+# --- matrix, relational -----------------------------------------------------------------------
 RUNS = "runs AS (SELECT * FROM (SELECT lang AS dataset, 'method' || (doc_id % 4) AS method, CASE WHEN count(*) % 2 = 0 THEN 'completed' ELSE 'failed' END AS status, round(avg(n_chars), 6) AS score FROM documents GROUP BY ALL) WHERE NOT (dataset = 'fr' AND method = 'method1'))"
 
 

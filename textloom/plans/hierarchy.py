@@ -87,7 +87,7 @@ class Config:
 
     def check(self) -> Config:
         if broken := self.problems():
-            raise ValueError("broken rules: " + "; ".join(broken))
+            raise validation.ConfigError("broken rules: " + "; ".join(broken))
         return self
 
 
@@ -116,7 +116,7 @@ def sampled(data: tables.Retrieval, size: int | None, seed: int, split: str | No
         if q.isEmpty():
             raise ValueError(f"{data.name} has no queries of split {split!r}")
     if size is not None:
-        q = q.orderBy(F.xxhash64(F.lit(seed), "query_id"), "query_id").limit(size)
+        q = q.orderBy(F.md5(F.concat(F.lit(f"{seed}:"), "query_id")), "query_id").limit(size)
     ids = q.select("query_id")
     kept = lambda df: None if df is None else df.join(ids, "query_id", "left_semi")
     return replace(data, queries=q, qrels=kept(data.qrels), query_metadata=kept(data.query_metadata))
@@ -229,7 +229,7 @@ def run(spark: SparkSession, data: tables.Retrieval, method: str, config: Config
     """One experiment. Rankings are written below ``folder`` and read back; the time of all queries together is shared among them."""
     config.check()
     if budgets is not None and budgets != (config.document_k, config.passage_k):
-        raise ValueError("the experiment's budgets are not those of the run")
+        raise validation.ConfigError("the experiment's budgets are not those of the run")
     kinds = pairs_of_methods()[method]
     stages = retrievers or Retrievers(data, config)
 
@@ -328,5 +328,5 @@ def export(spark: SparkSession, results: list[Result], config: Config, folder: s
         write_json(spark, f"{folder}/{name}.json", json.loads(json.dumps(value, default=str)))
         paths.append(f"{folder}/{name}.json")
     if missing := [p for p in paths if not raw._exists(spark, p)]:
-        raise FileNotFoundError(f"not written: {missing}")
+        raise validation.RunError(f"not written: {missing}")
     return paths

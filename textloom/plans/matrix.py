@@ -83,11 +83,11 @@ class Experiment:
     def __post_init__(self):
         depth, ks = self.evaluation.get("retrieval_depth", 100), self.evaluation.get("k_values", evaluation.KS)
         if not self.datasets or not self.methods:
-            raise ValueError("an experiment needs datasets and methods")
+            raise validation.ConfigError("an experiment needs datasets and methods")
         if any(k <= 0 for k in ks) or depth < max(ks):
-            raise ValueError(f"retrieval_depth {depth} must reach every one of k_values {list(ks)}, all positive")
+            raise validation.ConfigError(f"retrieval_depth {depth} must reach every one of k_values {list(ks)}, all positive")
         if any(b <= 0 for b in self.evaluation.get("token_budgets", [1])):
-            raise ValueError("token budgets must be positive")
+            raise validation.ConfigError("token budgets must be positive")
 
 
 def load(path: str) -> Experiment:
@@ -197,7 +197,7 @@ def refuse_mocks(e: Experiment) -> None:
     """Full runs take no method whose back end is a stand-in."""
     mocked = [m["name"] for m in e.methods if m.get("backend_type") == "mock" or m.get("scorer") == "deterministic"]
     if e.execution.get("mode") == "full" and mocked:
-        raise ValueError(f"a full run with stand-ins: {mocked}")
+        raise validation.ConfigError(f"a full run with stand-ins: {mocked}")
 
 
 #: Tables of one pair and files of the whole run (fixed names of this engine's artifacts).

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from ..functions import text as T
+from ..operators.validation import SourceError
 
 EXAMPLES = 5
 PAPERS = "MAP<STRING, STRUCT<title: STRING, abstract: ARRAY<STRING>, full_text: ARRAY<STRUCT<section_name: STRING, paragraphs: ARRAY<STRING>>>, qas: ARRAY<STRUCT<question_id: STRING, question: STRING, answers: ARRAY<STRUCT<answer: STRUCT<unanswerable: BOOLEAN, evidence: ARRAY<STRING>>>>>>>>"
@@ -54,7 +55,7 @@ def _refuse(bad: DataFrame, what: str) -> None:
     """Raise with up to ``EXAMPLES`` rows of ``bad`` if it has any."""
     rows = bad.limit(EXAMPLES).collect()
     if rows:
-        raise ValueError(f"{what}: {[tuple(r) for r in rows]}")
+        raise SourceError(f"{what}: {[tuple(r) for r in rows]}")
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
