@@ -278,6 +278,16 @@ def verify(base: DataFrame, classes: DataFrame, pairs: DataFrame, n: int) -> Dat
     return dealt.mapInArrow(intersect, "a long, b long, common long, a_size long, b_size long, sketch binary")
 
 
+def oriented(pairs: DataFrame) -> DataFrame:
+    """``pairs`` with the set that is in more of them as a, whose partners are dealt to several tasks.
+
+    A set is then b in at most the square root of twice the number of pairs, so no join by b has a hot key."""
+    ends = pairs.select(F.col("a").alias("end")).unionByName(pairs.select(F.col("b").alias("end"))).groupBy("end").agg(F.count("*").alias("degree"))
+    of = lambda x: ends.select(F.col("end").alias(x), F.struct("degree", "end").alias(f"of_{x}"))
+    both = pairs.join(of("a"), "a").join(of("b"), "b")
+    return both.select(F.greatest("of_a", "of_b")["end"].alias("a"), F.least("of_a", "of_b")["end"].alias("b"))
+
+
 def linked(percent: int) -> str:
     return f"100 * common >= {percent} * (a_size + b_size - common)"
 
@@ -350,7 +360,7 @@ def join(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame:
     done = tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     crossed = settle(crossed.join(done, ["a", "b"], "left_anti"))
     if not crossed.isEmpty():
-        more = verify(base, classes, crossed, n).where(linked(percent)).select("a", "b")
+        more = verify(base, classes, oriented(crossed), n).where(linked(percent)).select("a", "b")
         comps = connect(settle(links.unionByName(more)))
     labelled = classes.join(comps, classes.sig == comps.node, "left").select("sig", "doc", F.coalesce("comp", "sig").alias("comp"))
     least = labelled.groupBy("comp").agg(F.min("doc").alias("component"))
