@@ -6,10 +6,10 @@ import os
 import duckdb
 import pytest
 
-from textloom.plans import catalog
+from textloom.plans import catalog, sources_catalog  # noqa: F401  its queries join the catalogue
 
 SF = "/root/testdata/sf0.001"
-QUICK = ["chunk_statistics", "fixed_chunks_512_overlap", "sentence_fixed_256", "evidence_coverage", "bm25_passages_restricted", "metrics_23", "interleave_fusion", "semantic_breakpoint", "pic_islands", "matrix_not_run", "streamed_event_counts", "dataset_diagnostics"]
+QUICK = ["chunk_statistics", "fixed_chunks_512_overlap", "sentence_fixed_256", "evidence_coverage", "bm25_passages_restricted", "metrics_23", "interleave_fusion", "semantic_breakpoint", "pic_islands", "matrix_not_run", "streamed_event_counts", "dataset_diagnostics", "perplexity_previous_segment", "dense_passages_restricted", "papers_evidence", "multi_hop_evidence", "bundle_contract", "streamed_chunks"]
 
 
 @pytest.fixture(scope="module")
