@@ -106,11 +106,13 @@ def _wrapped(rows: DataFrame) -> DataFrame:
     index = [(label, words, need, len(TEMPLATES[i][1].split())) for i, label, words, need in _needs()]
     templates = rows.sparkSession.createDataFrame(index, "label string, words array<string>, need int, n int")  # the fixed templates
     hits = F.filter("places", lambda x: F.array_contains(F.col("words"), x["word"]))
-    near = rows.where("places IS NOT NULL").select("doc_id", "row_hash", "places").crossJoin(F.broadcast(templates)).select("doc_id", "row_hash", "label", "words", "need", "n", hits.alias("hits")).where(F.size("hits") >= F.col("need"))
-    # of the n words from a hit on at most n are hits
-    window = lambda x, i: F.filter(F.slice("hits", i + 1, F.col("n")), lambda y: y["at"] < x["at"] + F.col("n"))
-    common = F.array_max(F.transform("hits", lambda x, i: F.size(F.array_distinct(F.transform(window(x, i), lambda y: y["word"])))))
-    found = near.select("doc_id", "row_hash", "label", "need", F.size("words").alias("t_size"), common.alias("common")).where("common >= need")
+    near = rows.where("places IS NOT NULL").select("doc_id", "row_hash", "places").crossJoin(F.broadcast(templates)).select("doc_id", "row_hash", "label", "words", "need", "n", hits.alias("hits"))
+    # a window from a hit on with enough words has its need-th hit within n words; such windows are few, and of their n words at most n are hits
+    dense = F.transform("hits", lambda x, i: F.when(F.get("hits", i + F.col("need") - 1)["at"] < x["at"] + F.col("n"), F.struct(x["at"].alias("at"), i.alias("i"))))
+    windows = F.transform(F.array_compact(dense), lambda s: F.filter(F.slice("hits", s["i"] + 1, F.col("n")), lambda y: y["at"] < s["at"] + F.col("n")))
+    # exploded, not filtered: a filter would be pushed below the hits and find them anew for each window
+    common = F.size(F.array_distinct(F.col("window.word")))
+    found = near.select("doc_id", "row_hash", "label", "need", F.size("words").alias("t_size"), F.explode(windows).alias("window")).withColumn("common", common).where("common >= need")
     return found.select("doc_id", "row_hash", F.array("label").alias("labels"), (F.col("common") / F.col("t_size")).alias("score"))
 
 
