@@ -53,6 +53,19 @@ def clear(spark: SparkSession) -> int:
     return n
 
 
+def release(spark: SparkSession, *done: DataFrame) -> None:
+    """Give back disk that nothing needs any more: the settled tables in ``done``, and shuffles.
+
+    A settled table does not hang on the shuffles that made it, but Spark deletes shuffle files only
+    once the driver's collector finds their plans dropped, by default every half hour: it is asked to."""
+    names = {file.split("/")[-2] for df in done for file in df.inputFiles()}
+    for at in [at for at in _settled if at.rsplit("/", 1)[1] in names]:
+        path = spark._jvm.org.apache.hadoop.fs.Path(at)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        _settled.remove(at)
+    spark._jvm.System.gc()
+
+
 def unused(df: DataFrame, name: str) -> str:
     """``name``, lengthened until ``df`` has no such column in any case."""
     taken = {c.lower() for c in df.columns}

@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bytehash import U, chunks, mix, mixed, signed, words
-from .common import NULL_ID, documents, n_partitions, settle, text_of, unused
+from .common import NULL_ID, documents, n_partitions, release, settle, text_of, unused
 from .components import connect
 from .repeats import SAMPLE_DOCS, hot_keys
 
@@ -263,7 +263,7 @@ BLOCK_ROWS = 1000
 
 
 def verify(base: DataFrame, classes: DataFrame, pairs: DataFrame, n: int) -> DataFrame:
-    """Exact sizes of ``pairs`` (a, b): common, a_size, b_size. A hub with many partners is dealt to several tasks."""
+    """Exact sizes of ``pairs`` (a, b): common, a_size, b_size, settled. A hub with many partners is dealt to several tasks."""
     degree = pairs.groupBy("a").agg(F.count("*").alias("degree"))
     salts = degree.select("a", F.ceil(F.col("degree") / SALT_ROWS).cast("int").alias("salts"))
     want = settle(pairs.select(F.col("a").alias("sig")).unionByName(pairs.select(F.col("b").alias("sig"))).distinct().join(classes, "sig").select("sig", F.col("doc").alias("rep")))
@@ -271,11 +271,15 @@ def verify(base: DataFrame, classes: DataFrame, pairs: DataFrame, n: int) -> Dat
     slot = F.pmod(F.xxhash64(F.coalesce("doc_id", F.lit(NULL_ID))), F.lit(TABLE_BITS))
     found = base.select("doc_id", "text", slot.alias("slot")).mapInArrow(wanted_sets(n, sent), "doc long, sig long, items binary")
     # rows that share a doc_id and text give their set once
-    sets = settle(found.join(want.withColumnRenamed("sig", "w_sig"), (F.col("sig") == F.col("w_sig")) & (F.col("doc") == F.col("rep")), "left_semi").select("sig", "items")).dropDuplicates(["sig"])
+    held = settle(found.join(want.withColumnRenamed("sig", "w_sig"), (F.col("sig") == F.col("w_sig")) & (F.col("doc") == F.col("rep")), "left_semi").select("sig", "items"))
+    release(pairs.sparkSession, want)
+    sets = held.dropDuplicates(["sig"])
     partners = pairs.join(salts, "a").join(sets, pairs.b == sets.sig).select("a", F.pmod(F.xxhash64("b"), F.col("salts")).cast("int").alias("salt"), "b", "items")
     own = salts.join(sets, salts.a == sets.sig).select("a", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(None).cast("long").alias("b"), "items")
     dealt = partners.unionByName(own).repartition(n_partitions(pairs.sparkSession), "a", "salt").sortWithinPartitions("a", "salt", F.col("b").asc_nulls_first())
-    return dealt.mapInArrow(intersect, "a long, b long, common long, a_size long, b_size long, sketch binary")
+    out = settle(dealt.mapInArrow(intersect, "a long, b long, common long, a_size long, b_size long, sketch binary"))
+    release(pairs.sparkSession, held)
+    return out
 
 
 def oriented(pairs: DataFrame) -> DataFrame:
@@ -337,8 +341,10 @@ def join(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame:
     lists = lists.join(F.broadcast(hot), F.col("list") == F.col("hot_key"), "left").select("list", "size", "sig", F.col("hot_key").isNotNull().alias("hot"))
     dealt = lists.repartition(parts, "list", F.when(F.col("hot"), F.col("sig"))).sortWithinPartitions("list", "size", "sig")
     starred = settle(dealt.mapInArrow(hubs, "list long, size long, sig long, hub long, hub_size long"))
+    release(spark)
     # entries of lists with several sets; a list's hub is its set with most list neighbours overall
     entries = settle(starred.select("list", "size", "sig").unionByName(starred.select("list", F.col("hub_size").alias("size"), F.col("hub").alias("sig")).distinct()))
+    release(spark, starred)
     width = entries.groupBy("list").agg(F.count("*").alias("width"))
     central = entries.join(width, "list").groupBy("sig").agg(F.sum("width").alias("central"))
     middle = entries.join(central, "sig").groupBy("list").agg(F.max(F.struct("central", "sig", "size")).alias("m")).select("list", F.col("m.sig").alias("hub"), F.col("m.size").alias("hub_size"))
@@ -346,7 +352,7 @@ def join(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame:
     # of those the one that a set shares most lists with
     best = near.groupBy("sig", "hub").agg(F.count("*").alias("shared")).groupBy("sig").agg(F.max_by("hub", F.struct("shared", "hub")).alias("hub"))
     pairs = best.select(F.least("hub", "sig").alias("lo"), F.greatest("hub", "sig").alias("hi"), F.col("hub").alias("a"), F.col("sig").alias("b")).dropDuplicates(["lo", "hi"]).select("a", "b")
-    tried = settle(verify(base, classes, pairs, n))
+    tried = verify(base, classes, pairs, n)
     links = tried.where(linked(percent)).select("a", "b")
     comps = connect(links)
     # lists that still hold several components
@@ -359,6 +365,7 @@ def join(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame:
     crossed = met.repartition(parts, "list", "lo", "hi").sortWithinPartitions("list", "lo", "hi", "size", "sig").mapInArrow(cross_pairs(percent), "a long, b long").distinct()
     done = tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     crossed = settle(crossed.join(done, ["a", "b"], "left_anti"))
+    release(spark)
     if not crossed.isEmpty():
         more = verify(base, classes, oriented(crossed), n).where(linked(percent)).select("a", "b")
         comps = connect(settle(links.unionByName(more)))
