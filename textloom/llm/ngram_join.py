@@ -12,10 +12,11 @@ position in that order.
   set with more filled blocks than may differ a filled one must be equal; a block empty in both sets
   counts as equal too, and other sets list their empty blocks.
 * Answers from similar sets: equal sets share one answer (a class). In each list the set with the
-  most list neighbours overall is the hub. A set is verified exactly against the hub it shares most
+  most list neighbours overall is the hub. A set is held against the hub it shares most
   lists with; if they link, it takes over the hub's component, and pairs with sets of that component
-  are skipped. Only pairs from lists that still hold several components are verified on their own, but
-  those that the parity sketches of the two sets rule out.
+  are skipped. Only pairs from lists that still hold several components are tried on their own.
+* A pair is verified exactly only if the parity sketches of its two sets, made when the sets are named,
+  do not rule it out: they differ in at most as many places as the sets in shingles.
 
 The result is the components of all links; every link either lies within one or is verified.
 Sets are named by 64-bit sums of their shingles' names, and verified on 48 bits of each name.
@@ -100,12 +101,50 @@ def _sigs(name: np.ndarray, offs: np.ndarray) -> np.ndarray:
     return signed(mix(_sums(name, offs) + np.diff(offs).astype(np.uint64) * _A))
 
 
+SKETCH_BITS = 1024
+#: Sets whose sketches are counted at once.
+SKETCH_ROWS = 256
+
+
+def sketches(name: np.ndarray, at: np.ndarray) -> list[bytes]:
+    """Of each set the parities of its shingles over ``SKETCH_BITS`` places: two sets' sketches differ in at most as many places as the sets in shingles."""
+    place = (mix(name) >> U(54)).astype(np.int64)
+    out = []
+    for i in range(0, len(at) - 1, SKETCH_ROWS):
+        ends = at[i : i + SKETCH_ROWS + 1]
+        rows = len(ends) - 1
+        slot = np.repeat(np.arange(rows) * SKETCH_BITS, np.diff(ends)) + place[ends[0] : ends[-1]]
+        odd = (np.bincount(slot, minlength=rows * SKETCH_BITS) & 1).astype(np.uint8)
+        out += [row.tobytes() for row in np.packbits(odd.reshape(rows, SKETCH_BITS), axis=1)]
+    return out
+
+
+def near_sketches(percent: int) -> Callable:
+    """Rows of (a, b, a_size, b_size, a_sketch, b_sketch) to the pairs (a, b) that their sketches do not rule out."""
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            size = batch.column(2).to_numpy() + batch.column(3).to_numpy()
+            one, two = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint64).reshape(len(size), SKETCH_BITS // 64) for i in (4, 5))
+            near = pa.array(np.bitwise_count(one ^ two).sum(1) <= _apart(size, percent))
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(near), batch.column(1).filter(near)], names=["a", "b"])
+
+    return read
+
+
+def likely(pairs: DataFrame, held: DataFrame, percent: int) -> DataFrame:
+    """The ``pairs`` (a, b) that may link by the sketches in ``held`` (sig, n, sketch). The ends that may be in many pairs come first, while rows are short."""
+    of = lambda x: held.select(F.col("sig").alias(x), F.col("n").alias(f"{x}_size"), F.col("sketch").alias(f"{x}_sketch"))
+    both = pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "a_size", "b_size", "a_sketch", "b_sketch")
+    return both.mapInArrow(near_sketches(percent), "a long, b long")
+
+
 def named_sets(n: int) -> Callable:
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for ids, buf, offs in chunks(batch):
                 name, _, at = shingles(buf, offs, n)
-                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(np.diff(at)), pa.array(_sigs(name, at))], names=["doc", "n", "sig"])
+                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(np.diff(at)), pa.array(_sigs(name, at)), pa.array(sketches(name, at), pa.binary())], names=["doc", "n", "sig", "sketch"])
 
     return read
 
@@ -228,17 +267,8 @@ def wanted_sets(n: int, sent) -> Callable:
     return read
 
 
-SKETCH_BITS = 1024
-
-
-def sketch(name: np.ndarray) -> bytes:
-    """Parities of a set's shingles over ``SKETCH_BITS`` places: two sets' sketches differ in at most as many places as the sets in shingles."""
-    odd = np.bincount((mix(name) >> U(54)).astype(np.int64), minlength=SKETCH_BITS) & 1
-    return np.packbits(odd.astype(np.uint8)).tobytes()
-
-
 def intersect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by a, salt, own first: (a, salt, b, items); the common shingles of a and each b, and of a and itself."""
+    """Rows sorted by a, salt, own first: (a, salt, b, items); the common shingles of a and each b."""
     at, mine = None, None
     for batch in batches:
         out = []
@@ -246,15 +276,13 @@ def intersect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             theirs = _unpacked(items.as_buffer())
             if b is None:
                 at, mine = (a, salt), theirs
-                if salt == 0:
-                    out.append((a, a, len(mine), len(mine), len(mine), sketch(mine)))
             elif at == (a, salt):
                 both = np.concatenate([mine, theirs])
                 both.sort(kind="stable")
                 common = int(np.count_nonzero(both[1:] == both[:-1]))
-                out.append((a, b, common, len(mine), len(theirs), sketch(theirs)))
-        cols = list(zip(*out, strict=True)) or [()] * 6
-        yield pa.RecordBatch.from_arrays([*[pa.array(c, pa.int64()) for c in cols[:5]], pa.array(cols[5], pa.binary())], names=["a", "b", "common", "a_size", "b_size", "sketch"])
+                out.append((a, b, common, len(mine), len(theirs)))
+        cols = list(zip(*out, strict=True)) or [()] * 5
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["a", "b", "common", "a_size", "b_size"])
 
 
 SALT_ROWS = 2000
@@ -277,7 +305,7 @@ def verify(base: DataFrame, classes: DataFrame, pairs: DataFrame, n: int) -> Dat
     partners = pairs.join(salts, "a").join(sets, pairs.b == sets.sig).select("a", F.pmod(F.xxhash64("b"), F.col("salts")).cast("int").alias("salt"), "b", "items")
     own = salts.join(sets, salts.a == sets.sig).select("a", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(None).cast("long").alias("b"), "items")
     dealt = partners.unionByName(own).repartition(n_partitions(pairs.sparkSession), "a", "salt").sortWithinPartitions("a", "salt", F.col("b").asc_nulls_first())
-    out = settle(dealt.mapInArrow(intersect, "a long, b long, common long, a_size long, b_size long, sketch binary"))
+    out = settle(dealt.mapInArrow(intersect, "a long, b long, common long, a_size long, b_size long"))
     release(pairs.sparkSession, held)
     return out
 
@@ -301,27 +329,27 @@ def cross_pairs(percent: int) -> Callable:
 
     A list stands in blocks, two of them (lo, hi) at a time; a set meets the sets before it in the other
     block (in its own, if both are one) whose size is near enough and whose sketch differs in no more places
-    than linked sets may differ in shingles. Sets without a sketch meet all."""
+    than linked sets may differ in shingles."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, held, m, bits = None, np.zeros((64, 5), np.int64), 0, np.zeros((64, SKETCH_BITS // 64), np.uint64)
+        key, held, m, bits = None, np.zeros((64, 4), np.int64), 0, np.zeros((64, SKETCH_BITS // 64), np.uint64)
         for batch in batches:
             out_a, out_b = [], []
             cols = [batch.column(i).to_pylist() for i in range(8)]
             for k, lo, hi, block, size, sig, comp, data in zip(*cols, strict=True):
                 if (k, lo, hi) != key:
                     key, m = (k, lo, hi), 0
-                mine = np.frombuffer(data or bytes(SKETCH_BITS // 8), np.uint64)
+                mine = np.frombuffer(data, np.uint64)
                 n, c = held[:m, 0], held[:m, 2]
-                at = np.flatnonzero((100 * n >= percent * size) & (c != comp) & ((held[:m, 4] != block) | (lo == hi)))
+                at = np.flatnonzero((100 * n >= percent * size) & (c != comp) & ((held[:m, 3] != block) | (lo == hi)))
                 if len(at):
                     apart = np.bitwise_count(bits[at] ^ mine).sum(1)
-                    near = at[(apart <= _apart(n[at] + size, percent)) | (held[at, 3] == 1) | (data is None)]
+                    near = at[apart <= _apart(n[at] + size, percent)]
                     out_a += np.minimum(held[near, 1], sig).tolist()
                     out_b += np.maximum(held[near, 1], sig).tolist()
                 if m == len(held):
                     held, bits = np.concatenate([held, np.zeros_like(held)]), np.concatenate([bits, np.zeros_like(bits)])
-                held[m], bits[m], m = (size, sig, comp, data is None, block), mine, m + 1
+                held[m], bits[m], m = (size, sig, comp, block), mine, m + 1
             yield pa.RecordBatch.from_arrays([pa.array(out_a, pa.int64()), pa.array(out_b, pa.int64())], names=["a", "b"])
 
     return read
@@ -332,7 +360,7 @@ def join(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame:
     spark = docs.sparkSession
     parts = n_partitions(spark)
     base = docs.select("doc_id", text_of().alias("text"))
-    sets = settle(base.mapInArrow(named_sets(n), "doc long, n long, sig long"))
+    sets = settle(base.mapInArrow(named_sets(n), "doc long, n long, sig long, sketch binary"))
     classes = sets.where("n > 0").groupBy("sig").agg(F.min("doc").alias("doc"))
     lists = base.mapInArrow(listed(n, percent), "list long, size long, sig long")
     rows = sets.count()
@@ -351,16 +379,18 @@ def join(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame:
     near = entries.join(middle, "list").where(f"sig <> hub AND 100 * hub_size >= {percent} * size AND 100 * size >= {percent} * hub_size")
     # of those the one that a set shares most lists with
     best = near.groupBy("sig", "hub").agg(F.count("*").alias("shared")).groupBy("sig").agg(F.max_by("hub", F.struct("shared", "hub")).alias("hub"))
+    # repeated sets give one sketch before they are shuffled
+    held = settle(sets.where("n > 0").select("sig", "n", "sketch").dropDuplicates(["sig"]).join(entries.select("sig").distinct(), "sig", "left_semi"))
     pairs = best.select(F.least("hub", "sig").alias("lo"), F.greatest("hub", "sig").alias("hi"), F.col("hub").alias("a"), F.col("sig").alias("b")).dropDuplicates(["lo", "hi"]).select("a", "b")
-    tried = verify(base, classes, pairs, n)
+    tried = verify(base, classes, settle(likely(pairs, held, percent)), n)
     links = tried.where(linked(percent)).select("a", "b")
     comps = connect(links)
     # lists that still hold several components
-    sketches = tried.groupBy(F.col("b").alias("t_sig")).agg(F.first("sketch").alias("sketch"))
+    sketched = held.select(F.col("sig").alias("t_sig"), "sketch")
     placed = entries.join(comps, entries.sig == comps.node, "left").select("list", "size", "sig", F.coalesce("comp", "sig").alias("comp"))
     mixed_lists = placed.groupBy("list").agg((F.min("comp") < F.max("comp")).alias("several")).where("several").select("list")
     blocks = width.select("list", F.ceil(F.col("width") / BLOCK_ROWS).cast("int").alias("blocks"))
-    open_rows = placed.join(mixed_lists.join(blocks, "list"), "list").join(sketches, F.col("sig") == F.col("t_sig"), "left").withColumn("block", F.pmod(F.xxhash64("sig"), F.col("blocks")).cast("int"))
+    open_rows = placed.join(mixed_lists.join(blocks, "list"), "list").join(sketched, F.col("sig") == F.col("t_sig")).withColumn("block", F.pmod(F.xxhash64("sig"), F.col("blocks")).cast("int"))
     met = open_rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("list", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "size", "sig", "comp", "sketch")
     crossed = met.repartition(parts, "list", "lo", "hi").sortWithinPartitions("list", "lo", "hi", "size", "sig").mapInArrow(cross_pairs(percent), "a long, b long").distinct()
     done = tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
