@@ -32,6 +32,18 @@ def shared_dir(spark: SparkSession) -> str:
     return made
 
 
+#: Bytes of an Arrow batch: what a Python worker and its executor hold of long texts at once, but for one text.
+BATCH_BYTES = "4m"
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Arrow batches end at ``BATCH_BYTES``, unless the session sets its own bound; the default of 64 MB
+    and 10,000 rows takes up to that much several times a task."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key, None) is None:
+        spark.conf.set(key, BATCH_BYTES)
+
+
 _settled: list[str] = []
 
 

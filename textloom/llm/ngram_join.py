@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bytehash import U, chunks, mix, mixed, signed, words
-from .common import NULL_ID, documents, n_partitions, release, settle, text_of, unused
+from .common import NULL_ID, bound_batches, documents, n_partitions, release, settle, text_of, unused
 from .components import connect
 from .repeats import SAMPLE_DOCS, hot_keys
 
@@ -358,6 +358,7 @@ def cross_pairs(percent: int) -> Callable:
 def join(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, sig, component_id of every row of ``docs``; sets of ``n`` words link from a Jaccard of ``percent``/100 on."""
     spark = docs.sparkSession
+    bound_batches(spark)
     parts = n_partitions(spark)
     base = docs.select("doc_id", text_of().alias("text"))
     sets = settle(base.mapInArrow(named_sets(n), "doc long, n long, sig long, sketch binary"))

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, table
+from .common import bound_batches, documents, table
 from .labelled import MOST_ROWS, held_out, sample
 
 FOLD_BY, FOLD_REST = 4, 2
@@ -138,6 +138,7 @@ def fit_curve(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 
 def learn(docs: DataFrame, labels: DataFrame, most: int = MOST_ROWS) -> tuple[dict[str, float], tuple[float, float]]:
     """Lexicon and curve from at most ``most`` labelled rows outside the held-out fold."""
+    bound_batches(docs.sparkSession)
     rows = sample(docs, labels, "toxic", FOLD_BY, FOLD_REST, most)
     lexicon = learn_lexicon(rows)
     got = rows.select(F.col("y").cast("double").alias("y"), "text").mapInArrow(_weights(lexicon, None), "y double, score double").collect()  # at most ``most`` pairs of numbers
