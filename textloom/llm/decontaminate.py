@@ -280,6 +280,25 @@ def _within(sorted_names: np.ndarray, x: np.ndarray) -> np.ndarray:
     return sorted_names[np.minimum(np.searchsorted(sorted_names, x), len(sorted_names) - 1)] == x
 
 
+#: Words that are searched at once, about: every search goes over all items once.
+FIND_WORDS = 1 << 22
+
+
+def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[list]:
+    """Lists of (ids, word hashes, offsets per text) of whole batches, of ``FIND_WORDS`` words or a little more, however small the batches are."""
+    parts, n = [], 0
+    for batch in batches:
+        for ids, buf, offs in chunks(batch):
+            _, _, h, at = words(buf, offs, lower=True, alnum=True)
+            parts.append((ids, h, at))
+            n += len(h)
+        if n >= FIND_WORDS:
+            yield parts
+            parts, n = [], 0
+    if parts:
+        yield parts
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, item_id, first_word, distance, n_words of every item found in a document."""
     spark = docs.sparkSession
@@ -292,11 +311,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
         def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             found = Items([i for i, _ in sent.value], [t for _, t in sent.value])
-            for batch in batches:
-                parts = []
-                for ids, buf, offs in chunks(batch):
-                    _, _, h, at = words(buf, offs, lower=True, alnum=True)
-                    parts.append((ids, h, at))
+            for parts in gathered(batches):
                 rows = list(found.find(parts))
                 if rows:
                     cols = list(zip(*rows, strict=True))
