@@ -9,7 +9,7 @@ stale ones. Rules that put time or length before trust take the greatest of the
 Both aggregations combine before they shuffle, so that of a cluster with a third of all rows each task
 sends one row a segment. Stale records are counted by day: days before the cluster's cut-off are stale
 as a whole, and only records of the cut-off's own day are compared with it. Nothing goes through one
-task, to the driver or into a broadcast.
+task, to the driver or into a broadcast: the joins are merge joins, also where a side looks small.
 
 Edge cases: a string that is empty or white space counts as null; so does a balance that is not finite,
 while cents beyond a long are null. A source that is null or not in ``trust`` has the lowest level,
@@ -70,9 +70,9 @@ def stale_counts(rows: DataFrame, kind: str, hours: int) -> DataFrame:
     days = rows.groupBy("cluster_id", day_of(F.col("at"), kind).alias("day")).agg(F.count("*").alias("n"), F.max("at").alias("last"))
     heads = days.groupBy("cluster_id").agg(cut_off(F.max("last"), kind, hours).alias("cut")).select(F.col("cluster_id").alias("head"), "cut", day_of(F.col("cut"), kind).alias("cut_day"))
     same = F.col("cluster_id").eqNullSafe(F.col("head"))
-    past = days.join(heads, same).where(F.col("day").isNull() | (F.col("day") < F.col("cut_day"))).select("cluster_id", "n")
+    past = days.join(heads.hint("merge"), same).where(F.col("day").isNull() | (F.col("day") < F.col("cut_day"))).select("cluster_id", "n")
     # a row of the cut-off's day: dealt by cluster and day
-    near = rows.withColumn("day", day_of(F.col("at"), kind)).join(heads, same & (F.col("day") == F.col("cut_day"))).where("at < cut").groupBy("cluster_id", "day").agg(F.count("*").alias("n")).select("cluster_id", "n")
+    near = rows.withColumn("day", day_of(F.col("at"), kind)).join(heads.hint("merge"), same & (F.col("day") == F.col("cut_day"))).where("at < cut").groupBy("cluster_id", "day").agg(F.count("*").alias("n")).select("cluster_id", "n")
     return past.unionByName(near).groupBy("cluster_id").agg(F.sum("n").alias("n_stale"))
 
 
@@ -119,7 +119,7 @@ def golden(clients: DataFrame, trust=TRUST, hours: int = FRESH_HOURS) -> DataFra
     by = lambda c: F.bitwise_not(F.col(f"{c}.order")).alias(f"{c}_from")
     cents = F.floor(F.lit(100.0) * F.col("balance.balance") + F.lit(0.5))
     stale = stale_counts(rows.select("cluster_id", "at"), kind, hours).withColumnRenamed("cluster_id", "head")
-    return whole.join(stale, F.col("cluster_id").eqNullSafe(F.col("head")), "left").select(
+    return whole.join(stale.hint("merge"), F.col("cluster_id").eqNullSafe(F.col("head")), "left").select(
         "cluster_id", "n_records", F.coalesce("n_stale", F.lit(0)).cast("long").alias("n_stale"), F.col("name.name").alias("name"), F.col("email.email").alias("email"), F.col("segment.segment").alias("segment"),
         F.col("address.city").alias("city"), F.col("address.nation_id").alias("nation_id"), F.when(F.abs(F.col("balance.balance")) < 9e16, cents).cast("long").alias("balance_cents"),
         by("name"), by("email"), by("segment"), by("balance"), F.when(F.col("address.known") > 0, F.bitwise_not(F.col("address.order"))).alias("address_from"),
