@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, golden_record, hard_negatives, license_scan, mixing, ngram_join, quality_model, quality_rules, secret_scan, substring_dedup, suffix_dedup, toxicity
+from . import decontaminate, golden_record, hard_negatives, license_scan, mixing, ngram_join, packing, quality_model, quality_rules, secret_scan, substring_dedup, suffix_dedup, toxicity
 
 QUERIES = {
     "op1_license_scan": license_scan.op1_license_scan,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_decontaminate": decontaminate.op8_decontaminate,
     "op9_quality_rules": quality_rules.op9_quality_rules,
     "op10_ngram_join": ngram_join.op10_ngram_join,
+    "op11_packing": packing.op11_packing,
     "op12_golden_record": golden_record.op12_golden_record,
     "op13_hard_negatives": hard_negatives.op13_hard_negatives,
 }
