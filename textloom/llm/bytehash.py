@@ -1,24 +1,31 @@
 """Vectorised hashing of texts: whole Arrow batches at a time, no Python loop over words.
 
-Names (64-bit hashes) of byte ranges come from prefix sums of ``T[byte] * M**i`` modulo 2**64,
-so that any range of a chunk is named in constant time, equal ranges alike wherever they stand.
+Names (64-bit hashes) of byte ranges come from prefix sums of ``T[byte] * M**i`` modulo the prime
+2**31 - 1, for two bases M and two tables T, so that any range of a chunk is named in constant time,
+equal ranges alike wherever they stand. Two different ranges of n bytes share a name only if both
+bases, drawn at random once, are roots of the ranges' difference, a polynomial with at most n of them:
+no text is built to collide whatever the bases, as there is modulo a power of two.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 
 U = np.uint64
 MASK = (1 << 64) - 1
-M = 0x9E3779B97F4A7C15 | 1
 CHUNK = 1 << 18
+#: The prime, by which sums are folded without a division.
+P = U((1 << 31) - 1)
+BITS = U(31)
 
-_T = np.random.Generator(np.random.PCG64(20240611)).integers(1, 2**63, 256, dtype=np.uint64) | U(1)
+_draw = np.random.Generator(np.random.PCG64(20240611))
+_M = [int(x) for x in _draw.integers(1 << 20, int(P) - 1, 2)]
+_T = np.array([_draw.choice(int(P) - 1, 256, replace=False) + 1 for _ in _M], np.uint64)
 _TL = _T.copy()
-_TL[65:91] = _T[97:123]
+_TL[:, 65:91] = _T[:, 97:123]
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
 _CUT = np.ones(256, bool)
@@ -29,15 +36,30 @@ _CUT[128:] = False
 _pow = {"n": 0, "m": None, "i": None}
 
 
+def _fold(x: np.ndarray) -> np.ndarray:
+    """The same residue, of 32 bits at most if ``x`` has 62."""
+    return (x & P) + (x >> BITS)
+
+
+def _residue(x: np.ndarray) -> np.ndarray:
+    """The residue itself; ``x`` has 63 bits at most."""
+    x = _fold(_fold(x))
+    return np.where(x >= P, x - P, x)
+
+
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """M**i and M**-i for i up to n; grows with the longest chunk only."""
+    """M**i and M**-i for i up to n and either base; grows with the longest chunk only."""
     if _pow["n"] < n + 1:
         size = max(n + 1, CHUNK + CHUNK // 2)
-        with np.errstate(over="ignore"):
-            for k, base in (("m", M), ("i", pow(M, -1, 1 << 64))):
-                a = np.full(size, base, np.uint64)
-                a[0] = 1
-                _pow[k] = np.cumprod(a, dtype=np.uint64)
+        for k, bases in (("m", _M), ("i", [pow(m, -1, int(P)) for m in _M])):
+            out = np.ones((2, size), np.uint64)
+            for row, base in zip(out, bases, strict=True):
+                have = 1
+                while have < size:  # the part that is there, by the power that follows it
+                    more = min(have, size - have)
+                    row[have : have + more] = _residue(row[:more] * U(pow(base, have, int(P))))
+                    have += more
+            _pow[k] = out
         _pow["n"] = size
     return _pow["m"], _pow["i"]
 
@@ -57,26 +79,43 @@ def mixed(x: int) -> int:
     return int(mix(np.array([x & MASK], np.uint64))[0])
 
 
-def prefix(buf: np.ndarray, lower: bool = False) -> np.ndarray:
-    """P with P[i] the sum over the first i bytes."""
-    m, _ = powers(len(buf))
-    out = np.zeros(len(buf) + 1, np.uint64)
-    np.cumsum((_TL if lower else _T)[buf] * m[: len(buf)], out=out[1:])
+#: Elements that are worked on at once: larger arrays cost more in fresh memory than in arithmetic.
+BLOCK = 1 << 13
+
+
+def _summed(values: Callable[[int, slice], np.ndarray], n: int) -> np.ndarray:
+    m, _ = powers(n)
+    out = np.zeros((2, n + 1), np.uint64)
+    for k in (0, 1):
+        for i in range(0, n, BLOCK):
+            at = slice(i, min(i + BLOCK, n))
+            v = values(k, at) * m[k, at]
+            v = _fold(v)
+            v[0] += out[k, i]
+            np.cumsum(v, out=out[k, at.start + 1 : at.stop + 1])
     return out
 
 
+def prefix(buf: np.ndarray, lower: bool = False) -> np.ndarray:
+    """p with p[:, i] the two sums over the first i bytes."""
+    table = _TL if lower else _T
+    return _summed(lambda k, at: table[k][buf[at]], len(buf))
+
+
 def prefix_of(units: np.ndarray) -> np.ndarray:
-    """P with P[i] the sum over the first i units, which are names themselves."""
-    m, _ = powers(len(units))
-    out = np.zeros(len(units) + 1, np.uint64)
-    np.cumsum(units * m[: len(units)], out=out[1:])
-    return out
+    """p with p[:, i] the two sums over the first i units, which are names themselves: each sum takes half of a name."""
+    return _summed(lambda k, at: units[at] >> U(31 * k) & P, len(units))
 
 
 def names(p: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     """Names of the ranges [start, end)."""
-    _, inv = powers(len(p))
-    return mix((p[end] - p[start]) * inv[start] + (end - start).astype(np.uint64) * U(0xD6E8FEB86659FD93))
+    _, inv = powers(p.shape[1])
+    out = np.empty(len(start), np.uint64)
+    for i in range(0, len(start), BLOCK):
+        s, e = start[i : i + BLOCK], end[i : i + BLOCK]
+        one, two = (_residue(_fold(p[k][e] - p[k][s]) * inv[k][s]) for k in (0, 1))
+        out[i : i + BLOCK] = mix((one | two << BITS) + (e - s).astype(np.uint64) * U(0xD6E8FEB86659FD93))
+    return out
 
 
 def chunks(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
