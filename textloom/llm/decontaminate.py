@@ -13,17 +13,20 @@ to the best stretch there must be at most ``DISTANCE`` of its length.
 The walks of an item are as many as its length needs: ``first_hits`` measures how often a copy edited as
 much as ``DISTANCE`` allows shares a key, and ``repeats`` takes the walks that reach ``TARGET`` for the
 worst of scattered and adjoining substitutions, deletions and insertions. Copies edited less are found
-more often, and verbatim ones always.
+more often, and verbatim ones always. An item of more than ``PART`` words is searched by parts of at most
+so many: if the whole is edited in at most ``DISTANCE`` of its words, so is one of its parts, which is
+found like an item of its length. The whole is verified around each part that is found, so memory and
+walks are bounded for items of any length.
 
 A window within that distance holds at least (1 - DISTANCE) of its words from the item, hence from
 the benchmark's vocabulary; windows that do not are skipped before they are embedded, which loses
-nothing. Items come in blocks of at most ``BLOCK``, so what each task gets is bounded; each block
-passes over all documents. There is no shuffle of texts.
+nothing. Items come in blocks of at most ``BLOCK`` and about ``BLOCK_BYTES``, so what each task gets is
+bounded but for one longer item; each block passes over all documents. There is no shuffle of texts.
 
 Result: a row for each document and item found: doc_id, item_id, first_word, distance, n_words.
 
 Edge cases: null or empty texts and items find nothing; items under ``LEAST`` words are found
-only whole; equal items are each reported; repeated rows give equal rows; null doc_ids stay and null
+only whole; equal items are each reported; what equal rows find is reported once; null doc_ids stay and null
 item_ids are skipped; other columns are ignored; empty tables give no rows.
 """
 
@@ -44,10 +47,12 @@ DISTANCE = 0.2
 BITS = 2
 #: Least share of copies at the full distance to be found, for every kind of edit.
 TARGET = 0.99
-#: Walks by item length up to the key: above what ``measured`` gives at the key (8, 22, 26, 24, 45, 107).
-REPEATS = {8: 10, 16: 25, 32: 30, 64: 40, 128: 60, 256: 130}
+#: Walks by item length up to the key: above what ``measured`` gives at the key (8, 22, 26, 24, 45, 107) and
+#: at the least length, where it gives 13 and one copy in a thousand takes 26.
+REPEATS = {8: 26, 16: 25, 32: 30, 64: 40, 128: 60, 256: 130}
+PART = max(REPEATS)
 LEAST = 5
-BLOCK = 20_000
+BLOCK, BLOCK_BYTES = 20_000, 1 << 25
 SEED = 8
 #: Words before and behind a text: a walk moves on over the first, and stays on the last as past the end.
 START, END = U(mixed(15)), U(0)
@@ -111,13 +116,15 @@ def measured(n: int, trials: int) -> int:
 
 @cache
 def repeats(n: int) -> int:
-    """Walks for items of ``n`` words; lengths beyond the table are measured, on the next power of two."""
-    if most_of(n) == 0:
-        return 1
-    for top, walks in REPEATS.items():
-        if n <= top:
-            return walks
-    return measured(1 << (n - 1).bit_length(), 200)
+    """Walks for items and parts of ``n`` words, at most ``PART``."""
+    return next(walks for top, walks in REPEATS.items() if n <= top) if most_of(n) else 1
+
+
+def parts_of(n: int) -> list[tuple[int, int]]:
+    """(first word, words) of the parts of an item of ``n`` words: as few as can be, of about the same size."""
+    k = max(1, -(-n // PART))
+    ends = [n * i // k for i in range(k + 1)]
+    return list(zip(ends, (b - a for a, b in zip(ends, ends[1:], strict=False)), strict=False))
 
 
 def _walks(steps: int, walks: int) -> list[tuple[int, np.ndarray]]:
@@ -156,7 +163,7 @@ def distance(item: list, text: list, most: int) -> int:
 
 
 class Items:
-    """The LSH tables of a block of items, by item length."""
+    """The LSH tables of a block of items, by length of their parts; a short item is its own part."""
 
     def __init__(self, ids: list[int], texts: list[str]):
         data = [t.encode() for t in texts]
@@ -166,11 +173,12 @@ class Items:
         self.words = [h[at[i] : at[i + 1]] for i in range(len(ids))]
         self.ids = ids
         self.bits = _bits(h, 20)
-        self.sets = [np.unique(w) for w in self.words]
+        self.parts = [(i, a, w[a : a + n]) for i, w in enumerate(self.words) if len(w) for a, n in parts_of(len(w))]
+        self.sets = [np.unique(w) for _, _, w in self.parts]
         self.tables, self.own = {}, {}
-        for n in sorted({len(w) for w in self.words if len(w)}):
-            rows = np.array([i for i, w in enumerate(self.words) if len(w) == n])
-            stack = np.stack([self.words[i] for i in rows])
+        for n in sorted({len(w) for _, _, w in self.parts}):
+            rows = np.array([i for i, (_, _, w) in enumerate(self.parts) if len(w) == n])
+            stack = np.stack([self.parts[i][2] for i in rows])
             self.own[n] = _bits(stack.ravel(), 16)
             self.tables[n] = []
             for walk in _walks(n, repeats(n)):
@@ -211,7 +219,7 @@ class Items:
                 yield n, s - lo[r] + at[r], r, (np.cumsum(good) - 1)[which[keep]], stack[good]
 
     def candidates(self, n: int, stack: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """(window, item) pairs that share an LSH key under some walk."""
+        """(window, part) pairs that share an LSH key under some walk."""
         for walk, sorted_keys, rows in self.tables[n]:
             key = keys(stack, walk)
             lo, hi = np.searchsorted(sorted_keys, key, "left"), np.searchsorted(sorted_keys, key, "right")
@@ -227,35 +235,39 @@ class Items:
                 so_far = held.setdefault(n, [])
                 base = so_far[-1][3] if so_far else 0
                 so_far.append(((np.full(len(s), c), s, row, which + base), stack, None, base + len(stack)))
+        best: dict[tuple, tuple[int, int]] = {}
+        tried: set[tuple] = set()
         for n, found in held.items():
             chunk, start, row, which = (np.concatenate(x) for x in zip(*[f[0] for f in found], strict=True))
             stack = np.concatenate([f[1] for f in found])
             pairs = np.unique(np.concatenate([np.stack(x) for x in self.candidates(n, stack)], axis=1), axis=1)
-            most = most_of(n)
             by_window = np.argsort(which, kind="stable")
             lo = np.searchsorted(which[by_window], np.arange(len(stack) + 1))
-            best: dict[tuple, tuple[int, int]] = {}
-            for i in np.unique(pairs[1]).tolist():
-                # a window within the distance has all but ``most`` of the item's different words
-                ws, own = pairs[0][pairs[1] == i], self.sets[i]
+            for k in np.unique(pairs[1]).tolist():
+                i, ahead, part = self.parts[k]
+                size, most = len(self.words[i]), most_of(len(self.words[i]))
+                # a window within the distance has all but a few of the part's different words
+                ws, own = pairs[0][pairs[1] == k], self.sets[k]
                 spot = np.where(_within(own, stack[ws]), np.searchsorted(own, stack[ws]), -1)
                 spot.sort(axis=1)
                 different = (spot[:, 1:] != spot[:, :-1]).sum(1) + (spot[:, 0] >= 0)
-                ws = ws[different >= len(own) - most]
-                # windows most like the item come first, a verbatim one before all: of equal distances the first counts
-                ws = ws[np.argsort(-(stack[ws] == self.words[i]).sum(1), kind="stable")]
+                ws = ws[different >= len(own) - most_of(n)]
+                # windows most like the part come first, a verbatim one before all: of equal distances the first counts
+                ws = ws[np.argsort(-(stack[ws] == part).sum(1), kind="stable")]
                 for w in ws.tolist():
                     for x in by_window[lo[w] : lo[w + 1]].tolist():
-                        c, s, r = int(chunk[x]), int(start[x]), int(row[x])
-                        if best.get((c, r, i), (1, 0))[0] == 0:
+                        c, s, r = int(chunk[x]), int(start[x]) - ahead, int(row[x])
+                        if best.get((c, r, i), (1, 0))[0] == 0 or (c, r, i, s) in tried:
                             continue
+                        if n < size:  # other parts point to the same place
+                            tried.add((c, r, i, s))
                         _, h, at = parts[c]
-                        d = distance(self.words[i], h[max(s - most, at[r]) : min(s + n + most, at[r + 1])], most)
+                        d = distance(self.words[i], h[max(s - most, at[r]) : max(min(s + size + most, at[r + 1]), at[r])], most)
                         if d < best.get((c, r, i), (most + 1, 0))[0]:
                             best[c, r, i] = (d, s)
-            for (c, r, i), (d, s) in best.items():
-                ids, _, at = parts[c]
-                yield int(ids[r]), self.ids[i], max(int(s - at[r]), 0), d, n
+        for (c, r, i), (d, s) in best.items():
+            ids, _, at = parts[c]
+            yield int(ids[r]), self.ids[i], max(int(s - at[r]), 0), d, len(self.words[i])
 
 
 def padded(h: np.ndarray, at: np.ndarray, pad: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -304,10 +316,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     items = benchmark.where("item_id IS NOT NULL").select(F.col("item_id").cast("long").alias("item_id"), text_of().alias("text"))
     out = None
-    block, size = [], 0
+    block, size = [], 0  # size: bytes
 
     def passed(block: list) -> DataFrame:
-        sent = spark.sparkContext.broadcast(block)  # at most BLOCK items
+        sent = spark.sparkContext.broadcast(block)  # at most BLOCK items of about BLOCK_BYTES
 
         def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             found = Items([i for i, _ in sent.value], [t for _, t in sent.value])
@@ -322,8 +334,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
     for r in items.toLocalIterator():  # block by block: the driver holds one block
         block.append((r["item_id"], r["text"]))
-        size += 1
-        if size == BLOCK:
+        size += len(r["text"].encode())
+        if len(block) == BLOCK or size >= BLOCK_BYTES:
             out = passed(block) if out is None else out.unionByName(passed(block))
             block, size = [], 0
     if block or out is None:
