@@ -221,7 +221,7 @@ def test_decontaminate_at_text_ends(spark):
     assert all(first >= 0 for _, first in got.values())
 
 
-@pytest.mark.parametrize("n", [12, 30, 60, 100, 150, 256])
+@pytest.mark.parametrize("n", [5, 6, 8, 12, 30, 60, 100, 150, 256])
 def test_decontaminate_recall_at_the_threshold(n):
     walks = decontaminate.repeats(n)
     for kind in decontaminate.KINDS:

@@ -2,16 +2,19 @@
 
 1. size of every document; per (source, size) the number of documents: the histogram;
 2. targets by weight, excess over twice a source's size reshared until none is above;
-3. per source, whole passes over all documents take the target's full multiples; of the rest of
-   the budget all but ``ROOM`` mean documents' words go out in equal shares over the lengths, then a
-   bounded-knapsack dynamic programme over all length counts (a bit set of reachable sums) fits what
-   remains;
+3. per source, whole passes over all documents take the target's full multiples; the rest of the
+   budget goes out in equal shares over the lengths, and a bounded-knapsack dynamic programme over all
+   length counts (a bit set of reachable sums) closes the gap: it may add documents that are left and
+   give back documents that were taken, as long as the sum stays within ``ROOM`` mean documents' words;
 4. per (source, size) the chosen number of documents is picked by seeded hash: ranges of the hash
    are counted first, and rows are ranked only in the range where the count runs out, so a
    length that a third of all rows share is never sorted in one task.
 
-Step 3's programme has as many states as ``ROOM`` mean documents of the source have words, whatever
-the number of documents. Only source sizes (one row per source) come to the driver.
+Step 3's programme has as many states as twice ``ROOM`` mean documents of the source have words, whatever
+the number of documents. Where all sums of a source lie within that, its fit is the nearest there is;
+otherwise it is the nearest that adding from the longest and giving back from the shortest reach without
+leaving the states, and at worst the gap of the equal shares, less than the shortest document that is left. Only
+source sizes (one row per source) come to the driver.
 
 Edge cases: null text has size 0; null source is a source of its own, last in order; sources
 without words take nothing; repeated rows are documents of their own and count as such; ties of
@@ -34,6 +37,7 @@ SHARE, CAP = 1.5, 2.0
 SEED = 17
 #: Documents of one length that share a range of the hash, about; only one range a length is ranked.
 RANGE_ROWS = 10_000
+#: Mean documents' words by which the programme may move away from the equal shares, either way.
 ROOM = 64
 
 
@@ -58,19 +62,18 @@ def targets(sizes: dict[str | None, int], weights=WEIGHTS, share: float = SHARE,
 def fit(lengths: list[int], counts: list[int], budget: int) -> list[int]:
     """How many documents of each length to take (at most its count) so that the words come nearest below ``budget``.
 
-    All but ``ROOM`` mean documents' words of the budget go out in equal shares over the documents in
-    order of length; the programme then fits the rest over everything that is left. It keeps, for each
-    sum of words, the item that first reached it: memory is one number a word of the rest."""
+    The budget goes out in equal shares over the documents in order of length. The programme then moves
+    away from these: for each change of the sum it keeps the item (documents of one length, added or given
+    back) that first reached it, so memory is one number a state."""
     total = sum(n * c for n, c in zip(lengths, counts, strict=True))
     if budget >= total:
         return list(counts)
     if budget <= 0 or not total:
         return [0] * len(lengths)
-    order = sorted((i for i in range(len(lengths)) if lengths[i]), key=lambda i: lengths[i])
-    share = max(0, budget - -(-ROOM * total // sum(counts[i] for i in order)))
+    order = sorted((i for i in range(len(lengths)) if lengths[i] and counts[i]), key=lambda i: lengths[i])
     taken, before = [0] * len(lengths), 0
-    for i in order:  # of the first k documents in order k * share / total are taken
-        taken[i] = (before + counts[i]) * share // total - before * share // total
+    for i in order:  # of the first k documents in order k * budget / total are taken
+        taken[i] = (before + counts[i]) * budget // total - before * budget // total
         before += counts[i]
     left = budget - sum(n * t for n, t in zip(lengths, taken, strict=True))
     for i in order:  # rounding by length can take too many words: the shortest give them back
@@ -78,24 +81,31 @@ def fit(lengths: list[int], counts: list[int], budget: int) -> list[int]:
             back = min(taken[i], -(left // lengths[i]))
             taken[i] -= back
             left += back * lengths[i]
-    # counts split in powers of two; bit b of `reach` is set if b words can be taken
+    for i in reversed(order):  # or too few: the longest that fit are added
+        more = min(counts[i] - taken[i], left // lengths[i])
+        taken[i] += more
+        left -= more * lengths[i]
+    # bit w + b of ``reach`` is set if the sum can change by b; counts are split in powers of two
+    w = max(left, -(-ROOM * total // before))
     items = []
-    for i in reversed(order):
-        spare, k = min(counts[i] - taken[i], left // lengths[i]), 1
-        while spare > 0:
-            items.append((i, min(k, spare)))
-            spare, k = spare - k, 2 * k
-    mask, reach = (1 << (left + 1)) - 1, 1
-    first = np.full(left + 1, -1, np.int32)
+    for long, short in zip(reversed(order), order, strict=True):  # what long ones add, short ones give back at once
+        for i, sign, spare in ((long, 1, counts[long] - taken[long]), (short, -1, taken[short])):
+            spare, k = min(spare, 2 * w // lengths[i]), 1
+            while spare > 0:
+                items.append((i, sign * min(k, spare)))
+                spare, k = spare - k, 2 * k
+    mask, reach = (1 << (2 * w + 1)) - 1, 1 << w
+    first = np.full(2 * w + 1, -1, np.int32)
     for at, (i, k) in enumerate(items):
-        if reach >> left & 1:  # the budget is met
+        if reach >> (w + left) & 1:  # the budget is met
             break
-        fresh = (reach << (lengths[i] * k)) & mask & ~reach
+        step = lengths[i] * abs(k)
+        fresh = (reach << step & mask if k > 0 else reach >> step) & ~reach
         if fresh:
             first[_ones(fresh)] = at
             reach |= fresh
-    at = reach.bit_length() - 1
-    while at:
+    at = (reach & ((1 << (w + left + 1)) - 1)).bit_length() - 1
+    while at != w:
         i, k = items[first[at]]
         taken[i] += k
         at -= lengths[i] * k  # a sum that earlier items alone reach
