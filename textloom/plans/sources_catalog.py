@@ -34,6 +34,17 @@ def put_lines(df: DataFrame, path: str, **options) -> str:
     return path
 
 
+#: Rows of an object or list that a file holds, about.
+FILE_ROWS = 500
+
+
+def put_whole(rows: DataFrame, key: str, whole, path: str) -> str:
+    """Rows dealt by ``key`` to groups of about ``FILE_ROWS``; ``whole`` gathers a group into one JSON value, a file each."""
+    n = max(1, rows.count() // FILE_ROWS)
+    dealt = rows.withColumn("file", F.pmod(F.xxhash64(key), F.lit(n))).groupBy("file").agg(whole.alias("value"))
+    return put_lines(dealt.select("value"), path, maxRecordsPerFile=1)
+
+
 def _pairs(spark, sf) -> DataFrame:
     return evaluation.containing(read(spark, sf, "benchmark"), docs(spark, sf)).select("item_id", "doc_id")
 
@@ -47,7 +58,7 @@ LINES = "list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[
     SELECT item_id || '-' || doc_id || ':e0' AS evidence_id, 'qasper:' || doc_id AS document_id, CASE WHEN contains(body, t) THEN (strpos(body, t) - 1)::int END AS start, CASE WHEN contains(body, t) THEN (strpos(body, t) - 1 + length(t))::int END AS "end", CASE WHEN NOT contains(body, t) THEN 'not found verbatim' END AS reason FROM q
     UNION ALL SELECT item_id || '-' || doc_id || ':e1', 'qasper:' || doc_id, NULL, NULL, 'not found verbatim' FROM q""")
 def papers_evidence(spark, sf):
-    """Documents that hold an item as papers in one JSON object; each item asks for itself and for a text that no paper has."""
+    """Documents that hold an item as papers in JSON objects; each item asks for itself and for a text that no paper has."""
     b = read(spark, sf, "benchmark").select("item_id", F.col("text").alias("item"))
     answer = F.array(F.struct(F.struct(F.lit(False).alias("unanswerable"), F.array("item", F.lit("~ nowhere ~")).alias("evidence")).alias("answer")))
     asked = _pairs(spark, sf).join(b, "item_id").groupBy("doc_id").agg(F.collect_list(F.struct(F.concat_ws("-", "item_id", "doc_id").alias("question_id"), F.lit("?").alias("question"), answer.alias("answers"))).alias("qas"))  # a document's own items
@@ -55,10 +66,9 @@ def papers_evidence(spark, sf):
     d = read(spark, sf, "documents").join(asked, "doc_id")
     rest = F.struct(F.lit("Body").alias("section_name"), F.slice(lines, 2, F.size(lines)).alias("paragraphs"))
     paper = F.struct(F.col("source").alias("title"), F.slice(lines, 1, 1).alias("abstract"), F.array(rest).alias("full_text"), "qas")
-    whole = d.agg(F.to_json(F.map_from_entries(F.collect_list(F.struct(F.col("doc_id").cast("string"), paper)))).alias("value"))  # the format is one object, here of the benchmark's documents
-    path = put_lines(whole.coalesce(1), folder(spark))
-    part = [f for f in spark.read.format("binaryFile").load(path).select("path", "length").collect() if f["length"]][0]["path"]  # one file
-    return raw.papers(spark, part).evidence.select("evidence_id", "document_id", "start", "end", "reason")
+    whole = F.to_json(F.map_from_entries(F.collect_list(F.struct(F.col("doc_id").cast("string"), F.col("paper")))))
+    path = put_whole(d.select("doc_id", paper.alias("paper")), "doc_id", whole, folder(spark))
+    return raw.papers(spark, path).evidence.select("evidence_id", "document_id", "start", "end", "reason")
 
 
 HOPS = f"""{PAIRS}, h AS (SELECT item_id, doc_id, row_number() OVER (PARTITION BY item_id ORDER BY doc_id) - 1 AS nth FROM pairs),
@@ -75,7 +85,7 @@ def multi_hop_evidence(spark, sf):
     facts = _pairs(spark, sf).join(docs(spark, sf), "doc_id").groupBy("item_id").agg(F.sort_array(F.collect_list(F.struct("doc_id", last.alias("i")))).alias("f"))  # an item's documents
     said = F.transform("f", lambda x: F.array(F.concat(F.lit("Doc  "), x["doc_id"]), x["i"].cast("string")))
     q = facts.select(F.struct(F.col("item_id").cast("string").alias("_id"), F.lit("?").alias("question"), F.lit("!").alias("answer"), said.alias("supporting_facts")).alias("q"))
-    put_lines(q.agg(F.to_json(F.collect_list("q"))).coalesce(1), f"{at}/questions")  # the format is one list, here of benchmark items
+    put_whole(q, "q._id", F.to_json(F.collect_list("q")), f"{at}/questions")
     e = raw.multi_hop(spark, f"{at}/questions", f"{at}/corpus").evidence
     return e.select("query_id", "evidence_id", "document_id", F.md5("text").alias("text_md5"), "token_count", "start", "end")
 

@@ -64,6 +64,11 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(p) and fs.getFileStatus(p).isFile()
 
 
+def _parts(spark: SparkSession, path: str) -> bool:
+    """Whether ``path`` is a folder of part files that a job wrote to its end."""
+    return _exists(spark, f"{path.rstrip('/')}/_SUCCESS")
+
+
 def split_file(spark: SparkSession, path: str, split: str) -> str:
     """``path`` itself if it is a file, else the split's file in that folder."""
     names = [split] + (["dev", "validation"] if split == "validation" else [])
@@ -90,13 +95,24 @@ def paper_parts(papers: DataFrame) -> DataFrame:
 
 
 def papers(spark: SparkSession, path: str, split: str = "validation", unanswerable: str = "exclude") -> Bundle:
-    """Papers keyed by id, with questions and annotated evidence paragraphs (QASPER)."""
+    """Papers keyed by id, with questions and annotated evidence paragraphs (QASPER). A folder that is no split's may
+    hold several such objects, each a file, which are read side by side."""
     if unanswerable not in ("include", "exclude", "mark"):
         raise ValueError(f"unanswerable is include, exclude or mark, not {unanswerable!r}")
-    whole = spark.read.text(split_file(spark, path, split), wholetext=True).select(F.from_json("value", PAPERS).alias("m"))
+    try:
+        path = split_file(spark, path, split)
+    except FileNotFoundError:
+        if not _parts(spark, path):
+            raise
+    whole = spark.read.text(path, wholetext=True).where("value != ''").select(F.from_json("value", PAPERS).alias("m"))
     if not whole.where("m IS NULL").isEmpty():
         raise ValueError(f"{path}: an object keyed by paper is asked for")
-    docs = paper_parts(whole.select(F.explode("m").alias("id", "p")).withColumn("document_id", F.concat(F.lit("qasper:"), "id")))
+    return paper_bundle(whole.select(F.explode("m").alias("id", "p")), split, unanswerable)
+
+
+def paper_bundle(table: DataFrame, split: str = "validation", unanswerable: str = "exclude") -> Bundle:
+    """The bundle of papers (id, p), a row each."""
+    docs = paper_parts(table.select("id", "p").withColumn("document_id", F.concat(F.lit("qasper:"), "id")))
     asked = docs.select("document_id", F.col("text").alias("body"), "parts", F.explode("p.qas").alias("q"))
     asked = asked.withColumn("unanswerable", F.expr("coalesce(size(q.answers) > 0 AND forall(q.answers, a -> coalesce(a.answer.unanswerable, false)), false)"))
     kept = asked.where("NOT unanswerable") if unanswerable == "exclude" else asked
@@ -186,7 +202,11 @@ def answer_spans(spark: SparkSession, path: str, split: str = "validation") -> B
     root = spark.read.schema(SPANS).option("multiLine", True).json(split_file(spark, path, split))
     arts = root.select(F.posexplode("data").alias("a", "article")).select("a", "article.title", F.posexplode("article.paragraphs").alias("p", "para"))
     docs = arts.select(F.format_string("uit_viquad:%d:%d", "a", "p").alias("document_id"), F.col("para.context").alias("text"), "title", "para.qas")
-    asked = docs.select("document_id", F.col("text").alias("body"), F.explode("qas").alias("q"))
+    return span_bundle(docs.drop("qas"), docs.select("document_id", F.col("text").alias("body"), F.explode("qas").alias("q")), split)
+
+
+def span_bundle(docs: DataFrame, asked: DataFrame, split: str = "validation") -> Bundle:
+    """The bundle of paragraphs (document_id, text, title) and their questions (document_id, body, q{id, question, answers})."""
     queries = asked.select(F.col("q.id").alias("query_id"), F.col("q.question").alias("text"), F.array("document_id").alias("relevant_document_ids"), F.expr("coalesce(size(q.answers), 0) <= 0").alias("unanswerable"))
     rows = asked.where("size(q.answers) > 0").withColumn("spans", sentence_spans("body")).select(F.col("q.id").alias("query_id"), "document_id", "body", "spans", F.explode("q.answers").alias("x"))
     rows = rows.withColumn("from", F.expr("CASE WHEN substring(body, x.answer_start + 1, length(x.text)) = x.text THEN x.answer_start WHEN substring(body, x.answer_start + 2, length(x.text)) = x.text THEN x.answer_start + 1 END"))
@@ -196,7 +216,7 @@ def answer_spans(spark: SparkSession, path: str, split: str = "validation") -> B
     spans = rows.select("query_id", "document_id", "body", F.expr("cover[0].start").alias("start"), F.expr("element_at(cover, -1).end").alias("end"), F.size("cover").alias("sentence_count")).distinct()
     hit = spans.withColumn("nth", F.row_number().over(W.partitionBy("query_id").orderBy("start", "end")) - 1)
     hit = hit.withColumn("text", F.expr("substring(body, start + 1, end - start)")).withColumn("reason", F.lit(None).cast("string"))
-    return Bundle(docs.drop("qas"), queries, _located(hit), {"dataset_name": "uit_viquad", "split": split, "language": "vi"})
+    return Bundle(docs, queries, _located(hit), {"dataset_name": "uit_viquad", "split": split, "language": "vi"})
 
 
 def synthetic(spark: SparkSession, split: str = "test") -> Bundle:
