@@ -288,6 +288,8 @@ def intersect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 SALT_ROWS = 2000
 #: Sets of a list that meet in one task, about: lists are cut into blocks of so many.
 BLOCK_ROWS = 1000
+#: Of the open lists of a set the least so many tell in which list a pair met before.
+FIRST_LISTS = 16
 
 
 def verify(base: DataFrame, classes: DataFrame, pairs: DataFrame, n: int) -> DataFrame:
@@ -325,31 +327,38 @@ def linked(percent: int) -> str:
 
 
 def cross_pairs(percent: int) -> Callable:
-    """Of entries sorted by list, lo, hi, size: (list, lo, hi, block, size, sig, comp, sketch): pairs across components that may link.
+    """Of entries sorted by list, lo, hi, size: (list, lo, hi, block, size, sig, comp, firsts, sketch): pairs across components that may link.
 
     A list stands in blocks, two of them (lo, hi) at a time; a set meets the sets before it in the other
     block (in its own, if both are one) whose size is near enough and whose sketch differs in no more places
-    than linked sets may differ in shingles."""
+    than linked sets may differ in shingles. A pair is left out where the least lists of the two show that it
+    meets in a lesser list too: its least list is never left out."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, held, m, bits = None, np.zeros((64, 4), np.int64), 0, np.zeros((64, SKETCH_BITS // 64), np.uint64)
+        lesser = np.zeros((64, FIRST_LISTS), np.int64)
         for batch in batches:
             out_a, out_b = [], []
-            cols = [batch.column(i).to_pylist() for i in range(8)]
-            for k, lo, hi, block, size, sig, comp, data in zip(*cols, strict=True):
+            cols = [batch.column(i).to_pylist() for i in range(9)]
+            for k, lo, hi, block, size, sig, comp, firsts, data in zip(*cols, strict=True):
                 if (k, lo, hi) != key:
                     key, m = (k, lo, hi), 0
                 mine = np.frombuffer(data, np.uint64)
+                own = np.full(FIRST_LISTS, k)  # this list and what follows it prove nothing
+                own[: len(firsts)] = np.minimum(firsts, k)
                 n, c = held[:m, 0], held[:m, 2]
                 at = np.flatnonzero((100 * n >= percent * size) & (c != comp) & ((held[:m, 3] != block) | (lo == hi)))
                 if len(at):
                     apart = np.bitwise_count(bits[at] ^ mine).sum(1)
                     near = at[apart <= _apart(n[at] + size, percent)]
+                    if len(near):
+                        shown = (lesser[near][:, :, None] == own[own < k]).any((1, 2))
+                        near = near[~shown]
                     out_a += np.minimum(held[near, 1], sig).tolist()
                     out_b += np.maximum(held[near, 1], sig).tolist()
                 if m == len(held):
-                    held, bits = np.concatenate([held, np.zeros_like(held)]), np.concatenate([bits, np.zeros_like(bits)])
-                held[m], bits[m], m = (size, sig, comp, block), mine, m + 1
+                    held, bits, lesser = (np.concatenate([x, np.zeros_like(x)]) for x in (held, bits, lesser))
+                held[m], bits[m], lesser[m], m = (size, sig, comp, block), mine, own, m + 1
             yield pa.RecordBatch.from_arrays([pa.array(out_a, pa.int64()), pa.array(out_b, pa.int64())], names=["a", "b"])
 
     return read
@@ -391,12 +400,16 @@ def join(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame:
     placed = entries.join(comps, entries.sig == comps.node, "left").select("list", "size", "sig", F.coalesce("comp", "sig").alias("comp"))
     mixed_lists = placed.groupBy("list").agg((F.min("comp") < F.max("comp")).alias("several")).where("several").select("list")
     blocks = width.select("list", F.ceil(F.col("width") / BLOCK_ROWS).cast("int").alias("blocks"))
-    open_rows = placed.join(mixed_lists.join(blocks, "list"), "list").join(sketched, F.col("sig") == F.col("t_sig")).withColumn("block", F.pmod(F.xxhash64("sig"), F.col("blocks")).cast("int"))
-    met = open_rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("list", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "size", "sig", "comp", "sketch")
+    open_rows = settle(placed.join(mixed_lists.join(blocks, "list"), "list").withColumn("block", F.pmod(F.xxhash64("sig"), F.col("blocks")).cast("int")))
+    # a set's own lists: no more than it has blocks
+    firsts = open_rows.groupBy("sig").agg(F.slice(F.sort_array(F.collect_list("list")), 1, FIRST_LISTS).alias("firsts"))
+    about = firsts.join(sketched, F.col("sig") == F.col("t_sig")).select("t_sig", "firsts", "sketch")
+    known = open_rows.join(about, F.col("sig") == F.col("t_sig"))
+    met = known.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("list", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "size", "sig", "comp", "firsts", "sketch")
     crossed = met.repartition(parts, "list", "lo", "hi").sortWithinPartitions("list", "lo", "hi", "size", "sig").mapInArrow(cross_pairs(percent), "a long, b long").distinct()
     done = tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     crossed = settle(crossed.join(done, ["a", "b"], "left_anti"))
-    release(spark)
+    release(spark, open_rows)
     if not crossed.isEmpty():
         more = verify(base, classes, oriented(crossed), n).where(linked(percent)).select("a", "b")
         comps = connect(settle(links.unionByName(more)))
