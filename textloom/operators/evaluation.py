@@ -127,6 +127,20 @@ def graded(qrels: DataFrame, rankings: DataFrame, k: int) -> DataFrame:
     return j.select("query_id", safe("dcg", "ideal").alias("ndcg"), safe("n_got", "n_rel").alias("recall"))
 
 
+def unique(df: DataFrame, key: str, what: str) -> DataFrame:
+    """``df``, which has one row a ``key``; a second one is raised by whatever job reads the rows.
+
+    Rows are counted within the partitioning by ``key`` that a join by it needs anyway."""
+    n = F.count(F.lit(1)).over(W.partitionBy(key))
+    once = F.when(F.col("copies_") == 1, F.lit(True)).otherwise(F.raise_error(F.concat(F.lit(f"{what} repeat {key} "), F.col(key).cast("string"))).cast("boolean"))
+    return df.withColumn("copies_", n).where(once).drop("copies_")
+
+
+def one_to_one(left: DataFrame, right: DataFrame, key: str, what: tuple[str, str], how: str = "inner") -> DataFrame:
+    """Join of two tables that both have one row a ``key``."""
+    return unique(left, key, what[0]).join(unique(right, key, what[1]), key, how)
+
+
 def document_qrels(qrels: DataFrame, passages: DataFrame) -> DataFrame:
     """Largest relevance of a document's passages per query; a judged passage that is unknown is refused."""
     known = qrels.join(passages.select("item_id", "document_id"), "item_id", "left")

@@ -40,18 +40,27 @@ def bm25(queries: DataFrame, items: DataFrame, k: int = 10, k1: float = 1.2, b:
     carry = ["document_id"] if within is not None else []
     toks = items.select("item_id", *carry, T.terms(T.text_of()).alias("ts"))
     stats = toks.agg(F.count("*").alias("n"), F.avg(F.size("ts")).alias("avgdl"))
-    q = queries.select("query_id", F.explode(T.terms(T.text_of())).alias("t")).groupBy("query_id", "t").agg(F.count("*").alias("qtf"))
-    vocabulary = q.select("t").distinct()
+    q = query_terms(queries)
     # only postings of query terms are shuffled
-    post = toks.select("item_id", *carry, F.size("ts").alias("dl"), F.explode("ts").alias("t")).join(vocabulary, "t", "left_semi").groupBy("item_id", *carry, "dl", "t").agg(F.count("*").alias("tf"))
-    df = post.groupBy("t").agg(F.count("*").alias("df"))
-    idf = df.crossJoin(F.broadcast(stats)).select("t", "avgdl", F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))  # stats: one row
+    post = toks.select("item_id", *carry, F.size("ts").alias("dl"), F.explode("ts").alias("t")).join(q.select("t").distinct(), "t", "left_semi").groupBy("item_id", *carry, "dl", "t").agg(F.count("*").alias("tf"))
+    df = post.groupBy("t").agg(F.count("*").alias("df")).crossJoin(F.broadcast(stats))  # stats: one row
+    return bm25_of(queries, q, post, df, (F.col("n"), F.col("avgdl")), toks, k, k1, b, within)
+
+
+def query_terms(queries: DataFrame) -> DataFrame:
+    return queries.select("query_id", F.explode(T.terms(T.text_of())).alias("t")).groupBy("query_id", "t").agg(F.count("*").alias("qtf"))
+
+
+def bm25_of(queries: DataFrame, q: DataFrame, post: DataFrame, df: DataFrame, stats: tuple, items: DataFrame, k: int, k1: float, b: float, within: DataFrame | None) -> DataFrame:
+    """The scores of postings (t, item_id, dl, tf) for query terms (query_id, t, qtf); ``df`` has t, df and what ``stats``, the number of items and their mean length, reads."""
+    n, avgdl = stats
+    idf = df.select("t", avgdl.alias("avgdl"), F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
     term = F.col("qtf") * F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
     pairs = post.join(q.join(idf, "t"), "t")
     if within is not None:
         pairs = pairs.join(within.select("query_id", "document_id"), ["query_id", "document_id"], "left_semi")
     hits = ranked(pairs.groupBy("query_id", "item_id").agg(F.round(F.sum(term), 9).alias("score")), k)
-    return _filled(hits, queries, toks, k, within)
+    return _filled(hits, queries, items, k, within)
 
 
 def _filled(hits: DataFrame, queries: DataFrame, items: DataFrame, k: int, within: DataFrame | None) -> DataFrame:

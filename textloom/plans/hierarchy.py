@@ -7,11 +7,16 @@ once and read by the metrics; each table of an export is checked against its col
 
 from __future__ import annotations
 
+import copy
 import json
 import platform
+import subprocess
+import sys
 import time
+from collections.abc import Callable
 from dataclasses import asdict, dataclass, field, replace
 from datetime import UTC, datetime
+from importlib import metadata
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -20,7 +25,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..functions import vectors
 from ..operators import evaluation, retrieval, validation
-from ..sources import raw, tables
+from ..sources import index, raw, tables
 
 #: Names of methods, data sets and modes, and the budgets (document, passage, final) of each mode.
 KINDS = ("sparse", "dense", "combined")
@@ -42,6 +47,10 @@ def pairs_of_methods() -> dict[str, tuple[str, str]]:
     return {f"{a}_{b}": (a, b) for a in KINDS for b in KINDS}
 
 
+#: Encoders of the dense methods by name: (items with item_id and text, configuration) to item_id, vector. A model adds itself here.
+ENCODERS: dict[str, Callable[[DataFrame, Config], DataFrame]] = {"hashing": lambda items, c: vectors.filled(items, vectors.signed_hashing(items, c.dim, c.native_hash), c.dim)}
+
+
 @dataclass(frozen=True)
 class Config:
     name: str = "two_stage"
@@ -65,6 +74,15 @@ class Config:
     tuned_split: str = "dev"
     frozen: bool = True
     output: str = "outputs"
+    datasets: tuple[str, ...] = ("synthetic",)
+    synthetic: bool = False
+    encoder: str = "hashing"
+    dense_index: str = "exact"
+    sparse_index: str = "bm25"
+    #: So many queries are run one by one to measure their time.
+    latency_queries: int = 3
+    #: Folder of indexes and vectors that runs share; none: both are made anew in every plan.
+    cache: str | None = None
 
     def problems(self) -> list[str]:
         """Every rule that the configuration breaks."""
@@ -72,6 +90,14 @@ class Config:
             f"mode is one of {sorted(BUDGETS)}": self.mode in BUDGETS,
             "the experiment has a name": bool(self.name.strip()),
             f"methods are among {sorted(pairs_of_methods())}": bool(self.methods) and set(self.methods) <= set(pairs_of_methods()),
+            f"data sets are among {sorted(DATA_SETS)} or synthetic": bool(self.datasets) and set(self.datasets) <= {*DATA_SETS, "synthetic"},
+            "a synthetic run has the synthetic data set alone": not self.synthetic or self.datasets == ("synthetic",),
+            f"vectors are made by one of {sorted(ENCODERS)}": self.encoder in ENCODERS,
+            "hashed vectors are for smoke runs": self.mode == "smoke" or self.encoder != "hashing",
+            "dense results are exact": self.dense_index == "exact",
+            "sparse results are bm25": self.sparse_index == "bm25",
+            "the number of timed queries is not negative": self.latency_queries >= 0,
+            "test labels choose no parameter": self.tuned_split != "test",
             "budgets are positive": min(self.document_k, self.passage_k, self.final_k) > 0,
             "the final budget is at most the passage budget": self.final_k <= self.passage_k,
             "a sample is positive or not asked for": self.sample is None or self.sample > 0,
@@ -137,14 +163,27 @@ class Retrievers:
         self.documents = data.documents.select(F.col("document_id").alias("item_id"), "text")
         self.passages = data.passages.select(F.col("passage_id").alias("item_id"), "document_id", F.col("passage_text").alias("text"))
         said = data.documents.select(F.col("document_id").alias("item_id"), T.representation(F.col("title"), F.coalesce("text", F.lit("")), c.strategy, c.lead).alias("text"))
-        encode = lambda items: vectors.filled(items, vectors.signed_hashing(items, c.dim, c.native_hash), c.dim)
+        self.indexes = None if c.cache is None else {"documents": index.build(self.documents, c.cache), "passages": index.build(self.passages, c.cache)}
+        #: Texts that had to be embedded, with a cache.
+        self.embedded = 0
+
+        def encode(items: DataFrame) -> DataFrame:
+            if c.cache is None:
+                return ENCODERS[c.encoder](items, c)
+            made, n = index.cached_vectors(items, c.cache, f"{c.encoder}-{c.dim}-{c.native_hash}", lambda x: ENCODERS[c.encoder](x, c))
+            self.embedded += n
+            return made
+
         self.asked = encode(self.queries.withColumnRenamed("query_id", "item_id")).withColumnRenamed("item_id", "query_id")
         self.document_vectors, self.passage_vectors = encode(said), encode(self.passages)
 
     def one(self, kind: str, k: int, within: DataFrame | None) -> DataFrame:
         items = self.documents if within is None else self.passages
         if kind == "sparse":
-            got = retrieval.bm25(self.queries, items, k, within=within)
+            if self.indexes is None:
+                got = retrieval.bm25(self.queries, items, k, within=within)
+            else:
+                got = self.indexes["documents" if within is None else "passages"].search(self.queries, k, within=within)
             return got.withColumn("sparse_rank", F.col("rank")).withColumn("dense_rank", F.lit(None).cast("int")).withColumn("source_method", F.lit("sparse"))
         if kind == "dense":
             if within is None:
@@ -161,6 +200,12 @@ class Retrievers:
         both = retrieval.reciprocal_rank(sparse, dense, k, self.config.rrf_k)
         return both.withColumn("source_method", F.when(F.col("dense_rank").isNull(), "sparse").when(F.col("sparse_rank").isNull(), "dense").otherwise("sparse+dense"))
 
+    def only(self, query_id: str) -> Retrievers:
+        """The same over one query."""
+        out = copy.copy(self)
+        out.queries, out.asked = (df.where(F.col("query_id") == query_id) for df in (self.queries, self.asked))
+        return out
+
     def documents_by(self, kind: str) -> DataFrame:
         """query_id, document_id, document_rank, document_score, sparse_rank, dense_rank, source_method."""
         got = self.one(kind, self.config.document_k, None)
@@ -199,7 +244,8 @@ def per_query(data: tables.Retrieval, documents: DataFrame, passages: DataFrame)
     d = scored(doc_qrels.withColumnRenamed("document_id", "item_id"), documents.select("query_id", F.col("document_id").alias("item_id"), F.col("document_rank").alias("rank")), "document")
     alive = evaluation.survival(doc_qrels, documents)
     unique = passages.groupBy("query_id").agg(F.count_distinct("passage_id").alias("unique_result_count"))
-    both = p.join(d, "query_id").join(alive, "query_id", "left").join(unique, "query_id", "left")
+    both = evaluation.one_to_one(p, d, "query_id", ("passage metrics", "document metrics"))
+    both = both.join(alive, "query_id", "left").join(unique, "query_id", "left")
     return both.withColumn("candidate_survival_rate", F.coalesce("candidate_survival_rate", F.lit(0.0))).withColumn("unique_result_count", F.coalesce("unique_result_count", F.lit(0)))
 
 
@@ -213,6 +259,21 @@ def latencies(rows: DataFrame) -> DataFrame:
     return rows.agg(F.round(F.avg("latency_ms"), 6).alias("mean_query_latency_ms"), F.round(F.percentile("latency_ms", 0.5), 6).alias("p50_query_latency_ms"), F.round(F.percentile("latency_ms", 0.95), 6).alias("p95_query_latency_ms"))
 
 
+def timed(data: tables.Retrieval, stages: Retrievers, kinds: tuple[str, str], reranker=None) -> DataFrame:
+    """(query_id, latency_ms) of ``latency_queries`` queries in seeded order: each is run alone through both stages."""
+    c = stages.config
+    order = F.md5(F.concat(F.lit(f"{c.seed}:"), "query_id"))
+    out = []
+    for (query_id,) in data.queries.select("query_id").orderBy(order, "query_id").limit(c.latency_queries).collect():
+        one = stages.only(query_id)
+        began = time.perf_counter()
+        documents = one.documents_by(kinds[0])
+        selected = documents.sparkSession.createDataFrame(documents.collect(), documents.schema)  # document_k rows
+        one.passages_by(kinds[1], selected, reranker).collect()  # final_k rows
+        out.append((query_id, 1000 * (time.perf_counter() - began)))
+    return data.queries.sparkSession.createDataFrame(out, "query_id string, latency_ms double")
+
+
 @dataclass(frozen=True)
 class Result:
     dataset: str
@@ -226,7 +287,7 @@ class Result:
 
 
 def run(spark: SparkSession, data: tables.Retrieval, method: str, config: Config, folder: str, retrievers: Retrievers | None = None, reranker=None, budgets: tuple | None = None) -> Result:
-    """One experiment. Rankings are written below ``folder`` and read back; the time of all queries together is shared among them."""
+    """One experiment. Rankings of all queries are written below ``folder`` and read back; of a few queries the time is measured one by one."""
     config.check()
     if budgets is not None and budgets != (config.document_k, config.passage_k):
         raise validation.ConfigError("the experiment's budgets are not those of the run")
@@ -237,13 +298,10 @@ def run(spark: SparkSession, data: tables.Retrieval, method: str, config: Config
         tables.write_table(df, f"{folder}/{name}")
         return spark.read.schema(df.schema).parquet(f"{folder}/{name}")
 
-    began = time.perf_counter()
     documents = put(stages.documents_by(kinds[0]), "document_rankings")
     passages = put(stages.passages_by(kinds[1], documents, reranker), "passage_rankings")
-    spent = 1000 * (time.perf_counter() - began)
-    n = data.queries.count()
-    took = put(data.queries.select("query_id", F.lit(spent / max(n, 1)).alias("latency_ms")), "latency")
-    rows = put(per_query(data, documents, passages).join(took, "query_id"), "per_query_metrics")
+    took = put(timed(data, stages, kinds, reranker), "latency")
+    rows = put(per_query(data, documents, passages).join(took, "query_id", "left"), "per_query_metrics")
     metrics = averaged(rows).head().asDict() | latencies(took).head().asDict()
     metrics["mean_unique_result_count"] = rows.agg(F.avg("unique_result_count")).head()[0]
     sizes = [storage_bytes(x).head()[0] for x in (stages.documents, stages.passages)]
@@ -252,28 +310,54 @@ def run(spark: SparkSession, data: tables.Retrieval, method: str, config: Config
 
 def run_matrix(spark: SparkSession, datasets: list[tables.Retrieval], config: Config, reranker=None) -> tuple[list[Result], str]:
     """All methods on all data sets; the results and the run's folder. A pair that fails is a result with its error."""
-    folder, out = run_folder(config), []
+    folder, out = run_folder(config, commit=commit_of()), []
     for data in datasets:
-        data = sampled(data, config.sample, config.seed, config.split)
-        validation.check(validation.retrieval_violations(data))
-        shared = Retrievers(data, config)
+        shared, broken = None, None
+        try:
+            data = sampled(data, config.sample, config.seed, config.split)
+            validation.check(validation.retrieval_violations(data))
+            shared = Retrievers(data, config)
+        except Exception as error:  # a broken data set fails with all its methods
+            broken = error
         for method in config.methods:
             try:
+                if broken is not None:
+                    raise broken
                 out.append(run(spark, data, method, config, f"{folder}/{data.name}/{method}", shared, reranker))
             except Exception as error:  # the other pairs go on
                 out.append(Result(data.name, method, "failed", error=f"{type(error).__name__}: {error}"[:500]))
     return out, folder
 
 
-def run_folder(config: Config, now: datetime | None = None) -> str:
-    """<output>/<name>/<mode>/<UTC time>."""
-    return f"{config.output.rstrip('/')}/{config.name}/{config.mode}/{(now or datetime.now(UTC)).strftime('%Y%m%dT%H%M%SZ')}"
+def commit_of(folder: str = ".") -> str | None:
+    """The commit that ``folder`` stands on; none outside a repository."""
+    try:
+        return subprocess.run(["git", "-C", folder, "rev-parse", "HEAD"], capture_output=True, text=True, check=True).stdout.strip()
+    except (OSError, subprocess.CalledProcessError):
+        return None
+
+
+def run_folder(config: Config, now: datetime | None = None, commit: str | None = None) -> str:
+    """<output>/<name>/<mode>/<run>, a run being named by its commit, else by its UTC time."""
+    run = commit[:12] if commit else (now or datetime.now(UTC)).strftime("%Y%m%dT%H%M%SZ")
+    return f"{config.output.rstrip('/')}/{config.name}/{config.mode}/{run}"
+
+
+#: Packages whose versions a run notes.
+PACKAGES = ("numpy", "pandas", "pyarrow", "pyspark", "PyYAML")
+
+
+def package_version(name: str) -> str | None:
+    try:
+        return metadata.version(name)
+    except metadata.PackageNotFoundError:
+        return None
 
 
 def environment(spark: SparkSession) -> dict:
     """What a run depends on besides its configuration."""
     keys = ("spark.sql.shuffle.partitions", "spark.sql.adaptive.enabled", "spark.sql.session.timeZone")
-    return {"python": platform.python_version(), "platform": platform.platform(), "spark": spark.version, "settings": {k: spark.conf.get(k, None) for k in keys}}
+    return {"python": platform.python_version(), "executable": sys.executable, "platform": platform.platform(), "spark": spark.version, "commit": commit_of(), "packages": {name: package_version(name) for name in PACKAGES}, "settings": {k: spark.conf.get(k, None) for k in keys}}
 
 
 def checked(df: DataFrame, table: str) -> DataFrame:

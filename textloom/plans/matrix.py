@@ -21,6 +21,7 @@ from ..functions import text as T
 from ..functions import vectors
 from ..operators import chunking, evaluation, retrieval, validation
 from ..sources import raw, tables
+from ..sources.tables import write_json  # noqa: F401  others find it here too
 
 
 class Registry:
@@ -234,16 +235,6 @@ def finished(spark: SparkSession, folder: str, run_id: str) -> dict | None:
     return said if whole and said["run_id"] == run_id else None
 
 
-def write_json(spark: SparkSession, path: str, value) -> None:
-    """A small JSON file by the file system of ``path``."""
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    out = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(p, True)
-    try:
-        out.write(bytearray(json.dumps(value, indent=2, ensure_ascii=False, sort_keys=True, default=str).encode()))
-    finally:
-        out.close()
-
-
 def run(spark: SparkSession, e: Experiment) -> dict:
     """Runs the matrix; returns and writes its summary: completed and failed runs, each with metrics and statistics or the error."""
     refuse_mocks(e)

@@ -60,6 +60,16 @@ def read_json(spark: SparkSession, path: str):
     return json.loads(spark.read.text(path, wholetext=True).head()[0])
 
 
+def write_json(spark: SparkSession, path: str, value) -> None:
+    """A small JSON file by the file system of ``path``."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(p, True)
+    try:
+        out.write(bytearray(json.dumps(value, indent=2, ensure_ascii=False, sort_keys=True, default=str).encode()))
+    finally:
+        out.close()
+
+
 def from_manifest(spark: SparkSession, folder: str, name: str) -> Retrieval:
     """Tables that ``folder``/manifest.json names, renamed, projected and cast."""
     said = read_json(spark, f"{folder}/manifest.json")
