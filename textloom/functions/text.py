@@ -15,6 +15,7 @@ PIECE = f"[{SPACE}]*[^{SPACE}]+"
 #: The same for the JVM, where printable ASCII is told by one comparison.
 FAST_TOKEN = f"[!-~[^{SPACE}]]+"
 FAST_PIECE = f"[{SPACE}]*[!-~[^{SPACE}]]+"
+SENTENCE_PIECE = f"(?sd)[{SPACE}]*[^{SPACE}].*?(?:[.!?](?=[{SPACE}]|$)|$)"
 SENTENCE = f"(?sd)[^{SPACE}].*?(?:[.!?](?=[{SPACE}]|$)|$)"
 
 
@@ -50,16 +51,16 @@ def lstrip(text: Column) -> Column:
     return F.regexp_replace(text, f"^[{SPACE}]+", "")
 
 
+def sentence_pieces(text: Column) -> Column:
+    """Sentences, each with the white space before it."""
+    return F.regexp_extract_all(text, F.lit(SENTENCE_PIECE), F.lit(0))
+
+
 def sentences(text: Column) -> Column:
     """Sentences end at . ! or ? before white space, or at the end of the text."""
     return F.regexp_extract_all(text, F.lit(SENTENCE), F.lit(0))
 
 
-def gaps(text: Column) -> Column:
-    """What stands before each sentence, and behind the last one."""
-    return F.split(text, SENTENCE, -1)
-
-
 def squeeze(text: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(F.lower(text), f"[{SPACE}]+", " "), r"^ | $", "")
 

@@ -9,10 +9,10 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, DoubleType
+from pyspark.sql.types import ArrayType, DoubleType, IntegerType
 
 from . import text as T
 
@@ -104,10 +104,36 @@ def late_dense(docs: DataFrame, chunks: DataFrame, dim: int = 256, limit: int =
     return v.select("item_id", F.transform("vector", lambda x: F.when(norm > 0, x / norm).otherwise(x)).alias("vector")) if normalise else v
 
 
+#: The digest's bytes, its largest value and the scale of the jitter.
+JITTER_BYTES, JITTER_MOST, JITTER_SCALE = 2, 65535.0, 1000.0
+
+
 @F.pandas_udf(ArrayType(DoubleType()))
 def blake2b_jitter(sents: pd.Series) -> pd.Series:
     """Each segment's jitter by a 16-bit blake2b hash, for runs that must match others' scores."""
-    return sents.map(lambda xs: [int.from_bytes(hashlib.blake2b(x.encode(), digest_size=2).digest(), "little") / 65535.0 / 1000.0 for x in xs])
+    return sents.map(lambda xs: [int.from_bytes(hashlib.blake2b(x.encode(), digest_size=JITTER_BYTES).digest(), "little") / JITTER_MOST / JITTER_SCALE for x in xs])
+
+
+@F.pandas_udf(ArrayType(ArrayType(IntegerType())))
+def _buckets(tokens: pd.Series, dim: pd.Series) -> pd.Series:
+    known: dict[str, int] = {}
+
+    def low(t: str) -> int:
+        if t not in known:
+            known[t] = int.from_bytes(hashlib.blake2b(t.encode(), digest_size=8).digest()[:4], "little")
+        return known[t]
+
+    return pd.Series([[[low(t) % n for t in sent] for sent in sents] for sents, n in zip(tokens, dim, strict=True)])
+
+
+class Blake2bBag:
+    """The embedder ``hashing`` for chunkers: the bag of blake2b buckets of each text of an array."""
+
+    def __init__(self, dim: int = 256):
+        self.dim = dim
+
+    def of_all(self, texts: Column) -> Column:
+        return _buckets(F.transform(texts, T.lexical_tokens), F.lit(self.dim))
 
 
 def dense(items: DataFrame, dim: int = 256) -> DataFrame:

@@ -50,23 +50,16 @@ def kept(df: DataFrame) -> DataFrame:
 
 def segmented(docs: DataFrame) -> DataFrame:
     """A row per document: doc_id, and of its sentences sents, starts (code points), n (tokens), pieces (with the gap before)."""
-    t = T.text_of()
-    cut = kept(docs.select("doc_id", T.gaps(t).alias("gaps"), T.sentences(t).alias("sents"))).where(F.size("sents") > 0)
+    cut = kept(docs.select("doc_id", T.sentence_pieces(T.text_of()).alias("pieces"))).where(F.size("pieces") > 0)
+    cut = kept(cut.withColumn("sents", F.transform("pieces", T.lstrip)))
     start = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("starts"))
 
     def step(acc, x):
-        first = acc["at"] + F.length(x["gap"])
-        return F.struct((first + F.length(x["sent"])).alias("at"), F.concat(acc["starts"], F.array(first)).alias("starts"))
+        end = acc["at"] + F.length(x["piece"])
+        return F.struct(end.alias("at"), F.concat(acc["starts"], F.array(end - F.length(x["sent"]))).alias("starts"))
 
-    pairs = F.zip_with(F.slice("gaps", 1, F.size("sents")), "sents", lambda g, x: F.struct(g.alias("gap"), x.alias("sent")))
-    out = cut.select(
-        "doc_id",
-        "sents",
-        F.aggregate(pairs, start, step, lambda acc: acc["starts"]).alias("starts"),
-        F.transform("sents", T.token_count).alias("n"),
-        F.transform(pairs, lambda x: F.concat(x["gap"], x["sent"])).alias("pieces"),
-    )
-    return kept(out)
+    pairs = F.zip_with("pieces", "sents", lambda p, x: F.struct(p.alias("piece"), x.alias("sent")))
+    return kept(cut.select("doc_id", "sents", F.aggregate(pairs, start, step, lambda acc: acc["starts"]).alias("starts"), F.transform("sents", T.token_count).alias("n"), "pieces"))
 
 
 def segments(docs: DataFrame) -> DataFrame:
@@ -105,10 +98,12 @@ def by_boundaries(marked: DataFrame, method: str) -> DataFrame:
     last = F.size("sents") - 1
     at = F.sequence(F.lit(0), last)
     spans = kept(marked).withColumn("firsts", F.filter(at, lambda i: (i == 0) | F.get("cuts", i - 1))).withColumn("lasts", F.filter(at, lambda i: (i == last) | F.get("cuts", i)))
-    one = lambda f, z: F.struct(f.alias("f"), (z - f + 1).alias("k"))
-    w = kept(spans).select("doc_id", "pieces", "n", F.posexplode(F.zip_with("firsts", "lasts", one)).alias("chunk_order", "g"))
-    count = F.aggregate(F.slice("n", F.col("g.f") + 1, F.col("g.k")), F.lit(0), lambda a, x: a + x)
-    return _finish(w.select("doc_id", "chunk_order", T.lstrip(F.array_join(F.slice("pieces", F.col("g.f") + 1, F.col("g.k")), "")).alias("text"), count.alias("token_count")), method)
+    text = lambda f, z: T.lstrip(F.array_join(F.slice("pieces", f + 1, z - f + 1), ""))
+    count = lambda f, z: F.aggregate(F.slice("n", f + 1, z - f + 1), F.lit(0), lambda a, x: a + x)
+    # a row has its own text only: the document's pieces end with the explode
+    one = lambda f, z: F.struct(text(f, z).alias("text"), count(f, z).alias("token_count"))
+    w = kept(spans).select("doc_id", F.posexplode(F.zip_with("firsts", "lasts", one)).alias("chunk_order", "g"))
+    return _finish(w.select("doc_id", "chunk_order", "g.text", "g.token_count"), method)
 
 
 def native_bag(dim: int = 256):
@@ -116,10 +111,15 @@ def native_bag(dim: int = 256):
     return lambda text: F.transform(T.lexical_tokens(text), lambda t: T.bucket(t, dim))
 
 
+def bags(sents, embed):
+    """The bags of an array of texts. ``embed`` maps a text Column to a bag, or has ``of_all``, which maps the array (a Python function cannot stand in a lambda)."""
+    return embed.of_all(sents) if hasattr(embed, "of_all") else F.transform(sents, embed)
+
+
 def distances(docs: DataFrame, embed=None) -> DataFrame:
-    """Rows of ``segmented`` with d: the cosine distance of each segment to the next, rounded to 9 places. ``embed`` maps a text Column to a bag."""
+    """Rows of ``segmented`` with d: the cosine distance of each segment to the next, rounded to 9 places; ``embed`` as for ``bags``."""
     embed = embed or native_bag()
-    s = kept(segmented(docs).withColumn("bags", F.transform("sents", embed)))
+    s = kept(segmented(docs).withColumn("bags", bags(F.col("sents"), embed)))
     s = kept(s.withColumn("norms", F.transform("bags", T.bag_norm)))
     near = lambda i: F.round(1 - T.bag_cosine(F.get("bags", i), F.get("bags", i + 1), F.get("norms", i), F.get("norms", i + 1)), 9)
     pairs = F.when(F.size("sents") > 1, F.sequence(F.lit(0), F.size("sents") - 2)).otherwise(F.array().cast("array<int>"))
@@ -157,8 +157,8 @@ def threshold(scores, policy, value: float):
     raise ValueError(f"unknown threshold policy {policy!r}")
 
 
-def semantic_breakpoint(docs: DataFrame, embed=None, policy="percentile", value: float = 90.0, least: int = 0, most: int | None = None) -> DataFrame:
-    """Cut where neighbouring segments are farther apart than the document's threshold; small groups merge to the right."""
+def semantic_breakpoint(docs: DataFrame, embed=None, policy="percentile", value: float = 90.0, least: int = 32, most: int | None = None) -> DataFrame:
+    """Cut where neighbouring segments are farther apart than the document's threshold; groups under ``least`` tokens merge to the right."""
     d = kept(distances(docs, embed).withColumn("limit", F.round(threshold(F.col("d"), policy, value), 9)))
     cuts = F.transform("sents", lambda x, i: F.coalesce(F.get("d", i) > F.col("limit"), F.lit(False)))
     return by_boundaries(merge_and_cap(d.withColumn("cuts", cuts), least, most), "semantic")
@@ -236,7 +236,7 @@ def minima(scored: DataFrame, prominence: float) -> DataFrame:
     return kept(scored).withColumn("cuts", F.transform("scores", lambda _, i: F.coalesce(inner(i), F.lit(False))))
 
 
-def perplexity_chunks(docs: DataFrame, prominence: float = 0.1, most: int | None = None, context: str = "all_previous_segments", scorer=None) -> DataFrame:
+def perplexity_chunks(docs: DataFrame, prominence: float = 0.05, most: int | None = None, context: str = "all_previous_segments", scorer=None) -> DataFrame:
     """Cut after local minima of the transition scores. ``scorer`` maps (docs, context) to rows of ``segmented`` with scores."""
     return by_boundaries(merge_and_cap(minima((scorer or scored_segments)(docs, context), prominence), 0, most), "ppl")
 
@@ -249,8 +249,8 @@ def lead_summary(most: int = 48):
 def summary_similarity(docs: DataFrame, embed=None, summarise=None) -> DataFrame:
     """Rows of ``segmented`` with sims: the cosine of each segment with the document's summary, and mean; cuts where their order changes."""
     embed, summarise = embed or native_bag(), summarise or lead_summary()
-    heads = docs.select(F.col("doc_id"), "text", embed(summarise(T.text_of())).alias("head"))
-    both = kept(segmented_with(heads, "head").withColumn("bags", F.transform("sents", embed)).withColumn("norm", T.bag_norm(F.col("head"))))
+    heads = docs.select(F.col("doc_id"), "text", bags(F.array(summarise(T.text_of())), embed)[0].alias("head"))
+    both = kept(segmented_with(heads, "head").withColumn("bags", bags(F.col("sents"), embed)).withColumn("norm", T.bag_norm(F.col("head"))))
     s = kept(both.withColumn("sims", F.transform("bags", lambda x: F.round(T.bag_cosine(x, F.col("head"), T.bag_norm(x), F.col("norm")), 9))).drop("bags", "norm"))
     s = kept(s.withColumn("mean", F.round(F.aggregate("sims", F.lit(0.0), lambda a, x: a + x) / F.size("sims"), 9)))
     above = lambda i: F.get("sims", i) >= F.col("mean")
@@ -274,6 +274,10 @@ def hashed_segments(docs: DataFrame, dim: int) -> DataFrame:
     return s.select("doc_id", "pos", F.explode(T.lexical_tokens(F.col("text"))).alias("t")).groupBy("doc_id", "pos", T.bucket(F.col("t"), dim).alias("b")).agg(F.count("*").alias("c"))
 
 
+#: Added before a distance is rounded to 6 places, so that what lies at a half but for the last bits is rounded up.
+TIE = 1e-10
+
+
 def pairwise_distance(docs: DataFrame, weight: float = 0.5, dim: int = 256) -> DataFrame:
     """Of segments i < j of one document: weight * (j - i) / n + (1 - weight) * cosine distance, clipped to [0, 1]."""
     v = hashed_segments(docs, dim)
@@ -285,7 +289,7 @@ def pairwise_distance(docs: DataFrame, weight: float = 0.5, dim: int = 256) -> D
     pairs = p.join(p.withColumnRenamed("i", "j"), "doc_id").where("i < j")
     full = pairs.join(n, "doc_id").join(dots, ["doc_id", "i", "j"], "left").join(norm.withColumnsRenamed({"pos": "i", "norm": "ni"}), ["doc_id", "i"], "left").join(norm.withColumnsRenamed({"pos": "j", "norm": "nj"}), ["doc_id", "j"], "left")
     cos = F.coalesce(1 - F.coalesce("dot", F.lit(0)) / (F.col("ni") * F.col("nj")), F.lit(1.0))
-    return full.select("doc_id", "i", "j", F.round(weight * (F.col("j") - F.col("i")) / F.col("n") + (1 - weight) * F.greatest(F.lit(0.0), F.least(F.lit(1.0), cos)), 6).alias("distance"))
+    return full.select("doc_id", "i", "j", F.round(weight * (F.col("j") - F.col("i")) / F.col("n") + (1 - weight) * F.greatest(F.lit(0.0), F.least(F.lit(1.0), cos)) + TIE, 6).alias("distance"))
 
 
 def link(distance: np.ndarray, clusters: int, most: int | None = None, cut: float | None = None) -> list[list[int]]:

@@ -127,6 +127,16 @@ def graded(qrels: DataFrame, rankings: DataFrame, k: int) -> DataFrame:
     return j.select("query_id", safe("dcg", "ideal").alias("ndcg"), safe("n_got", "n_rel").alias("recall"))
 
 
+def rank_methods(results: DataFrame, metric: str) -> DataFrame:
+    """method, datasets, mean, place of the methods that completed every data set of ``results`` (dataset, method, status, the metric), the largest mean first."""
+    if metric not in results.columns:
+        raise KeyError(f"no metric {metric!r}; there are {[c for c in results.columns if c not in ('dataset', 'method', 'status')]}")
+    every = results.agg(F.count_distinct("dataset").alias("all_sets"))
+    done = results.where("status = 'completed'").groupBy("method").agg(F.count_distinct("dataset").alias("datasets"), F.round(F.avg(metric), 6).alias("mean"))
+    whole = done.crossJoin(F.broadcast(every)).where("datasets = all_sets").drop("all_sets")  # one row
+    return whole.withColumn("place", F.row_number().over(W.orderBy(F.desc("mean"), "method")))  # a row per method
+
+
 def unique(df: DataFrame, key: str, what: str) -> DataFrame:
     """``df``, which has one row a ``key``; a second one is raised by whatever job reads the rows.
 

@@ -475,6 +475,19 @@ def threshold_policies(spark, sf):
 
 @query(f"WITH {ADJ}, marked AS (SELECT seg.*, coalesce(distance > threshold, false) AS cut FROM seg LEFT JOIN adj USING (doc_id, pos) LEFT JOIN th USING (doc_id)), " + merged_sql("semantic"))
 def semantic_breakpoint(spark, sf):
+    return _short(chunking.semantic_breakpoint(docs(spark, sf), least=0))
+
+
+MARKED = f"{ADJ}, marked AS (SELECT seg.*, coalesce(distance > threshold, false) AS cut FROM seg LEFT JOIN adj USING (doc_id, pos) LEFT JOIN th USING (doc_id))"
+
+
+@query(f"""WITH RECURSIVE {MARKED.replace(', marked AS', ', found AS')},
+    walk AS (SELECT doc_id, pos, cut AND token_count >= 32 AS cut, CASE WHEN cut AND token_count >= 32 THEN 0 ELSE token_count END AS run FROM found WHERE pos = 0
+      UNION ALL SELECT f.doc_id, f.pos, f.cut AND w.run + f.token_count >= 32, CASE WHEN f.cut AND w.run + f.token_count >= 32 THEN 0 ELSE w.run + f.token_count END FROM walk w JOIN found f ON f.doc_id = w.doc_id AND f.pos = w.pos + 1),
+    ends AS (SELECT doc_id, max(pos) FILTER (cut) AS last_cut, arg_max(run, pos) AS left_over FROM walk GROUP BY 1),
+    marked AS (SELECT seg.*, walk.cut AND NOT coalesce(left_over > 0 AND left_over < 32 AND pos = last_cut, false) AS cut FROM seg JOIN walk USING (doc_id, pos) JOIN ends USING (doc_id)), """ + merged_sql("semantic"))
+def semantic_merged_32(spark, sf):
+    """Groups under 32 tokens join the next one, a last small one the one before."""
     return _short(chunking.semantic_breakpoint(docs(spark, sf)))
 
 
@@ -485,12 +498,12 @@ def scored_sql(context: str) -> str:
     return f"""{SEGMENTS}, wd AS (SELECT DISTINCT doc_id, pos, t FROM (SELECT doc_id, pos, unnest({TOKENS.format('lower(text)')}) AS t FROM seg)), fs AS ({seen}),
     sc AS (SELECT seg.*, round(fresh / n + {jitter}, 9) AS score FROM seg JOIN fs USING (doc_id, pos)),
     lm AS (SELECT *, lag(score) OVER w AS a, lead(score) OVER w AS c FROM sc WINDOW w AS (PARTITION BY doc_id ORDER BY pos)),
-    marked AS (SELECT *, coalesce(score < a AND score <= c AND greatest(a - score, c - score) >= 0.1 - 1e-12, false) AS cut FROM lm)"""
+    marked AS (SELECT *, coalesce(score < a AND score <= c AND greatest(a - score, c - score) >= 0.05 - 1e-12, false) AS cut FROM lm)"""
 
 
 @query(f"WITH {scored_sql('all_previous_segments')} SELECT doc_id, pos, score, cut FROM marked")
 def local_minima(spark, sf):
-    m = chunking.minima(chunking.scored_segments(docs(spark, sf)), 0.1)
+    m = chunking.minima(chunking.scored_segments(docs(spark, sf)), 0.05)
     rows = F.zip_with("scores", "cuts", lambda s, c: F.struct(s.alias("score"), c.alias("cut")))
     return m.select("doc_id", F.posexplode(rows).alias("pos", "x")).select("doc_id", "pos", "x.score", "x.cut")
 
@@ -542,7 +555,7 @@ def pic_capped_512(spark, sf):
 
 
 @query(f"""WITH {HASHED}, nn AS (SELECT doc_id, count(*) AS n FROM seg GROUP BY 1), dt AS (SELECT a.doc_id, a.pos AS i, b.pos AS j, sum(a.c * b.c) AS dot FROM vec a JOIN vec b ON a.doc_id = b.doc_id AND a.b = b.b AND a.pos < b.pos GROUP BY ALL)
-    SELECT a.doc_id, a.pos AS i, b.pos AS j, round(0.5 * (b.pos - a.pos) / n + 0.5 * greatest(0.0, least(1.0, coalesce(1 - coalesce(dot, 0) / (x.norm * y.norm), 1.0))), 6) AS distance
+    SELECT a.doc_id, a.pos AS i, b.pos AS j, round(0.5 * (b.pos - a.pos) / n + 0.5 * greatest(0.0, least(1.0, coalesce(1 - coalesce(dot, 0) / (x.norm * y.norm), 1.0))) + 1e-10, 6) AS distance
     FROM seg a JOIN seg b ON a.doc_id = b.doc_id AND a.pos < b.pos JOIN nn ON nn.doc_id = a.doc_id LEFT JOIN dt ON dt.doc_id = a.doc_id AND dt.i = a.pos AND dt.j = b.pos LEFT JOIN nrm x ON x.doc_id = a.doc_id AND x.pos = a.pos LEFT JOIN nrm y ON y.doc_id = a.doc_id AND y.pos = b.pos""")
 def pairwise_distance(spark, sf):
     return chunking.pairwise_distance(docs(spark, sf))
@@ -573,11 +586,24 @@ def late_pooling(spark, sf):
     return vectors.late_pooling(d, chunking.late(d, 256), 256, policy="window", native=True).withColumn("weight", F.round("weight", 6))
 
 
-@query("SELECT NULL::varchar AS rule, NULL::varchar AS example WHERE false")
+OWED = f"{SEGMENTS}, owed AS (SELECT doc_id, sum(token_count) AS owed, max(token_count) AS longest FROM seg GROUP BY 1), c AS ({fixed_sql(256)})"
+
+
+@query(f"""WITH {OWED}, n AS (SELECT doc_id, count(*) AS n FROM c GROUP BY 1)
+    SELECT rule, count(*)::bigint AS n FROM (SELECT 'segments lost' AS rule, doc_id FROM n WHERE doc_id % 4 = 1 UNION ALL SELECT 'chunk orders have holes', doc_id FROM n WHERE doc_id % 4 = 2 UNION ALL SELECT 'segments repeated', doc_id FROM n WHERE doc_id % 4 = 3 UNION ALL SELECT 'chunk orders have holes', doc_id FROM n WHERE doc_id % 4 = 3
+      UNION ALL SELECT 'chunks over the cap', doc_id FROM n JOIN owed USING (doc_id) WHERE longest <= 250 AND (SELECT max(token_count) FROM c WHERE c.doc_id = n.doc_id AND (n.doc_id % 4 <> 1 OR c.chunk_order < n.n - 1)) > 250 UNION ALL SELECT 'chunks of an unknown document', 0) GROUP BY rule""")
 def advanced_chunk_contract(spark, sf):
+    """Chunks of three methods, which break no rule, and chunks with planted faults: a last one lost, orders from 1, a last one twice, all over the cap."""
     d = docs(spark, sf)
-    made = [chunking.semantic_breakpoint(d), chunking.perplexity_chunks(d, most=512), chunking.pic_chunks(d, most=512)]
-    return made[0].sparkSession.createDataFrame([], "rule string, example string").unionByName(chunking.advanced_violations(d, made[0])).unionByName(chunking.advanced_violations(d, made[1], 512)).unionByName(chunking.advanced_violations(d, made[2], 512))
+    sound = [(chunking.semantic_breakpoint(d), None), (chunking.perplexity_chunks(d, most=512), 512), (chunking.pic_chunks(d, most=512), 512)]
+    c = chunking.fixed(d, 256).withColumn("n", F.count("*").over(W.partitionBy("doc_id")))
+    of, last = F.col("doc_id") % 4, F.col("chunk_order") == F.col("n") - 1
+    broken = c.where(~((of == 1) & last)).withColumn("chunk_order", F.col("chunk_order") + (of == 2).cast("int")).unionByName(c.where((of == 3) & last)).drop("n")
+    broken = broken.unionByName(c.limit(1).withColumn("doc_id", F.lit(-1).cast("long")).withColumn("chunk_order", F.lit(0)).drop("n"))
+    whole = chunking.advanced_violations(d, broken, 250)
+    for made, most in sound:
+        whole = whole.unionByName(chunking.advanced_violations(d, made, most))
+    return whole.groupBy("rule").agg(F.count("*").alias("n"))
 
 
 # --- matrix, relational -----------------------------------------------------------------------

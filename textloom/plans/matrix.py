@@ -12,15 +12,16 @@ import json
 import time
 from collections.abc import Callable
 from dataclasses import dataclass, field
+from functools import reduce
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..functions import vectors
+from ..functions import contextual, vectors
 from ..operators import chunking, evaluation, retrieval, validation
-from ..sources import raw, tables
+from ..sources import index, raw, tables
 from ..sources.tables import write_json  # noqa: F401  others find it here too
 
 
@@ -56,14 +57,29 @@ for _n in (256, 512):
     METHODS.add(f"fixed_{_n}", lambda docs, c, n=_n: chunking.fixed(docs, c.get("chunk_size", n), c.get("overlap", 0)))
     METHODS.add(f"sentence_fixed_{_n}", lambda docs, c, n=_n: chunking.sentence_fixed(docs, c.get("chunk_size", n)))
     METHODS.add(f"late_fixed_{_n}", lambda docs, c, n=_n: chunking.late(docs, c.get("chunk_size", n), c.get("overlap", 0)))
-METHODS.add("semantic_breakpoint", lambda docs, c: chunking.semantic_breakpoint(docs, chunking.native_bag(c.get("dimension", 256)), c.get("threshold_type", "percentile"), c.get("threshold_value", 90.0), c.get("min_chunk_tokens", 0), c.get("max_chunk_tokens")))
+
+
+def _bag(c: dict):
+    """The chunkers' embedder: that of the experiment, by blake2b; ``md5`` stays within the engine."""
+    said = c.get("embedding") or {}
+    return chunking.native_bag(said.get("dimension", 256)) if said.get("name") == "md5" else vectors.Blake2bBag(said.get("dimension", 256))
+
+
+def _scorer(docs: DataFrame, context: str) -> DataFrame:
+    return chunking.scored_segments(docs, context, vectors.blake2b_jitter)
+
+
+METHODS.add("semantic_breakpoint", lambda docs, c: chunking.semantic_breakpoint(docs, _bag(c), c.get("threshold_type", "percentile"), c.get("threshold_value", 90.0), c.get("min_chunk_tokens", 32) if c.get("merge_small_chunks", True) else 0, c.get("max_chunk_tokens")))
 METHODS.add("semantic_single_linkage_paper_exact", lambda docs, c: chunking.single_linkage(docs, c.get("lambda_weight", 0.5), c.get("segments_per_cluster", 4)))
 for _name, _cap in (("meta_ppl_raw", None), ("meta_ppl_dynamic_512", 512)):
-    METHODS.add(_name, lambda docs, c, cap=_cap: chunking.perplexity_chunks(docs, c.get("prominence", 0.1), c.get("max_chunk_tokens", cap), c.get("context_policy", "all_previous_segments")))
+    METHODS.add(_name, lambda docs, c, cap=_cap: chunking.perplexity_chunks(docs, c.get("prominence", 0.05), c.get("max_chunk_tokens", cap), c.get("context_policy", "all_previous_segments"), _scorer))
 for _name, _cap in (("pic_paper_reimplementation", None), ("pic_reimplementation_capped_512", 512)):
-    METHODS.add(_name, lambda docs, c, cap=_cap: chunking.pic_chunks(docs, None, chunking.lead_summary(c.get("summary_tokens", 48)), c.get("max_chunk_tokens", cap)))
+    METHODS.add(_name, lambda docs, c, cap=_cap: chunking.pic_chunks(docs, _bag(c), chunking.lead_summary(c.get("summary_tokens", 48)), c.get("max_chunk_tokens", cap)))
 
 EMBEDDERS.add("hashing", lambda items, c: vectors.dense(items, c.get("dimension", 256)))
+#: Table functions over windows of documents, for late methods: ``contextual`` says what they take and give.
+CONTEXT = Registry("contextual encoder")
+CONTEXT.add("window_hashing", lambda c: contextual.hash_encoder(c.get("dimension", 256)))
 for _name in ("cosine", "faiss_cosine"):  # both are the exact plan
     RETRIEVERS.add(_name, lambda q, i, k: retrieval.cosine_top_k(q, i, k))
 
@@ -136,10 +152,10 @@ def expand(e: Experiment) -> list[dict]:
     ]
 
 
-def chunk(bundle: raw.Bundle, method: dict) -> DataFrame:
-    """Chunks with doc_id, chunk_id, text, token_count and is_contiguous."""
+def chunk(bundle: raw.Bundle, method: dict, embedding: dict | None = None) -> DataFrame:
+    """Chunks with doc_id, chunk_id, text, token_count and is_contiguous; methods that compare segments do so by the experiment's embedding."""
     docs = bundle.documents.select(F.col("document_id").alias("doc_id"), "text")
-    got = METHODS[method["name"]](docs, {k: v for k, v in method.items() if not k.startswith("_")})
+    got = METHODS[method["name"]](docs, {"embedding": embedding} | {k: v for k, v in method.items() if not k.startswith("_")})
     if "positions" in got.columns:
         got = got.withColumn("is_contiguous", F.expr("element_at(positions, -1) - positions[0] + 1 = size(positions)"))
     elif "is_contiguous" not in got.columns:
@@ -148,28 +164,44 @@ def chunk(bundle: raw.Bundle, method: dict) -> DataFrame:
     return got.select("doc_id", "chunk_order", name.alias("chunk_id"), "text", "token_count", "is_contiguous", *[c for c in ("start", "end") if c in got.columns])
 
 
+def embedded(e: Experiment, items: DataFrame) -> DataFrame:
+    """(item_id, vector) of items (item_id, text); with ``vector_cache`` in the execution only texts that no run embedded before are embedded."""
+    make = lambda x: EMBEDDERS[e.embedding["name"]](x, e.embedding)
+    if not e.execution.get("vector_cache"):
+        return make(items)
+    name = hashlib.sha256(json.dumps(canonical(e.embedding), sort_keys=True, default=str).encode()).hexdigest()[:16]
+    return index.cached_vectors(items, e.execution["vector_cache"], f"{e.embedding['name']}-{name}", make)[0]
+
+
 def represent(e: Experiment, bundle: raw.Bundle, chunks: DataFrame, method: dict) -> DataFrame:
-    """(item_id, vector) of chunks: their own text's, or for late methods pooled from the whole document's tokens."""
+    """(item_id, vector) of chunks: their own text's, or for late methods pooled from the whole document's tokens.
+
+    These are the states of the contextual encoder that the method or else the embedding names."""
     if not method["name"].startswith("late_"):
-        return EMBEDDERS[e.embedding["name"]](chunks.select(F.col("chunk_id").alias("item_id"), "text"), e.embedding)
-    if e.embedding["name"] != "hashing":
-        raise ValueError(f"late methods pool the vectors of the hashing embedder, not of {e.embedding['name']!r}")
+        return embedded(e, chunks.select(F.col("chunk_id").alias("item_id"), "text"))
     docs = bundle.documents.select(F.col("document_id").alias("doc_id"), "text")
-    return vectors.late_dense(docs, chunks, e.embedding.get("dimension", 256), method.get("max_document_tokens", 8192), method.get("long_document_policy", "error"))
+    name, limit, policy = method.get("encoder", e.embedding["name"]), method.get("max_document_tokens", 8192), method.get("long_document_policy", "error")
+    if name in CONTEXT.names():
+        return contextual.pooled(contextual.states(docs, CONTEXT[name](e.embedding), limit, method.get("window_stride", 64), policy), chunks, method.get("normalize", True))
+    if name != "hashing":
+        raise ValueError(f"late methods pool the vectors of the hashing embedder or of one of {CONTEXT.names()}, not of {name!r}")
+    return vectors.late_dense(docs, chunks, e.embedding.get("dimension", 256), limit, policy)
 
 
 def run_pair(spark: SparkSession, e: Experiment, bundle: raw.Bundle, method: dict, folder: str) -> dict:
-    """Writes chunks, hits, coverage, metrics and statistics; each is read back by the next step."""
+    """Writes chunks, statistics, hits, coverage and metrics; each is read back by the next step. An execution with ``only: chunks`` ends after the second."""
 
     def put(df: DataFrame, name: str) -> DataFrame:
         tables.write_table(df, f"{folder}/{name}")
         return spark.read.schema(df.schema).parquet(f"{folder}/{name}")
 
     ev = e.evaluation
-    chunks = put(chunk(bundle, method), "chunks")
+    chunks = put(chunk(bundle, method, e.embedding), "chunks")
     validation.check(validation.chunk_violations(chunks))
-    embed = lambda df, key: EMBEDDERS[e.embedding["name"]](df.select(F.col(key).alias("item_id"), "text"), e.embedding)
-    asked = embed(bundle.queries, "query_id").withColumnRenamed("item_id", "query_id")
+    statistics = put(evaluation.statistics(chunks, ev.get("duplicate_scope", "within_document")), "statistics").head().asDict()
+    if e.execution.get("only") == "chunks":
+        return {"metrics": {}, "statistics": statistics}
+    asked = embedded(e, bundle.queries.select(F.col("query_id").alias("item_id"), "text")).withColumnRenamed("item_id", "query_id")
     hits = RETRIEVERS[e.retrieval["name"]](asked, represent(e, bundle, chunks, method), ev.get("retrieval_depth", 100)).withColumnRenamed("item_id", "chunk_id")
     about = chunks.select("chunk_id", "doc_id", "token_count", F.array_distinct(T.lexical_tokens(F.col("text"))).alias("tokens"))
     hits = put(hits.join(about, "chunk_id"), "hits")
@@ -177,7 +209,7 @@ def run_pair(spark: SparkSession, e: Experiment, bundle: raw.Bundle, method: dic
     covered = put(evaluation.coverage(evidence, chunks), "coverage")
     relevant = bundle.queries.select("query_id", F.explode("relevant_document_ids").alias("doc_id"))
     made = evaluation.metrics(bundle.queries, evidence, relevant, hits, covered, tuple(ev.get("k_values", evaluation.KS)), ev.get("token_budgets", [evaluation.BUDGET])[0])
-    return {"metrics": put(made, "metrics").head().asDict(), "statistics": put(evaluation.statistics(chunks, ev.get("duplicate_scope", "within_document")), "statistics").head().asDict()}
+    return {"metrics": put(made, "metrics").head().asDict(), "statistics": statistics}
 
 
 def error_cases(run: str, spark: SparkSession, dataset: str, method: str, k: int = 10, per_query: bool = False) -> DataFrame:
@@ -202,7 +234,7 @@ def refuse_mocks(e: Experiment) -> None:
 
 
 #: Tables of one pair and files of the whole run (fixed names of this engine's artifacts).
-PAIR_TABLES = ("chunks", "hits", "coverage", "metrics", "statistics")
+PAIR_TABLES = ("chunks", "statistics", "hits", "coverage", "metrics")
 
 
 def save_pair(spark: SparkSession, folder: str, e: Experiment, pair: dict, got: dict, seconds: float) -> None:
@@ -216,39 +248,56 @@ def save_pair(spark: SparkSession, folder: str, e: Experiment, pair: dict, got:
 
 def save_run(spark: SparkSession, root: str, e: Experiment, done: list[dict], failed: list[dict]) -> None:
     """Summary tables of a run: metrics and statistics of completed pairs as CSV, the other lists as JSON."""
+    from . import hierarchy
+
     for name, part in (("benchmark_metrics", "metrics"), ("chunk_statistics", "statistics")):
         columns = sorted({k for r in done for k in r[part]})
         rows = [(r["dataset"], r["method"], "completed", *[None if r[part].get(c) is None else float(r[part][c]) for c in columns]) for r in done] + [(r["dataset"], r["method"], "failed", *[None] * len(columns)) for r in failed]
         tables.write_table(spark.createDataFrame(rows, "dataset string, method string, status string" + "".join(f", `{c}` double" for c in columns)).coalesce(1), f"{root}/{name}.csv", "csv")  # a row per pair
-    said = {"completed_runs": done, "failed_runs": failed, "experiment_manifest": {"run_name": e.run_name, "datasets": e.datasets, "methods": e.methods, "seed": e.seed, "completed_count": len(done), "failed_count": len(failed)}}
+    said = {"completed_runs": done, "failed_runs": failed, "experiment_manifest": {"run_name": e.run_name, "datasets": e.datasets, "methods": e.methods, "seed": e.seed, "matrix_size": len(e.datasets) * len(e.methods), "commit": hierarchy.commit_of(), "completed_count": len(done), "failed_count": len(failed)}}
     for name, value in said.items():
         write_json(spark, f"{root}/{name}.json", value)
 
 
-def finished(spark: SparkSession, folder: str, run_id: str) -> dict | None:
-    """The manifest of a pair that ended under the same run id and whose tables are there."""
+def metric_names(e: Experiment) -> set[str]:
+    """The metrics of a pair of this experiment."""
+    if e.execution.get("only") == "chunks":
+        return set()
+    ranked = ("hit", "mrr", "evidence_recall_macro", "evidence_recall_micro", "document_recall", "evidence_coverage", "redundancy")
+    return {f"{m}_{k}" for m in ranked for k in e.evaluation.get("k_values", evaluation.KS)} | {"evidence_recall_macro_budget", "evidence_coverage_budget"}
+
+
+def row_of(dataset: dict, diagnostics: DataFrame) -> DataFrame:
+    """The diagnostics of a data set under its name and split."""
+    return diagnostics.select(F.lit(dataset["name"]).alias("dataset"), F.lit(dataset.get("split", "validation")).alias("split"), "*")
+
+
+def finished(spark: SparkSession, folder: str, run_id: str, e: Experiment | None = None) -> dict | None:
+    """The manifest of a pair that ended under the same run id, whose tables are there and, for ``e``, whose metrics are those it asks for."""
     try:
         said = tables.read_json(spark, f"{folder}/manifest.json")
     except FileNotFoundError:
         return None
-    whole = all(raw._exists(spark, f"{folder}/{t}/_SUCCESS") for t in PAIR_TABLES)
+    made = PAIR_TABLES[:2] if e is not None and e.execution.get("only") == "chunks" else PAIR_TABLES
+    whole = all(raw._exists(spark, f"{folder}/{t}/_SUCCESS") for t in made) and (e is None or set(said["metrics"]) == metric_names(e))
     return said if whole and said["run_id"] == run_id else None
 
 
 def run(spark: SparkSession, e: Experiment) -> dict:
     """Runs the matrix; returns and writes its summary: completed and failed runs, each with metrics and statistics or the error."""
     refuse_mocks(e)
-    root, bundles, done, failed = f"{e.output_dir}/{e.run_name}", {}, [], []
+    root, bundles, audited, done, failed = f"{e.output_dir}/{e.run_name}", {}, [], [], []
     for pair in expand(e):
         d, m = pair["dataset"], pair["method"]
         folder, row = f"{root}/{d['name']}/{m['name']}", {"run_id": pair["run_id"], "dataset": d["name"], "method": m["name"]}
         try:
-            got = finished(spark, folder, pair["run_id"]) if e.execution.get("resume") else None
+            got = finished(spark, folder, pair["run_id"], e) if e.execution.get("resume") else None
             if got is None:
                 key = json.dumps(canonical(d), sort_keys=True, default=str)
                 if key not in bundles:
                     bundles[key] = DATASETS[d["name"]](spark, d)
                     rules = e.validation | d.get("validation", {})
+                    audited.append(row_of(d, validation.diagnostics(bundles[key])))
                     validation.check(validation.bundle_violations(bundles[key]))
                     validation.check_mapping(bundles[key], rules.get("minimum_mapping_rate", 0.95), rules.get("fail_on_mapping_error", True))
                 began = time.perf_counter()
@@ -261,5 +310,7 @@ def run(spark: SparkSession, e: Experiment) -> dict:
             failed.append(row | {"error": f"{type(error).__name__}: {error}"[:500]})
     out = {"run_name": e.run_name, "completed": done, "failed": failed, "completed_count": len(done), "failed_count": len(failed)}
     save_run(spark, root, e, done, failed)
+    if audited:  # a row per data set that was read
+        tables.write_table(reduce(DataFrame.unionByName, audited).coalesce(1), f"{root}/dataset_validation.csv", "csv")
     write_json(spark, f"{root}/summary.json", out)
     return out

@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from dataclasses import replace
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,7 +14,7 @@ from ..functions import text as T
 from ..operators import chunking, evaluation, validation
 from ..sources import raw, tables
 from ..streaming import stream
-from . import catalog, hierarchy
+from . import catalog, hierarchy, matrix
 from .catalog import EVIDENCE, PAIRS, TOKENS, docs, fixed_sql, query, read
 from .matrix import write_json
 
@@ -188,10 +189,14 @@ def coverage_contract(spark, sf):
     return validation.coverage_violations(short).groupBy(F.col("example").alias("evidence_id")).agg(F.count("*").alias("n"))
 
 
-@query("SELECT * FROM (VALUES ('choices outside the training sets', 'natural_questions'), ('choices outside the training sets', 'nq_hard'), ('choices outside the training sets', 'ms_marco'), ('test labels used in a choice', 'ms_marco'), ('diagnostic sets used in a choice', 'nq_hard')) AS t(rule, example)")
+@query("""WITH e AS (SELECT CASE doc_id % 3 WHEN 0 THEN 'tune' WHEN 1 THEN 'select' ELSE 'report' END AS purpose, CASE WHEN lang = 'en' THEN 'ms_marco' WHEN lang = 'de' THEN 'nq_hard' ELSE lang END AS dataset, CASE doc_id % 4 WHEN 0 THEN 'train' WHEN 3 THEN 'test' ELSE 'dev' END AS split, doc_id % 5 <> 0 AS uses FROM documents), c AS (SELECT * FROM e WHERE purpose <> 'report')
+    SELECT 'choices outside the training sets' AS rule, dataset AS example, count(*)::bigint AS n FROM c WHERE dataset <> 'ms_marco' OR split = 'test' GROUP BY 2 UNION ALL SELECT 'test labels used in a choice', dataset, count(*)::bigint FROM c WHERE split = 'test' AND uses GROUP BY 2 UNION ALL SELECT 'diagnostic sets used in a choice', dataset, count(*)::bigint FROM c WHERE dataset = 'nq_hard' GROUP BY 2""")
 def protocol_contract(spark, sf):
-    events = [("tune", "ms_marco", "dev", True), ("select", "natural_questions", "dev", True), ("tune", "nq_hard", "train", False), ("select", "ms_marco", "test", True), ("report", "nq_hard", "test", True)]
-    return validation.protocol_violations(spark.createDataFrame(events, "purpose string, dataset string, split string, uses_labels boolean"))
+    """An event for every document: its language stands for a data set, its number for purpose and split."""
+    of = lambda by, *names: F.element_at(F.array(*map(F.lit, names)), (F.col("doc_id") % by).cast("int") + 1)
+    dataset = F.when(F.col("lang") == "en", "ms_marco").when(F.col("lang") == "de", "nq_hard").otherwise(F.col("lang"))
+    events = read(spark, sf, "documents").select(of(3, "tune", "select", "report").alias("purpose"), dataset.alias("dataset"), of(4, "train", "dev", "dev", "test").alias("split"), (F.col("doc_id") % 5 != 0).alias("uses_labels"))
+    return validation.protocol_violations(events).groupBy("rule", "example").agg(F.count("*").alias("n"))
 
 
 @query("SELECT doc_id, md5(concat_ws(' ', nullif(trim(source), ''), nullif(substr(text, 1, 120), ''))) AS both, md5(coalesce(trim(source), '')) AS title, md5(substr(text, 1, 120)) AS lead FROM documents")
@@ -207,15 +212,20 @@ def sampled_queries(spark, sf):
     return s.queries.join(s.qrels, "query_id", "left").groupBy("query_id").agg(F.count("passage_id").alias("judged"))
 
 
-@query("SELECT * FROM (VALUES ('documents', 3), ('queries', 2), ('evidence', 2), ('retrieval documents', 4), ('passages', 7), ('retrieval queries', 4), ('qrels', 4), ('titles missing', 1), ('grades of 2', 1)) AS t(what, n)")
+SETS = "('synthetic documents', 3), ('synthetic queries', 2), ('synthetic evidence', 2), ('small documents', 4), ('small passages', 7), ('small queries', 4), ('small qrels', 4)"
+
+
+@query(f"""WITH {EVIDENCE}, ch AS ({fixed_sql(256)}), n AS (SELECT 'corpus documents' AS what, count(*)::bigint AS n FROM documents UNION ALL SELECT 'corpus queries', count(*)::bigint FROM benchmark UNION ALL SELECT 'corpus evidence', count(*)::bigint FROM ev
+    UNION ALL SELECT 'tables documents', count(*)::bigint FROM documents UNION ALL SELECT 'tables passages', count(*)::bigint FROM ch UNION ALL SELECT 'tables queries', count(*)::bigint FROM benchmark UNION ALL SELECT 'tables qrels', count(DISTINCT (ev.query_id, ch.chunk_id))::bigint FROM ev JOIN ch USING (doc_id))
+    SELECT * FROM n UNION ALL SELECT what, n::bigint FROM (VALUES {SETS}) AS t(what, n)""")
 def synthetic_sets(spark, sf):
-    b, r = raw.synthetic(spark), tables.synthetic_retrieval(spark)
-    named = {"documents": b.documents, "queries": b.queries, "evidence": b.evidence.where("start IS NOT NULL"), "retrieval documents": r.documents, "passages": r.passages, "retrieval queries": r.queries, "qrels": r.qrels, "titles missing": r.documents.where("title IS NULL"), "grades of 2": r.qrels.where("relevance = 2")}
-    parts = [df.agg(F.lit(what).alias("what"), F.count("*").cast("int").alias("n")) for what, df in named.items()]
-    whole = parts[0]
-    for p in parts[1:]:
-        whole = whole.unionByName(p)
-    return whole
+    """Rows of the corpus in both forms of a data set, beside those of the synthetic ones."""
+    named = {}
+    for name, b in (("corpus", _bundle(spark, sf)), ("synthetic", raw.synthetic(spark))):
+        named |= {f"{name} documents": b.documents, f"{name} queries": b.queries, f"{name} evidence": b.evidence.where("start IS NOT NULL")}
+    for name, r in (("tables", catalog._data(spark, sf)), ("small", tables.synthetic_retrieval(spark))):
+        named |= {f"{name} documents": r.documents, f"{name} passages": r.passages, f"{name} queries": r.queries, f"{name} qrels": r.qrels}
+    return reduce(DataFrame.unionByName, [df.agg(F.lit(what).alias("what"), F.count("*").alias("n")) for what, df in named.items()])
 
 
 @query(catalog._short_sql(fixed_sql(256)))
@@ -226,3 +236,73 @@ def streamed_chunks(spark, sf):
     made = catalog._short(stream.chunk_stream(source.select("doc_id", "text")))
     made.writeStream.format("parquet").option("path", f"{at}/out").option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema(made.schema).parquet(f"{at}/out")
+
+
+@query(catalog._SQL["vocabulary_df"])
+def streamed_vocabulary(spark, sf):
+    """All documents as a stream of several batches, each document twice: what repeats is dropped, the frequencies are those of the table."""
+    at = folder(spark)
+    d = docs(spark, sf).withColumn("ts", F.timestamp_seconds(F.col("doc_id") + 1_700_000_000))
+    d.unionByName(d).repartition(8).write.parquet(f"{at}/in")
+    source = spark.readStream.schema(spark.read.parquet(f"{at}/in").schema).option("maxFilesPerTrigger", 2).parquet(f"{at}/in")
+    # no document is late here: their times spread over less than this
+    fresh = stream.once(source, "36500 days", "ts")
+    q = fresh.writeStream.foreachBatch(stream.keep_vocabulary(f"{at}/counts", 3)).option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start()
+    q.awaitTermination()
+    return stream.vocabulary(spark, f"{at}/counts").withColumn("idf", F.round("idf", 6))
+
+
+# --- results of a run ---------------------------------------------------------------------------
+#: The methods of the run, one of which cannot work, and one that is only planned.
+RUN_METHODS, PLANNED = ("fixed_256", "fixed_512", "late_fixed_256"), "pic_paper_reimplementation"
+_runs: dict[tuple[str, str], str] = {}
+
+
+def _language(spark, c) -> raw.Bundle:
+    d = spark.read.parquet(c["path"]).where(F.coalesce("lang", F.lit("none")) == c["lang"]).select(F.col("doc_id").cast("string").alias("document_id"), "text")
+    none = spark.createDataFrame([], "query_id string, text string, relevant_document_ids array<string>, unanswerable boolean")
+    evidence = spark.createDataFrame([], "query_id string, evidence_id string, document_id string, text string, token_count int, start int, end int, reason string")
+    return raw.Bundle(d, none, evidence)
+
+
+def results(spark, sf) -> DataFrame:
+    """dataset, method, status, total_chunks: the table that the runner wrote about the documents of every language by every method."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _runs:
+        at = folder(spark)
+        langs = [r[0] for r in read(spark, sf, "documents").select(F.coalesce("lang", F.lit("none")).alias("lang")).distinct().orderBy("lang").collect()]  # the run's configuration
+        for lang in langs:
+            if f"documents_{lang}" not in matrix.DATASETS.names():
+                matrix.DATASETS.add(f"documents_{lang}", _language)
+        methods = [{"name": "fixed_256"}, {"name": "fixed_512"}, {"name": "late_fixed_256", "overlap": 256}]
+        sets = [{"name": f"documents_{lang}", "lang": lang, "path": f"{sf}/documents.parquet", "validation": {"minimum_mapping_rate": 0.0, "fail_on_mapping_error": False}} for lang in langs]
+        matrix.run(spark, matrix.Experiment("languages", sets, methods, at, execution={"only": "chunks"}))
+        _runs[key] = f"{at}/languages"
+    return tables.read_result(spark, f"{_runs[key]}/chunk_statistics.csv").select("dataset", "method", "status", F.col("total_chunks").cast("long").alias("total_chunks"))
+
+
+RESULTS = f"""t AS (SELECT 'documents_' || coalesce(lang, 'none') AS dataset, len(regexp_extract_all(text, '{T.PIECE}')) AS n FROM documents),
+    r AS (SELECT dataset, 'fixed_' || size AS method, 'completed' AS status, sum((n + size - 1) // size)::bigint AS total_chunks FROM t, (VALUES (256), (512)) AS s(size) GROUP BY ALL UNION ALL SELECT DISTINCT dataset, 'late_fixed_256', 'failed', NULL FROM t)"""
+
+
+@query(f"WITH {RESULTS} SELECT * FROM r UNION ALL SELECT DISTINCT dataset, '{PLANNED}', 'not_run', NULL FROM t")
+def results_not_run(spark, sf):
+    """The written results, and the planned pairs that have none."""
+    r = results(spark, sf)
+    expected = r.select("dataset").distinct().crossJoin(F.broadcast(spark.createDataFrame([(m,) for m in (*RUN_METHODS, PLANNED)], "method string")))  # the configured methods
+    missing = expected.join(r, ["dataset", "method"], "left_anti")
+    return r.unionByName(missing.select("dataset", "method", F.lit("not_run").alias("status"), F.lit(None).cast("long").alias("total_chunks")))
+
+
+STATUS = ", ".join(f"max(status) FILTER (method = '{m}') AS {m}" for m in RUN_METHODS)
+
+
+@query(f"WITH {RESULTS} SELECT dataset, {STATUS} FROM r GROUP BY dataset")
+def results_status(spark, sf):
+    return results(spark, sf).groupBy("dataset").pivot("method", list(RUN_METHODS)).agg(F.first("status"))
+
+
+@query(f"WITH {RESULTS} SELECT method, count(DISTINCT dataset)::bigint AS datasets, round(avg(total_chunks), 6) AS mean_chunks, row_number() OVER (ORDER BY avg(total_chunks) DESC, method)::int AS place FROM r WHERE status = 'completed' GROUP BY method HAVING count(DISTINCT dataset) = (SELECT count(DISTINCT dataset) FROM r)")
+def results_ranking(spark, sf):
+    """Methods that ended on every data set, by their mean."""
+    return evaluation.rank_methods(results(spark, sf), "total_chunks").select("method", "datasets", F.col("mean").alias("mean_chunks"), "place")
