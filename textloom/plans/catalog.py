@@ -606,38 +606,7 @@ def advanced_chunk_contract(spark, sf):
     return whole.groupBy("rule").agg(F.count("*").alias("n"))
 
 
-# --- matrix, relational -----------------------------------------------------------------------
-RUNS = "runs AS (SELECT * FROM (SELECT lang AS dataset, 'method' || (doc_id % 4) AS method, CASE WHEN count(*) % 2 = 0 THEN 'completed' ELSE 'failed' END AS status, round(avg(n_chars), 6) AS score FROM documents GROUP BY ALL) WHERE NOT (dataset = 'fr' AND method = 'method1'))"
-
-
-def _runs(spark, sf) -> DataFrame:
-    """A results table in small: dataset, method, status, score."""
-    d = read(spark, sf, "documents")
-    runs = d.groupBy(F.col("lang").alias("dataset"), F.concat(F.lit("method"), (F.col("doc_id") % 4).cast("string")).alias("method")).agg(F.when(F.count("*") % 2 == 0, "completed").otherwise("failed").alias("status"), F.round(F.avg("n_chars"), 6).alias("score"))
-    return runs.where("NOT (dataset = 'fr' AND method = 'method1')")  # a pair that did not run
-
-
-@query(f"WITH {RUNS}, m AS (SELECT DISTINCT method FROM runs), d AS (SELECT DISTINCT dataset FROM runs) SELECT dataset, method, coalesce(status, 'not_run') AS status FROM d CROSS JOIN m LEFT JOIN runs USING (dataset, method)")
-def matrix_not_run(spark, sf):
-    r = _runs(spark, sf)
-    expected = r.select("dataset").distinct().crossJoin(F.broadcast(r.select("method").distinct()))  # configured names only
-    missing = expected.join(r, ["dataset", "method"], "left_anti").withColumn("status", F.lit("not_run"))
-    return r.select("dataset", "method", "status").unionByName(missing)
-
-
-@query(f"WITH {RUNS} SELECT dataset, {', '.join(f'''max(status) FILTER (method = 'method{i}') AS method{i}''' for i in range(4))} FROM runs GROUP BY dataset")
-def pivot_status(spark, sf):
-    return _runs(spark, sf).groupBy("dataset").pivot("method", [f"method{i}" for i in range(4)]).agg(F.first("status"))
-
-
-@query(f"WITH {RUNS} SELECT method, count(DISTINCT dataset)::bigint AS datasets, round(avg(score), 6) AS mean_score, row_number() OVER (ORDER BY avg(score) DESC, method)::int AS place FROM runs GROUP BY method HAVING count(DISTINCT dataset) = (SELECT count(DISTINCT dataset) FROM runs)")
-def method_ranking(spark, sf):
-    r = _runs(spark, sf)
-    all_sets = r.agg(F.count_distinct("dataset").alias("all_sets"))
-    m = r.groupBy("method").agg(F.count_distinct("dataset").alias("datasets"), F.round(F.avg("score"), 6).alias("mean_score")).crossJoin(F.broadcast(all_sets)).where("datasets = all_sets")
-    return m.withColumn("place", F.row_number().over(W.orderBy(F.desc("mean_score"), "method"))).drop("all_sets")  # one row per method
-
-
+# --- relational, streams ------------------------------------------------------------------------
 @query("SELECT l_returnflag, l_linestatus, round(sum(l_quantity), 2) AS sum_qty, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue, count(*)::bigint AS n FROM lineitem WHERE l_shipdate <= TIMESTAMP '1998-09-02' GROUP BY ALL")
 def pricing_summary(spark, sf):
     li = read(spark, sf, "lineitem").where(F.col("l_shipdate") <= F.lit("1998-09-02").cast("timestamp"))
