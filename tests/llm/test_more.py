@@ -151,6 +151,13 @@ def test_decontamination_against_every_stretch(spark):
     assert all(want[k] == v for k, v in got.items())
 
 
+def test_without_labels_nothing_is_toxic(spark):
+    docs = frame(spark, [(1, "some words"), (2, None)])
+    for marks in ([], [(9, 1), (1, None)]):  # none, or of no document that is there
+        model = toxicity.learn(docs, spark.createDataFrame(marks, "doc_id long, toxic int"))
+        assert {r["predicted"] for r in toxicity.score(docs, *model).collect()} == {0} and toxicity.reject(docs, *model).count() == 2
+
+
 def test_toxic_weights_against_a_plain_scan():
     lexicon = {"fool": 2.0, "idio*": 3.0, "can": 1.0, "trash": 1.5}
     found = toxicity.automaton(lexicon)

@@ -136,6 +136,10 @@ def fit_curve(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return float(a), float(max(b, 0.0))
 
 
+#: The curve without any label: no text is taken for toxic.
+UNTAUGHT = (-30.0, 0.0)
+
+
 def learn(docs: DataFrame, labels: DataFrame, most: int = MOST_ROWS) -> tuple[dict[str, float], tuple[float, float]]:
     """Lexicon and curve from at most ``most`` labelled rows outside the held-out fold."""
     bound_batches(docs.sparkSession)
@@ -143,7 +147,7 @@ def learn(docs: DataFrame, labels: DataFrame, most: int = MOST_ROWS) -> tuple[di
     lexicon = learn_lexicon(rows)
     got = rows.select(F.col("y").cast("double").alias("y"), "text").mapInArrow(_weights(lexicon, None), "y double, score double").collect()  # at most ``most`` pairs of numbers
     if not got:
-        return lexicon, (0.0, 0.0)
+        return lexicon, UNTAUGHT
     return lexicon, fit_curve(np.array([r["score"] for r in got]), np.array([r["y"] for r in got]))
 
 
