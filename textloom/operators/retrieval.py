@@ -15,6 +15,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from .chunking import kept
 
 #: Query sides up to so many rows are broadcast; larger ones are joined by shuffle.
 BROADCAST_ROWS = 200_000
@@ -23,7 +24,11 @@ QUERY_BLOCK = 4096
 
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """``df`` with a broadcast hint if it is proven to have at most ``rows`` rows."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+    return F.broadcast(df) if few(df, rows) else df
+
+
+def few(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
+    return df.limit(rows + 1).count() <= rows
 
 
 def ranked(scored: DataFrame, k: int, tie: str = "item_id") -> DataFrame:
@@ -38,13 +43,18 @@ def bm25(queries: DataFrame, items: DataFrame, k: int = 10, k1: float = 1.2, b:
     keeps items of those documents; items then carry document_id. Queries with fewer than k
     matches are filled with items of score 0 in order of id."""
     carry = ["document_id"] if within is not None else []
-    toks = items.select("item_id", *carry, T.terms(T.text_of()).alias("ts"))
-    stats = toks.agg(F.count("*").alias("n"), F.avg(F.size("ts")).alias("avgdl"))
     q = query_terms(queries)
-    # only postings of query terms are shuffled
-    post = toks.select("item_id", *carry, F.size("ts").alias("dl"), F.explode("ts").alias("t")).join(q.select("t").distinct(), "t", "left_semi").groupBy("item_id", *carry, "dl", "t").agg(F.count("*").alias("tf"))
-    df = post.groupBy("t").agg(F.count("*").alias("df")).crossJoin(F.broadcast(stats))  # stats: one row
-    return bm25_of(queries, q, post, df, (F.col("n"), F.col("avgdl")), toks, k, k1, b, within)
+    # each text is cut once; beside its terms an item has a row of the empty term, which counts items and lengths
+    toks = kept(items.select("item_id", *carry, T.terms(T.text_of()).alias("ts")))
+    rows = toks.select("item_id", *carry, F.size("ts").alias("dl"), F.explode(F.concat(F.array(F.lit("")), "ts")).alias("t"))
+    wanted = queries.select(F.explode(F.concat(F.array(F.lit("")), T.terms(T.text_of()))).alias("t")).distinct()
+    # only postings of query terms are shuffled, by item: a query's sum over an item needs no other shuffle
+    post = rows.join(wanted, "t", "left_semi").repartition("item_id").groupBy("item_id", *carry, "dl", "t").agg(F.count("*").alias("tf"))
+    words = post.groupBy("t").agg(F.sum(F.least("tf", F.lit(1))).alias("df"), F.sum("tf").alias("rows"), F.sum(F.col("tf") * F.col("dl")).alias("length"))
+    whole = lambda c: F.max(F.when(F.col("t") == "", F.col(c)))
+    stats = words.agg(whole("rows").alias("n"), (whole("length") / whole("rows")).alias("avgdl"))
+    df = words.select("t", "df").crossJoin(F.broadcast(stats))  # stats: one row
+    return bm25_of(queries, q, post, df, (F.col("n"), F.col("avgdl")), items, k, k1, b, within)
 
 
 def query_terms(queries: DataFrame) -> DataFrame:
@@ -56,25 +66,26 @@ def bm25_of(queries: DataFrame, q: DataFrame, post: DataFrame, df: DataFrame, st
     n, avgdl = stats
     idf = df.select("t", avgdl.alias("avgdl"), F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
     term = F.col("qtf") * F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
-    pairs = post.join(q.join(idf, "t"), "t")
+    weights = q.join(idf, "t")  # a row for each of q
+    pairs = post.join(F.broadcast(weights) if few(q) else weights, "t")
     if within is not None:
-        pairs = pairs.join(within.select("query_id", "document_id"), ["query_id", "document_id"], "left_semi")
+        asked = within.select(F.col("query_id").alias("asked"), F.col("document_id").alias("of"))
+        # null-safe, since a filter of nulls would part these postings from those that are counted
+        pairs = pairs.join(asked, (F.col("query_id") == F.col("asked")) & F.col("document_id").eqNullSafe(F.col("of")), "left_semi")
     hits = ranked(pairs.groupBy("query_id", "item_id").agg(F.round(F.sum(term), 9).alias("score")), k)
-    return _filled(hits, queries, items, k, within)
+    # a query with k hits has no room; of one with fewer all hits are here, and the rest follows in order of id
+    pool = _pool(queries, items, k, within).select("query_id", "item_id", F.lit(None).cast("double").alias("score"))
+    full = hits.select("query_id", "item_id", "score").unionByName(pool).groupBy("query_id", "item_id").agg(F.max("score").alias("score"))
+    rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc_nulls_last("score"), "item_id"))
+    return full.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "item_id", F.coalesce("score", F.lit(0.0)).alias("score"), "rank")
 
 
-def _filled(hits: DataFrame, queries: DataFrame, items: DataFrame, k: int, within: DataFrame | None) -> DataFrame:
-    have = hits.groupBy("query_id").agg(F.count("*").alias("have"))
-    short = queries.select("query_id").join(have, "query_id", "left").select("query_id", F.coalesce("have", F.lit(0)).alias("have")).where(F.col("have") < k)
+def _pool(queries: DataFrame, items: DataFrame, k: int, within: DataFrame | None) -> DataFrame:
+    """(query_id, item_id): the items that fill up a query without k matches."""
     if within is None:
         first = items.select("item_id").orderBy("item_id").limit(2 * k)  # k matches at most can stand among them
-        pool = short.crossJoin(F.broadcast(first))
-    else:
-        pool = short.join(within.select("query_id", "document_id"), "query_id").join(items.select("item_id", "document_id"), "document_id").drop("document_id")
-    pad = pool.join(hits.select("query_id", "item_id"), ["query_id", "item_id"], "left_anti")
-    place = F.row_number().over(W.partitionBy("query_id").orderBy("item_id"))
-    pad = pad.withColumn("rank", (F.col("have") + place).cast("int")).where(F.col("rank") <= k)
-    return hits.select("query_id", "item_id", "score", "rank").unionByName(pad.select("query_id", "item_id", F.lit(0.0).alias("score"), "rank"))
+        return queries.select("query_id").crossJoin(F.broadcast(first))
+    return within.select("query_id", "document_id").join(items.select("item_id", "document_id"), "document_id")
 
 
 def cosine_top_k(queries: DataFrame, items: DataFrame, k: int = 10, exclude_self: bool = False) -> DataFrame:

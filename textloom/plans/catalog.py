@@ -37,7 +37,7 @@ def read(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 
 def docs(spark, sf) -> DataFrame:
-    return read(spark, sf, "documents").select("doc_id", "text")
+    return tables.spread(read(spark, sf, "documents").select("doc_id", "text"), "doc_id")
 
 
 # --- SQL parts ---------------------------------------------------------------------------------
@@ -343,7 +343,7 @@ def interleave_fusion(spark, sf):
 # --- dense and combined stages -----------------------------------------------------------------
 def _data(spark, sf) -> tables.Retrieval:
     """The driver's tables as a normalised data set: documents, their 256-token passages, benchmark items as queries."""
-    d = read(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("document_id"), F.lit(None).cast("string").alias("title"), "text")
+    d = docs(spark, sf).select(F.col("doc_id").cast("string").alias("document_id"), F.lit(None).cast("string").alias("title"), "text")
     p = chunking.fixed(docs(spark, sf), 256).select(F.col("chunk_id").alias("passage_id"), F.col("doc_id").cast("string").alias("document_id"), F.col("text").alias("passage_text"), F.col("chunk_order").alias("passage_position"))
     q = read(spark, sf, "benchmark").select(F.col("item_id").cast("string").alias("query_id"), F.col("text").alias("query_text"), F.lit("documents").alias("dataset"), F.lit("test").alias("split"))
     ev = _evidence(spark, sf).select("query_id", F.col("doc_id").cast("string").alias("document_id"))

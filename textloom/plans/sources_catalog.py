@@ -98,7 +98,7 @@ AUDIT = f"""ch AS ({fixed_sql(256)}), ql AS (SELECT DISTINCT item_id, ch.chunk_i
 
 
 def _titled(spark, sf) -> tables.Retrieval:
-    d = read(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("document_id"), F.col("source").alias("title"), "text")
+    d = tables.spread(read(spark, sf, "documents").select("doc_id", "source", "text"), "doc_id").select(F.col("doc_id").cast("string").alias("document_id"), F.col("source").alias("title"), "text")
     return replace(catalog._data(spark, sf), documents=d)
 
 

@@ -43,6 +43,19 @@ def read_table(spark: SparkSession, path: str) -> DataFrame:
     raise ValueError(f"unknown table format: {path}")
 
 
+#: Spark cuts small tables to splits of this many bytes (its default cost of opening a file), whatever their row groups.
+LEAST_SPLIT = 4 << 20
+
+
+def spread(df: DataFrame, by: str) -> DataFrame:
+    """A table too small to have a row group for each core, dealt by ``by`` so that all cores share the work on its texts.
+
+    What moves is less than ``LEAST_SPLIT`` bytes a core; larger tables are left as their files lie."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores, by) if size < cores * LEAST_SPLIT else df
+
+
 def read_result(spark: SparkSession, path: str) -> DataFrame:
     """A result table that was written as CSV, with its types."""
     return spark.read.option("header", True).option("inferSchema", True).csv(path)
