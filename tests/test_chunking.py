@@ -85,7 +85,43 @@ def test_merge_and_cap(spark):
 
 def test_linkage():
     d = np.array([[0, 0.9, 0.1], [0.9, 0, 0.8], [0.1, 0.8, 0]])
-    assert chunking.link(d, 2) == [[0, 2], [1]]
+    assert chunking.link(lambda ids: d[ids], 3, 2) == [[0, 2], [1]]
+    assert chunking.link(lambda ids: d[ids], 3, 1, cut=0.5, most=3) == [[0, 2], [1]]
+    assert chunking.link(lambda ids: d[ids], 3, 3) == [[0], [1], [2]]
+    assert chunking.link(lambda ids: np.zeros((len(ids), 1)), 1, 1) == [[0]]
+
+
+def plain_linkage(d, clusters, most, cut=None):
+    """All pairs of groups, each step."""
+    groups = [[i] for i in range(len(d))]
+    while len(groups) > clusters:
+        pairs = [(min(d[x, y] for x in a for y in b), a[0], b[0], a, b) for n, a in enumerate(groups) for b in groups[n + 1 :] if len(a) + len(b) <= most]
+        if not pairs or (cut is not None and min(pairs)[0] > cut):
+            break
+        _, _, _, a, b = min(pairs)
+        groups = sorted([g for g in groups if g not in (a, b)] + [sorted(a + b)])
+    return groups
+
+
+def test_linkage_against_all_pairs():
+    rng = np.random.default_rng(5)
+    for _ in range(150):
+        n = int(rng.integers(2, 24))
+        d = rng.integers(0, int(rng.choice([3, 12, 1000])), (n, n)).astype(float)  # few values make many ties
+        d = np.minimum(d, d.T)
+        clusters, most = int(rng.integers(1, n + 1)), int(rng.integers(1, n + 1))
+        cut = None if rng.random() < 0.5 else float(np.median(d))
+        assert chunking.link(lambda ids, d=d: d[ids], n, clusters, most, cut) == plain_linkage(d, clusters, most, cut)
+
+
+def test_single_linkage_of_a_long_document(spark):
+    """2,500 segments: every one in one cluster, of at most four; without a shuffle."""
+    d = docs(spark, " ".join(f"w{i % 7} x{i % 11}." for i in range(2500)), None, "One.")
+    got = chunking.single_linkage(d)
+    rows = got.where("doc_id = 0").collect()
+    assert sorted(p for r in rows for p in r["positions"]) == list(range(2500)) and max(len(r["positions"]) for r in rows) <= 4
+    assert [r["text"] for r in got.where("doc_id <> 0").collect()] == ["One."]
+    assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
 
 
 def test_pairwise_against_brute_force(spark):

@@ -1,13 +1,13 @@
 """Chunking of documents (doc_id, text) as DataFrame plans.
 
-Chunks have doc_id, chunk_order, chunk_id, text, token_count. Every method but single linkage
+Chunks have doc_id, chunk_order, chunk_id, text, token_count. Every method
 works within one row per document, on arrays, so that no method shuffles; texts are sliced from
 the documents' own pieces, gaps between segments included.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -292,50 +292,90 @@ def pairwise_distance(docs: DataFrame, weight: float = 0.5, dim: int = 256) -> D
     return full.select("doc_id", "i", "j", F.round(weight * (F.col("j") - F.col("i")) / F.col("n") + (1 - weight) * F.greatest(F.lit(0.0), F.least(F.lit(1.0), cos)) + TIE, 6).alias("distance"))
 
 
-def link(distance: np.ndarray, clusters: int, most: int | None = None, cut: float | None = None) -> list[list[int]]:
-    """Single linkage down to ``clusters``: nearest pair first, ties by smallest members; groups over ``most`` are refused."""
-    n = len(distance)
+def link(rows: Callable[[np.ndarray], np.ndarray], n: int, clusters: int, most: int | None = None, cut: float | None = None) -> list[list[int]]:
+    """Single linkage of ``n`` units down to ``clusters``: nearest pair first, ties by smallest members; groups over ``most`` are refused.
+
+    ``rows`` gives the distances of some units to all. A group keeps its nearest partner only, and a merged one finds its
+    own anew from the rows of its members, so memory is that of ``most`` rows, not of all pairs."""
     most = most or -(-n // max(clusters, 1))
-    d = distance.astype(float).copy()
-    np.fill_diagonal(d, np.inf)
-    groups: dict[int, list[int]] = {i: [i] for i in range(n)}
+    groups: dict[int, list[int]] = {i: [i] for i in range(n)}  # by least member
+    of, size = np.arange(n), np.ones(n, dtype=int)
+    value, partner = np.full(n, np.inf), np.full(n, -1)
+    sure = np.ones(n, dtype=bool)  # else value is a lower bound only
+
+    def near(g: int) -> np.ndarray:
+        """Distances of group ``g`` to the groups that it may join, at their least members."""
+        out = np.full(n, np.inf)
+        for at in range(0, len(groups[g]), 64):
+            np.minimum.at(out, of, rows(np.asarray(groups[g][at : at + 64])).min(axis=0))
+        out[g] = np.inf
+        out[size + size[g] > most] = np.inf
+        return out
+
+    def look(g: int) -> np.ndarray:
+        d = near(g)
+        partner[g] = int(np.argmin(d))
+        value[g], sure[g] = d[partner[g]], True
+        return d
+
+    step = max(1, 4_000_000 // max(n, 1))
+    for at in range(0, n if most > 1 else 0, step):
+        ids = np.arange(at, min(at + step, n))
+        d = np.array(rows(ids), dtype=float)
+        d[np.arange(len(ids)), ids] = np.inf
+        partner[ids] = d.argmin(axis=1)
+        value[ids] = d[np.arange(len(ids)), partner[ids]]
     while len(groups) > clusters:
-        at = int(np.argmin(d))  # row-major: the least members first, as groups sit at their least member
-        i, j = divmod(at, n)
-        if not np.isfinite(d[i, j]) or (cut is not None and d[i, j] > cut):
+        i = int(np.argmin(value))  # the least members first, as groups sit at their least member
+        if not np.isfinite(value[i]) or (cut is not None and value[i] > cut):
             break
-        if len(groups[i]) + len(groups[j]) > most:
-            d[i, j] = d[j, i] = np.inf
+        if not sure[i]:
+            look(i)
             continue
+        j = int(partner[i])
+        i, j = min(i, j), max(i, j)
         groups[i] = sorted(groups[i] + groups.pop(j))
-        refused = np.isinf(d[i]) & (np.arange(n) != i) | np.isinf(d[j]) & (np.arange(n) != j)
-        near = np.minimum(d[i], d[j])
-        near[refused] = np.inf
-        near[[i, j]] = np.inf
-        d[i], d[:, i] = near, near
-        d[j], d[:, j] = np.inf, np.inf
+        of[groups[i]] = i
+        size[i], size[j], value[j] = size[i] + size[j], most, np.inf
+        d = look(i)
+        # whoever had one of the two as partner has the group now, or must look again if they are too many
+        sure[((partner == i) | (partner == j)) & np.isfinite(value)] = False
+        better = (d < value) | ((d == value) & ((i < partner) | ~sure))
+        better &= np.isfinite(d)
+        value[better], partner[better], sure[better] = d[better], i, True
+        sure[i] = True
     return [groups[k] for k in sorted(groups)]
 
 
+def _linked(buckets: list, weight: float, per_cluster: int, dim: int) -> list[list[int]]:
+    """Clusters of one document's segments by their bags: counts make exact products, so equal distances are equal."""
+    n = len(buckets)
+    counts = np.zeros((n, dim))
+    for i, bag in enumerate(buckets):
+        np.add.at(counts[i], np.asarray(bag, dtype=int), 1)
+    norm = np.maximum(np.sqrt((counts * counts).sum(axis=1)), 1e-12)
+    at = np.arange(n)
+
+    def rows(ids: np.ndarray) -> np.ndarray:
+        cos = (counts[ids] @ counts.T) / (norm[ids][:, None] * norm)
+        return weight * np.abs(ids[:, None] - at) / n + (1 - weight) * np.clip(1 - cos, 0, 1)
+
+    return link(rows, n, -(-n // per_cluster))
+
+
 def single_linkage(docs: DataFrame, weight: float = 0.5, segments_per_cluster: int = 4, dim: int = 256) -> DataFrame:
     """Clusters of a document's segments, not always contiguous: doc_id, chunk_order, positions, text, token_count.
 
-    One document's segments form one group of ``applyInPandas``; a document is the largest unit."""
-
-    def cluster(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("pos").reset_index(drop=True)
-        n = len(pdf)
-        vec = np.zeros((n, dim))
-        for i, buckets in enumerate(pdf["buckets"]):
-            np.add.at(vec[i], np.asarray(buckets, dtype=int), 1)
-        norm = np.maximum(np.linalg.norm(vec, axis=1, keepdims=True), 1e-12)
-        at = np.arange(n)
-        d = weight * np.abs(at[:, None] - at) / n + (1 - weight) * np.clip(1 - (vec / norm) @ (vec / norm).T, 0, 1)
-        groups = link(d, -(-n // segments_per_cluster))
-        return pd.DataFrame({"doc_id": pdf["doc_id"].iloc[0], "chunk_order": range(len(groups)), "positions": groups, "text": ["\n".join(pdf["text"][i] for i in g) for g in groups], "token_count": [int(pdf["token_count"].iloc[g].sum()) for g in groups]})
-
-    s = segments(docs).select("doc_id", "pos", "text", "token_count", F.transform(T.lexical_tokens(F.col("text")), lambda t: T.bucket(t, dim)).alias("buckets"))
-    return s.groupBy("doc_id").applyInPandas(cluster, f"doc_id {s.schema['doc_id'].dataType.simpleString()}, chunk_order int, positions array<int>, text string, token_count int")
+    A document is one row, so nothing is shuffled; its memory grows with its segments, not with their pairs."""
+
+    def cluster(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for doc, sents, sizes, buckets in zip(pdf["doc_id"], pdf["sents"], pdf["n"], pdf["buckets"], strict=True):
+                groups = _linked(list(buckets), weight, segments_per_cluster, dim)
+                yield pd.DataFrame({"doc_id": doc, "chunk_order": range(len(groups)), "positions": groups, "text": ["\n".join(sents[i] for i in g) for g in groups], "token_count": [int(sum(sizes[i] for i in g)) for g in groups]})
+
+    s = segmented(docs).select("doc_id", "sents", "n", F.transform("sents", lambda x: F.transform(T.lexical_tokens(x), lambda t: T.bucket(t, dim))).alias("buckets"))
+    return s.mapInPandas(cluster, f"doc_id {s.schema['doc_id'].dataType.simpleString()}, chunk_order int, positions array<int>, text string, token_count int")
 
 
 def late(docs: DataFrame, size: int, overlap: int = 0) -> DataFrame:
