@@ -54,3 +54,15 @@ def test_categories(spark):
     meta = spark.createDataFrame([("a", "cr|MT"), ("b", "MT, mt")], "query_id string, question_type string")
     got = {r["category"]: (r["n"], r["mean"]) for r in evaluation.by_category(per, meta, "v").collect()}
     assert got == {"overall": (2, 0.5), "CR": (1, 1.0), "MT": (2, 0.5), "MHR": (0, None), "AC": (0, None)}
+
+
+def test_containing_against_brute_force(spark):
+    from textloom.operators import evaluation
+
+    bodies = ["the red fox ran over the red hill", "a red  fox ran", "xthe red foxy", "red", "", None, "the red fox the red fox ran over", "the red fox the red fox"]
+    texts = ["the red fox", "he red fox ran ov", "red", "d f", "red fox", "the red fox ran over the red hill", " ", "", "fox the red fo", "not there at all", "the red fox ran", "the red fox ran"]
+    docs = spark.createDataFrame(list(enumerate(bodies)), "doc_id long, text string")
+    items = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "item_id long, text string")
+    got = sorted(tuple(r) for r in evaluation.containing(items, docs).collect())
+    assert got == sorted((i, d, b.find(t)) for i, t in enumerate(texts) if t for d, b in enumerate(bodies) if b and t in b)
+    assert evaluation.containing(items.where("false"), docs).count() == 0

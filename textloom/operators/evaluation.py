@@ -9,7 +9,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from .retrieval import small
+from .chunking import kept
+from .retrieval import few, small
 
 KS = (3, 5, 10)
 BUDGET = 2048
@@ -19,20 +20,30 @@ GRAM = 3
 def containing(evidence: DataFrame, docs: DataFrame) -> DataFrame:
     """(item_id, doc_id, start): texts of ``evidence`` that occur word for word in a document, first place.
 
-    Candidates share the three words after the text's first; only they are compared. Shorter
-    texts (under five words) are compared with every document, in their own small broadcast."""
+    The words between a text's first and last stand whole in a document that holds it. Of the runs of up to three of
+    them the one in fewest documents names the candidates; only they are compared. Texts of one or two words have no
+    such run and are compared with every document, in their own small broadcast."""
     p = F.regexp_extract_all("text", F.lit(r"\S+"), F.lit(0))
-    ev = evidence.select("item_id", "text", p.alias("p")).where(F.length("text") > 0)
-    gram = lambda i: F.array_join(F.slice("p", i, GRAM), " ")
-    long = ev.where(F.size("p") >= GRAM + 2).select("item_id", "text", gram(2).alias("g"))
-    grams = docs.select("doc_id", p.alias("p")).where(F.size("p") >= GRAM).select("doc_id", F.explode(F.transform(F.sequence(F.lit(1), F.size("p") - GRAM + 1), lambda i: gram(i))).alias("g"))
-    pairs = grams.join(small(long), "g").select("doc_id", "item_id", "text").distinct()
+    ev = evidence.select("item_id", "text", p.alias("p")).where(F.length("text") > 0).withColumn("m", F.least(F.lit(GRAM), F.size("p") - 2))
+    sizes = sorted(r[0] for r in ev.select("m").distinct().collect())  # few values, none over GRAM
     texts = docs.select("doc_id", T.text_of().alias("body"))
-    hit = pairs.join(texts, "doc_id").where(F.col("body").contains(F.col("text")))
-    short = ev.where(F.size("p") < GRAM + 2).select("item_id", "text")
-    if not short.isEmpty():
-        hit = hit.unionByName(texts.join(small(short), F.col("body").contains(F.col("text"))).select("doc_id", "item_id", "text", "body"))
-    return hit.select("item_id", "doc_id", (F.instr("body", F.col("text")) - 1).alias("start"))
+    of_size = lambda m, first, last: F.when(last >= first, F.transform(F.sequence(first, last), lambda i: F.array_join(F.slice("p", i, m), " "))).otherwise(F.array().cast("array<string>"))
+    hits = []
+    if any(m > 0 for m in sizes):
+        own = small(ev.where("m > 0").select("item_id", "text", F.explode(of_size(F.col("m"), F.lit(2), F.size("p") - F.col("m"))).alias("g")))
+        every = F.flatten(F.array(*[of_size(F.lit(m), F.lit(1), F.size("p") - m + 1) for m in sizes if m > 0]))
+        grams = kept(docs.select("doc_id", p.alias("p"))).select("doc_id", F.explode(every).alias("g"))
+        found = grams.join(own.select("g").distinct(), "g", "left_semi").distinct()
+        held = own.join(found.groupBy("g").agg(F.count("*").alias("n")), "g", "left")
+        rarest = held.groupBy("item_id", "text").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "g")).alias("x")).where("x.n > 0").select("item_id", "text", "x.g")
+        pairs = found.join(F.broadcast(rarest) if few(ev) else rarest, "g").select("doc_id", "item_id", "text")
+        hits.append(pairs.join(texts, "doc_id").where(F.col("body").contains(F.col("text"))))
+    if any(m <= 0 for m in sizes):
+        hits.append(texts.join(small(ev.where("m <= 0").select("item_id", "text").distinct()), F.col("body").contains(F.col("text"))))
+    if not hits:
+        hits.append(texts.join(ev.select("item_id", "text"), F.lit(False)))
+    both = reduce(lambda x, y: x.unionByName(y), [h.select("item_id", "doc_id", "text", "body") for h in hits])
+    return both.select("item_id", "doc_id", (F.instr("body", F.col("text")) - 1).alias("start"))
 
 
 def coverage(evidence: DataFrame, chunks: DataFrame) -> DataFrame:
