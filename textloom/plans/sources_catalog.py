@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from dataclasses import replace
 from functools import reduce
 
@@ -13,22 +11,13 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators import chunking, evaluation, validation
 from ..sources import raw, tables
+from ..sources.tables import folder  # noqa: F401  others find it here too
 from ..streaming import stream
 from . import catalog, hierarchy, matrix
 from .catalog import EVIDENCE, PAIRS, TOKENS, docs, fixed_sql, query, read
 from .matrix import write_json
 
 
-def folder(spark: SparkSession) -> str:
-    """A new folder below the shared one (``spark.checkpoint.dir``); on one machine without the setting a local one."""
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        root = "file://" + tempfile.mkdtemp(prefix="textloom-")
-    return f"{root.rstrip('/')}/made-{uuid.uuid4().hex}"
-
-
 def put_lines(df: DataFrame, path: str, **options) -> str:
     """A row of ``df`` (one string column) to a line of text files."""
     df.write.options(**options).text(path)

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -91,10 +89,14 @@ def counts(events: DataFrame, width: str = "1 hour", late: str = "1 hour") -> Da
 
 
 def windowed_counts(spark: SparkSession, sf_dir: str, width: str = "1 hour") -> DataFrame:
-    """Hourly counts of ``events`` read as a stream, one trigger over what is there."""
+    """Hourly counts of ``events`` read as a stream, one trigger over what is there.
+
+    Each batch writes the counts that it changed to a table of its own number, so nothing is gathered at the driver and a
+    batch that comes again writes the same over; counts only grow, so a window's last count is its largest."""
+    at = tables.folder(spark)
     schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
-    source = spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parquet*")
-    name = f"counts_{uuid.uuid4().hex}"
-    q = counts(source, width).writeStream.format("memory").queryName(name).outputMode("complete").trigger(availableNow=True).start()
-    q.awaitTermination()
-    return spark.table(name)
+    made = counts(spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parquet*"), width)
+    keep = lambda batch, number: tables.write_table(batch, f"{at}/counts/batch={number}")
+    made.writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start().awaitTermination()
+    whole = spark.read.schema(made.schema).option("recursiveFileLookup", True).parquet(f"{at}/counts")
+    return whole.groupBy("window_start", "event_type").agg(F.max("n").alias("n"))
