@@ -139,3 +139,42 @@ def test_segments_once(spark):
     d = docs(spark, "A b c. D e. F! G h? I.")
     for chunks in (chunking.semantic_breakpoint(d), chunking.perplexity_chunks(d), chunking.pic_chunks(d)):
         assert chunks.agg(F.sum("token_count")).first()[0] == 9
+
+
+def test_pairs_and_small_linkage_without_a_shuffle(spark, monkeypatch):
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    for _ in range(60):  # few different values: ties
+        n, clusters = int(rng.integers(1, 14)), int(rng.integers(1, 5))
+        d = rng.integers(0, 5, (n, n)) / 4
+        d = np.triu(d, 1) + np.triu(d, 1).T
+        most = int(rng.integers(1, 7)) if rng.integers(2) else None
+        cut = 0.5 if rng.integers(2) else None
+        assert chunking.link_matrix(d, clusters, most, cut) == chunking.link(lambda ids, d=d: d[ids], n, clusters, most, cut)
+    docs = spark.createDataFrame([(1, "One two. Two three! ... One two? Four."), (2, "Alone."), (3, None), (4, " ".join(f"Word {i % 3} and {i}." for i in range(30)))], "doc_id long, text string")
+    monkeypatch.setattr(chunking, "PAIRS", 50)  # several batches a document
+    made = chunking.pairwise_distance(docs)
+    assert "Exchange hashpartitioning" not in made._jdf.queryExecution().executedPlan().toString()
+    got = {(r["doc_id"], r["i"], r["j"]): r["distance"] for r in made.collect()}
+    assert len(got) == 10 + 30 * 29 // 2
+    assert got[1, 0, 1] == 0.35 and got[1, 0, 3] == 0.3 and got[1, 0, 2] == 0.7  # the third has no word
+
+
+def test_linkage_of_ties_against_brute_force():
+    def brute(d, clusters):
+        most, groups = -(-len(d) // clusters), {i: [i] for i in range(len(d))}
+        while len(groups) > clusters:
+            best = min(((min(d[a][b] for a in groups[x] for b in groups[y]), x, y) for x in groups for y in groups if x < y and len(groups[x]) + len(groups[y]) <= most), default=None)
+            if best is None:
+                break
+            groups[best[1]] = sorted(groups[best[1]] + groups.pop(best[2]))
+        return [groups[k] for k in sorted(groups)]
+
+    rng = np.random.default_rng(4)
+    for _ in range(150):
+        n = int(rng.integers(8, 31))
+        d = rng.integers(0, 9, (n, n)) / 8
+        d = np.triu(d, 1) + np.triu(d, 1).T
+        want = brute(d, -(-n // 4))
+        assert chunking.link(lambda ids, d=d: d[ids], n, -(-n // 4)) == want and chunking.link_matrix(d, -(-n // 4)) == want

@@ -11,6 +11,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -268,28 +269,60 @@ def pic_chunks(docs: DataFrame, embed=None, summarise=None, most: int | None = N
     return by_boundaries(merge_and_cap(summary_similarity(docs, embed, summarise), 0, most), "pic")
 
 
-def hashed_segments(docs: DataFrame, dim: int) -> DataFrame:
-    """Segments with their sparse count vector over native hash buckets: a row per (doc, pos, bucket)."""
-    s = segments(docs)
-    return s.select("doc_id", "pos", F.explode(T.lexical_tokens(F.col("text"))).alias("t")).groupBy("doc_id", "pos", T.bucket(F.col("t"), dim).alias("b")).agg(F.count("*").alias("c"))
-
-
 #: Added before a distance is rounded to 6 places, so that what lies at a half but for the last bits is rounded up.
 TIE = 1e-10
 
 
 def pairwise_distance(docs: DataFrame, weight: float = 0.5, dim: int = 256) -> DataFrame:
-    """Of segments i < j of one document: weight * (j - i) / n + (1 - weight) * cosine distance, clipped to [0, 1]."""
-    v = hashed_segments(docs, dim)
-    norm = v.groupBy("doc_id", "pos").agg(F.sqrt(F.sum(F.col("c") * F.col("c"))).alias("norm"))
-    n = segments(docs).groupBy("doc_id").agg(F.count("*").alias("n"))
-    a, b = v.alias("a"), v.alias("b")
-    dots = a.join(b, (F.col("a.doc_id") == F.col("b.doc_id")) & (F.col("a.b") == F.col("b.b")) & (F.col("a.pos") < F.col("b.pos"))).groupBy(F.col("a.doc_id").alias("doc_id"), F.col("a.pos").alias("i"), F.col("b.pos").alias("j")).agg(F.sum(F.col("a.c") * F.col("b.c")).alias("dot"))
-    p = segments(docs).select("doc_id", F.col("pos").alias("i"))
-    pairs = p.join(p.withColumnRenamed("i", "j"), "doc_id").where("i < j")
-    full = pairs.join(n, "doc_id").join(dots, ["doc_id", "i", "j"], "left").join(norm.withColumnsRenamed({"pos": "i", "norm": "ni"}), ["doc_id", "i"], "left").join(norm.withColumnsRenamed({"pos": "j", "norm": "nj"}), ["doc_id", "j"], "left")
-    cos = F.coalesce(1 - F.coalesce("dot", F.lit(0)) / (F.col("ni") * F.col("nj")), F.lit(1.0))
-    return full.select("doc_id", "i", "j", F.round(weight * (F.col("j") - F.col("i")) / F.col("n") + (1 - weight) * F.greatest(F.lit(0.0), F.least(F.lit(1.0), cos)) + TIE, 6).alias("distance"))
+    """Of segments i < j of one document: weight * (j - i) / n + (1 - weight) * cosine distance, clipped to [0, 1].
+
+    A document is one row and gives its pairs itself, some segments against all at once: nothing but the pairs grows with their number."""
+    bagged = _bagged(docs, dim).select("doc_id", "buckets")
+
+    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            held, rows = [], 0
+            for doc, bags in zip(batch.column(0), batch.column(1), strict=True):
+                n, counts, norm = _counts(bags.values, dim)
+                at = np.arange(n)
+                step = max(1, PAIRS // max(n, 1))
+                for lo in range(0, n, step):
+                    ids = at[lo : lo + step]
+                    size = norm[ids][:, None] * norm
+                    cos = np.where(size > 0, 1 - (counts[ids] @ counts.T) / np.where(size > 0, size, 1), 1.0)
+                    far = weight * (at - ids[:, None]) / n + (1 - weight) * np.clip(cos, 0, 1) + TIE
+                    i, j = np.nonzero(at > ids[:, None])
+                    held.append((pa.repeat(doc, len(i)), ids[i].astype(np.int32), j.astype(np.int32), np.floor(far[i, j] * 1e6 + 0.5) / 1e6))
+                    rows += len(i)
+                    if rows > PAIRS:
+                        yield _pair_rows(held)
+                        held, rows = [], 0
+            if rows:
+                yield _pair_rows(held)
+
+    return bagged.mapInArrow(pairs, f"doc_id {bagged.schema['doc_id'].dataType.simpleString()}, i int, j int, distance double")
+
+
+#: So many pairs of segments a task holds at once.
+PAIRS = 500_000
+
+
+def _pair_rows(held: list) -> pa.RecordBatch:
+    doc, i, j, far = zip(*held, strict=True)
+    return pa.RecordBatch.from_arrays([pa.concat_arrays(doc), pa.array(np.concatenate(i)), pa.array(np.concatenate(j)), pa.array(np.concatenate(far))], names=["doc_id", "i", "j", "distance"])
+
+
+def _counts(bags: pa.ListArray, dim: int) -> tuple[int, np.ndarray, np.ndarray]:
+    """Of a document's bags: their number, their count vectors, and the norms of these."""
+    n = len(bags)
+    row = np.repeat(np.arange(n), bags.value_lengths().to_numpy(zero_copy_only=False))
+    counts = np.bincount(row * dim + bags.flatten().to_numpy(zero_copy_only=False), minlength=n * dim).reshape(n, dim).astype(float)
+    return n, counts, np.sqrt((counts * counts).sum(axis=1))
+
+
+def _bagged(docs: DataFrame, dim: int) -> DataFrame:
+    """Rows of ``segmented`` with buckets: the bag of each segment."""
+    return kept(segmented(docs)).withColumn("buckets", F.transform("sents", lambda x: F.transform(T.lexical_tokens(x), lambda t: T.bucket(t, dim))))
 
 
 def link(rows: Callable[[np.ndarray], np.ndarray], n: int, clusters: int, most: int | None = None, cut: float | None = None) -> list[list[int]]:
@@ -340,42 +373,74 @@ def link(rows: Callable[[np.ndarray], np.ndarray], n: int, clusters: int, most:
         d = look(i)
         # whoever had one of the two as partner has the group now, or must look again if they are too many
         sure[((partner == i) | (partner == j)) & np.isfinite(value)] = False
-        better = (d < value) | ((d == value) & ((i < partner) | ~sure))
+        # at the value of one that must look again there may be a partner that is less than this one
+        better = (d < value) | ((d == value) & sure & (i < partner))
         better &= np.isfinite(d)
         value[better], partner[better], sure[better] = d[better], i, True
         sure[i] = True
     return [groups[k] for k in sorted(groups)]
 
 
-def _linked(buckets: list, weight: float, per_cluster: int, dim: int) -> list[list[int]]:
+#: Units up to which all distances are held at once.
+MATRIX = 128
+
+
+def link_matrix(d: np.ndarray, clusters: int, most: int | None = None, cut: float | None = None) -> list[list[int]]:
+    """``link`` of few units by the matrix of all their distances: a merged group has the smaller distance of its two."""
+    n = len(d)
+    most = most or -(-n // max(clusters, 1))
+    d, size = np.array(d, dtype=float), np.ones(n, dtype=int)
+    groups = {i: [i] for i in range(n)}
+    np.fill_diagonal(d, np.inf)
+    if most < 2:
+        return [groups[i] for i in groups]
+    while len(groups) > clusters:
+        i, j = divmod(int(d.argmin()), n)  # the least members first; i < j, as distances are symmetric
+        if not np.isfinite(d[i, j]) or (cut is not None and d[i, j] > cut):
+            break
+        groups[i] = sorted(groups[i] + groups.pop(j))
+        size[i] += size[j]
+        near = np.minimum(d[i], d[j])
+        near[(size + size[i] > most) | (np.arange(n) == i) | (np.arange(n) == j)] = np.inf
+        d[i], d[:, i], d[j], d[:, j] = near, near, np.inf, np.inf
+    return [groups[k] for k in sorted(groups)]
+
+
+def _linked(bags: pa.ListArray, weight: float, per_cluster: int, dim: int) -> list[list[int]]:
     """Clusters of one document's segments by their bags: counts make exact products, so equal distances are equal."""
-    n = len(buckets)
-    counts = np.zeros((n, dim))
-    for i, bag in enumerate(buckets):
-        np.add.at(counts[i], np.asarray(bag, dtype=int), 1)
-    norm = np.maximum(np.sqrt((counts * counts).sum(axis=1)), 1e-12)
+    n, counts, norm = _counts(bags, dim)
+    norm = np.maximum(norm, 1e-12)
     at = np.arange(n)
 
     def rows(ids: np.ndarray) -> np.ndarray:
         cos = (counts[ids] @ counts.T) / (norm[ids][:, None] * norm)
         return weight * np.abs(ids[:, None] - at) / n + (1 - weight) * np.clip(1 - cos, 0, 1)
 
-    return link(rows, n, -(-n // per_cluster))
+    return link_matrix(rows(at), -(-n // per_cluster)) if n <= MATRIX else link(rows, n, -(-n // per_cluster))
 
 
 def single_linkage(docs: DataFrame, weight: float = 0.5, segments_per_cluster: int = 4, dim: int = 256) -> DataFrame:
     """Clusters of a document's segments, not always contiguous: doc_id, chunk_order, positions, text, token_count.
 
     A document is one row, so nothing is shuffled; its memory grows with its segments, not with their pairs."""
-
-    def cluster(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for doc, sents, sizes, buckets in zip(pdf["doc_id"], pdf["sents"], pdf["n"], pdf["buckets"], strict=True):
-                groups = _linked(list(buckets), weight, segments_per_cluster, dim)
-                yield pd.DataFrame({"doc_id": doc, "chunk_order": range(len(groups)), "positions": groups, "text": ["\n".join(sents[i] for i in g) for g in groups], "token_count": [int(sum(sizes[i] for i in g)) for g in groups]})
-
-    s = segmented(docs).select("doc_id", "sents", "n", F.transform("sents", lambda x: F.transform(T.lexical_tokens(x), lambda t: T.bucket(t, dim))).alias("buckets"))
-    return s.mapInPandas(cluster, f"doc_id {s.schema['doc_id'].dataType.simpleString()}, chunk_order int, positions array<int>, text string, token_count int")
+    s = _bagged(docs, dim).select("doc_id", "sents", "n", "buckets")
+    schema = f"doc_id {s.schema['doc_id'].dataType.simpleString()}, chunk_order int, positions array<int>, text string, token_count int"
+
+    def cluster(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                doc, order, places, texts, tokens = [], [], [], [], []
+                for key, sents, sizes, bags in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), part.column(2).to_pylist(), part.column(3), strict=True):
+                    groups = _linked(bags.values, weight, segments_per_cluster, dim)
+                    doc += [key] * len(groups)
+                    order += range(len(groups))
+                    places += groups
+                    texts += ["\n".join(sents[i] for i in g) for g in groups]
+                    tokens += [sum(sizes[i] for i in g) for g in groups]
+                yield pa.RecordBatch.from_arrays([pa.array(doc, part.schema.field(0).type), pa.array(order, pa.int32()), pa.array(places, pa.list_(pa.int32())), pa.array(texts, pa.string()), pa.array(tokens, pa.int32())], names=["doc_id", "chunk_order", "positions", "text", "token_count"])
+
+    return s.mapInArrow(cluster, schema)
 
 
 def late(docs: DataFrame, size: int, overlap: int = 0) -> DataFrame:
