@@ -90,6 +90,13 @@ def test_index_is_the_plain_search(spark, tmp_path):
     assert len(filters) >= 2 and all(re.search(rf"\(bucket#\d+ = {only}\)", f) for f in filters)
 
 
+def test_an_item_has_one_row_a_bucket(spark, tmp_path):
+    made = index.build(spark.createDataFrame([*ITEMS, ("f", "d4", "red red fish two birds one blue red")], "item_id string, document_id string, text string"), str(tmp_path), 2)
+    rows = made.bucketed("postings").where("item_id = 'f'").collect()
+    assert len(rows) == len({r["bucket"] for r in rows}) <= 2 and {r["dl"] for r in rows} == {8}
+    assert {t: n for r in rows for t, n in zip(r["ts"], r["tfs"], strict=True)} == {"red": 3, "fish": 1, "two": 1, "birds": 1, "one": 1, "blue": 1}
+
+
 def test_broken_index_is_refused(spark, tmp_path):
     items = spark.createDataFrame(ITEMS, "item_id string, document_id string, text string")
     made = index.build(items, str(tmp_path), 4)

@@ -1,6 +1,6 @@
 """A BM25 index on disk: postings bucketed by term, read by the buckets of a query's terms only.
 
-<folder>/bm25-<fingerprint of the items>/ holds ``postings`` and ``terms`` (Parquet, partitioned by bucket),
+<folder>/bm25-<fingerprint of the items>/ holds ``postings`` (a row per item and bucket) and ``terms`` (Parquet, partitioned by bucket),
 ``items``, and a manifest written last, with the number of rows of every bucket. An index is found again by its
 items' fingerprint; whatever does not agree with its manifest is refused. Scores are made at search, so one
 index serves all k1 and b.
@@ -8,8 +8,12 @@ index serves all k1 and b.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,7 +21,7 @@ from ..functions import text as T
 from ..operators import retrieval, validation
 from . import tables
 
-VERSION = 1
+VERSION = 2
 BUCKETS = 64
 
 
@@ -43,7 +47,7 @@ class Index:
         return self._table("items")
 
     def bucketed(self, name: str, buckets: list[int] | None = None) -> DataFrame:
-        """``postings`` (t, item_id, dl, tf and what items carry) or ``terms`` (t, df), of these buckets only."""
+        """``postings`` (item_id, dl, ts, tfs and what items carry) or ``terms`` (t, df), of these buckets only."""
         df = self._table(name)
         return df if buckets is None else df.where(F.col("bucket").isin(buckets))
 
@@ -53,8 +57,21 @@ class Index:
         vocabulary = q.select("t").distinct()
         # at most as many numbers as the index has buckets
         held = sorted(r[0] for r in vocabulary.select(_bucket(self.manifest["buckets"]).alias("bucket")).distinct().collect())
-        post = self.bucketed("postings", held).join(vocabulary, "t", "left_semi").drop("bucket")
-        df = self.bucketed("terms", held).join(vocabulary, "t", "left_semi").select("t", "df")
+        rows = self.bucketed("postings", held).drop("bucket")
+        if within is not None:  # postings of other documents are left out before they are unpacked
+            rows = rows.join(retrieval.of_queries(queries, within.select("document_id").distinct()), "document_id", "left_semi")
+        few = retrieval.few(q)
+        df = self.bucketed("terms", held).join(F.broadcast(vocabulary) if few else vocabulary, "t", "left_semi").select("t", "df")
+        carry = [c for c in rows.columns if c not in ("ts", "tfs")]
+        post = rows.select(*carry, F.explode(F.arrays_zip("ts", "tfs")).alias("x")).select(*carry, F.col("x.ts").alias("t"), F.col("x.tfs").alias("tf"))
+        post = post.join(F.broadcast(df.select("t")) if few else vocabulary, "t", "left_semi")
+        if few and within is None:
+            asked = retrieval.Asked(q, b, k1, k)
+            said = {r["t"]: r["df"] for r in df.collect()}  # a row a query term
+            asked.known(self.manifest["n"], float(self.manifest["avgdl"] or 0), np.array([said.get(t, 0) for t in asked.terms], float))
+            own = post.repartition("item_id").groupBy("item_id", "dl").agg(F.collect_list(F.struct("t", "tf")).alias("x"))  # at most the query terms
+            best = asked.best(own.select("item_id", "dl", F.col("x.t").alias("ts"), F.col("x.tf").alias("tfs")))
+            return retrieval.filled_up(queries, best, self.items(), k, asked.lacking(queries))
         stats = (F.lit(self.manifest["n"]), F.lit(self.manifest["avgdl"]).cast("double"))
         return retrieval.bm25_of(queries, q, post, df, stats, self.items(), k, k1, b, within)
 
@@ -63,6 +80,33 @@ def fingerprint(items: DataFrame) -> str:
     return tables.fingerprint(items, tuple(c for c in ("item_id", "document_id", "text") if c in items.columns), "bm25", VERSION)
 
 
+def _packed(toks: DataFrame, carry: list[str]) -> DataFrame:
+    """Rows (bucket, item_id, what items carry, dl, ts, tfs) of texts (item_id, ts, and bs, each term's bucket): an item's different terms in a bucket, and their counts."""
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in (p for batch in batches for p in retrieval.parts(batch, 0)):
+            words = part.column(0).flatten().dictionary_encode()
+            code, n = words.indices.to_numpy().astype(np.int64), len(words.dictionary)
+            if not n:
+                continue
+            bucket = np.zeros(n, np.int32)
+            bucket[code] = part.column(1).flatten().to_numpy()
+            length = pc.list_value_length(part.column(0)).to_numpy()
+            key, tf = np.unique(np.repeat(np.arange(part.num_rows), length) * n + code, return_counts=True)
+            row, code = key // n, key % n
+            order = np.lexsort((row, bucket[code]))
+            row, code, tf = row[order], code[order], tf[order]
+            first = np.flatnonzero(np.concatenate([[True], (np.diff(row) != 0) | (np.diff(bucket[code]) != 0)]))
+            ends = pa.array(np.append(first, len(row)).astype(np.int32))
+            of = pa.array(row[first])
+            cells = [pa.array(bucket[code[first]]), pa.array(length[row[first]].astype(np.int32)), pa.ListArray.from_arrays(ends, words.dictionary.take(pa.array(code))), pa.ListArray.from_arrays(ends, pa.array(tf.astype(np.int32)))]
+            yield pa.RecordBatch.from_arrays([*cells, *[part.column(2 + i).take(of) for i in range(1 + len(carry))]], names=["bucket", "dl", "ts", "tfs", "item_id", *carry])
+
+    kept = "".join(f", {c} string" for c in ("item_id", *carry))
+    cast = [F.col(c).cast("string").alias(c) for c in ("item_id", *carry)]
+    return toks.select("ts", "bs", *cast).mapInArrow(pack, "bucket int, dl int, ts array<string>, tfs array<int>" + kept)
+
+
 def build(items: DataFrame, folder: str, buckets: int = BUCKETS, rebuild: bool = False) -> Index:
     """The index of ``items`` (item_id, text; document_id if passages are to be restricted) below ``folder``: opened if it is there, else written."""
     spark, path = items.sparkSession, f"{folder.rstrip('/')}/bm25-{fingerprint(items)}"
@@ -74,11 +118,11 @@ def build(items: DataFrame, folder: str, buckets: int = BUCKETS, rebuild: bool =
     carry = [c for c in ("document_id",) if c in items.columns]
     toks = items.select("item_id", *carry, T.terms(T.text_of()).alias("ts"))
     tables.write_table(toks.select("item_id", *carry, F.size("ts").alias("dl")), f"{path}/items")
-    post = toks.select("item_id", *carry, F.size("ts").alias("dl"), F.explode("ts").alias("t")).groupBy("t", "item_id", *carry, "dl").agg(F.count("*").alias("tf")).withColumn("bucket", _bucket(buckets))
-    # a term of all items makes its bucket large: such buckets are written in several files
-    tables.write_table(post.hint("rebalance", "bucket").sortWithinPartitions("bucket", "t", "item_id"), f"{path}/postings", by=("bucket",))
+    # each task writes its items' postings by bucket: no posting is shuffled, and a term of all items is in many files
+    post = _packed(toks.withColumn("bs", F.transform("ts", lambda t: F.pmod(F.xxhash64(t), F.lit(buckets)).cast("int"))), carry)
+    tables.write_table(post, f"{path}/postings", by=("bucket",))
     made = spark.read.parquet(f"{path}/postings")
-    tables.write_table(made.groupBy("bucket", "t").agg(F.count("*").alias("df")).hint("rebalance", "bucket"), f"{path}/terms", by=("bucket",))
+    tables.write_table(made.select("bucket", F.explode("ts").alias("t")).groupBy("bucket", "t").agg(F.count("*").alias("df")).hint("rebalance", "bucket"), f"{path}/terms", by=("bucket",))
     n, avgdl = spark.read.parquet(f"{path}/items").agg(F.count("*"), F.avg("dl")).head()
     said = {"version": VERSION, "buckets": buckets, "n": n, "avgdl": avgdl, "postings": _counts(made), "terms": _counts(spark.read.parquet(f"{path}/terms"))}
     tables.write_json(spark, f"{path}/manifest.json", said)
