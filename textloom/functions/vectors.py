@@ -3,14 +3,14 @@
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+import re
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, IntegerType
 
@@ -35,19 +35,58 @@ def hashing(items: DataFrame, dim: int = 256) -> DataFrame:
     return toks.join(token_hashes(toks), "t").groupBy("item_id", F.pmod("low", F.lit(dim)).cast("int").alias("bucket")).agg(F.sum("c").alias("count"))
 
 
-def native_hashes(tokens: DataFrame) -> DataFrame:
-    """(t, low, negative) of each different token by the engine's own md5: the twin that SQL can follow."""
-    return tokens.select("t").distinct().select("t", F.conv(F.substring(F.md5("t"), 1, 15), 16, 10).cast("bigint").alias("low"), (F.substring(F.md5("t"), 16, 1) >= "8").alias("negative"))
+#: So many tokens' hashes a task keeps, and so many pooled rows it holds at once.
+KEPT, ROWS = 1_000_000, 500_000
+
+
+def coded(token: str, native: bool = False) -> int:
+    """Twice the hash of a token (blake2b, or the engine's own md5), and one more if its sign is negative."""
+    if native:
+        made = hashlib.md5(token.encode()).hexdigest()
+        return 2 * int(made[:15], 16) + (made[15] >= "8")
+    low = int.from_bytes(hashlib.blake2b(token.encode(), digest_size=8).digest()[:4], "little")
+    return 2 * low + ((low >> 8) & 1 == 0)
+
+
+def coder(native: bool = False) -> Callable[[list[str]], np.ndarray]:
+    """``coded`` of lists of tokens, each different one hashed once while it is kept."""
+    known: dict[str, int] = {}
+
+    def of(tokens: list[str]) -> np.ndarray:
+        if len(known) > KEPT:
+            known.clear()
+        for t in set(tokens).difference(known):
+            known[t] = coded(t, native)
+        return np.fromiter(map(known.__getitem__, tokens), np.int64, len(tokens))
+
+    return of
+
+
+def signed_vectors(items: DataFrame, dim: int = 512, native: bool = False) -> DataFrame:
+    """Terms with a sign from the hash, unit length: item_id, vector. An item is one row and makes its vector itself: nothing is shuffled."""
+    from ..operators.retrieval import AT_ONCE, parts
+
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codes = coder(native)
+        for part in (p for batch in batches for p in parts(batch, 1, AT_ONCE)):
+            for at in range(0, part.num_rows, max(1, AT_ONCE // dim)):
+                own = part.slice(at, max(1, AT_ONCE // dim))
+                n, lists = own.num_rows, own.column(1)
+                words = lists.flatten().dictionary_encode()
+                code = codes(words.dictionary.to_pylist())[words.indices.to_numpy()]
+                row = np.repeat(np.arange(n), lists.value_lengths().to_numpy(zero_copy_only=False))
+                out = np.bincount(row * dim + (code >> 1) % dim, weights=1.0 - 2 * (code & 1), minlength=n * dim).astype(float).reshape(n, dim)
+                out /= np.maximum(np.sqrt((out * out).sum(axis=1, keepdims=True)), 1e-12)
+                offsets = pa.array(np.arange(0, out.size + 1, dim, dtype=np.int32))
+                yield pa.RecordBatch.from_arrays([own.column(0), pa.ListArray.from_arrays(offsets, pa.array(out.ravel()))], names=["item_id", "vector"])
+
+    cut = items.select(F.col("item_id").cast("string").alias("item_id"), T.terms(T.text_of()).alias("ts"))
+    return cut.mapInArrow(make, "item_id string, vector array<double>")
 
 
 def signed_hashing(items: DataFrame, dim: int = 512, native: bool = False) -> DataFrame:
-    """Terms with a sign from the hash, unit length: item_id, bucket, weight. Zero vectors have no rows."""
-    toks = items.select("item_id", F.explode(T.terms(T.text_of())).alias("t")).groupBy("item_id", "t").agg(F.count("*").alias("c"))
-    hashes = native_hashes(toks) if native else token_hashes(toks).withColumn("negative", F.shiftright("low", 8).bitwiseAND(F.lit(1)) == 0)
-    sign = F.when(F.col("negative"), -1).otherwise(1)
-    v = toks.join(hashes, "t").groupBy("item_id", F.pmod("low", F.lit(dim)).cast("int").alias("bucket")).agg(F.sum(F.col("c") * sign).alias("w")).where("w <> 0")
-    norm = v.groupBy("item_id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    return v.join(norm, "item_id").select("item_id", "bucket", (F.col("w") / F.col("norm")).alias("weight"))
+    """Rows of ``signed_vectors`` that are not zero: item_id, bucket, weight."""
+    return signed_vectors(items, dim, native).select("item_id", F.posexplode("vector").alias("bucket", "weight")).where("weight <> 0")
 
 
 def filled(items: DataFrame, sparse: DataFrame, dim: int, weight: str = "weight") -> DataFrame:
@@ -76,25 +115,51 @@ def late_pooling(docs: DataFrame, chunks: DataFrame, dim: int = 256, limit: int
     a token inside is refused."""
     if policy not in ("error", "truncate", "window"):
         raise ValueError(f"unknown policy for long documents {policy!r}")
-    hashes = native_hashes if native else token_hashes
-    bucket = F.pmod("low", F.lit(dim)).cast("int").alias("bucket")
-    whole = docs.select("doc_id", F.lower(T.text_of()).alias("t"))
-    pieces = docs.select("doc_id", F.posexplode(T.pieces(T.text_of())).alias("pos", "piece"))
-    upto = F.sum(F.length("piece")).over(W.partitionBy("doc_id").orderBy("pos"))
-    toks = pieces.select("doc_id", "pos", upto.alias("t_end"), F.lower(T.lstrip(F.col("piece"))).alias("t")).withColumn("t_start", F.col("t_end") - F.length("t"))
-    if policy == "error":
-        toks = toks.withColumn("pos", F.when(F.col("pos") < limit, F.col("pos")).otherwise(F.raise_error(F.concat(F.lit(f"over {limit} tokens: document "), F.col("doc_id").cast("string")))))
-    if policy != "window":
-        toks = toks.where(F.col("pos") < limit)
-    inside = toks.join(chunks.select("doc_id", "chunk_id", "start", "end"), "doc_id").where("t_start >= start AND t_end <= end")
-    counts = inside.groupBy("doc_id", "chunk_id", "t").agg(F.count("*").alias("c"))
-    total = counts.groupBy(F.col("chunk_id").alias("item_id")).agg(F.sum("c").alias("n"))
-    all_chunks = chunks.select(F.col("chunk_id").alias("item_id"), "doc_id").join(total, "item_id", "left")
-    all_chunks = all_chunks.select("item_id", "doc_id", F.when(F.col("n").isNull(), F.raise_error(F.concat(F.lit("no token inside chunk "), F.col("item_id"))).cast("long")).otherwise(F.col("n")).alias("n"))
-    own = counts.join(hashes(counts), "t").select(F.col("chunk_id").alias("item_id"), bucket, F.col("c").cast("double").alias("w"))
-    ctx = all_chunks.join(whole.join(hashes(whole), "t").select("doc_id", bucket), "doc_id").select("item_id", "bucket", F.col("n").cast("double").alias("w"))
-    both = own.unionByName(ctx).groupBy("item_id", "bucket").agg(F.sum("w").alias("w")).join(all_chunks.select("item_id", "n"), "item_id")
-    return both.select("item_id", "bucket", F.round(F.col("w") / F.col("n"), 9).alias("weight"))
+    whole = docs.select("doc_id", T.text_of().alias("text"), F.lower(T.text_of()).alias("low"))
+    spans = chunks.groupBy("doc_id").agg(F.collect_list(F.struct(F.col("chunk_id").cast("string").alias("id"), F.col("start").cast("int").alias("start"), F.col("end").cast("int").alias("end"))).alias("spans"))
+    both = whole.join(spans, "doc_id", "full").select(F.col("doc_id").cast("string"), "text", "low", "spans")  # texts meet their spans once, tokens meet chunks in the row
+
+    def pool(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codes, token = coder(native), re.compile(T.TOKEN)
+        held, rows = [], 0
+        for batch in batches:
+            for doc, text, low, own in zip(*(batch.column(i) for i in range(4)), strict=True):
+                doc, text, low = doc.as_py(), text.as_py() or "", low.as_py() or ""
+                places = np.array([m.span() for m in token.finditer(text)], np.int64).reshape(-1, 2)
+                if policy == "error" and len(places) > limit:
+                    raise ValueError(f"over {limit} tokens: document {doc}")
+                if not own.is_valid:
+                    continue
+                places = places if policy == "window" else places[:limit]
+                bucket = (codes(token.findall(low)[: len(places)]) >> 1) % dim
+                ids, start, end = (own.values.field(i) for i in range(3))
+                # a chunk's tokens follow each other
+                first = np.searchsorted(places[:, 0], start.to_numpy())
+                n = np.searchsorted(places[:, 1], end.to_numpy(), "right") - first
+                if (n <= 0).any():
+                    raise ValueError(f"no token inside chunk {ids[int(np.argmin(n))].as_py()}")
+                step = max(1, ROWS // dim)
+                for at in range(0, len(ids), step):
+                    size = n[at : at + step]
+                    of = np.repeat(np.arange(len(size)), size)
+                    tok = np.repeat(first[at : at + step] - np.cumsum(size) + size, size) + np.arange(size.sum())
+                    w = np.bincount(of * dim + bucket[tok], minlength=len(size) * dim)
+                    w[np.arange(len(size)) * dim + (coded(low, native) >> 1) % dim] += size
+                    cell = np.flatnonzero(w)
+                    held.append((ids.take(pa.array(at + cell // dim)), (cell % dim).astype(np.int32), w[cell].astype(float), size[cell // dim].astype(float)))
+                    rows += len(cell)
+                    if rows > ROWS:
+                        yield _weights(held)
+                        held, rows = [], 0
+        if held:
+            yield _weights(held)
+
+    return both.mapInArrow(pool, "item_id string, bucket int, w double, n double").select("item_id", "bucket", F.round(F.col("w") / F.col("n"), 9).alias("weight"))
+
+
+def _weights(held: list) -> pa.RecordBatch:
+    ids, bucket, w, n = zip(*held, strict=True)
+    return pa.RecordBatch.from_arrays([pa.concat_arrays(ids), *(pa.array(np.concatenate(x)) for x in (bucket, w, n))], names=["item_id", "bucket", "w", "n"])
 
 
 def late_dense(docs: DataFrame, chunks: DataFrame, dim: int = 256, limit: int = 8192, policy: str = "error", normalise: bool = True) -> DataFrame:

@@ -7,6 +7,7 @@ the documents' own pieces, gaps between segments included.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -30,18 +31,59 @@ def fixed(docs: DataFrame, size: int, overlap: int = 0, method: str = "fixed", s
     With ``spans`` also where they stand in the text: start, end (code points, end exclusive)."""
     if not 0 <= overlap < size:
         raise ValueError("overlap must be at least 0 and less than the size")
+    if spans:
+        return _finish(_windows(docs, size, overlap), method, "start", "end")
     p = kept(docs.select("doc_id", T.pieces(T.text_of()).alias("p"))).where(F.size("p") > 0)
     starts = F.sequence(F.lit(0), F.greatest(F.size("p") - overlap - 1, F.lit(0)), F.lit(size - overlap))
     raw = p.select("doc_id", "p", F.transform(starts, lambda s: F.struct(F.array_join(F.slice("p", s + 1, size), "").alias("raw"), F.least(F.lit(size), F.size("p") - s).alias("n"))).alias("ws"))
-    if not spans:
-        w = kept(raw).select("doc_id", F.posexplode("ws").alias("chunk_order", "w"))
-        return _finish(w.select("doc_id", "chunk_order", T.lstrip(F.col("w.raw")).alias("text"), F.col("w.n").alias("token_count")), method)
-    raw = kept(raw.withColumn("steps", F.transform(starts, lambda s: F.length(F.array_join(F.slice("p", s + 1, size - overlap), "")))))
-    before = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("all"))
-    offs = F.aggregate("steps", before, lambda a, n: F.struct((a["at"] + n).alias("at"), F.concat(a["all"], F.array(a["at"])).alias("all")), lambda a: a["all"])
-    w = kept(raw.withColumn("offs", offs)).select("doc_id", F.posexplode(F.zip_with("ws", "offs", lambda w, o: F.struct(w["raw"].alias("raw"), w["n"].alias("n"), o.alias("o")))).alias("chunk_order", "w"))
-    w = w.withColumn("text", T.lstrip(F.col("w.raw"))).withColumn("end", F.col("w.o") + F.length("w.raw")).withColumn("start", F.col("end") - F.length("text"))
-    return _finish(w.withColumn("token_count", F.col("w.n")), method, "start", "end")
+    w = kept(raw).select("doc_id", F.posexplode("ws").alias("chunk_order", "w"))
+    return _finish(w.select("doc_id", "chunk_order", T.lstrip(F.col("w.raw")).alias("text"), F.col("w.n").alias("token_count")), method)
+
+
+def places(text: str) -> np.ndarray:
+    """(start, end) of the white-space tokens of a text."""
+    return np.array([m.span() for m in re.finditer(T.TOKEN, text)], np.int64).reshape(-1, 2)
+
+
+def window_places(at: np.ndarray, size: int, overlap: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts, ends and numbers of tokens of windows over tokens that stand at ``at``."""
+    if not len(at):
+        return (np.zeros(0, np.int64),) * 3
+    first = np.arange(0, max(len(at) - overlap - 1, 0) + 1, size - overlap)
+    n = np.minimum(size, len(at) - first)
+    return at[first, 0], at[first + n - 1, 1], n
+
+
+#: So many characters of windows a task holds at once.
+CHARS = 4_000_000
+
+
+def _windows(docs: DataFrame, size: int, overlap: int) -> DataFrame:
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            held, rows, chars = [], [], 0
+            for i, text in enumerate(batch.column(1)):
+                text = text.as_py()
+                start, end, n = window_places(places(text), size, overlap)
+                for at in range(0, len(start), 1024):
+                    part = slice(at, at + 1024)
+                    held.append((np.arange(at, at + len(start[part])), n[part], start[part], end[part]))
+                    texts = [text[x:y] for x, y in zip(start[part].tolist(), end[part].tolist(), strict=True)]
+                    rows.append((i, texts))
+                    chars += sum(map(len, texts))
+                    if chars > CHARS:
+                        yield made(batch, rows, held)
+                        held, rows, chars = [], [], 0
+            if held:
+                yield made(batch, rows, held)
+
+    def made(batch: pa.RecordBatch, rows: list, held: list) -> pa.RecordBatch:
+        order, n, start, end = (pa.array(np.concatenate(x).astype(np.int32)) for x in zip(*held, strict=True))
+        of = pa.array(np.repeat([i for i, _ in rows], [len(t) for _, t in rows]))
+        return pa.RecordBatch.from_arrays([batch.column(0).take(of), order, pa.array([t for _, texts in rows for t in texts], pa.string()), n, start, end], names=["doc_id", "chunk_order", "text", "token_count", "start", "end"])
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return docs.select("doc_id", T.text_of().alias("text")).mapInArrow(cut, f"doc_id {kind}, chunk_order int, text string, token_count int, start int, end int")
 
 
 def kept(df: DataFrame) -> DataFrame:

@@ -48,7 +48,7 @@ def pairs_of_methods() -> dict[str, tuple[str, str]]:
 
 
 #: Encoders of the dense methods by name: (items with item_id and text, configuration) to item_id, vector. A model adds itself here.
-ENCODERS: dict[str, Callable[[DataFrame, Config], DataFrame]] = {"hashing": lambda items, c: vectors.filled(items, vectors.signed_hashing(items, c.dim, c.native_hash), c.dim)}
+ENCODERS: dict[str, Callable[[DataFrame, Config], DataFrame]] = {"hashing": lambda items, c: vectors.signed_vectors(items, c.dim, c.native_hash)}
 
 
 @dataclass(frozen=True)
