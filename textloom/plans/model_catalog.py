@@ -55,7 +55,7 @@ CACHE_DIM = 64
 def cached_embeddings(spark, sf):
     """All documents embedded by way of the cache, twice: each different text is embedded once, and none again."""
     at, items = folder(spark), _doc_items(spark, sf)
-    embed = lambda x: vectors.filled(x, vectors.signed_hashing(x, CACHE_DIM, True), CACHE_DIM)
+    embed = lambda x: vectors.signed_vectors(x, CACHE_DIM, True)
     _, first = index.cached_vectors(items, at, "signed", embed)
     got, again = index.cached_vectors(items, at, "signed", embed)
     moment = F.aggregate(F.transform("vector", lambda x, i: x * (i + 1)), F.lit(0.0), lambda s, x: s + x)
