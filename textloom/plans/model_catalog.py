@@ -24,7 +24,7 @@ STATE_SQL = f"""pc AS (SELECT doc_id, regexp_extract_all(text, '{T.PIECE}') AS p
 def contextual_pooling(spark, sf):
     """Chunks of 128 tokens pooled from states that an encoder made of windows of 200 tokens, 40 of them shared."""
     d = docs(spark, sf)
-    made = contextual.pooled(contextual.states(d, contextual.hash_encoder(DIM), LIMIT, SHARED, "window"), chunking.late(d, SIZE))
+    made = contextual.pooled_states(d, chunking.late(d, SIZE), contextual.hash_encoder(DIM), LIMIT, SHARED, "window")
     return made.select("item_id", F.posexplode("vector").alias("bucket", "weight")).where("weight > 0").withColumn("weight", F.round(F.round("weight", 9), 6))
 
 
