@@ -109,3 +109,20 @@ def test_graded_by_label_makes_no_judgements(spark):
     qrels = items.where(asked).select(F.col("item_id").alias("query_id"), "label").join(items, "label").where("query_id <> item_id").select("query_id", "item_id", F.lit(1.0).alias("relevance"))
     for k in (1, 2, 10):
         assert sorted(evaluation.graded_by_label(items, ranks, k, asked).collect()) == sorted(evaluation.graded(qrels, ranks, k).collect())
+
+
+def test_binary_cosine_shuffles_no_terms(spark):
+    """Ties by id, queries and items without a term, blocks of one item; the same by the join of more query terms."""
+    queries = spark.createDataFrame([("a", "eins zwei zwei drei"), ("b", "!"), ("c", "vier")], "query_id string, text string")
+    texts = ["eins zwei", "zwei eins", "", None, "vier vier eins", "sechs"] + ["drei sieben acht"] * 20
+    items = spark.createDataFrame([(f"d{i:02}", t) for i, t in enumerate(texts)], "item_id string, text string").repartition(3)
+    want = [("a", "d00", 0.816496581, 1), ("a", "d01", 0.816496581, 2), ("a", "d04", 0.40824829, 3), ("c", "d04", 0.707106781, 1)]
+    for most, rows in ((retrieval.AT_ONCE, retrieval.BROADCAST_ROWS), (1, retrieval.BROADCAST_ROWS), (1, 0)):
+        was = retrieval.AT_ONCE, retrieval.few.__defaults__
+        retrieval.AT_ONCE, retrieval.few.__defaults__ = most, (rows,)
+        try:
+            got = retrieval.binary_cosine(queries, items, 3)
+            assert sorted(tuple(r) for r in got.select("query_id", "item_id", "score", "rank").collect()) == want
+            assert ("Join" in got._jdf.queryExecution().optimizedPlan().toString()) == (rows == 0)
+        finally:
+            retrieval.AT_ONCE, retrieval.few.__defaults__ = was

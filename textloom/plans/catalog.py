@@ -314,13 +314,8 @@ FUSE = f"""WITH {bm25_sql(DOC_ITEMS, 10, 'sp')},
 
 
 def _dense(spark, sf, k: int = 10) -> DataFrame:
-    """Cosine of binary term vectors, by a join on shared terms: a dense stand-in that SQL can follow."""
-    q = _queries(spark, sf).select("query_id", F.array_distinct(T.terms(F.col("text"))).alias("ts"))
-    d = _doc_items(spark, sf).select("item_id", F.array_distinct(T.terms(F.col("text"))).alias("ts"))
-    qt = retrieval.small(q.select("query_id", F.size("ts").alias("qn"), F.explode("ts").alias("t")))
-    dt = d.select("item_id", F.size("ts").alias("dn"), F.explode("ts").alias("t"))
-    s = dt.join(qt, "t").groupBy("query_id", "item_id", "qn", "dn").agg(F.count("*").alias("c"))
-    return retrieval.ranked(s.select("query_id", "item_id", F.round(F.col("c") / F.sqrt(F.greatest(F.col("qn"), F.lit(1)) * F.greatest(F.col("dn"), F.lit(1))), 9).alias("score")), k)
+    """Cosine of binary term vectors: a dense stand-in that SQL can follow."""
+    return retrieval.binary_cosine(_queries(spark, sf), _doc_items(spark, sf), k)
 
 
 @query(FUSE + """, f AS (SELECT query_id, item_id, sp.rank AS sparse_rank, de.rank AS dense_rank, round(coalesce(1 / (60 + sp.rank), 0) + coalesce(1 / (60 + de.rank), 0), 9) AS score FROM sp FULL JOIN de USING (query_id, item_id))
