@@ -1,5 +1,7 @@
 import math
 
+from pyspark.sql import functions as F
+
 from textloom.operators import evaluation, retrieval
 
 
@@ -126,3 +128,28 @@ def test_binary_cosine_shuffles_no_terms(spark):
             assert ("Join" in got._jdf.queryExecution().optimizedPlan().toString()) == (rows == 0)
         finally:
             retrieval.AT_ONCE, retrieval.few.__defaults__ = was
+
+
+def _counting(spark, df, column):
+    """``df`` whose ``column`` counts how many of its rows were made."""
+    n = spark.sparkContext.accumulator(0)
+
+    def passed(x):
+        n.add(1)
+        return x
+
+    return df.withColumn(column, F.udf(passed, df.schema[column].dataType).asNondeterministic()(column)), n
+
+
+def test_metrics_make_hits_once_and_evidence_is_looked_for_in_two_passes(spark):
+    d, n = _counting(spark, spark.createDataFrame([(1, "zz one two three four five yy"), (2, "one two three"), (3, "none of it")], "doc_id long, text string"), "text")
+    ev = spark.createDataFrame([(7, "one two three four five")], "item_id long, text string")
+    assert [tuple(r) for r in evaluation.containing(ev, d).collect()] == [(7, 1, 3)]
+    assert n.value <= 2 * 3  # cut into runs of words, then compared
+    hits = spark.createDataFrame([("q", "a:fixed:0", 1, 1, 3, ["x", "y"]), ("q", "a:fixed:1", 1, 2, 3, ["y"])], "query_id string, chunk_id string, doc_id long, rank int, token_count int, tokens array<string>")
+    hits, n = _counting(spark, hits, "chunk_id")
+    cover = spark.createDataFrame([("q", "e", "a:fixed:0", 2, [0, 1])], "query_id string, evidence_id string, chunk_id string, ev_count int, covered array<int>")
+    e = spark.createDataFrame([("q", "e", 2)], "query_id string, evidence_id string, ev_count int")
+    got = evaluation.metrics(e.select("query_id"), e, spark.createDataFrame([("q", 1)], "query_id string, doc_id long"), hits, cover).head()
+    assert (got["hit_3"], got["mrr_3"], got["redundancy_3"]) == (1.0, 1.0, 0.5)
+    assert n.value == 2

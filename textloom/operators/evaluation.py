@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..sources.tables import settled
 from .chunking import kept
 from .retrieval import few, small
 
@@ -33,11 +34,12 @@ def containing(evidence: DataFrame, docs: DataFrame) -> DataFrame:
         own = small(ev.where("m > 0").select("item_id", "text", F.explode(of_size(F.col("m"), F.lit(2), F.size("p") - F.col("m"))).alias("g")))
         every = F.flatten(F.array(*[of_size(F.lit(m), F.lit(1), F.size("p") - m + 1) for m in sizes if m > 0]))
         grams = kept(docs.select("doc_id", p.alias("p"))).select("doc_id", F.explode(every).alias("g"))
-        found = grams.join(own.select("g").distinct(), "g", "left_semi").distinct()
+        # documents are cut once: what is found is counted and then read again
+        found = settled(grams.join(small(own.select("g").distinct()), "g", "left_semi").distinct())
         held = own.join(found.groupBy("g").agg(F.count("*").alias("n")), "g", "left")
         rarest = held.groupBy("item_id", "text").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "g")).alias("x")).where("x.n > 0").select("item_id", "text", "x.g")
         pairs = found.join(F.broadcast(rarest) if few(ev) else rarest, "g").select("doc_id", "item_id", "text")
-        hits.append(pairs.join(texts, "doc_id").where(F.col("body").contains(F.col("text"))))
+        hits.append(texts.join(small(pairs), "doc_id").where(F.col("body").contains(F.col("text"))))
     if any(m <= 0 for m in sizes):
         hits.append(texts.join(small(ev.where("m <= 0").select("item_id", "text").distinct()), F.col("body").contains(F.col("text"))))
     if not hits:
@@ -66,10 +68,12 @@ def metrics(queries: DataFrame, evidence: DataFrame, relevant: DataFrame, hits:
     """One row of all ranked and budget metrics.
 
     queries (query_id); evidence (query_id, evidence_id, ev_count); relevant (query_id, doc_id);
-    hits (query_id, chunk_id, doc_id, rank, token_count, tokens); cover as of ``coverage``."""
+    hits (query_id, chunk_id, doc_id, rank, token_count, tokens); cover as of ``coverage``. Hits and what they cover
+    are written once, as each metric reads them anew."""
     most = max(ks)
+    hits = settled(hits.select("query_id", "chunk_id", "doc_id", "rank", "token_count", "tokens"))
     n = queries.agg(F.count("*").alias("n_queries"))
-    found = hits.join(cover.select("query_id", "chunk_id", "evidence_id", "ev_count", "covered"), ["query_id", "chunk_id"])
+    found = settled(hits.join(cover.select("query_id", "chunk_id", "evidence_id", "ev_count", "covered"), ["query_id", "chunk_id"]))
     in_budget = within_budget(hits, budget, True).select("query_id", "chunk_id", F.lit(True).alias("fits"))
     tokens = found.join(in_budget, ["query_id", "chunk_id"], "left").select("query_id", "evidence_id", "ev_count", "rank", "fits", F.explode("covered").alias("tok"))
     # a token is covered at k if the best rank that covers it is at most k: all k in one pass

@@ -225,10 +225,12 @@ def weighted_two_stage(spark, sf):
 
 
 def _hits(spark, sf, k: int = 10) -> DataFrame:
-    chunks = chunking.fixed(docs(spark, sf), 256)
-    q = _queries(spark, sf)
-    h = retrieval.bm25(q, chunks.select(F.col("chunk_id").alias("item_id"), "text"), k).withColumnRenamed("item_id", "chunk_id")
-    own = chunking.kept(chunks.join(retrieval.of_queries(q, h), "chunk_id"))  # chunks of hits alone are cut into tokens
+    d, q = docs(spark, sf), _queries(spark, sf)
+    h = tables.settled(retrieval.bm25(q, chunking.fixed(d, 256).select(F.col("chunk_id").alias("item_id"), "text"), k).withColumnRenamed("item_id", "chunk_id"))
+    # documents of hits alone are cut again, and their chunks of hits alone into tokens
+    held = h.select(F.split_part("chunk_id", F.lit(":"), F.lit(1)).cast("long").alias("doc_id")).distinct()
+    chunks = chunking.fixed(d.join(retrieval.of_queries(q, held), "doc_id", "left_semi"), 256)
+    own = chunking.kept(chunks.join(retrieval.of_queries(q, h), "chunk_id"))
     return own.select("query_id", "chunk_id", "score", "rank", "doc_id", "token_count", F.array_distinct(T.lexical_tokens(F.col("text"))).alias("tokens"))
 
 
@@ -275,8 +277,9 @@ def _metrics_sql() -> str:
 
 @query(_metrics_sql())
 def metrics_23(spark, sf):
-    ev = _evidence(spark, sf)
-    cover = evaluation.coverage(ev, chunking.fixed(docs(spark, sf), 256))
+    ev = tables.settled(_evidence(spark, sf))
+    own = docs(spark, sf).join(retrieval.small(ev.select("doc_id").distinct()), "doc_id", "left_semi")
+    cover = evaluation.coverage(ev, chunking.fixed(own, 256))
     return evaluation.metrics(_queries(spark, sf).select("query_id"), ev, ev.select("query_id", "doc_id"), _hits(spark, sf), cover)
 
 

@@ -43,6 +43,13 @@ def folder(spark: SparkSession) -> str:
     return f"{root.rstrip('/')}/made-{uuid.uuid4().hex}"
 
 
+def settled(df: DataFrame) -> DataFrame:
+    """``df`` written as Parquet to a new shared folder and read back, so that several readers do not make it again."""
+    path = folder(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def read_table(spark: SparkSession, path: str) -> DataFrame:
     """Parquet, CSV with header, JSON (one value or a list) or JSON lines, by suffix."""
     suffix = path.rsplit(".", 1)[-1].lower()
