@@ -153,3 +153,14 @@ def test_metrics_make_hits_once_and_evidence_is_looked_for_in_two_passes(spark):
     got = evaluation.metrics(e.select("query_id"), e, spark.createDataFrame([("q", 1)], "query_id string, doc_id long"), hits, cover).head()
     assert (got["hit_3"], got["mrr_3"], got["redundancy_3"]) == (1.0, 1.0, 0.5)
     assert n.value == 2
+
+
+def test_runs_of_words_are_found_alike_by_lookup_and_by_join(spark, monkeypatch):
+    texts = ["a b c d e f", "c d\te f g", None, "", "x", "b c d", "é b c d e zz", "b c d e b c d e f"]
+    d = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    ev = spark.createDataFrame(list(enumerate(["a b c d e", "b c d", "b c d e", "c d e f", "d e", "q r s t u v", "d e b c d e"])), "item_id long, text string")
+    found = lambda: sorted(tuple(r) for r in evaluation.containing(ev, d).collect())
+    expected = sorted((i, j, t.find(r["text"])) for i, r in enumerate(ev.collect()) for j, t in enumerate(texts) if t and r["text"] in t)
+    assert found() == expected
+    monkeypatch.setattr(evaluation, "few", lambda df, rows=0: False)
+    assert found() == expected

@@ -124,3 +124,18 @@ def test_synthetic_and_cache(spark, tmp_path):
     assert made == [1] and got.count() == 3
     events = spark.createDataFrame([("tune", "ms_marco", "dev", True), ("select", "nq_hard", "test", True)], "purpose STRING, dataset STRING, split STRING, uses_labels BOOLEAN")
     assert V.protocol_violations(events).count() == 3
+
+
+def test_multi_hop_reads_its_corpus_once(spark, tmp_path, monkeypatch):
+    (tmp_path / "c").mkdir()
+    put(tmp_path / "c" / "w.jsonl", "\n".join(json.dumps({"title": f"T{i}", "text": [["A b.", "C d."]]}) for i in range(3)))
+    q = put(tmp_path / "q.json", [{"_id": "1", "question": "w", "answer": "y", "supporting_facts": [["T1", 1]]}])
+    n, read = spark.sparkContext.accumulator(0), raw.articles
+
+    def passed(x):
+        n.add(1)
+        return x
+
+    monkeypatch.setattr(raw, "articles", lambda *a: read(*a).withColumn("title", F.udf(passed).asNondeterministic()("title")))
+    assert rows(raw.multi_hop(spark, q, str(tmp_path / "c")).evidence, "evidence_id", "text", "start") == [("1:e0", "C d.", 5)]
+    assert n.value == 3

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -11,7 +15,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..sources.tables import settled
 from .chunking import kept
-from .retrieval import few, small
+from .retrieval import few, parts, small
 
 KS = (3, 5, 10)
 BUDGET = 2048
@@ -31,11 +35,16 @@ def containing(evidence: DataFrame, docs: DataFrame) -> DataFrame:
     of_size = lambda m, first, last: F.when(last >= first, F.transform(F.sequence(first, last), lambda i: F.array_join(F.slice("p", i, m), " "))).otherwise(F.array().cast("array<string>"))
     hits = []
     if any(m > 0 for m in sizes):
-        own = small(ev.where("m > 0").select("item_id", "text", F.explode(of_size(F.col("m"), F.lit(2), F.size("p") - F.col("m"))).alias("g")))
-        every = F.flatten(F.array(*[of_size(F.lit(m), F.lit(1), F.size("p") - m + 1) for m in sizes if m > 0]))
-        grams = kept(docs.select("doc_id", p.alias("p"))).select("doc_id", F.explode(every).alias("g"))
+        own = ev.where("m > 0").select("item_id", "text", F.explode(of_size(F.col("m"), F.lit(2), F.size("p") - F.col("m"))).alias("g"))
+        words = docs.select("doc_id", p.alias("p"))
         # documents are cut once: what is found is counted and then read again
-        found = settled(grams.join(small(own.select("g").distinct()), "g", "left_semi").distinct())
+        if few(own):
+            own = F.broadcast(own)
+            found = settled(_runs(words, [r[0] for r in own.select("g").distinct().collect()]).distinct())  # short texts of few items
+        else:
+            every = F.flatten(F.array(*[of_size(F.lit(m), F.lit(1), F.size("p") - m + 1) for m in sizes if m > 0]))
+            grams = kept(words).select("doc_id", F.explode(every).alias("g"))
+            found = settled(grams.join(own.select("g").distinct(), "g", "left_semi").distinct())
         held = own.join(found.groupBy("g").agg(F.count("*").alias("n")), "g", "left")
         rarest = held.groupBy("item_id", "text").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "g")).alias("x")).where("x.n > 0").select("item_id", "text", "x.g")
         pairs = found.join(F.broadcast(rarest) if few(ev) else rarest, "g").select("doc_id", "item_id", "text")
@@ -48,6 +57,39 @@ def containing(evidence: DataFrame, docs: DataFrame) -> DataFrame:
     return both.select("item_id", "doc_id", (F.instr("body", F.col("text")) - 1).alias("start"))
 
 
+def _runs(words: DataFrame, runs: list[str]) -> DataFrame:
+    """(doc_id, g): the ``runs`` of words, joined by a space, that stand in a document's words (doc_id, p), each once.
+
+    Words are numbered, a run is one number made of its words' numbers, and a task looks its own places up among them."""
+    vocabulary = sorted({w for g in runs for w in g.split(" ")})
+    at, n = {w: i for i, w in enumerate(vocabulary)}, len(vocabulary)
+    of_size: dict[int, list] = {}
+    for g in runs:
+        own = g.split(" ")
+        of_size.setdefault(len(own), []).append((reduce(lambda x, w: x * n + at[w], own, 0), g))
+    sent = words.sparkSession.sparkContext.broadcast((vocabulary, {m: list(zip(*sorted(x), strict=True)) for m, x in of_size.items()}))
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vocabulary, of_size = sent.value
+        known, n = pa.array(vocabulary, pa.string()), len(vocabulary)
+        wanted = {m: (np.array(keys, np.int64), pa.array(gs, pa.string())) for m, (keys, gs) in of_size.items()}
+        for part in (x for batch in batches for x in parts(batch, 1)):
+            word = pc.fill_null(pc.index_in(part.column(1).flatten(), value_set=known), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+            row = np.repeat(np.arange(part.num_rows), pc.fill_null(pc.list_value_length(part.column(1)), 0).to_numpy(zero_copy_only=False))
+            for m, (keys, gs) in wanted.items():
+                first = np.arange(max(len(word) - m + 1, 0))
+                first = first[row[first] == row[first + m - 1]]  # a run lies in one document
+                for j in range(m):
+                    first = first[word[first + j] >= 0]
+                key = reduce(lambda x, j: x * n + word[first + j], range(m), np.zeros(len(first), np.int64))
+                place = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
+                hit = keys[place] == key
+                pair = np.unique(row[first[hit]] * len(keys) + place[hit])
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(pair // len(keys))), gs.take(pa.array(pair % len(keys)))], names=["doc_id", "g"])
+
+    return words.mapInArrow(find, f"doc_id {words.schema['doc_id'].dataType.simpleString()}, g string")
+
+
 def coverage(evidence: DataFrame, chunks: DataFrame) -> DataFrame:
     """evidence (query_id, evidence_id, doc_id, text) onto all chunks of its document: the positions of its tokens that the chunk has."""
     toks = F.array_distinct(T.lexical_tokens(F.col("text")))

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import chunking, evaluation, validation
+from ..operators import chunking, evaluation, retrieval, validation
 from ..sources import raw, tables
 from ..sources.tables import folder  # noqa: F401  others find it here too
 from ..streaming import stream
@@ -72,7 +72,8 @@ def multi_hop_evidence(spark, sf):
     article = F.to_json(F.struct(F.concat(F.lit("Doc_"), F.col("doc_id")).alias("title"), F.split("text", "\n").alias("text")))
     put_lines(docs(spark, sf).select(article), f"{at}/corpus", compression="bzip2")
     last = F.size(F.split("text", "\n")) - 1
-    facts = _pairs(spark, sf).join(docs(spark, sf), "doc_id").groupBy("item_id").agg(F.sort_array(F.collect_list(F.struct("doc_id", last.alias("i")))).alias("f"))  # an item's documents
+    pairs = retrieval.small(tables.settled(_pairs(spark, sf)))
+    facts = docs(spark, sf).join(pairs, "doc_id").groupBy("item_id").agg(F.sort_array(F.collect_list(F.struct("doc_id", last.alias("i")))).alias("f"))  # an item's documents
     said = F.transform("f", lambda x: F.array(F.concat(F.lit("Doc  "), x["doc_id"]), x["i"].cast("string")))
     q = facts.select(F.struct(F.col("item_id").cast("string").alias("_id"), F.lit("?").alias("question"), F.lit("!").alias("answer"), said.alias("supporting_facts")).alias("q"))
     put_whole(q, "q._id", F.to_json(F.collect_list("q")), f"{at}/questions")

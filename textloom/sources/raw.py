@@ -163,12 +163,15 @@ def _from_facts(questions: DataFrame, facts: DataFrame, docs: DataFrame, name: s
 
 def multi_hop(spark: SparkSession, questions_path: str, corpus_path: str, split: str = "validation") -> Bundle:
     """Questions with supporting facts over a separate article corpus (HotpotQA full wiki). Titles keep their case."""
+    from .tables import settled  # which reads this module
+
     questions = spark.read.schema(QUESTIONS).option("multiLine", True).json(questions_path)
     _refuse(questions.where("supporting_facts IS NULL").select("_id"), "queries without supporting facts")
     facts = _facts(questions, nfc)
     wanted = facts.select("key").distinct()
     w = W.partitionBy("key").orderBy("place")
-    found = articles(spark, corpus_path).withColumn("key", nfc("title")).join(wanted, "key", "left_semi").withColumn("r", F.row_number().over(w)).where("r = 1")
+    # the corpus is read once; the articles asked for are written, as checks and evidence read them again
+    found = settled(articles(spark, corpus_path).withColumn("key", nfc("title")).join(wanted, "key", "left_semi").withColumn("r", F.row_number().over(w)).where("r = 1").select("key", "title", "text"))
     _refuse(wanted.join(found, "key", "left_anti"), "articles missing from the corpus")
     docs = joined_sentences(found, F.expr(FLAT)).withColumn("document_id", F.concat(F.lit("hotpotqa:"), _slug(F.col("key"))))
     return _from_facts(questions, facts, docs, "hotpotqa_fullwiki", split, "en")
