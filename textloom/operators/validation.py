@@ -44,7 +44,7 @@ def _unknown(df: DataFrame, key: str, known: DataFrame, rule: str, known_key: st
 
 
 def _blank(name: str):
-    return F.coalesce(F.regexp_replace(name, f"[{T.SPACE}]+", ""), F.lit("")) == ""
+    return ~T.text_of(name).rlike(f"[^{T.SPACE}]")
 
 
 def span_problem(start, end, text, body):
