@@ -30,7 +30,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable, Iterator
-from functools import cache
+from functools import cache, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -119,23 +119,47 @@ def sketches(name: np.ndarray, at: np.ndarray) -> list[bytes]:
     return out
 
 
+def wide_sketches(name: np.ndarray, at: np.ndarray) -> list[bytes | None]:
+    """Of each set of more than ``SKETCH_BITS`` shingles its parities over as many places as it has shingles or more (a power of two), else none.
+
+    Long sets fill a sketch of fixed width, so that it rules out nothing."""
+    out = [None] * (len(at) - 1)
+    for i in np.flatnonzero(np.diff(at) > SKETCH_BITS):
+        own = name[at[i] : at[i + 1]]
+        bits = (len(own) - 1).bit_length()
+        odd = np.bincount((mix(own) >> U(64 - bits)).astype(np.int64), minlength=1 << bits) & 1
+        out[i] = np.packbits(odd.astype(np.uint8)).tobytes()
+    return out
+
+
+def wide_apart(one: bytes, two: bytes) -> int:
+    """Places in which two wide sketches differ; the wider one is folded: two places next to each other are one of the narrower."""
+    a, b = (np.unpackbits(np.frombuffer(x, np.uint8)) for x in sorted((one, two), key=len))
+    while len(b) > len(a):
+        b = b[::2] ^ b[1::2]
+    return int(np.count_nonzero(a ^ b))
+
+
 def near_sketches(percent: int) -> Callable:
-    """Rows of (a, b, a_size, b_size, a_sketch, b_sketch) to the pairs (a, b) that their sketches do not rule out."""
+    """Rows of (a, b, a_size, b_size, a_sketch, b_sketch, a_wide, b_wide) to the pairs (a, b) that their sketches do not rule out."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             size = batch.column(2).to_numpy() + batch.column(3).to_numpy()
             one, two = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint64).reshape(len(size), SKETCH_BITS // 64) for i in (4, 5))
-            near = pa.array(np.bitwise_count(one ^ two).sum(1) <= _apart(size, percent))
+            near = np.bitwise_count(one ^ two).sum(1) <= _apart(size, percent)
+            for i in np.flatnonzero(near & ~(batch.column(6).is_null().to_numpy(zero_copy_only=False) | batch.column(7).is_null().to_numpy(zero_copy_only=False))):
+                near[i] = wide_apart(batch.column(6)[i].as_py(), batch.column(7)[i].as_py()) <= _apart(size[i], percent)
+            near = pa.array(near)
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(near), batch.column(1).filter(near)], names=["a", "b"])
 
     return read
 
 
 def likely(pairs: DataFrame, held: DataFrame, percent: int) -> DataFrame:
-    """The ``pairs`` (a, b) that may link by the sketches in ``held`` (sig, n, sketch). The ends that may be in many pairs come first, while rows are short."""
-    of = lambda x: held.select(F.col("sig").alias(x), F.col("n").alias(f"{x}_size"), F.col("sketch").alias(f"{x}_sketch"))
-    both = pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "a_size", "b_size", "a_sketch", "b_sketch")
+    """The ``pairs`` (a, b) that may link by the sketches in ``held`` (sig, n, sketch, wide). The ends that may be in many pairs come first, while rows are short."""
+    of = lambda x: held.select(F.col("sig").alias(x), F.col("n").alias(f"{x}_size"), F.col("sketch").alias(f"{x}_sketch"), F.col("wide").alias(f"{x}_wide"))
+    both = pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "a_size", "b_size", "a_sketch", "b_sketch", "a_wide", "b_wide")
     return both.mapInArrow(near_sketches(percent), "a long, b long")
 
 
@@ -144,7 +168,7 @@ def named_sets(n: int) -> Callable:
         for batch in batches:
             for ids, buf, offs in chunks(batch):
                 name, _, at = shingles(buf, offs, n)
-                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(np.diff(at)), pa.array(_sigs(name, at)), pa.array(sketches(name, at), pa.binary())], names=["doc", "n", "sig", "sketch"])
+                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(np.diff(at)), pa.array(_sigs(name, at)), pa.array(sketches(name, at), pa.binary()), pa.array(wide_sketches(name, at), pa.binary())], names=["doc", "n", "sig", "sketch", "wide"])
 
     return read
 
@@ -179,8 +203,8 @@ def _listed(name: np.ndarray, row: np.ndarray, at: np.ndarray, sig: np.ndarray,
             yield signed(mix(_EMPTY + mix((np.uint64(k[i]) << U(32)) + none))), np.full(len(none), size[i]), np.full(len(none), sig[i])
 
 
-def listed(n: int, percent: int) -> Callable:
-    """Index entries of all sets; sets equal to one before them in the batch add none."""
+def listed(n: int, percent: int, turn: int = 0, turns: int = 1) -> Callable:
+    """Index entries of all sets in the lists of one of ``turns`` turns; sets equal to one before them in the batch add none."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -196,7 +220,9 @@ def listed(n: int, percent: int) -> Callable:
                 name, row = name[keep], row[keep]
                 at = np.searchsorted(row, np.arange(len(ids) + 1))
                 parts = list(_listed(name, row, at, sig, percent))
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*parts, strict=True)], names=["list", "size", "sig"])
+                columns = [np.concatenate(c) for c in zip(*parts, strict=True)]
+                own = columns[0] % turns == turn
+                yield pa.RecordBatch.from_arrays([pa.array(c[own]) for c in columns], names=["list", "size", "sig"])
 
     return read
 
@@ -288,6 +314,8 @@ def intersect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 SALT_ROWS = 2000
 #: Sets of a list that meet in one task, about: lists are cut into blocks of so many.
 BLOCK_ROWS = 1000
+#: The entries of all lists are a multiple of the input, most of them alone in their list: they are shuffled in so many turns, a share of the lists each.
+TURNS = 2
 #: Of the open lists of a set the least so many tell in which list a pair met before.
 FIRST_LISTS = 16
 
@@ -370,16 +398,19 @@ def join(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame:
     bound_batches(spark)
     parts = n_partitions(spark)
     base = docs.select("doc_id", text_of().alias("text"))
-    sets = settle(base.mapInArrow(named_sets(n), "doc long, n long, sig long, sketch binary"))
+    sets = settle(base.mapInArrow(named_sets(n), "doc long, n long, sig long, sketch binary, wide binary"))
     classes = sets.where("n > 0").groupBy("sig").agg(F.min("doc").alias("doc"))
-    lists = base.mapInArrow(listed(n, percent), "list long, size long, sig long")
     rows = sets.count()
     few = base.sample(SAMPLE_DOCS / rows, seed=1) if rows > SAMPLE_DOCS else base
     hot = hot_keys(few.mapInArrow(listed(n, percent), "list long, size long, sig long").withColumnRenamed("list", "key"), min(rows, SAMPLE_DOCS))
-    lists = lists.join(F.broadcast(hot), F.col("list") == F.col("hot_key"), "left").select("list", "size", "sig", F.col("hot_key").isNotNull().alias("hot"))
-    dealt = lists.repartition(parts, "list", F.when(F.col("hot"), F.col("sig"))).sortWithinPartitions("list", "size", "sig")
-    starred = settle(dealt.mapInArrow(hubs, "list long, size long, sig long, hub long, hub_size long"))
-    release(spark)
+    starred, turns = [], TURNS if rows > SAMPLE_DOCS else 1
+    for turn in range(turns):
+        lists = base.mapInArrow(listed(n, percent, turn, turns), "list long, size long, sig long")
+        lists = lists.join(F.broadcast(hot), F.col("list") == F.col("hot_key"), "left").select("list", "size", "sig", F.col("hot_key").isNotNull().alias("hot"))
+        dealt = lists.repartition(parts, "list", F.when(F.col("hot"), F.col("sig"))).sortWithinPartitions("list", "size", "sig")
+        starred.append(settle(dealt.mapInArrow(hubs, "list long, size long, sig long, hub long, hub_size long")))
+        release(spark)
+    starred = reduce(DataFrame.unionByName, starred)
     # entries of lists with several sets; a list's hub is its set with most list neighbours overall
     entries = settle(starred.select("list", "size", "sig").unionByName(starred.select("list", F.col("hub_size").alias("size"), F.col("hub").alias("sig")).distinct()))
     release(spark, starred)
@@ -390,7 +421,7 @@ def join(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame:
     # of those the one that a set shares most lists with
     best = near.groupBy("sig", "hub").agg(F.count("*").alias("shared")).groupBy("sig").agg(F.max_by("hub", F.struct("shared", "hub")).alias("hub"))
     # repeated sets give one sketch before they are shuffled
-    held = settle(sets.where("n > 0").select("sig", "n", "sketch").dropDuplicates(["sig"]).join(entries.select("sig").distinct(), "sig", "left_semi"))
+    held = settle(sets.where("n > 0").select("sig", "n", "sketch", "wide").dropDuplicates(["sig"]).join(entries.select("sig").distinct(), "sig", "left_semi"))
     pairs = best.select(F.least("hub", "sig").alias("lo"), F.greatest("hub", "sig").alias("hi"), F.col("hub").alias("a"), F.col("sig").alias("b")).dropDuplicates(["lo", "hi"]).select("a", "b")
     tried = verify(base, classes, settle(likely(pairs, held, percent)), n)
     links = tried.where(linked(percent)).select("a", "b")
@@ -411,7 +442,10 @@ def join(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame:
     crossed = settle(crossed.join(done, ["a", "b"], "left_anti"))
     release(spark, open_rows)
     if not crossed.isEmpty():
-        more = verify(base, classes, oriented(crossed), n).where(linked(percent)).select("a", "b")
+        # pairs of long sets grow with the square of their number: their wide sketches rule out most before a set is moved
+        close = settle(likely(oriented(crossed), held, percent))
+        release(spark, crossed)
+        more = verify(base, classes, close, n).where(linked(percent)).select("a", "b")
         comps = connect(settle(links.unionByName(more)))
     labelled = classes.join(comps, classes.sig == comps.node, "left").select("sig", "doc", F.coalesce("comp", "sig").alias("comp"))
     least = labelled.groupBy("comp").agg(F.min("doc").alias("component"))
@@ -421,14 +455,20 @@ def join(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame:
     return sets.where("n > 0").join(by_sig, "sig").select("doc", "n", "sig", "component").unionByName(alone).select(null_id("doc").alias("doc_id"), F.col("n").alias("n_shingles"), "sig", null_id("component").alias("component_id"))
 
 
+#: So many ids at most are broadcast.
+SENT_IDS = 2_000_000
+
+
 def keep_one(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame:
     """``docs`` without all but the first document of each component; documents without shingles stay.
 
     A document is a doc_id: rows that share one stay or go together, and rows without one all stay."""
-    doc, comp = unused(docs, "doc"), unused(docs, "component")
-    joined = join(docs, n, percent).select(F.col("doc_id").alias(doc), F.col("component_id").alias(comp))
-    first = joined.where(F.col(doc) == F.col(comp)).select(doc).unionByName(joined.where(F.col(doc).isNull()).select(doc)).distinct()
-    return docs.join(first, F.col("doc_id").eqNullSafe(F.col(doc)), "left_semi")
+    doc = unused(docs, "doc")
+    joined = join(docs, n, percent).where("doc_id IS NOT NULL")
+    gone = settle(joined.groupBy(F.col("doc_id").alias(doc)).agg(F.max(F.col("doc_id") == F.col("component_id")).alias("stays")).where("NOT stays").select(doc))
+    release(docs.sparkSession)
+    # the ids that go are sent to the texts, which are shuffled only if these are very many
+    return docs.join(F.broadcast(gone) if gone.count() <= SENT_IDS else gone, F.col("doc_id") == F.col(doc), "left_anti")
 
 
 def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
